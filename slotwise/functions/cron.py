@@ -1,7 +1,7 @@
 """Schedules of the form ``minute hour day * *`` as column expressions.
 
-A field is a number, ``*`` or ``*/n``; month and weekday must be ``*``. Every function takes the schedule as
-text or as a column, so a table of schedules needs no loop, and Catalyst folds a fixed schedule away.
+A field is a number, ``*`` or ``*/n``; month and weekday must be ``*``. A schedule is given as text, as a column
+of texts, or as :class:`CronFields` read once from such a column, so a table of schedules needs no loop.
 
 Which slots a schedule has:
 
@@ -26,96 +26,163 @@ STEP = r"^\*/[0-9]+$"
 LAST_MINUTE, LAST_HOUR = 59, 23
 
 
-class Fields(NamedTuple):
-    minute: Column
-    hour: Column
-    day: Column
+class CronFields(NamedTuple):
+    """Fields of a schedule: n for ``*/n`` (1 for ``*``) in a step, a number in an ``at``, the other one empty.
 
+    Numbers for a schedule given as text, integer columns for a column of schedules. No day number: a schedule
+    on a fixed day is not valid.
+    """
+
+    minute_step: int | Column | None
+    minute_at: int | Column | None
+    hour_step: int | Column | None
+    hour_at: int | Column | None
+    day_step: int | Column | None
+
+    @property
+    def fixed(self) -> bool:
+        return not any(isinstance(field, Column) for field in self)
 
-def as_cron(cron: str | Column) -> Column:
-    """A literal schedule is checked at once; a column of schedules gives NULL where it is not valid."""
-    if not isinstance(cron, str):
-        return cron
-    check_cron(cron)
-    return F.lit(cron)
 
+Cron = str | Column | CronFields
 
-def check_cron(cron: str) -> None:
+
+def parse_cron(cron: str) -> CronFields:
+    """The fields of one schedule; a ValueError if it is not valid."""
     fields = cron.rstrip(" ").split(" ")
-    limits = (LAST_MINUTE, LAST_HOUR)
-    ok = len(fields) == 5 and fields[3:] == ["*", "*"] and all(
-        f == "*" or re.match(STEP, f) or re.match(NUMBER, f) for f in fields[:3])
-    ok = ok and all(not re.match(STEP, f) or int(f[2:]) > 0 for f in fields[:3])
-    ok = ok and all(not re.match(NUMBER, f) or int(f) <= limit for f, limit in zip(fields, limits))
-    if not ok or re.match(NUMBER, fields[2]):
+    if len(fields) != 5 or fields[3:] != ["*", "*"]:
         raise ValueError(f"not a supported schedule: {cron!r}")
 
+    def step(field: str) -> int | None:
+        return 1 if field == "*" else int(field[2:]) if re.match(STEP, field) else None
+
+    def at(field: str) -> int | None:
+        return int(field) if re.match(NUMBER, field) else None
 
-def split_cron(cron: Column) -> Fields:
+    minute, hour, day = fields[:3]
+    parsed = CronFields(step(minute), at(minute), step(hour), at(hour), step(day))
+    if (0 in (parsed.minute_step, parsed.hour_step, parsed.day_step) or parsed.day_step is None
+            or (parsed.minute_step is None and (parsed.minute_at is None or parsed.minute_at > LAST_MINUTE))
+            or (parsed.hour_step is None and (parsed.hour_at is None or parsed.hour_at > LAST_HOUR))):
+        raise ValueError(f"not a supported schedule: {cron!r}")
+    return parsed
+
+
+def split_cron(cron: Column) -> list[Column]:
+    """The five texts of a schedule; NULL where there are fewer."""
     parts = F.split(F.rtrim(cron), " ")
-    return Fields(*(F.get(parts, i) for i in range(3)))
+    return [F.get(parts, i) for i in range(5)]
 
 
 def step_of(field: Column) -> Column:
-    """n of ``*/n``, 1 for ``*``, NULL for a number or a step of zero."""
+    """n of ``*/n``, 1 for ``*``, NULL for anything else and for a step of zero."""
     n = F.substring_index(field, "/", -1).try_cast("int")
     return F.when(field == "*", 1).when(field.rlike(STEP), F.nullif(n, F.lit(0)))
 
 
-def number_of(field: Column, last: int | None = None) -> Column:
-    """The value of a fixed field, NULL for ``*`` and ``*/n`` or above ``last``."""
-    n = F.when(field.rlike(NUMBER), field.try_cast("int"))
-    return n if last is None else F.when(n <= last, n)
+def number_of(field: Column, last: int) -> Column:
+    """The value of a fixed field, NULL for anything else and above ``last``."""
+    n = field.try_cast("int")
+    return F.when(field.rlike(NUMBER) & (n <= last), n)
+
+
+def cron_fields(cron: Cron) -> CronFields:
+    if isinstance(cron, CronFields):
+        return cron
+    if isinstance(cron, str):
+        return parse_cron(cron)
+    minute, hour, day = split_cron(cron)[:3]
+    return CronFields(step_of(minute), number_of(minute, LAST_MINUTE), step_of(hour), number_of(hour, LAST_HOUR),
+                      step_of(day))
+
 
+def with_cron_fields(df: DataFrame, cron: str = "cron") -> tuple[DataFrame, CronFields]:
+    """``df`` with the fields of its schedules as columns, so that each schedule text is read once per row."""
+    columns = {f"_{name}": value for name, value in cron_fields(F.col(cron))._asdict().items()}
+    return df.withColumns(columns), CronFields(*map(F.col, columns))
 
-def next_fire(ts: Column, cron: str | Column, inclusive: bool = False) -> Column:
-    """The next slot after ``ts``.
+
+def drop_cron_fields(df: DataFrame) -> DataFrame:
+    return df.drop(*(f"_{name}" for name in CronFields._fields))
+
+
+def _column(value: int | Column) -> Column:
+    return value if isinstance(value, Column) else F.lit(value)
+
+
+def _choose(f: CronFields, by_minute, by_hour, by_day) -> Column:
+    """The one formula a fixed schedule needs, or a choice per row."""
+    if f.fixed:
+        chosen = by_minute if f.minute_step is not None else by_hour if f.hour_step is not None else by_day
+        return chosen()
+    return (F.when(f.minute_step.isNotNull(), by_minute())
+            .when(f.hour_step.isNotNull(), by_hour())
+            .otherwise(by_day()))
+
+
+def next_fire(ts: Column, cron: Cron, inclusive: bool = False) -> Column:
+    """The next slot after ``ts``; NULL for a schedule in a column that is not valid.
 
     Schedules with a fixed minute give the first slot at or after ``ts``. Those with minute ``*`` or ``*/n``
     give the first slot after the minute of ``ts``, so an exact boundary moves on; ``inclusive`` lets them
     stay on it too.
     """
-    f = split_cron(as_cron(cron))
+    f = cron_fields(cron)
     hour, minute, now = F.hour(ts), F.minute(ts), minute_of_day(ts)
     day = start_of_day(ts)
-    past_minute = ts > day + F.make_dt_interval(mins=now)
 
-    step = step_of(f.minute)
-    by_minute = F.when(step.isNotNull(), hour * 60 + F.least(minute - minute % step + step, F.lit(60)))
-    if inclusive:
-        by_minute = F.when(~past_minute & (minute % step == 0), now).otherwise(by_minute)
+    def past_minute() -> Column:
+        return ts > day + F.make_dt_interval(mins=now)
+
+    def by_minute() -> Column:
+        after = hour * 60 + F.least(minute - minute % f.minute_step + f.minute_step, F.lit(60))
+        if not inclusive:
+            return after
+        return F.when(~past_minute() & (minute % f.minute_step == 0), now).otherwise(after)
 
-    at = number_of(f.minute, LAST_MINUTE)
-    hour_step = step_of(f.hour)
-    missed = (at < minute) | ((at == minute) & past_minute)
-    first_hour = hour + F.when(missed, 1).otherwise(0)
-    # Hours count from midnight: past the last multiple of the day comes midnight.
-    up = (hour_step - first_hour % hour_step) % hour_step
-    by_hour = F.when(hour_step.isNotNull(), F.least(first_hour + F.least(up, F.lit(24)), F.lit(24)) * 60 + at)
+    def by_hour() -> Column:
+        missed = (minute > f.minute_at) | ((minute == f.minute_at) & past_minute())
+        first = hour + F.when(missed, 1).otherwise(0)
+        # Hours count from midnight: past the last multiple of the day comes midnight.
+        up = (_column(f.hour_step) - first % f.hour_step) % f.hour_step
+        return F.least(first + F.least(up, F.lit(24)), F.lit(24)) * 60 + f.minute_at
 
-    once = number_of(f.hour, LAST_HOUR) * 60 + at
-    by_day = once + F.when((once < now) | ((once == now) & past_minute), 1440).otherwise(0)
+    def by_day() -> Column:
+        once = _column(f.hour_at) * 60 + f.minute_at
+        missed = (now > once) | ((now == once) & past_minute())
+        return once + F.when(missed, 1440).otherwise(0)
 
-    return day + F.make_dt_interval(mins=F.coalesce(by_minute, by_hour, by_day))
+    return day + F.make_dt_interval(mins=_choose(f, by_minute, by_hour, by_day))
 
 
-def slot_of(ts: Column, cron: str | Column) -> Column:
+def slot_of(ts: Column, cron: Cron) -> Column:
     """The latest slot at or before ``ts``: the slot an event falls into."""
-    f = split_cron(as_cron(cron))
+    f = cron_fields(cron)
     hour, minute, now = F.hour(ts), F.minute(ts), minute_of_day(ts)
 
-    by_minute = hour * 60 + minute - minute % step_of(f.minute)
+    def by_minute() -> Column:
+        return now - minute % f.minute_step
+
+    def by_hour() -> Column:
+        last = hour - F.when(minute < f.minute_at, 1).otherwise(0)
+        # Before the first slot of the day: the last one of the day before.
+        return F.when(last < 0, F.lit(LAST_HOUR - 24) - F.lit(LAST_HOUR) % f.hour_step).otherwise(last - last % f.hour_step) * 60 + f.minute_at
 
-    at = number_of(f.minute, LAST_MINUTE)
-    hour_step = step_of(f.hour)
-    last_hour = hour - F.when(at > minute, 1).otherwise(0)
-    by_hour = F.when(last_hour < 0, LAST_HOUR - LAST_HOUR % hour_step - 24).otherwise(
-        last_hour - last_hour % hour_step) * 60 + at
+    def by_day() -> Column:
+        once = _column(f.hour_at) * 60 + f.minute_at
+        return once - F.when(now < once, 1440).otherwise(0)
 
-    once = number_of(f.hour, LAST_HOUR) * 60 + at
-    by_day = once - F.when(once > now, 1440).otherwise(0)
+    return start_of_day(ts) + F.make_dt_interval(mins=_choose(f, by_minute, by_hour, by_day))
 
-    return start_of_day(ts) + F.make_dt_interval(mins=F.coalesce(by_minute, by_hour, by_day))
+
+def plain_step(cron: str) -> tuple[str, str] | None:
+    """Width and offset of the time window that is the slot of ``cron``; None if its slots differ in width."""
+    f = parse_cron(cron)
+    if f.minute_step is not None:
+        return (f"{f.minute_step} minutes", "0 minutes") if 60 % f.minute_step == 0 else None
+    if f.hour_step is not None:
+        return (f"{f.hour_step} hours", f"{f.minute_at} minutes") if 24 % f.hour_step == 0 else None
+    return "1 day", f"{f.hour_at * 60 + f.minute_at} minutes"
 
 
 def stride(cron: str | Column) -> Column:
@@ -123,13 +190,14 @@ def stride(cron: str | Column) -> Column:
 
     The first field from the left that is not a number decides; a daily schedule with ``*/n`` days has n days.
     """
-    f = split_cron(as_cron(cron))
-
-    def of(field: Column, unit: str) -> Column:
-        n = step_of(field)
-        return F.when(n.isNotNull(), F.struct(n.alias("every"), F.lit(unit).alias("unit")))
-
-    return F.coalesce(of(f.minute, "minutes"), of(f.hour, "hours"), of(f.day, "days"))
+    if isinstance(cron, str):
+        parse_cron(cron)
+        cron = F.lit(cron)
+    minute, hour, day = map(step_of, split_cron(cron)[:3])
+    return F.struct(
+        F.coalesce(minute, hour, day).alias("every"),
+        F.when(minute.isNotNull(), "minutes").when(hour.isNotNull(), "hours")
+        .when(day.isNotNull(), "days").alias("unit"))
 
 
 def stride_minutes(cron: str | Column) -> Column:
@@ -140,8 +208,8 @@ def stride_minutes(cron: str | Column) -> Column:
 
 def audit_schedules(df: DataFrame, cron: str = "cron") -> DataFrame:
     """Add ``valid``, ``reason`` (NULL when valid), ``every`` and ``unit`` to a table of schedules."""
-    parts = F.split(F.rtrim(F.col(cron)), " ")
-    f = split_cron(F.col(cron))
+    texts = {f"_text_{i}": text for i, text in enumerate(split_cron(F.col(cron)))}
+    minute, hour, day, month, weekday = map(F.col, texts)
 
     def malformed(field: Column) -> Column:
         return ~((field == "*") | field.rlike(STEP) | field.rlike(NUMBER))
@@ -150,21 +218,19 @@ def audit_schedules(df: DataFrame, cron: str = "cron") -> DataFrame:
         return field.rlike(STEP) & step_of(field).isNull()
 
     reason = (
-        F.when(F.col(cron).isNull() | (F.size(parts) != 5), "needs five fields")
-        .when(malformed(f.minute), "minute is not a number, * or */n")
-        .when(malformed(f.hour), "hour is not a number, * or */n")
-        .when(malformed(f.day), "day is not a number, * or */n")
-        .when((F.get(parts, 3) != "*") | (F.get(parts, 4) != "*"), "month and weekday must be *")
-        .when(zero_or_huge(f.minute) | zero_or_huge(f.hour) | zero_or_huge(f.day), "step must be at least 1")
-        .when(f.minute.rlike(NUMBER) & number_of(f.minute, LAST_MINUTE).isNull(), "minute is above 59")
-        .when(f.hour.rlike(NUMBER) & number_of(f.hour, LAST_HOUR).isNull(), "hour is above 23")
-        .when(f.day.rlike(NUMBER), "day must be * or */n")
+        F.when(F.col(cron).isNull() | (F.size(F.split(F.rtrim(cron), " ")) != 5), "needs five fields")
+        .when(malformed(minute), "minute is not a number, * or */n")
+        .when(malformed(hour), "hour is not a number, * or */n")
+        .when(malformed(day), "day is not a number, * or */n")
+        .when((month != "*") | (weekday != "*"), "month and weekday must be *")
+        .when(zero_or_huge(minute) | zero_or_huge(hour) | zero_or_huge(day), "step must be at least 1")
+        .when(minute.rlike(NUMBER) & number_of(minute, LAST_MINUTE).isNull(), "minute is above 59")
+        .when(hour.rlike(NUMBER) & number_of(hour, LAST_HOUR).isNull(), "hour is above 23")
+        .when(day.rlike(NUMBER), "day must be * or */n")
     )
-    valid = reason.isNull()
+    audited = df.withColumns(texts).withColumn("reason", reason).withColumn("valid", F.col("reason").isNull())
     s = stride(F.col(cron))
-    return df.withColumns({
-        "valid": valid,
-        "reason": reason,
-        "every": F.when(valid, s["every"]),
-        "unit": F.when(valid, s["unit"]),
-    })
+    return audited.withColumns({
+        "every": F.when(F.col("valid"), s["every"]),
+        "unit": F.when(F.col("valid"), s["unit"]),
+    }).drop(*texts)

@@ -9,8 +9,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def parse_view_uri(uri: Column) -> Column:
-    """Struct of kind, store, authority, path and a map of the constraints (empty without a query)."""
+def parse_view_uri(uri: Column, decode: bool = False) -> Column:
+    """Struct of kind, store, authority, path and a map of the constraints (empty without a query).
+
+    Constraint values are as written; ``decode=True`` resolves their percent escapes.
+    """
     base = F.substring_index(uri, "?", 1)
     kind = F.substring_index(base, ":", 1)
     after_kind = F.substr(base, F.length(kind) + 2)
@@ -21,12 +24,14 @@ def parse_view_uri(uri: Column) -> Column:
     authority = F.substring_index(after_slashes, "/", 1)
     query = F.substr(uri, F.length(base) + 2)
     pairs = F.str_to_map(query, F.lit("&"), F.lit("="))
+    if decode:
+        pairs = F.transform_values(pairs, lambda _, value: F.url_decode(value))
     return F.struct(
         kind.alias("kind"),
         store.alias("store"),
         F.when(has_authority, F.nullif(authority, F.lit(""))).alias("authority"),
         F.when(has_authority, F.substr(after_slashes, F.length(authority) + 1)).otherwise(rest).alias("path"),
-        F.when(F.length(query) > 0, F.transform_values(pairs, lambda _, v: F.url_decode(v)))
+        F.when(F.length(query) > 0, pairs)
         .otherwise(F.create_map().cast("map<string,string>")).alias("constraints"),
     )
 

@@ -9,7 +9,6 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slotwise.functions.cron import slot_of
 from slotwise.operators.sinks import append, cluster_by_slot
 from slotwise.schemas import MARKER
 from slotwise.sources.datasets import View, as_view, read_dataset
@@ -43,11 +42,6 @@ def ready_marks(spark: SparkSession, markers: View | str, view_name: str) -> Dat
     return marks.where(F.col("view") == view_name).select(SLOT).distinct()
 
 
-def slots_with_data(events: DataFrame, cron: str, ts: str = "ts") -> DataFrame:
-    """The slots in which at least one event falls; a hot slot leaves each task as one row."""
-    return events.select(slot_of(F.col(ts), cron).alias(SLOT)).distinct()
-
-
 def ready_slots(slots: DataFrame, ready_by_input: Mapping[str, DataFrame],
                 instances: Mapping[str, Column] | None = None) -> DataFrame:
     """The slots that every input has ready.

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from slotwise.functions.cron import (
-    LAST_HOUR, LAST_MINUTE, as_cron, next_fire, number_of, slot_of, split_cron, step_of, stride_minutes,
+    LAST_HOUR, LAST_MINUTE, Cron, cron_fields, drop_cron_fields, next_fire, plain_step, slot_of, stride_minutes,
+    with_cron_fields,
 )
 from slotwise.functions.timeparts import minute_of_day, start_of_day
 
@@ -17,58 +18,69 @@ def fire_slots(schedules: DataFrame, cron: str = "cron", start: str = "start_at"
     The first slot is the next one after ``start`` (see :func:`next_fire`); ``end`` is not included. All fields
     must match; ``*/n`` days count from the first of the month. A schedule that is not valid has no slots.
     """
-    f = split_cron(F.col(cron))
-    day = start_of_day(F.col("_day"))
+    schedules, f = with_cron_fields(schedules, cron)
     spread = int(schedules.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     days = (
         schedules
-        .withColumn("_first", next_fire(F.col(start), F.col(cron)))
+        .withColumn("_first", next_fire(F.col(start), f))
         .where(F.col("_first") < F.col(end))
         .withColumn("_day", F.explode(F.sequence(F.to_date("_first"), F.to_date(end))))
-        .where((F.dayofmonth("_day") - 1) % step_of(f.day) == 0)
+        .where((F.dayofmonth("_day") - 1) % f.day_step == 0)
         # A few long schedules in one file must not stay in one task: spread their days.
         .repartition(spread, cron, start, "_day")
     )
-    return (
+    slots = (
         days
-        .withColumn("_hour", F.explode(_matching(f.hour, LAST_HOUR)))
-        .withColumn("_minute", F.explode(_matching(f.minute, LAST_MINUTE)))
-        .withColumn("nominal_time", day + F.make_dt_interval(mins=F.col("_hour") * 60 + F.col("_minute")))
+        .withColumn("_hour", F.explode(_matching(f.hour_step, f.hour_at, LAST_HOUR)))
+        .withColumn("_minute", F.explode(_matching(f.minute_step, f.minute_at, LAST_MINUTE)))
+        .withColumn("nominal_time", start_of_day(F.col("_day"))
+                    + F.make_dt_interval(mins=F.col("_hour") * 60 + F.col("_minute")))
         .where((F.col("nominal_time") >= F.col("_first")) & (F.col("nominal_time") < F.col(end)))
-        .drop("_first", "_day", "_hour", "_minute")
     )
+    return drop_cron_fields(slots).drop("_first", "_day", "_hour", "_minute")
 
 
-def _matching(field: Column, last: int) -> Column:
-    step = step_of(field)
-    return F.when(step.isNotNull(), F.sequence(F.lit(0), F.lit(last), step)).otherwise(
-        F.array(number_of(field, last)))
+def _matching(step: Column, at: Column, last: int) -> Column:
+    return F.when(step.isNotNull(), F.sequence(F.lit(0), F.lit(last), step)).otherwise(F.array(at))
 
 
-def is_slot(ts: Column, cron: str | Column) -> Column:
+def is_slot(ts: Column, cron: Cron) -> Column:
     """Whether ``ts`` is a nominal time of the schedule, all fields looked at."""
-    cron = as_cron(cron)
-    f = split_cron(cron)
+    f = cron_fields(cron)
 
-    def hit(value: Column, field: Column) -> Column:
-        return F.coalesce(value % step_of(field) == 0, value == number_of(field), F.lit(False))
+    def hit(value: Column, step, at=None) -> Column:
+        if f.fixed:
+            return value % step == 0 if step is not None else value == at
+        tests = [value % step == 0] if at is None else [value % step == 0, value == at]
+        return F.coalesce(*tests, F.lit(False))
 
     on_minute = ts == start_of_day(ts) + F.make_dt_interval(mins=minute_of_day(ts))
-    return (on_minute & hit(F.minute(ts), f.minute) & hit(F.hour(ts), f.hour)
-            & F.coalesce((F.dayofmonth(ts) - 1) % step_of(f.day) == 0, F.lit(False)))
+    return (on_minute & hit(F.minute(ts), f.minute_step, f.minute_at) & hit(F.hour(ts), f.hour_step, f.hour_at)
+            & hit(F.dayofmonth(ts) - 1, f.day_step))
+
+
+def slot_column(ts: str, cron: str) -> Column:
+    """The slot of an event as a column to group by: a time window where all slots have one width."""
+    step = plain_step(cron)
+    return slot_of(F.col(ts), cron) if step is None else F.window(ts, step[0], startTime=step[1])["start"]
 
 
 def events_per_slot(events: DataFrame, cron: str, ts: str = "ts") -> DataFrame:
     """Events counted by the slot they fall into; slots without events have no row."""
-    return (events.groupBy(slot_of(F.col(ts), cron).alias("nominal_time"))
+    return (events.groupBy(slot_column(ts, cron).alias("nominal_time"))
             .agg(F.count(F.lit(1)).alias("event_count")))
 
 
+def slots_with_data(events: DataFrame, cron: str, ts: str = "ts") -> DataFrame:
+    """The slots in which at least one event falls; a hot slot leaves each task as one row."""
+    return events.select(slot_column(ts, cron).alias("nominal_time")).distinct()
+
+
 def instance_at(nominal: Column, initial: Column, cron: str | Column) -> Column:
     """The data instance a run at ``nominal`` sees: the latest at or before it on a fixed stride from ``initial``.
 
     A stride of seven minutes runs on across the hour, where the slots of ``*/7`` start again at minute 0.
     """
-    step = stride_minutes(as_cron(cron)) * 60
+    step = stride_minutes(cron) * 60
     apart = (nominal - initial).cast("interval second").cast("decimal(24,6)")
     return nominal - F.make_dt_interval(secs=F.pmod(apart, step.cast("decimal(24,6)")).cast("decimal(18,6)"))

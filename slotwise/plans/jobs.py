@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from slotwise.functions.cron import check_cron, next_fire
+from slotwise.functions.cron import next_fire, parse_cron
 from slotwise.functions.timeparts import HOLES, as_nominal, nominal_literal, slot_time, time_parts
 from slotwise.operators.readiness import SLOT, mark_ready, pending_slots, ready_marks
 from slotwise.operators.sinks import cluster_by_slot, overwrite_slots, slot_folder, write_view
@@ -274,7 +274,7 @@ class Schedule:
 
     def __post_init__(self) -> None:
         for cron in (self.cron, *self.input_crons.values()):
-            check_cron(cron)
+            parse_cron(cron)
         self.job.check_names(self.inputs, self.outputs)
         if set(self.input_crons) - set(self.inputs):
             raise ValueError(f"no input {', '.join(sorted(set(self.input_crons) - set(self.inputs)))}")

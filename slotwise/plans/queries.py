@@ -8,17 +8,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from slotwise.functions.cron import audit_schedules, next_fire, slot_of
+from slotwise.functions.cron import audit_schedules, next_fire, slot_of, with_cron_fields
 from slotwise.functions.timeparts import (
     format_nominal, from_millis, nominal_literal, parse_nominal, parts_upto, render_template, slot_time, time_parts,
     to_millis, with_time_parts,
 )
 from slotwise.functions.uris import parse_view_uri
 from slotwise.operators.readiness import (
-    mark_views, missing_slots, pending_slots, ready_marks, ready_slots, slots_with_data,
+    mark_views, missing_slots, pending_slots, ready_marks, ready_slots,
 )
 from slotwise.operators.sinks import save_nonempty, write_time_partitioned, write_view
-from slotwise.operators.slots import events_per_slot, fire_slots, instance_at, is_slot
+from slotwise.operators.slots import events_per_slot, fire_slots, instance_at, is_slot, slot_column, slots_with_data
 from slotwise.operators.transforms import copy_view, count_by_key, keys, odd_users, reconcile, row_count, union_inputs
 from slotwise.plans.jobs import Job, Schedule, backfill, job, run_at, run_stream
 from slotwise.session import work_path
@@ -249,8 +249,8 @@ def parsed_view_uri(spark, sf_dir):
            .when(F.col("event_type") == "view", F.lit("view:hdfs:///tmp/test/input_records" + DAY_HOLES))
            .when(F.col("event_type") == "error", F.lit("dataset:hive:example/events"))
            .otherwise(F.lit(TEMPLATE)))
-    parsed = events(spark, sf_dir).select(
-        "event_id", parse_view_uri(render_template(uri, F.col("ts"))).alias("uri"))
+    rendered = events(spark, sf_dir).select("event_id", render_template(uri, F.col("ts")).alias("uri"))
+    parsed = rendered.withColumn("uri", parse_view_uri(F.col("uri")))
     return parsed.select(
         "event_id", "uri.kind", "uri.store", "uri.authority", "uri.path",
         *(F.col("uri.constraints").getItem(part).alias(part) for part in ("year", "month", "day", "hour", "minute")))
@@ -303,11 +303,12 @@ def _in_turn(number: str, crons: tuple[str, ...]) -> Column:
 @query
 def next_fire_by_schedule(spark, sf_dir):
     with_cron = events(spark, sf_dir).withColumn("cron", _in_turn("event_id", CRONS))
-    return with_cron.select(
+    with_fields, fields = with_cron_fields(with_cron.withColumn("minute", slot_of(F.col("ts"), "* * * * *")))
+    return with_fields.select(
         "event_id", "cron",
-        next_fire(F.col("ts"), F.col("cron")).alias("next_fire"),
-        next_fire(slot_of(F.col("ts"), "* * * * *"), F.col("cron"), inclusive=True).alias("next_fire_inclusive"),
-        slot_of(F.col("ts"), F.col("cron")).alias("slot"))
+        next_fire(F.col("ts"), fields).alias("next_fire"),
+        next_fire(F.col("minute"), fields, inclusive=True).alias("next_fire_inclusive"),
+        slot_of(F.col("ts"), fields).alias("slot"))
 
 
 @query
@@ -351,16 +352,18 @@ QUERIES["events_per_uneven_slot"] = _events_per_slot("17 */5 * * *")
 @query
 def events_on_slots(spark, sf_dir):
     """Whether the minute of an event is a slot of its schedule, all fields looked at."""
-    minute = slot_of(F.col("ts"), "* * * * *")
-    return events(spark, sf_dir).select(
-        "event_id", is_slot(minute, _in_turn("event_id", CRONS)).cast("int").alias("on_slot"))
+    df = events(spark, sf_dir).select(
+        "event_id", slot_of(F.col("ts"), "* * * * *").alias("minute"), _in_turn("event_id", CRONS).alias("cron"))
+    df, fields = with_cron_fields(df)
+    return df.select("event_id", is_slot(F.col("minute"), fields).cast("int").alias("on_slot"))
 
 
 @query
 def instance_of_run(spark, sf_dir):
-    nominal = slot_of(F.col("ts"), "* * * * *")
-    return events(spark, sf_dir).select(
-        "event_id", nominal.alias("nominal_time"),
+    nominal = F.col("nominal_time")
+    runs = events(spark, sf_dir).select("event_id", slot_of(F.col("ts"), "* * * * *").alias("nominal_time"))
+    return runs.select(
+        "event_id", "nominal_time",
         instance_at(nominal, nominal_literal("2024-01-01T00:03"), "*/7 * * * *").alias("seven_minutes"),
         instance_at(nominal, nominal_literal("2024-01-10T12:00"), "0 12 */7 * *").alias("seven_days"))
 
@@ -377,7 +380,7 @@ def _schedule_over(df: DataFrame, cron: str) -> DataFrame:
 def _marks_by_type(spark: SparkSession, sf_dir: str) -> View:
     """Marks in which each event type is a view, ready in the hours that have such events."""
     markers = new_dataset(spark, "markers", None)
-    hour = slot_of(F.col("ts"), "0 * * * *").alias("nominal_time")
+    hour = slot_column("ts", "0 * * * *").alias("nominal_time")
     mark_views(events(spark, sf_dir).select(F.col("event_type").alias("view"), hour).distinct(), markers)
     return markers
 
