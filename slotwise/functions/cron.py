@@ -68,10 +68,9 @@ def parse_cron(cron: str) -> CronFields:
     return parsed
 
 
-def split_cron(cron: Column) -> list[Column]:
-    """The five texts of a schedule; NULL where there are fewer."""
-    parts = F.split(F.rtrim(cron), " ")
-    return [F.get(parts, i) for i in range(5)]
+def cron_texts(cron: Column) -> Column:
+    """The texts of a schedule's fields as an array."""
+    return F.split(F.rtrim(cron), " ")
 
 
 def step_of(field: Column) -> Column:
@@ -91,15 +90,20 @@ def cron_fields(cron: Cron) -> CronFields:
         return cron
     if isinstance(cron, str):
         return parse_cron(cron)
-    minute, hour, day = split_cron(cron)[:3]
+    return fields_of_texts(cron_texts(cron))
+
+
+def fields_of_texts(texts: Column) -> CronFields:
+    minute, hour, day = (F.get(texts, i) for i in range(3))
     return CronFields(step_of(minute), number_of(minute, LAST_MINUTE), step_of(hour), number_of(hour, LAST_HOUR),
                       step_of(day))
 
 
 def with_cron_fields(df: DataFrame, cron: str = "cron") -> tuple[DataFrame, CronFields]:
     """``df`` with the fields of its schedules as columns, so that each schedule text is read once per row."""
-    columns = {f"_{name}": value for name, value in cron_fields(F.col(cron))._asdict().items()}
-    return df.withColumns(columns), CronFields(*map(F.col, columns))
+    columns = {f"_{name}": value for name, value in fields_of_texts(F.col("_texts"))._asdict().items()}
+    with_fields = df.withColumn("_texts", cron_texts(F.col(cron))).withColumns(columns).drop("_texts")
+    return with_fields, CronFields(*map(F.col, columns))
 
 
 def drop_cron_fields(df: DataFrame) -> DataFrame:
@@ -193,11 +197,14 @@ def stride(cron: str | Column) -> Column:
     if isinstance(cron, str):
         parse_cron(cron)
         cron = F.lit(cron)
-    minute, hour, day = map(step_of, split_cron(cron)[:3])
+    return _stride(fields_of_texts(cron_texts(cron)))
+
+
+def _stride(f: CronFields) -> Column:
     return F.struct(
-        F.coalesce(minute, hour, day).alias("every"),
-        F.when(minute.isNotNull(), "minutes").when(hour.isNotNull(), "hours")
-        .when(day.isNotNull(), "days").alias("unit"))
+        F.coalesce(f.minute_step, f.hour_step, f.day_step).alias("every"),
+        F.when(f.minute_step.isNotNull(), "minutes").when(f.hour_step.isNotNull(), "hours")
+        .when(f.day_step.isNotNull(), "days").alias("unit"))
 
 
 def stride_minutes(cron: str | Column) -> Column:
@@ -208,29 +215,35 @@ def stride_minutes(cron: str | Column) -> Column:
 
 def audit_schedules(df: DataFrame, cron: str = "cron") -> DataFrame:
     """Add ``valid``, ``reason`` (NULL when valid), ``every`` and ``unit`` to a table of schedules."""
-    texts = {f"_text_{i}": text for i, text in enumerate(split_cron(F.col(cron)))}
-    minute, hour, day, month, weekday = map(F.col, texts)
+    names = [f"_text_{i}" for i in range(5)]
+    df = df.withColumn("_texts", cron_texts(F.col(cron)))
+    df = df.withColumns({name: F.get("_texts", i) for i, name in enumerate(names)})
+    df = df.withColumns({f"_{name}": value for name, value in fields_of_texts(F.array(*names))._asdict().items()})
+    f = CronFields(*(F.col(f"_{name}") for name in CronFields._fields))
+    minute, hour, day, month, weekday = map(F.col, names)
 
-    def malformed(field: Column) -> Column:
-        return ~((field == "*") | field.rlike(STEP) | field.rlike(NUMBER))
+    def malformed(text: Column, step: Column) -> Column:
+        return step.isNull() & ~text.rlike(STEP) & ~text.rlike(NUMBER)
 
-    def zero_or_huge(field: Column) -> Column:
-        return field.rlike(STEP) & step_of(field).isNull()
+    def zero_or_huge(text: Column, step: Column) -> Column:
+        return step.isNull() & F.startswith(text, F.lit("*"))
 
     reason = (
-        F.when(F.col(cron).isNull() | (F.size(F.split(F.rtrim(cron), " ")) != 5), "needs five fields")
-        .when(malformed(minute), "minute is not a number, * or */n")
-        .when(malformed(hour), "hour is not a number, * or */n")
-        .when(malformed(day), "day is not a number, * or */n")
+        F.when(F.col(cron).isNull() | (F.size("_texts") != 5), "needs five fields")
+        .when(malformed(minute, f.minute_step), "minute is not a number, * or */n")
+        .when(malformed(hour, f.hour_step), "hour is not a number, * or */n")
+        .when(malformed(day, f.day_step), "day is not a number, * or */n")
         .when((month != "*") | (weekday != "*"), "month and weekday must be *")
-        .when(zero_or_huge(minute) | zero_or_huge(hour) | zero_or_huge(day), "step must be at least 1")
-        .when(minute.rlike(NUMBER) & number_of(minute, LAST_MINUTE).isNull(), "minute is above 59")
-        .when(hour.rlike(NUMBER) & number_of(hour, LAST_HOUR).isNull(), "hour is above 23")
-        .when(day.rlike(NUMBER), "day must be * or */n")
+        .when(zero_or_huge(minute, f.minute_step) | zero_or_huge(hour, f.hour_step) | zero_or_huge(day, f.day_step),
+              "step must be at least 1")
+        .when(f.minute_step.isNull() & f.minute_at.isNull(), "minute is above 59")
+        .when(f.hour_step.isNull() & f.hour_at.isNull(), "hour is above 23")
+        .when(f.day_step.isNull(), "day must be * or */n")
     )
-    audited = df.withColumns(texts).withColumn("reason", reason).withColumn("valid", F.col("reason").isNull())
-    s = stride(F.col(cron))
-    return audited.withColumns({
-        "every": F.when(F.col("valid"), s["every"]),
-        "unit": F.when(F.col("valid"), s["unit"]),
-    }).drop(*texts)
+    s = _stride(f)
+    audited = df.withColumn("reason", reason).withColumns({
+        "valid": F.col("reason").isNull(),
+        "every": F.when(F.col("reason").isNull(), s["every"]),
+        "unit": F.when(F.col("reason").isNull(), s["unit"]),
+    })
+    return drop_cron_fields(audited).drop("_texts", *names)

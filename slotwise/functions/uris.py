@@ -14,23 +14,18 @@ def parse_view_uri(uri: Column, decode: bool = False) -> Column:
 
     Constraint values are as written; ``decode=True`` resolves their percent escapes.
     """
-    base = F.substring_index(uri, "?", 1)
-    kind = F.substring_index(base, ":", 1)
-    after_kind = F.substr(base, F.length(kind) + 2)
-    store = F.substring_index(after_kind, ":", 1)
-    rest = F.substr(after_kind, F.length(store) + 2)
-    has_authority = F.startswith(rest, F.lit("//"))
-    after_slashes = F.substr(rest, F.lit(3))
-    authority = F.substring_index(after_slashes, "/", 1)
-    query = F.substr(uri, F.length(base) + 2)
+    pieces = F.split(uri, ":", 3)
+    rest = F.get(pieces, 2)
+    target = F.substring_index(rest, "?", 1)
+    query = F.substr(rest, F.length(target) + 2)
     pairs = F.str_to_map(query, F.lit("&"), F.lit("="))
     if decode:
         pairs = F.transform_values(pairs, lambda _, value: F.url_decode(value))
     return F.struct(
-        kind.alias("kind"),
-        store.alias("store"),
-        F.when(has_authority, F.nullif(authority, F.lit(""))).alias("authority"),
-        F.when(has_authority, F.substr(after_slashes, F.length(authority) + 1)).otherwise(rest).alias("path"),
+        F.get(pieces, 0).alias("kind"),
+        F.get(pieces, 1).alias("store"),
+        F.nullif(F.regexp_extract(target, "^//([^/]*)", 1), F.lit("")).alias("authority"),
+        F.regexp_replace(target, "^//[^/]*", "").alias("path"),
         F.when(F.length(query) > 0, pairs)
         .otherwise(F.create_map().cast("map<string,string>")).alias("constraints"),
     )

@@ -23,25 +23,32 @@ def fire_slots(schedules: DataFrame, cron: str = "cron", start: str = "start_at"
     days = (
         schedules
         .withColumn("_first", next_fire(F.col(start), f))
-        .where(F.col("_first") < F.col(end))
-        .withColumn("_day", F.explode(F.sequence(F.to_date("_first"), F.to_date(end))))
+        # The condition is inside the generator: a filter would be pushed down and work out "_first" again.
+        .withColumn("_day", F.explode(F.when(
+            F.col("_first") < F.col(end), F.sequence(F.to_date("_first"), F.to_date(end)))))
         .where((F.dayofmonth("_day") - 1) % f.day_step == 0)
         # A few long schedules in one file must not stay in one task: spread their days.
         .repartition(spread, cron, start, "_day")
     )
+    # The slots of a day are numbered, and each number is taken apart into its hour and minute.
+    minutes, hours = (_per(f.minute_step, LAST_MINUTE), _per(f.hour_step, LAST_HOUR))
+    number = F.col("_number")
+    hour = F.floor(number / minutes).cast("int") * F.coalesce(f.hour_step, F.lit(0)) + F.coalesce(f.hour_at, F.lit(0))
+    minute = (number % minutes) * F.coalesce(f.minute_step, F.lit(0)) + F.coalesce(f.minute_at, F.lit(0))
     slots = (
         days
-        .withColumn("_hour", F.explode(_matching(f.hour_step, f.hour_at, LAST_HOUR)))
-        .withColumn("_minute", F.explode(_matching(f.minute_step, f.minute_at, LAST_MINUTE)))
-        .withColumn("nominal_time", start_of_day(F.col("_day"))
-                    + F.make_dt_interval(mins=F.col("_hour") * 60 + F.col("_minute")))
-        .where((F.col("nominal_time") >= F.col("_first")) & (F.col("nominal_time") < F.col(end)))
+        .withColumn("_number", F.explode(F.sequence(F.lit(0), minutes * hours - 1)))
+        .withColumn("nominal_time", start_of_day(F.col("_day")) + F.make_dt_interval(mins=hour * 60 + minute))
+        # Only the first and the last day can have slots outside the bounds.
+        .where((F.col("_day") > F.to_date("_first")) | (F.col("nominal_time") >= F.col("_first")))
+        .where((F.col("_day") < F.to_date(end)) | (F.col("nominal_time") < F.col(end)))
     )
-    return drop_cron_fields(slots).drop("_first", "_day", "_hour", "_minute")
+    return drop_cron_fields(slots).drop("_first", "_day", "_number")
 
 
-def _matching(step: Column, at: Column, last: int) -> Column:
-    return F.when(step.isNotNull(), F.sequence(F.lit(0), F.lit(last), step)).otherwise(F.array(at))
+def _per(step: Column, last: int) -> Column:
+    """How many values a field takes: 0, n, 2n ... up to ``last``, or the one it is fixed to."""
+    return F.coalesce((F.lit(last) - F.lit(last) % step) / step + 1, F.lit(1)).cast("int")
 
 
 def is_slot(ts: Column, cron: Cron) -> Column:
