@@ -90,20 +90,36 @@ def cron_fields(cron: Cron) -> CronFields:
         return cron
     if isinstance(cron, str):
         return parse_cron(cron)
-    return fields_of_texts(cron_texts(cron))
+    texts = cron_texts(cron)
+    return _only_valid(texts, read_fields(texts))
 
 
-def fields_of_texts(texts: Column) -> CronFields:
+def read_fields(texts: Column) -> CronFields:
+    """The fields one by one, each NULL where its text is not what it should be."""
     minute, hour, day = (F.get(texts, i) for i in range(3))
     return CronFields(step_of(minute), number_of(minute, LAST_MINUTE), step_of(hour), number_of(hour, LAST_HOUR),
                       step_of(day))
 
 
+def _only_valid(texts: Column, f: CronFields) -> CronFields:
+    """All fields NULL unless the whole schedule is valid."""
+    valid = (
+        (F.size(texts) == 5) & (F.get(texts, 3) == "*") & (F.get(texts, 4) == "*")
+        & F.coalesce(f.minute_step, f.minute_at).isNotNull()
+        & F.coalesce(f.hour_step, f.hour_at).isNotNull()
+        & f.day_step.isNotNull()
+    )
+    return CronFields(*(F.when(valid, field) for field in f))
+
+
 def with_cron_fields(df: DataFrame, cron: str = "cron") -> tuple[DataFrame, CronFields]:
     """``df`` with the fields of its schedules as columns, so that each schedule text is read once per row."""
-    columns = {f"_{name}": value for name, value in fields_of_texts(F.col("_texts"))._asdict().items()}
-    with_fields = df.withColumn("_texts", cron_texts(F.col(cron))).withColumns(columns).drop("_texts")
-    return with_fields, CronFields(*map(F.col, columns))
+    names = [f"_{name}" for name in CronFields._fields]
+    fields = CronFields(*map(F.col, names))
+    df = df.withColumn("_texts", cron_texts(F.col(cron)))
+    df = df.withColumns(dict(zip(names, read_fields(F.col("_texts")))))
+    df = df.withColumns(dict(zip(names, _only_valid(F.col("_texts"), fields))))
+    return df.drop("_texts"), fields
 
 
 def drop_cron_fields(df: DataFrame) -> DataFrame:
@@ -197,7 +213,7 @@ def stride(cron: str | Column) -> Column:
     if isinstance(cron, str):
         parse_cron(cron)
         cron = F.lit(cron)
-    return _stride(fields_of_texts(cron_texts(cron)))
+    return _stride(cron_fields(cron))
 
 
 def _stride(f: CronFields) -> Column:
@@ -218,7 +234,7 @@ def audit_schedules(df: DataFrame, cron: str = "cron") -> DataFrame:
     names = [f"_text_{i}" for i in range(5)]
     df = df.withColumn("_texts", cron_texts(F.col(cron)))
     df = df.withColumns({name: F.get("_texts", i) for i, name in enumerate(names)})
-    df = df.withColumns({f"_{name}": value for name, value in fields_of_texts(F.array(*names))._asdict().items()})
+    df = df.withColumns({f"_{name}": value for name, value in read_fields(F.array(*names))._asdict().items()})
     f = CronFields(*(F.col(f"_{name}") for name in CronFields._fields))
     minute, hour, day, month, weekday = map(F.col, names)
 
