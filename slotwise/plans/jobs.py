@@ -11,7 +11,8 @@ import datetime as dt
 import inspect
 import re
 from collections.abc import Callable, Iterable, Mapping
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+from dataclasses import field as dataclass_field
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -94,12 +95,12 @@ def _named(parameters) -> dict[str, T.StructType | None]:
 
 
 def check_record(df: DataFrame, schema: T.StructType | None, what: str) -> None:
-    """Refuse a DataFrame that lacks a declared field or has it with another type."""
-    for wanted in schema or ():
-        given = df.schema[wanted.name].dataType if wanted.name in df.columns else None
-        if given != wanted.dataType:
-            raise TypeError(f"{what}: {wanted.name} should be {wanted.dataType.simpleString()}, "
-                            f"is {given.simpleString() if given else 'missing'}")
+    """Refuse a DataFrame that lacks a declared field or has it with another type; NULLs are not looked at."""
+    for field in schema or ():
+        wanted = field.dataType.simpleString()
+        given = df.schema[field.name].dataType.simpleString() if field.name in df.columns else "missing"
+        if given != wanted:
+            raise TypeError(f"{what}: {field.name} should be {wanted}, is {given}")
 
 
 def run_at(spark: SparkSession, job: Job, nominal_time: str | dt.datetime, inputs: Mapping[str, View | str],
@@ -269,8 +270,8 @@ class Schedule:
     job: Job
     cron: str
     outputs: Mapping[str, View]
-    inputs: Mapping[str, View] = field(default_factory=dict)
-    input_crons: Mapping[str, str] = field(default_factory=dict)
+    inputs: Mapping[str, View] = dataclass_field(default_factory=dict)
+    input_crons: Mapping[str, str] = dataclass_field(default_factory=dict)
 
     def __post_init__(self) -> None:
         for cron in (self.cron, *self.input_crons.values()):
