@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping
 from dataclasses import replace
 
@@ -9,11 +10,12 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slotwise.operators.sinks import append, cluster_by_slot
+from slotwise.operators.sinks import cluster_by_slot, overwrite_slots
 from slotwise.schemas import MARKER
 from slotwise.sources.datasets import View, as_view, read_dataset
 
 SLOT = "nominal_time"
+MARKER_PARTS = ("view", "run_id")
 
 
 def mark_ready(slots: DataFrame, view_name: str, markers: View | str) -> None:
@@ -22,12 +24,12 @@ def mark_ready(slots: DataFrame, view_name: str, markers: View | str) -> None:
 
 
 def mark_views(marks: DataFrame, markers: View | str) -> None:
-    """Append marks given as rows of view and nominal time, one folder per view.
+    """Add marks given as rows of view and nominal time; below each view, every run has a folder of its own.
 
-    A slot marked twice counts once: readers take distinct slots.
+    So runs that end at the same time do not meet. A slot marked twice counts once: readers take distinct slots.
     """
-    marks = marks.select("view", SLOT, F.localtimestamp().alias("signalled_at"))
-    append(cluster_by_slot(marks, ["view"]), markers, ["view"])
+    marks = marks.select("view", SLOT, F.localtimestamp().alias("signalled_at"), F.lit(uuid.uuid4().hex).alias("run_id"))
+    overwrite_slots(cluster_by_slot(marks, MARKER_PARTS), markers, MARKER_PARTS)
 
 
 def ready_marks(spark: SparkSession, markers: View | str, view_name: str) -> DataFrame:
@@ -66,4 +68,7 @@ def pending_slots(slots: DataFrame, ready_by_input: Mapping[str, DataFrame], don
                   instances: Mapping[str, Column] | None = None) -> DataFrame:
     """The slots a triggered job must run for now: inputs ready, and at least one output not marked."""
     slots = ready_slots(slots, ready_by_input, instances)
+    done = list(done_by_output.values())
+    if len(done) == 1:
+        return missing_slots(slots, done[0])
     return missing_slots(slots, ready_slots(slots, done_by_output))

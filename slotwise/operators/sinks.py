@@ -63,13 +63,21 @@ def append(df: DataFrame, view: View | str, parts: Sequence[str] = ()) -> None:
 def overwrite_slots(df: DataFrame, view: View | str, parts: Sequence[str]) -> None:
     """Replace every slot that ``df`` has rows for, in one job; other slots stay."""
     view = as_view(view)
-    if view.parsed.table is not None:
-        columns = df.sparkSession.table(view.parsed.table).columns
-        (df.select(*columns).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .insertInto(view.parsed.table, overwrite=True))
-    else:
-        (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy(*parts).parquet(view.parsed.location))
+    if view.parsed.table is None:
+        overwrite_folders(df, view.parsed.location, parts)
+        return
+    spark = df.sparkSession
+    # A catalog table takes the mode from the session only, and a static overwrite would empty all other slots.
+    if spark.conf.get("spark.sql.sources.partitionOverwriteMode").lower() != "dynamic":
+        raise ValueError("slots of a catalog table need spark.sql.sources.partitionOverwriteMode=dynamic")
+    df.select(*spark.table(view.parsed.table).columns).write.insertInto(view.parsed.table, overwrite=True)
+
+
+def overwrite_folders(df: DataFrame, root: str, parts: Sequence[str]) -> None:
+    """:func:`overwrite_slots` below a folder. Rows become visible when the job commits; writers of different
+    slots do not get in each other's way."""
+    (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy(*parts).parquet(root))
 
 
 def cluster_by_slot(df: DataFrame, parts: Sequence[str]) -> DataFrame:

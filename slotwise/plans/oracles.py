@@ -151,13 +151,13 @@ checked AS (
     WHEN try_cast(h AS INTEGER) > 23 THEN 'hour is above 23'
     WHEN d = '15' THEN 'day must be * or */n'
   END AS reason FROM fields)
-SELECT c_custkey, cron, reason IS NULL AS valid, reason,
-  CASE WHEN reason IS NULL THEN CASE
+SELECT c_custkey, cron, reason IS NULL AS valid, coalesce(reason, '') AS reason,
+  CASE WHEN reason IS NOT NULL THEN 0 ELSE CASE
     WHEN m LIKE '*%' THEN CAST(coalesce(nullif(regexp_extract(m, '/(\d+)', 1), ''), '1') AS INTEGER)
     WHEN h LIKE '*%' THEN CAST(coalesce(nullif(regexp_extract(h, '/(\d+)', 1), ''), '1') AS INTEGER)
     ELSE CAST(coalesce(nullif(regexp_extract(d, '/(\d+)', 1), ''), '1') AS INTEGER) END END AS every,
-  CASE WHEN reason IS NULL THEN
-    CASE WHEN m LIKE '*%' THEN 'minutes' WHEN h LIKE '*%' THEN 'hours' ELSE 'days' END END AS unit
+  CASE WHEN reason IS NOT NULL THEN ''
+    WHEN m LIKE '*%' THEN 'minutes' WHEN h LIKE '*%' THEN 'hours' ELSE 'days' END AS unit
 FROM checked"""
 
 ORACLES["fired_slots"] = """
@@ -236,7 +236,7 @@ ORACLES["run_at_odd_users"] = f"""
 SELECT {EVENT}, {DAY}, date_trunc('day', ts) AS nominal_time FROM events WHERE user_id % 2 = 1 AND {ON_SLOT_DAY}"""
 ORACLES["backfill_odd_users"] = f"SELECT {EVENT}, {DAY} FROM events WHERE user_id % 2 = 1"
 ORACLES["backfill_report"] = f"SELECT user_id, count(*) AS event_count, {DAY} FROM events GROUP BY ALL"
-ORACLES["backfill_again"] = f"SELECT {EVENT}, {DAY} FROM events WHERE day(ts) % 2 = 1"
+ORACLES["backfill_again"] = f"SELECT {EVENT}, {DAY} FROM events WHERE day(ts) > 15"
 ORACLES["triggered_backfill"] = f"""
 SELECT {EVENT}, {DAY} FROM events
 WHERE user_id % 2 = 1 AND ts >= TIMESTAMP '2024-01-01' AND ts < TIMESTAMP '2024-01-25'"""

@@ -7,6 +7,7 @@ from pyspark.sql import types as T
 # Time columns of a slot, outermost folder first.
 TIME_PARTS = ("year", "month", "day", "hour", "minute")
 
+# Field names and types of the example records.
 EVENT = T.StructType([
     T.StructField("user_id", T.LongType(), False),
     T.StructField("session_id", T.StringType(), False),
@@ -29,6 +30,7 @@ MARKER = T.StructType([
     T.StructField("view", T.StringType(), False),
     T.StructField("nominal_time", T.TimestampNTZType(), False),
     T.StructField("signalled_at", T.TimestampNTZType(), False),
+    T.StructField("run_id", T.StringType(), False),
 ])
 
 # What a topic holds when it is kept in files; a broker's source adds its own columns.
@@ -37,3 +39,15 @@ TOPIC = T.StructType([
     T.StructField("value", T.BinaryType()),
     T.StructField("timestamp", T.TimestampType()),
 ])
+
+# Partition columns of what streams write: the query that wrote a row, and in which of its batches.
+BATCH_PARTS = ("query_id", "batch_id")
+
+
+def with_batch_parts(schema: T.StructType) -> T.StructType:
+    """Schema of a catalog table that streams write records of ``schema`` to, partitioned by ``BATCH_PARTS``."""
+    return T.StructType([
+        *schema.fields,
+        T.StructField("query_id", T.StringType()),
+        T.StructField("batch_id", T.LongType()),
+    ])

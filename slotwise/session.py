@@ -13,6 +13,8 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
+    # An overwrite of a partitioned table replaces the slots it has rows for, not the table.
+    "spark.sql.sources.partitionOverwriteMode": "dynamic",
     # Target size of a written file after a rebalance.
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
 }

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping
 from dataclasses import dataclass, field
 
@@ -9,7 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from slotwise.schemas import TOPIC
+from slotwise.operators.sinks import overwrite_folders
+from slotwise.schemas import BATCH_PARTS, TOPIC
 
 # Times keep their microseconds in both directions; a record that cannot be read fails the query.
 JSON_OPTIONS = {
@@ -23,7 +25,7 @@ JSON_OPTIONS = {
 class Topic:
     """A topic and the schema of its records.
 
-    ``name`` is the topic's name, or its folder when ``format`` is ``parquet``. ``options`` go to the source or
+    ``name`` is the topic's name at a ``kafka`` broker, or its folder when ``format`` is ``parquet``. ``options`` go to the source or
     sink unchanged (``kafka.bootstrap.servers``, ``maxOffsetsPerTrigger``, ``maxFilesPerTrigger`` ...).
     Records are JSON unless ``avro_schema`` is given.
     """
@@ -77,7 +79,7 @@ def read_topic(spark: SparkSession, topic: Topic, streaming: bool = False) -> Da
     else:
         # Batches of a stream lie in folders of their own below the topic's.
         messages = (reader.schema(TOPIC).option("recursiveFileLookup", "true")
-                    .options(**topic.options).format(topic.format).load(topic.name))
+                    .options(**topic.options).parquet(topic.name))
     return from_messages(messages, topic)
 
 
@@ -90,4 +92,11 @@ def send(messages: DataFrame, topic: Topic) -> None:
     if topic.format == "kafka":
         messages.write.format("kafka").option("topic", topic.name).options(**topic.options).save()
     else:
-        messages.withColumn("timestamp", F.current_timestamp()).write.mode("append").format(topic.format).save(topic.name)
+        # A folder per write: writers of one topic do not meet, and readers look below it.
+        parts = {"query_id": F.lit("table-" + uuid.uuid4().hex), "batch_id": F.lit(0)}
+        send_to_folder(messages.withColumns(parts), topic)
+
+
+def send_to_folder(messages: DataFrame, topic: Topic) -> None:
+    stamped = messages.withColumn("timestamp", F.current_timestamp())
+    overwrite_folders(stamped, topic.name, BATCH_PARTS)

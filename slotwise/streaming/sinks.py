@@ -8,15 +8,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from slotwise.operators.sinks import overwrite_slots
+from slotwise.schemas import BATCH_PARTS
 from slotwise.sources.datasets import View, as_view
-from slotwise.sources.topics import Topic, send, to_messages
+from slotwise.sources.topics import Topic, send, send_to_folder, to_messages
 
 # Fixed value: one batch per second.
 BATCH_INTERVAL = "1 second"
 
-# Partition columns of a table fed by streams: which query wrote a row, and in which of its batches.
-BATCH_PARTS = ("query_id", "batch_id")
-
 
 def start(sdf: DataFrame, write_batch: Callable[[DataFrame, int], None], checkpoint: str,
           available_now: bool = False, interval: str = BATCH_INTERVAL) -> StreamingQuery:
@@ -28,15 +27,15 @@ def start(sdf: DataFrame, write_batch: Callable[[DataFrame, int], None], checkpo
 
 def stream_to_dataset(sdf: DataFrame, view: View | str, checkpoint: str, available_now: bool = False,
                       interval: str = BATCH_INTERVAL) -> StreamingQuery:
-    """Write each batch that has rows into a folder dataset.
+    """Write each batch that has rows into a dataset, in a partition of its own.
 
-    A batch that is replayed after a lost commit replaces its own folder, where an append would double its rows.
+    A batch that is replayed after a lost commit replaces its own partition, where an append would double its
+    rows. A catalog table has to be partitioned by ``BATCH_PARTS`` (see :func:`with_batch_parts`).
     """
-    root = as_view(view).parsed.location
+    view = as_view(view)
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        if not batch.isEmpty():
-            replace_batch(batch, root, batch_id)
+        overwrite_slots(with_batch(batch, batch_id), view, BATCH_PARTS)
 
     return start(sdf, write_batch, checkpoint, available_now, interval)
 
@@ -49,19 +48,19 @@ def stream_to_topic(sdf: DataFrame, topic: Topic, checkpoint: str, available_now
     def write_batch(batch: DataFrame, batch_id: int) -> None:
         if topic.format == "kafka":
             send(batch, topic)
-        elif not batch.isEmpty():
-            replace_batch(batch.withColumn("timestamp", F.current_timestamp()), topic.name, batch_id)
+        else:
+            send_to_folder(with_batch(batch, batch_id), topic)
 
     return start(messages, write_batch, checkpoint, available_now, interval)
 
 
-def replace_batch(batch: DataFrame, root: str, batch_id: int) -> None:
-    """Write one batch to its own folder, in place of what an earlier try left there.
+def with_batch(batch: DataFrame, batch_id: int) -> DataFrame:
+    """A micro-batch with its partition columns; written by overwrite, a batch without rows leaves no folder.
 
     The query's id lives in the checkpoint: a stream begun anew counts from batch 0 again, under another id,
     and does not touch the batches of the old one.
     """
     query_id = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
     if not query_id:
-        raise ValueError("replace_batch must be called from a streaming query")
-    batch.write.mode("overwrite").parquet(f"{root}/query_id={query_id}/batch_id={batch_id}")
+        raise ValueError("with_batch must be called from a streaming query")
+    return batch.withColumns({"query_id": F.lit(query_id), "batch_id": F.lit(batch_id).cast("long")})

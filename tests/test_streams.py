@@ -11,11 +11,13 @@ from pyspark.sql import types as T
 
 from slotwise.operators.transforms import odd_users, reconcile
 from slotwise.plans.jobs import Job, run_stream
-from slotwise.schemas import EVENT, TOPIC
+from slotwise.schemas import BATCH_PARTS, EVENT, TOPIC, with_batch_parts
 from slotwise.sources.datasets import View, read_dataset
 from slotwise.sources.generator import stream_events
 from slotwise.sources.topics import Topic, read_topic, to_messages, write_topic
-from slotwise.streaming.sinks import replace_batch, stream_to_dataset, stream_to_topic
+from slotwise.sources.datasets import ensure_dataset
+from slotwise.streaming.sinks import stream_to_dataset, stream_to_topic, with_batch
+from tests.test_datasets import database  # noqa: F401
 
 SMALL = T.StructType().add("session_id", "string").add("user_id", "long")
 
@@ -50,7 +52,7 @@ def test_round_trip(spark, folder):
 def test_messages_have_an_empty_key(spark, folder):
     t = topic(folder, "t")
     write_topic(events(spark, 1).withColumn("extra", F.lit(1)), t)
-    raw = spark.read.schema(TOPIC).parquet(t.name).first()
+    raw = spark.read.schema(TOPIC).option("recursiveFileLookup", "true").parquet(t.name).first()
     assert bytes(raw.key) == b"" and bytes(raw.value) == b'{"session_id":"1234","user_id":0}'
 
 
@@ -118,9 +120,23 @@ def test_empty_batches_write_nothing(spark, folder, tmp_path):
     write_topic(events(spark, 10), t)
     nobody = read_topic(spark, t, streaming=True).where("user_id < 0")
     finish(stream_to_dataset(nobody, out, f"{tmp_path}/cp", available_now=True))
-    assert not os.path.exists(folder("out").removeprefix("file:"))
+    assert not [name for name in os.listdir(folder("out").removeprefix("file:")) if not name.startswith(("_", "."))]
     with pytest.raises(ValueError, match="streaming query"):
-        replace_batch(events(spark, 1), str(tmp_path), 0)
+        with_batch(events(spark, 1), 0)
+
+
+def test_stream_to_catalog_table(spark, folder, tmp_path, database):  # noqa: F811
+    t = topic(folder, "t")
+    write_topic(events(spark, 10), t)
+    out = View(f"dataset:hive:{database}/streamed", with_batch_parts(SMALL), BATCH_PARTS)
+    ensure_dataset(spark, out)
+    for added in (0, 5):
+        if added:
+            write_topic(events(spark, added, "new"), t)
+        finish(stream_to_dataset(read_topic(spark, t, streaming=True), out, f"{tmp_path}/cp", available_now=True))
+    sent = events(spark, 10).unionByName(events(spark, 5, "new"))
+    assert reconcile(sent, read_dataset(spark, out).select(*SMALL.names)).count() == 0
+    assert read_dataset(spark, out).select("batch_id").distinct().count() == 2
 
 
 def test_streaming_job_to_topic_and_dataset(spark, folder, tmp_path):
