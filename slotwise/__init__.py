@@ -14,8 +14,8 @@ from slotwise.operators.transforms import copy_view, count_by_key, keys, odd_use
 from slotwise.plans.jobs import Job, Schedule, backfill, job, run_at, run_schedules, run_stream
 from slotwise.session import build_session, shared_dir
 from slotwise.sources.datasets import (
-    View, covering_partitions, ensure_dataset, read_at, read_dataset, read_view, refine,
+    View, covering_partitions, ensure_dataset, list_partitions, read_at, read_dataset, read_view, refine,
 )
 from slotwise.sources.generator import generate_events, stream_events
 from slotwise.sources.topics import Topic, decode, encode, read_topic, write_topic
-from slotwise.streaming.sinks import stream_to_dataset, stream_to_topic
+from slotwise.streaming.sinks import for_each_batch, stream_to_dataset, stream_to_topic

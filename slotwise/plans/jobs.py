@@ -237,7 +237,7 @@ def _stale_slots(spark: SparkSession, slots: DataFrame, bounds: Bounds, rows: Da
     base = view.dataset().uri
     return [
         View(base + "?" + "&".join(f"{part}={slot[part]}" for part in order), view.schema, tuple(order))
-        for slot in held.join(refreshed, order, "left_anti").toLocalIterator()
+        for slot in held.join(refreshed, order, "left_anti").collect()
     ]
 
 

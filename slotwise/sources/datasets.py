@@ -111,6 +111,21 @@ def covering_partitions(df: DataFrame, parts: Sequence[str]) -> DataFrame:
     return df.select(*parts).distinct()
 
 
+def list_partitions(spark: SparkSession, view: View | str) -> DataFrame:
+    """The partitions of a dataset by name: from the catalog without a scan, else those that hold rows.
+
+    A catalog also lists partitions that were written empty.
+    """
+    view = as_view(view).dataset()
+    if view.parsed.table is None:
+        return covering_partitions(read_dataset(spark, view), view.parts)
+    names = spark.sql(f"SHOW PARTITIONS {view.parsed.table}")
+    values = F.str_to_map("partition", F.lit("/"), F.lit("="))
+    schema = spark.table(view.parsed.table).schema
+    parts = [c.name for c in spark.catalog.listColumns(view.parsed.table) if c.isPartition]
+    return names.select(*(values[part].cast(schema[part].dataType).alias(part) for part in parts))
+
+
 def _load(spark: SparkSession, view: View, folders: list[tuple[str, str]]) -> DataFrame:
     if view.parsed.table is not None:
         return spark.table(view.parsed.table)

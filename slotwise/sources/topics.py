@@ -85,16 +85,13 @@ def read_topic(spark: SparkSession, topic: Topic, streaming: bool = False) -> Da
 
 def write_topic(df: DataFrame, topic: Topic) -> None:
     """Append the rows of a table to a topic."""
-    send(to_messages(df, topic), topic)
-
-
-def send(messages: DataFrame, topic: Topic) -> None:
+    messages = to_messages(df, topic)
     if topic.format == "kafka":
         messages.write.format("kafka").option("topic", topic.name).options(**topic.options).save()
     else:
         # A folder per write: writers of one topic do not meet, and readers look below it.
-        parts = {"query_id": F.lit("table-" + uuid.uuid4().hex), "batch_id": F.lit(0)}
-        send_to_folder(messages.withColumns(parts), topic)
+        send_to_folder(messages.withColumns(
+            {"query_id": F.lit("table-" + uuid.uuid4().hex), "batch_id": F.lit(0)}), topic)
 
 
 def send_to_folder(messages: DataFrame, topic: Topic) -> None:

@@ -11,18 +11,21 @@ from pyspark.sql.streaming import StreamingQuery
 from slotwise.operators.sinks import overwrite_slots
 from slotwise.schemas import BATCH_PARTS
 from slotwise.sources.datasets import View, as_view
-from slotwise.sources.topics import Topic, send, send_to_folder, to_messages
+from slotwise.sources.topics import Topic, send_to_folder, to_messages
 
 # Fixed value: one batch per second.
 BATCH_INTERVAL = "1 second"
 
 
-def start(sdf: DataFrame, write_batch: Callable[[DataFrame, int], None], checkpoint: str,
-          available_now: bool = False, interval: str = BATCH_INTERVAL) -> StreamingQuery:
+def for_each_batch(sdf: DataFrame, write_batch: Callable[[DataFrame, int], None], checkpoint: str,
+                   available_now: bool = False, interval: str = BATCH_INTERVAL) -> StreamingQuery:
     """Run ``write_batch`` for each micro-batch; ``available_now`` stops after what has arrived so far."""
-    trigger = {"availableNow": True} if available_now else {"processingTime": interval}
     return (sdf.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint)
-            .trigger(**trigger).start())
+            .trigger(**_trigger(available_now, interval)).start())
+
+
+def _trigger(available_now: bool, interval: str) -> dict:
+    return {"availableNow": True} if available_now else {"processingTime": interval}
 
 
 def stream_to_dataset(sdf: DataFrame, view: View | str, checkpoint: str, available_now: bool = False,
@@ -37,21 +40,21 @@ def stream_to_dataset(sdf: DataFrame, view: View | str, checkpoint: str, availab
     def write_batch(batch: DataFrame, batch_id: int) -> None:
         overwrite_slots(with_batch(batch, batch_id), view, BATCH_PARTS)
 
-    return start(sdf, write_batch, checkpoint, available_now, interval)
+    return for_each_batch(sdf, write_batch, checkpoint, available_now, interval)
 
 
 def stream_to_topic(sdf: DataFrame, topic: Topic, checkpoint: str, available_now: bool = False,
                     interval: str = BATCH_INTERVAL) -> StreamingQuery:
     """Send each batch to a topic. A broker may see a replayed batch twice; a folder topic keeps it once."""
     messages = to_messages(sdf, topic)
+    if topic.format == "kafka":
+        return (messages.writeStream.format("kafka").option("topic", topic.name).options(**topic.options)
+                .option("checkpointLocation", checkpoint).trigger(**_trigger(available_now, interval)).start())
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        if topic.format == "kafka":
-            send(batch, topic)
-        else:
-            send_to_folder(with_batch(batch, batch_id), topic)
+        send_to_folder(with_batch(batch, batch_id), topic)
 
-    return start(messages, write_batch, checkpoint, available_now, interval)
+    return for_each_batch(messages, write_batch, checkpoint, available_now, interval)
 
 
 def with_batch(batch: DataFrame, batch_id: int) -> DataFrame:

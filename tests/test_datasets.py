@@ -15,7 +15,7 @@ from slotwise.operators.sinks import save_nonempty, write_time_partitioned, writ
 from slotwise.operators.transforms import copy_view, count_by_key, odd_users, reconcile, row_count, union_inputs
 from slotwise.schemas import EVENT, KEY_VALUES, TIME_PARTS
 from slotwise.sources.datasets import (
-    View, covering_partitions, ensure_dataset, read_at, read_dataset, read_view, refine,
+    View, covering_partitions, ensure_dataset, list_partitions, read_at, read_dataset, read_view, refine,
 )
 from slotwise.sources.generator import generate_events
 
@@ -48,6 +48,7 @@ def test_copy_leaves_one_partition(spark, folder):
     out = read_dataset(spark, target)
     assert reconcile(users(spark, 10), out.select("user_id", "name")).count() == 0
     assert [tuple(r) for r in covering_partitions(out, HOUR).collect()] == [(2015, 5, 15, 12)]
+    assert [tuple(r) for r in list_partitions(spark, target).collect()] == [(2015, 5, 15, 12)]
     assert os.path.isdir(folder("out").removeprefix("file:") + "/year=2015/month=5/day=15/hour=12")
 
 
@@ -190,9 +191,11 @@ def test_catalog_dataset(spark, database):
     write_view(users(spark, 10), slot)
     write_view(users(spark, 4), View("view:" + uri + HOUR_HOLES).at("2015-05-15T13:00Z"))
     assert read_view(spark, slot).count() == 10
+    assert {tuple(r) for r in list_partitions(spark, slot).collect()} == {(2015, 5, 15, 12), (2015, 5, 15, 13)}
     write_view(users(spark, 0), slot)
     assert read_view(spark, slot).count() == 0
     assert read_dataset(spark, dataset).count() == 4
+    assert [tuple(r) for r in covering_partitions(read_dataset(spark, dataset), HOUR).collect()] == [(2015, 5, 15, 13)]
     assert save_nonempty(users(spark, 2), slot)
     assert read_view(spark, slot).count() == 2
 
