@@ -120,14 +120,19 @@ _CRON = "CASE event_id % 9 " + " ".join(f"WHEN {i} THEN '{c}'" for i, (c, _) in
 _IS_SLOT = "CASE event_id % 9 " + " ".join(f"WHEN {i} THEN {test}" for i, (_, test) in enumerate(_SLOT_TESTS)) + " END"
 
 # Every minute of a day before and after the event is tried.
-ORACLES["next_fire_by_schedule"] = f"""
+_TRIED = f"""
 WITH tried AS (
   SELECT event_id, ts, date_trunc('minute', ts) + to_minutes(CAST(i AS INTEGER)) AS t
   FROM events, range(-1440, 1441) AS minutes(i)),
 slots AS (SELECT * FROM tried WHERE {_IS_SLOT})
-SELECT event_id, {_CRON} AS cron,
-  min(t) FILTER (CASE WHEN event_id % 9 IN (0, 1, 7) THEN t > ts ELSE t >= ts END) AS next_fire,
-  min(t) FILTER (t >= date_trunc('minute', ts)) AS next_fire_inclusive,
+SELECT event_id, {_CRON} AS cron,"""
+ORACLES["next_fire_by_schedule"] = f"""{_TRIED}
+  min(t) FILTER (CASE WHEN event_id % 9 IN (0, 1, 7) THEN t > ts ELSE t >= ts END) AS next_fire
+FROM slots GROUP BY event_id"""
+ORACLES["next_fire_inclusive_by_schedule"] = f"""{_TRIED}
+  min(t) FILTER (t >= date_trunc('minute', ts)) AS next_fire
+FROM slots GROUP BY event_id"""
+ORACLES["slot_by_schedule"] = f"""{_TRIED}
   max(t) FILTER (t <= ts) AS slot
 FROM slots GROUP BY event_id"""
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from slotwise.functions.cron import audit_schedules, next_fire, slot_of, with_cron_fields
+from slotwise.functions.cron import CronFields, audit_schedules, next_fire, slot_of, with_cron_fields
 from slotwise.functions.timeparts import (
     format_nominal, from_millis, nominal_literal, parse_nominal, parts_upto, render_template, slot_time, time_parts,
     to_millis, with_time_parts,
@@ -300,15 +300,28 @@ def _in_turn(number: str, crons: tuple[str, ...]) -> Column:
     return F.get(listed, (F.col(number) % len(crons)).cast("int"))
 
 
+def _events_with_schedules(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, CronFields]:
+    return with_cron_fields(events(spark, sf_dir).withColumn("cron", _in_turn("event_id", CRONS)))
+
+
 @query
 def next_fire_by_schedule(spark, sf_dir):
-    with_cron = events(spark, sf_dir).withColumn("cron", _in_turn("event_id", CRONS))
-    with_fields, fields = with_cron_fields(with_cron.withColumn("minute", slot_of(F.col("ts"), "* * * * *")))
-    return with_fields.select(
-        "event_id", "cron",
-        next_fire(F.col("ts"), fields).alias("next_fire"),
-        next_fire(F.col("minute"), fields, inclusive=True).alias("next_fire_inclusive"),
-        slot_of(F.col("ts"), fields).alias("slot"))
+    df, fields = _events_with_schedules(spark, sf_dir)
+    return df.select("event_id", "cron", next_fire(F.col("ts"), fields).alias("next_fire"))
+
+
+@query
+def next_fire_inclusive_by_schedule(spark, sf_dir):
+    """At exact minutes, where a slot on the minute is its own next one."""
+    df, fields = _events_with_schedules(spark, sf_dir)
+    df = df.withColumn("minute", slot_of(F.col("ts"), "* * * * *"))
+    return df.select("event_id", "cron", next_fire(F.col("minute"), fields, inclusive=True).alias("next_fire"))
+
+
+@query
+def slot_by_schedule(spark, sf_dir):
+    df, fields = _events_with_schedules(spark, sf_dir)
+    return df.select("event_id", "cron", slot_of(F.col("ts"), fields).alias("slot"))
 
 
 @query
