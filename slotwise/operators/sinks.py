@@ -6,7 +6,6 @@ import re
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from slotwise.functions.timeparts import parts_upto, with_time_parts
 from slotwise.sources.datasets import View, as_view
@@ -45,13 +44,21 @@ def slot_folder(view: View) -> str:
 def _insert_overwrite(rows: DataFrame, view: View) -> None:
     spark = rows.sparkSession
     table = view.parsed.table
-    static = ", ".join(f"`{part}` = {value}" for part, value in view.constraints.items())
+    static = partition_spec(view)
     fields = [f for f in spark.table(table).columns if f not in view.constraints]
     # Bound as a parameter: names in df cannot clash with the catalog.
-    spark.sql(f"INSERT OVERWRITE TABLE {table} PARTITION ({static}) SELECT {', '.join(f'`{f}`' for f in fields)} "
+    spark.sql(f"INSERT OVERWRITE TABLE {table} {static} SELECT {', '.join(f'`{f}`' for f in fields)} "
               "FROM {rows}", rows=rows)
 
 
+def partition_spec(view: View) -> str:
+    """``PARTITION (...)`` of the slot a catalog view names."""
+    def text(value: str) -> str:
+        return str(int(value)) if value.isdigit() else "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+    return "PARTITION (" + ", ".join(f"`{part}` = {text(value)}" for part, value in view.constraints.items()) + ")"
+
+
 def append(df: DataFrame, view: View | str, parts: Sequence[str] = ()) -> None:
     view = as_view(view)
     if view.parsed.table is not None:
@@ -118,9 +125,8 @@ def save_nonempty(df: DataFrame, view: View | str) -> bool:
     if df.isEmpty():
         return False
     if view.constraints:
-        constants = df.drop(*view.constraints).withColumns(
-            {part: F.lit(value).cast("int") for part, value in view.constraints.items()})
-        append(constants, view, list(view.constraints))
+        slot = {part: view.slot_value(part) for part in view.constraints}
+        append(df.drop(*slot).withColumns(slot), view, view.parts or list(slot))
     else:
         append(df, view)
     return True

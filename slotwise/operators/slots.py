@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from slotwise.functions.cron import (
     LAST_HOUR, LAST_MINUTE, Cron, cron_fields, drop_cron_fields, next_fire, plain_step, slot_of, stride_minutes,
@@ -18,8 +19,8 @@ def fire_slots(schedules: DataFrame, cron: str = "cron", start: str = "start_at"
     The first slot is the next one after ``start`` (see :func:`next_fire`); ``end`` is not included. All fields
     must match; ``*/n`` days count from the first of the month. A schedule that is not valid has no slots.
     """
+    spread = [f.name for f in schedules.schema if not isinstance(f.dataType, T.MapType)]
     schedules, f = with_cron_fields(schedules, cron)
-    spread = int(schedules.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     days = (
         schedules
         .withColumn("_first", next_fire(F.col(start), f))
@@ -27,8 +28,9 @@ def fire_slots(schedules: DataFrame, cron: str = "cron", start: str = "start_at"
         .withColumn("_day", F.explode(F.when(
             F.col("_first") < F.col(end), F.sequence(F.to_date("_first"), F.to_date(end)))))
         .where((F.dayofmonth("_day") - 1) % f.day_step == 0)
-        # A few long schedules in one file must not stay in one task: spread their days.
-        .repartition(spread, cron, start, "_day")
+        # A few long schedules in one file must not stay in one task: spread their days, by every column, for
+        # many schedules may be alike.
+        .repartition(*spread, "_day")
     )
     # The slots of a day are numbered, and each number is taken apart into its hour and minute.
     minutes, hours = (_per(f.minute_step, LAST_MINUTE), _per(f.hour_step, LAST_HOUR))

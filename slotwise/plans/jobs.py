@@ -13,6 +13,7 @@ import re
 from collections.abc import Callable, Iterable, Mapping
 from dataclasses import dataclass
 from dataclasses import field as dataclass_field
+from urllib.parse import urlencode
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -23,7 +24,7 @@ from pyspark.sql.streaming import StreamingQuery
 from slotwise.functions.cron import next_fire, parse_cron
 from slotwise.functions.timeparts import HOLES, as_nominal, nominal_literal, slot_time, time_parts
 from slotwise.operators.readiness import SLOT, mark_ready, pending_slots, ready_marks
-from slotwise.operators.sinks import cluster_by_slot, overwrite_slots, slot_folder, write_view
+from slotwise.operators.sinks import cluster_by_slot, overwrite_slots, partition_spec, slot_folder, write_view
 from slotwise.operators.slots import fire_slots, instance_at
 from slotwise.plans.settings import job_settings
 from slotwise.session import delete_path, shared_dir
@@ -207,7 +208,7 @@ def _replace_slots(spark: SparkSession, slots: DataFrame, bounds: Bounds, rows:
     order = list(view.parts or view.constraints)
     parts = time_parts(F.col(SLOT))
     values = {
-        column: parts[HOLES[value]] if value in HOLES else F.lit(value).cast("int")
+        column: parts[HOLES[value]] if value in HOLES else view.slot_value(column)
         for column, value in view.constraints.items()
     }
     rows = rows.withColumns(values).drop(SLOT)
@@ -236,7 +237,7 @@ def _stale_slots(spark: SparkSession, slots: DataFrame, bounds: Bounds, rows: Da
     refreshed = rows.select(*order).distinct()
     base = view.dataset().uri
     return [
-        View(base + "?" + "&".join(f"{part}={slot[part]}" for part in order), view.schema, tuple(order))
+        View(base + "?" + urlencode({part: slot[part] for part in order}), view.schema, tuple(order))
         for slot in held.join(refreshed, order, "left_anti").collect()
     ]
 
@@ -248,9 +249,7 @@ def _drop_slots(spark: SparkSession, view: View, stale: list[View]) -> None:
             delete_path(spark, slot_folder(slot))
         return
     for i in range(0, len(stale), DROP_BATCH):
-        specs = ", ".join(
-            "PARTITION (" + ", ".join(f"`{k}` = {v}" for k, v in slot.constraints.items()) + ")"
-            for slot in stale[i:i + DROP_BATCH])
+        specs = ", ".join(partition_spec(slot) for slot in stale[i:i + DROP_BATCH])
         spark.sql(f"ALTER TABLE {table} DROP IF EXISTS {specs}")
 
 

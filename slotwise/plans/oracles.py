@@ -12,31 +12,31 @@ ON_SLOT_DAY = "ts >= TIMESTAMP '2024-01-15' AND ts < TIMESTAMP '2024-01-16'"
 
 ORACLES["event_count_by_user"] = "SELECT user_id, count(*) AS event_count FROM events GROUP BY user_id"
 ORACLES["event_keys"] = "SELECT user_id FROM events"
-ORACLES["event_row_count"] = "SELECT count(*) AS row_count FROM events"
-ORACLES["view_scan"] = f"SELECT {EVENT}, {DAY} FROM events WHERE {ON_SLOT_DAY}"
+ORACLES["row_count"] = "SELECT count(*) AS row_count FROM events"
+ORACLES["view_scan_one_day"] = f"SELECT {EVENT}, {DAY} FROM events WHERE {ON_SLOT_DAY}"
 ORACLES["read_at_nominal"] = f"SELECT {EVENT}, {DAY} FROM events WHERE CAST(ts AS DATE) = DATE '2024-01-20'"
 ORACLES["read_whole_dataset"] = f"SELECT {EVENT}, {DAY} FROM events"
 ORACLES["refine_partition_and_data"] = (
     f"SELECT {EVENT}, {DAY} FROM events WHERE month(ts) = 1 AND event_type = 'click'")
-ORACLES["covering_partitions_of_events"] = f"SELECT DISTINCT {DAY} FROM events"
+ORACLES["covering_partitions"] = f"SELECT DISTINCT {DAY} FROM events"
 ORACLES["rows_per_partition"] = f"SELECT {DAY}, count(*) AS event_count FROM events GROUP BY ALL"
 ORACLES["rows_per_hour"] = f"SELECT {HOUR}, count(*) AS event_count FROM events GROUP BY ALL"
-ORACLES["odd_user_events"] = f"SELECT {EVENT} FROM events WHERE user_id % 2 = 1"
+ORACLES["odd_users"] = f"SELECT {EVENT} FROM events WHERE user_id % 2 = 1"
 ORACLES["example_events"] = (
     "SELECT user_id, CAST(event_id AS VARCHAR) AS session_id, ts AS \"timestamp\" FROM events")
-ORACLES["generated_events"] = f"""
+ORACLES["generate_events"] = f"""
 SELECT user_id, CAST(user_id AS VARCHAR) AS session_id, ts AS "timestamp", {DAY}
 FROM (SELECT DISTINCT date_trunc('minute', ts) AS ts FROM events), range(0, 10) AS users(user_id)"""
 
-ORACLES["copied_view"] = f"""
+ORACLES["copy_view"] = f"""
 SELECT {EVENT}, CAST(2024 AS INTEGER) AS year, CAST(2 AS INTEGER) AS month, CAST(1 AS INTEGER) AS day
 FROM events WHERE {ON_SLOT_DAY}"""
-ORACLES["union_of_inputs"] = f"""
+ORACLES["union_inputs"] = f"""
 SELECT {EVENT}, CAST(2024 AS INTEGER) AS year, CAST(1 AS INTEGER) AS month, CAST(15 AS INTEGER) AS day FROM (
   SELECT * FROM events WHERE event_type = 'click'
   UNION ALL SELECT * FROM events WHERE event_type = 'error'
   UNION ALL SELECT * FROM events)"""
-ORACLES["reconciled"] = f"""
+ORACLES["reconcile"] = f"""
 WITH expected AS (SELECT * FROM events UNION ALL SELECT * FROM events WHERE event_type = 'purchase'),
      actual AS (SELECT * FROM events WHERE event_type <> 'error'
                 UNION ALL SELECT * FROM events WHERE event_type = 'signup')
@@ -45,23 +45,23 @@ SELECT {EVENT}, side, count(*) AS copies FROM (
   UNION ALL
   SELECT *, 'unexpected' AS side FROM (SELECT * FROM actual EXCEPT ALL SELECT * FROM expected))
 GROUP BY ALL"""
-ORACLES["reconciled_round_trip"] = """
+ORACLES["reconcile_round_trip"] = """
 SELECT count(*) AS row_count FROM (SELECT * FROM events EXCEPT ALL SELECT * FROM events)"""
 
-ORACLES["time_parts_of_events"] = f"SELECT event_id, {MINUTE} FROM events"
+ORACLES["time_parts"] = f"SELECT event_id, {MINUTE} FROM events"
 ORACLES["time_parts_of_orders"] = (
     f"SELECT o_orderkey, {MINUTE} FROM (SELECT o_orderkey, o_orderdate AS ts FROM orders)")
-ORACLES["slot_time_of_parts"] = "SELECT event_id, date_trunc('minute', ts) AS nominal_time FROM events"
-ORACLES["rendered_template"] = """
+ORACLES["slot_time"] = "SELECT event_id, date_trunc('minute', ts) AS nominal_time FROM events"
+ORACLES["render_template"] = """
 SELECT event_id, 'view:hive:example/events?year=' || year(ts) || '&month=' || month(ts) || '&day=' || day(ts)
   || '&hour=' || hour(ts) || '&minute=' || minute(ts) AS uri FROM events"""
-ORACLES["rendered_template_padded"] = """
+ORACLES["render_template_padded"] = """
 SELECT event_id, strftime(ts, 'view:hive:example/events?year=%Y&month=%m&day=%d&hour=%H&minute=%M') AS uri
 FROM events"""
-ORACLES["rendered_template_column"] = """
+ORACLES["render_template_column"] = """
 SELECT event_id, 'view:hive:example/' || event_type || '?day=' || day(ts) || '&hour=' || hour(ts) AS uri
 FROM events"""
-ORACLES["parsed_view_uri"] = """
+ORACLES["parse_view_uri"] = """
 WITH parts AS (
   SELECT event_id, event_type, CAST(year(ts) AS VARCHAR) AS y, CAST(month(ts) AS VARCHAR) AS m,
          CAST(day(ts) AS VARCHAR) AS d, CAST(hour(ts) AS VARCHAR) AS h, CAST(minute(ts) AS VARCHAR) AS n FROM events),
@@ -83,8 +83,8 @@ SELECT event_id,
   nullif(regexp_extract(uri, '[?&]hour=([^&]*)', 1), '') AS hour,
   nullif(regexp_extract(uri, '[?&]minute=([^&]*)', 1), '') AS minute
 FROM uris"""
-ORACLES["formatted_nominal"] = "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%MZ') AS nominal FROM events"
-ORACLES["parsed_nominal"] = """
+ORACLES["format_nominal"] = "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%MZ') AS nominal FROM events"
+ORACLES["parse_nominal"] = """
 SELECT event_id, strptime(strftime(ts, '%Y-%m-%dT%H:%MZ'), '%Y-%m-%dT%H:%MZ') AS nominal_time FROM events"""
 ORACLES["epoch_millis"] = """
 SELECT event_id, epoch_us(ts) // 1000 AS millis, date_trunc('millisecond', ts) AS ts_millis FROM events"""
@@ -136,7 +136,7 @@ ORACLES["slot_by_schedule"] = f"""{_TRIED}
   max(t) FILTER (t <= ts) AS slot
 FROM slots GROUP BY event_id"""
 
-ORACLES["audited_schedules"] = r"""
+ORACLES["audit_schedules"] = r"""
 WITH fields AS (
   SELECT c_custkey,
     CASE c_custkey % 6 WHEN 0 THEN '*' WHEN 1 THEN '*/' || (c_custkey % 13) WHEN 2 THEN '' || (c_custkey % 64)
@@ -166,7 +166,7 @@ SELECT c_custkey, cron, reason IS NULL AS valid, coalesce(reason, '') AS reason,
     WHEN m LIKE '*%' THEN 'minutes' WHEN h LIKE '*%' THEN 'hours' ELSE 'days' END AS unit
 FROM checked"""
 
-ORACLES["fired_slots"] = """
+ORACLES["fire_slots"] = """
 WITH schedules AS (
   SELECT c_custkey, CASE c_custkey % 6 WHEN 0 THEN '0 * * * *' WHEN 1 THEN '30 */6 * * *' WHEN 2 THEN '15 3 * * *'
       WHEN 3 THEN '0 12 */7 * *' WHEN 4 THEN '17 */5 * * *' ELSE '*/20 9 * * *' END AS cron,
@@ -185,9 +185,9 @@ WHERE t < e AND CASE c_custkey % 6
   WHEN 4 THEN minute(t) = 17 AND hour(t) IN (0, 5, 10, 15, 20)
   ELSE minute(t) IN (0, 20, 40) AND hour(t) = 9 END"""
 
-ORACLES["events_per_five_minutes"] = """
+ORACLES["events_per_slot"] = """
 SELECT time_bucket(INTERVAL 5 MINUTE, ts) AS nominal_time, count(*) AS event_count FROM events GROUP BY ALL"""
-ORACLES["events_per_uneven_slot"] = """
+ORACLES["events_per_slot_uneven"] = """
 WITH tried AS (
   SELECT event_id, ts, date_trunc('minute', ts) - to_minutes(CAST(i AS INTEGER)) AS t
   FROM events, range(0, 1441) AS minutes(i)),
@@ -195,11 +195,11 @@ slots AS (
   SELECT event_id, max(t) AS nominal_time FROM tried WHERE minute(t) = 17 AND hour(t) IN (0, 5, 10, 15, 20)
   GROUP BY event_id)
 SELECT nominal_time, count(*) AS event_count FROM slots GROUP BY nominal_time"""
-ORACLES["events_on_slots"] = f"""
+ORACLES["is_slot"] = f"""
 SELECT event_id, CAST(coalesce({_IS_SLOT}, false)
   AND CASE event_id % 9 WHEN 6 THEN (day(t) - 1) % 7 = 0 WHEN 7 THEN hour(t) = 9 ELSE true END AS INTEGER) AS on_slot
 FROM (SELECT event_id, date_trunc('minute', ts) AS t FROM events)"""
-ORACLES["instance_of_run"] = """
+ORACLES["instance_at"] = """
 SELECT event_id, t AS nominal_time,
   TIMESTAMP '2024-01-01 00:03:00'
     + to_minutes(CAST(7 * floor((epoch(t) - epoch(TIMESTAMP '2024-01-01 00:03:00')) / 420) AS INTEGER)) AS seven_minutes,
@@ -214,20 +214,20 @@ hours AS (
 slots AS (SELECT t AS nominal_time FROM hours WHERE t >= a AND t < b),
 marks AS (SELECT DISTINCT event_type, date_trunc('hour', ts) AS nominal_time FROM events)"""
 
-ORACLES["marked_slots"] = """
+ORACLES["ready_marks"] = """
 SELECT DISTINCT date_trunc('hour', ts) AS nominal_time FROM events WHERE event_type = 'purchase'"""
-ORACLES["ready_hours"] = f"""
+ORACLES["ready_slots"] = f"""
 WITH {_HOURS}
 SELECT nominal_time FROM slots WHERE nominal_time IN (
   SELECT nominal_time FROM marks GROUP BY nominal_time
   HAVING count(DISTINCT event_type) FILTER (event_type IN ('click', 'error', 'purchase', 'signup', 'view')) = 5)"""
-ORACLES["missing_five_minutes"] = """
+ORACLES["missing_slots"] = """
 WITH grid AS (
   SELECT unnest(generate_series(time_bucket(INTERVAL 5 MINUTE, a) + INTERVAL 5 MINUTE, b, INTERVAL 5 MINUTE)) AS t, b
   FROM (SELECT min(ts) AS a, max(ts) AS b FROM events))
 SELECT t AS nominal_time FROM grid WHERE t < b
   AND t NOT IN (SELECT DISTINCT time_bucket(INTERVAL 5 MINUTE, ts) FROM events)"""
-ORACLES["pending_hours"] = f"""
+ORACLES["pending_slots"] = f"""
 WITH {_HOURS}
 SELECT nominal_time FROM slots
 WHERE nominal_time IN (SELECT nominal_time FROM marks WHERE event_type = 'click')
@@ -246,12 +246,12 @@ ORACLES["backfill_again"] = f"SELECT {EVENT}, {DAY} FROM events WHERE day(ts) >
 ORACLES["triggered_backfill"] = f"""
 SELECT {EVENT}, {DAY} FROM events
 WHERE user_id % 2 = 1 AND ts >= TIMESTAMP '2024-01-01' AND ts < TIMESTAMP '2024-01-25'"""
-ORACLES["dataset_evolved"] = f"""
+ORACLES["ensure_dataset_evolves"] = f"""
 SELECT {EVENT}, CAST(NULL AS VARCHAR) AS channel FROM events
 UNION ALL SELECT {EVENT}, 'from error' AS channel FROM events WHERE event_type = 'error'"""
-ORACLES["saved_nonempty"] = f"""
+ORACLES["save_nonempty"] = f"""
 SELECT {EVENT}, CAST(1 AS INTEGER) AS first_saved, CAST(0 AS INTEGER) AS second_saved FROM events"""
-ORACLES["map_columns"] = """
+ORACLES["map_columns_round_trip"] = """
 SELECT event_id, key, json_extract_string(props, '$.' || key) AS value
 FROM (SELECT event_id, props, unnest(json_keys(props)) AS key FROM events)"""
 

@@ -58,9 +58,11 @@ SLOT_DAY = "2024-01-15T00:00Z"
 REPORT_TIME = "2024-01-31T00:05Z"
 
 
-def query(function: Query) -> Query:
-    QUERIES[function.__name__] = function
-    return function
+def query(name: str) -> Callable[[Query], Query]:
+    def register(function: Query) -> Query:
+        QUERIES[name] = function
+        return function
+    return register
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,64 +95,64 @@ def events_by_day(spark: SparkSession, sf_dir: str) -> View:
 # Sources, projections and filters
 
 
-@query
+@query("event_count_by_user")
 def event_count_by_user(spark, sf_dir):
     return count_by_key(events(spark, sf_dir), "user_id")
 
 
-@query
+@query("event_keys")
 def event_keys(spark, sf_dir):
     return keys(events(spark, sf_dir), "user_id")
 
 
-@query
+@query("row_count")
 def event_row_count(spark, sf_dir):
     return row_count(events(spark, sf_dir))
 
 
-@query
+@query("view_scan_one_day")
 def view_scan(spark, sf_dir):
     return read_view(spark, view_of(events_by_day(spark, sf_dir), "?year=2024&month=1&day=15"))
 
 
-@query
+@query("read_at_nominal")
 def read_at_nominal(spark, sf_dir):
     return read_at(spark, view_of(events_by_day(spark, sf_dir), DAY_HOLES), "2024-01-20T12:30Z")
 
 
-@query
+@query("read_whole_dataset")
 def read_whole_dataset(spark, sf_dir):
     return read_dataset(spark, events_by_day(spark, sf_dir))
 
 
-@query
+@query("refine_partition_and_data")
 def refine_partition_and_data(spark, sf_dir):
     dataset = read_dataset(spark, events_by_day(spark, sf_dir))
     return refine(dataset, month=1, event_type="click")
 
 
-@query
+@query("covering_partitions")
 def covering_partitions_of_events(spark, sf_dir):
     return covering_partitions(read_dataset(spark, events_by_day(spark, sf_dir)), DAY)
 
 
-@query
+@query("rows_per_partition")
 def rows_per_partition(spark, sf_dir):
     return count_by_key(read_dataset(spark, events_by_day(spark, sf_dir)), *DAY)
 
 
-@query
+@query("rows_per_hour")
 def rows_per_hour(spark, sf_dir):
     hourly = with_time_parts(events(spark, sf_dir), "ts", "hour")
     return count_by_key(hourly, *parts_upto("hour"))
 
 
-@query
+@query("odd_users")
 def odd_user_events(spark, sf_dir):
     return odd_users(events(spark, sf_dir))
 
 
-@query
+@query("example_events")
 def example_events(spark, sf_dir):
     return _example_events(events(spark, sf_dir))
 
@@ -159,7 +161,7 @@ def _example_events(df: DataFrame) -> DataFrame:
     return df.select("user_id", F.col("event_id").cast("string").alias("session_id"), F.col("ts").alias("timestamp"))
 
 
-@query
+@query("generate_events")
 def generated_events(spark, sf_dir):
     minutes = events(spark, sf_dir).select(slot_of(F.col("ts"), "* * * * *").alias("nominal_time")).distinct()
     dataset = new_dataset(spark, "generated", GENERATED, DAY)
@@ -170,7 +172,7 @@ def generated_events(spark, sf_dir):
 # Sets
 
 
-@query
+@query("copy_view")
 def copied_view(spark, sf_dir):
     source = events_by_day(spark, sf_dir)
     target = new_dataset(spark, "copy", EVENTS, DAY)
@@ -178,7 +180,7 @@ def copied_view(spark, sf_dir):
     return read_dataset(spark, target)
 
 
-@query
+@query("union_inputs")
 def union_of_inputs(spark, sf_dir):
     """A dynamic job: inputs are named at run time, rows in two of them are kept twice."""
     merge = Job("merge-inputs", lambda **inputs: union_inputs(inputs), inputs=None, outputs={"output": None})
@@ -192,7 +194,7 @@ def union_of_inputs(spark, sf_dir):
     return read_dataset(spark, target)
 
 
-@query
+@query("reconcile")
 def reconciled(spark, sf_dir):
     """Sent: every event, purchases twice. Arrived: no errors, signups twice."""
     sent = events(spark, sf_dir)
@@ -201,7 +203,7 @@ def reconciled(spark, sf_dir):
     return reconcile(expected, actual)
 
 
-@query
+@query("reconcile_round_trip")
 def reconciled_round_trip(spark, sf_dir):
     """Differences between a dataset read back and the table it was written from: none."""
     return row_count(reconcile(events(spark, sf_dir), read_dataset(spark, events_by_day(spark, sf_dir)).drop(*DAY)))
@@ -210,39 +212,39 @@ def reconciled_round_trip(spark, sf_dir):
 # Scalar functions
 
 
-@query
+@query("time_parts")
 def time_parts_of_events(spark, sf_dir):
     return with_time_parts(events(spark, sf_dir).select("event_id", "ts"), "ts").drop("ts")
 
 
-@query
+@query("time_parts_of_orders")
 def time_parts_of_orders(spark, sf_dir):
     return with_time_parts(orders(spark, sf_dir).select("o_orderkey", "o_orderdate"), "o_orderdate").drop("o_orderdate")
 
 
-@query
+@query("slot_time")
 def slot_time_of_parts(spark, sf_dir):
     parts = with_time_parts(events(spark, sf_dir).select("event_id", "ts"), "ts")
     return parts.select("event_id", slot_time(parts_upto("minute")).alias("nominal_time"))
 
 
-@query
+@query("render_template")
 def rendered_template(spark, sf_dir):
     return events(spark, sf_dir).select("event_id", render_template(TEMPLATE, F.col("ts")).alias("uri"))
 
 
-@query
+@query("render_template_padded")
 def rendered_template_padded(spark, sf_dir):
     return events(spark, sf_dir).select("event_id", render_template(TEMPLATE, F.col("ts"), padded=True).alias("uri"))
 
 
-@query
+@query("render_template_column")
 def rendered_template_column(spark, sf_dir):
     template = F.concat(F.lit("view:hive:example/"), F.col("event_type"), F.lit("?day=${DAY}&hour=${HOUR}"))
     return events(spark, sf_dir).select("event_id", render_template(template, F.col("ts")).alias("uri"))
 
 
-@query
+@query("parse_view_uri")
 def parsed_view_uri(spark, sf_dir):
     """URIs with and without host and constraints, one per event."""
     uri = (F.when(F.col("event_type") == "click", F.lit("view:hive://examplehost:1234/example/events?year=${YEAR}"))
@@ -256,18 +258,18 @@ def parsed_view_uri(spark, sf_dir):
         *(F.col("uri.constraints").getItem(part).alias(part) for part in ("year", "month", "day", "hour", "minute")))
 
 
-@query
+@query("format_nominal")
 def formatted_nominal(spark, sf_dir):
     return events(spark, sf_dir).select("event_id", format_nominal(F.col("ts")).alias("nominal"))
 
 
-@query
+@query("parse_nominal")
 def parsed_nominal(spark, sf_dir):
     text = F.concat(F.date_format("ts", "yyyy-MM-dd"), F.lit("T"), F.date_format("ts", "HH:mm"), F.lit("Z"))
     return events(spark, sf_dir).select("event_id", parse_nominal(text).alias("nominal_time"))
 
 
-@query
+@query("epoch_millis")
 def epoch_millis(spark, sf_dir):
     millis = to_millis(F.col("ts"))
     return events(spark, sf_dir).select("event_id", millis.alias("millis"), from_millis(millis).alias("ts_millis"))
@@ -304,13 +306,13 @@ def _events_with_schedules(spark: SparkSession, sf_dir: str) -> tuple[DataFrame,
     return with_cron_fields(events(spark, sf_dir).withColumn("cron", _in_turn("event_id", CRONS)))
 
 
-@query
+@query("next_fire_by_schedule")
 def next_fire_by_schedule(spark, sf_dir):
     df, fields = _events_with_schedules(spark, sf_dir)
     return df.select("event_id", "cron", next_fire(F.col("ts"), fields).alias("next_fire"))
 
 
-@query
+@query("next_fire_inclusive_by_schedule")
 def next_fire_inclusive_by_schedule(spark, sf_dir):
     """At exact minutes, where a slot on the minute is its own next one."""
     df, fields = _events_with_schedules(spark, sf_dir)
@@ -318,13 +320,13 @@ def next_fire_inclusive_by_schedule(spark, sf_dir):
     return df.select("event_id", "cron", next_fire(F.col("minute"), fields, inclusive=True).alias("next_fire"))
 
 
-@query
+@query("slot_by_schedule")
 def slot_by_schedule(spark, sf_dir):
     df, fields = _events_with_schedules(spark, sf_dir)
     return df.select("event_id", "cron", slot_of(F.col("ts"), fields).alias("slot"))
 
 
-@query
+@query("audit_schedules")
 def audited_schedules(spark, sf_dir):
     """A schedule text per customer, valid ones and all kinds of invalid ones."""
     n = F.col("c_custkey")
@@ -344,7 +346,7 @@ def audited_schedules(spark, sf_dir):
     return audit_schedules(schedules).fillna({"reason": "", "every": 0, "unit": ""})
 
 
-@query
+@query("fire_slots")
 def fired_slots(spark, sf_dir):
     """One schedule per customer, each over its own days."""
     start = F.timestamp_add("MINUTE", (F.col("c_custkey") * 37) % 20000, nominal_literal("2024-01-01T00:00:30"))
@@ -358,11 +360,11 @@ def _events_per_slot(cron: str) -> Query:
     return lambda spark, sf_dir: events_per_slot(events(spark, sf_dir), cron)
 
 
-QUERIES["events_per_five_minutes"] = _events_per_slot("*/5 * * * *")
-QUERIES["events_per_uneven_slot"] = _events_per_slot("17 */5 * * *")
+QUERIES["events_per_slot"] = _events_per_slot("*/5 * * * *")
+QUERIES["events_per_slot_uneven"] = _events_per_slot("17 */5 * * *")
 
 
-@query
+@query("is_slot")
 def events_on_slots(spark, sf_dir):
     """Whether the minute of an event is a slot of its schedule, all fields looked at."""
     df = events(spark, sf_dir).select(
@@ -371,7 +373,7 @@ def events_on_slots(spark, sf_dir):
     return df.select("event_id", is_slot(F.col("minute"), fields).cast("int").alias("on_slot"))
 
 
-@query
+@query("instance_at")
 def instance_of_run(spark, sf_dir):
     nominal = F.col("nominal_time")
     runs = events(spark, sf_dir).select("event_id", slot_of(F.col("ts"), "* * * * *").alias("nominal_time"))
@@ -398,26 +400,26 @@ def _marks_by_type(spark: SparkSession, sf_dir: str) -> View:
     return markers
 
 
-@query
+@query("ready_marks")
 def marked_slots(spark, sf_dir):
     markers = _marks_by_type(spark, sf_dir)
     return ready_marks(spark, markers, "purchase")
 
 
-@query
+@query("ready_slots")
 def ready_hours(spark, sf_dir):
     markers = _marks_by_type(spark, sf_dir)
     ready = {name: ready_marks(spark, markers, name) for name in ("click", "error", "purchase", "signup", "view")}
     return ready_slots(_schedule_over(events(spark, sf_dir), "0 * * * *"), ready)
 
 
-@query
+@query("missing_slots")
 def missing_five_minutes(spark, sf_dir):
     df = events(spark, sf_dir)
     return missing_slots(_schedule_over(df, "*/5 * * * *"), slots_with_data(df, "*/5 * * * *"))
 
 
-@query
+@query("pending_slots")
 def pending_hours(spark, sf_dir):
     markers = _marks_by_type(spark, sf_dir)
     inputs = {name: ready_marks(spark, markers, name) for name in ("click", "view")}
@@ -452,7 +454,7 @@ def _days(spark: SparkSession, dataset: View) -> DataFrame:
     return covering_partitions(read_dataset(spark, dataset), DAY).select(slot_time(DAY).alias("nominal_time"))
 
 
-@query
+@query("report_into_slot")
 def report_into_slot(spark, sf_dir):
     """Events per user over the whole dataset, filed under the run's nominal time."""
     source = new_dataset(spark, "events", EVENTS)
@@ -463,7 +465,7 @@ def report_into_slot(spark, sf_dir):
     return read_dataset(spark, target)
 
 
-@query
+@query("run_at_odd_users")
 def run_at_odd_users(spark, sf_dir):
     source = events_by_day(spark, sf_dir)
     target = new_dataset(spark, "odd", EVENTS, DAY)
@@ -474,7 +476,7 @@ def run_at_odd_users(spark, sf_dir):
     return read_dataset(spark, target).withColumn("nominal_time", slot_time(DAY)).join(marked, "nominal_time")
 
 
-@query
+@query("backfill_odd_users")
 def backfill_odd_users(spark, sf_dir):
     source = events_by_day(spark, sf_dir)
     target = new_dataset(spark, "odd", EVENTS, DAY)
@@ -483,7 +485,7 @@ def backfill_odd_users(spark, sf_dir):
     return read_dataset(spark, target)
 
 
-@query
+@query("backfill_report")
 def backfill_report(spark, sf_dir):
     source = events_by_day(spark, sf_dir)
     target = new_dataset(spark, "report", REPORT, DAY)
@@ -492,7 +494,7 @@ def backfill_report(spark, sf_dir):
     return read_dataset(spark, target)
 
 
-@query
+@query("backfill_again")
 def backfill_again(spark, sf_dir):
     """All days written, then run again with a job that leaves early days empty: their old rows go."""
     source = events_by_day(spark, sf_dir)
@@ -503,7 +505,7 @@ def backfill_again(spark, sf_dir):
     return read_dataset(spark, target)
 
 
-@query
+@query("triggered_backfill")
 def triggered_backfill(spark, sf_dir):
     """A schedule run for the slots that are due: days whose input is marked, less the one done before."""
     source = events_by_day(spark, sf_dir)
@@ -518,7 +520,7 @@ def triggered_backfill(spark, sf_dir):
     return read_dataset(spark, target)
 
 
-@query
+@query("ensure_dataset_evolves")
 def dataset_evolved(spark, sf_dir):
     """Rows from before a column was added read as NULL in it."""
     name = work_path(spark, "evolved")
@@ -535,7 +537,7 @@ def dataset_evolved(spark, sf_dir):
     return read_dataset(spark, View("dataset:" + name, wider.schema))
 
 
-@query
+@query("save_nonempty")
 def saved_nonempty(spark, sf_dir):
     target = new_dataset(spark, "saved", EVENTS)
     saved = [save_nonempty(rows, target) for rows in (
@@ -544,7 +546,7 @@ def saved_nonempty(spark, sf_dir):
         {"first_saved": F.lit(int(saved[0])), "second_saved": F.lit(int(saved[1]))})
 
 
-@query
+@query("map_columns_round_trip")
 def map_columns(spark, sf_dir):
     """Map columns written and read back, shown as one row per entry."""
     pairs = T.MapType(T.StringType(), T.StringType())
@@ -561,7 +563,7 @@ def _topic(spark: SparkSession, label: str, schema: T.StructType = EVENTS) -> To
     return Topic(work_path(spark, label), schema)
 
 
-@query
+@query("topic_round_trip")
 def topic_round_trip(spark, sf_dir):
     topic = _topic(spark, "topic")
     write_topic(events(spark, sf_dir), topic)
@@ -578,7 +580,7 @@ def topic_to_topic_job(input_stream):
     return input_stream
 
 
-@query
+@query("stream_topic_to_dataset")
 def stream_topic_to_dataset(spark, sf_dir):
     topic = _topic(spark, "topic")
     write_topic(events(spark, sf_dir), topic)
@@ -589,7 +591,7 @@ def stream_topic_to_dataset(spark, sf_dir):
     return read_dataset(spark, target).select(*EVENTS.names)
 
 
-@query
+@query("stream_topic_to_topic")
 def stream_topic_to_topic(spark, sf_dir):
     source, target = _topic(spark, "topic"), _topic(spark, "topic")
     write_topic(events(spark, sf_dir), source)

@@ -55,6 +55,14 @@ class View:
         added = [T.StructField(part, T.IntegerType()) for part in self.parts if part not in known]
         return T.StructType([*self.schema.fields, *added])
 
+    def slot_value(self, column: str) -> Column:
+        """The value a constraint gives a partition column, as its type; a number is an INT where no schema says."""
+        value = self.constraints[column]
+        schema = self.full_schema
+        if schema is not None and column in schema.fieldNames():
+            return F.lit(value).cast(schema[column].dataType)
+        return F.lit(int(value)) if value.isdigit() else F.lit(value)
+
     def at(self, nominal_time: str | dt.datetime) -> View:
         return replace(self, uri=fill_template(self.uri, as_nominal(nominal_time)))
 
@@ -80,8 +88,7 @@ def read_view(spark: SparkSession, view: View | str) -> DataFrame:
     """
     view = as_view(view)
     left = dict(view.constraints)
-    open_holes = [v for v in left.values() if v in HOLES]
-    if open_holes:
+    if any("${" in value for value in left.values()):
         raise ValueError(f"{view.uri} still has holes: give a nominal time")
     folders = []
     if view.parsed.table is None:

@@ -235,3 +235,18 @@ def test_hot_slot_is_split_over_tasks(spark, folder):
     back = read_dataset(spark, dataset)
     assert back.count() == 300_000
     assert len(refine(back, hour=0).inputFiles()) > 4
+
+
+def test_slots_named_by_text(spark, folder, database):
+    """A partition column may be text: its value goes into folder names and statements as such."""
+    for dataset in (folder("regions"), f"hive:{database}/regions"):
+        schema = T.StructType([*USER.fields, T.StructField("region", T.StringType()), T.StructField("day", T.IntegerType())])
+        view = View(f"view:{dataset}?region=eu-west&day=5", schema, ("region", "day"))
+        ensure_dataset(spark, view.dataset())
+        write_view(users(spark, 3), view)
+        write_view(users(spark, 1), View(f"view:{dataset}?region=us&day=05", schema, ("region", "day")))
+        save_nonempty(users(spark, 2), view)
+        assert read_view(spark, view).count() == 5
+        assert {(r.region, r.day) for r in read_dataset(spark, view).collect()} == {("eu-west", 5), ("us", 5)}
+    with pytest.raises(ValueError, match="cannot name a slot"):
+        write_view(users(spark, 1), View("view:" + folder("regions") + "?region=a%2Fb&day=5", schema, ("region", "day")))
