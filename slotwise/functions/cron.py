@@ -186,7 +186,8 @@ def slot_of(ts: Column, cron: Cron) -> Column:
     def by_hour() -> Column:
         last = hour - F.when(minute < f.minute_at, 1).otherwise(0)
         # Before the first slot of the day: the last one of the day before.
-        return F.when(last < 0, F.lit(LAST_HOUR - 24) - F.lit(LAST_HOUR) % f.hour_step).otherwise(last - last % f.hour_step) * 60 + f.minute_at
+        day_before = F.lit(LAST_HOUR - 24) - F.lit(LAST_HOUR) % f.hour_step
+        return F.when(last < 0, day_before).otherwise(last - last % f.hour_step) * 60 + f.minute_at
 
     def by_day() -> Column:
         once = _column(f.hour_at) * 60 + f.minute_at

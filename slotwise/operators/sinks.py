@@ -5,7 +5,8 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
+from pyspark.sql import functions as F
 
 from slotwise.functions.timeparts import parts_upto, with_time_parts
 from slotwise.sources.datasets import View, as_view
@@ -116,17 +117,20 @@ def write_time_partitioned(df: DataFrame, view: View | str, ts: str, upto: str =
 
 
 def save_nonempty(df: DataFrame, view: View | str) -> bool:
-    """Append ``df`` to a view unless it has no rows; tells whether it was written.
+    """Append ``df`` to a view unless it has no rows; tells whether rows were written.
 
-    The check stops at the first row found. An expensive ``df`` should be checkpointed or written first, as it
-    is run for the check and for the write.
+    A partitioned dataset gets no folder from an empty write, so ``df`` is run once and its rows are counted on
+    the way. For one without partitions a first row is looked for, and ``df`` is run again from there.
     """
     view = as_view(view)
-    if df.isEmpty():
-        return False
-    if view.constraints:
-        slot = {part: view.slot_value(part) for part in view.constraints}
-        append(df.drop(*slot).withColumns(slot), view, view.parts or list(slot))
-    else:
+    slot = {part: view.slot_value(part) for part in view.constraints}
+    parts = view.parts or list(slot)
+    if not parts:
+        if df.isEmpty():
+            return False
         append(df, view)
-    return True
+        return True
+    written = Observation()
+    rows = df.drop(*slot).withColumns(slot).observe(written, F.count(F.lit(1)).alias("rows"))
+    append(rows, view, parts)
+    return written.get["rows"] > 0

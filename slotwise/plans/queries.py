@@ -10,8 +10,8 @@ from pyspark.sql import types as T
 
 from slotwise.functions.cron import CronFields, audit_schedules, next_fire, slot_of, with_cron_fields
 from slotwise.functions.timeparts import (
-    format_nominal, from_millis, nominal_literal, parse_nominal, parts_upto, render_template, slot_time, time_parts,
-    to_millis, with_time_parts,
+    format_nominal, from_millis, nominal_literal, parse_nominal, parts_upto, render_template, slot_time, to_millis,
+    with_time_parts,
 )
 from slotwise.functions.uris import parse_view_uri
 from slotwise.operators.readiness import (

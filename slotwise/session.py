@@ -57,6 +57,11 @@ def work_path(spark: SparkSession, label: str) -> str:
     return fs.makeQualified(hadoop_path).toString()
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    hadoop_path, fs = _hadoop(spark, path)
+    return fs.exists(hadoop_path)
+
+
 def delete_path(spark: SparkSession, path: str) -> bool:
     hadoop_path, fs = _hadoop(spark, path)
     return fs.delete(hadoop_path, True)

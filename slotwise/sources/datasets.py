@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from slotwise.functions.timeparts import HOLES, as_nominal, fill_template
 from slotwise.functions.uris import Uri, split_uri
+from slotwise.session import path_exists
 
 
 @dataclass(frozen=True)
@@ -145,10 +146,12 @@ def _load(spark: SparkSession, view: View, folders: list[tuple[str, str]]) -> Da
     try:
         return reader.option("basePath", root).parquet("/".join([root, *(_folder(*f) for f in folders)]))
     except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
+        # Without a folder the slot is empty; without the dataset's own folder it is an error.
+        if error.getCondition() != "PATH_NOT_FOUND" or not path_exists(spark, root):
             raise
-        # The slot has no folder: an empty read of the table, so a missing table is still an error.
-        return reader.parquet(root).where(F.lit(False))
+    if view.full_schema is not None:
+        return spark.createDataFrame([], view.full_schema)
+    return reader.parquet(root).where(F.lit(False))
 
 
 def _folder(part: str, value: str) -> str:

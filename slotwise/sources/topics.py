@@ -25,9 +25,9 @@ JSON_OPTIONS = {
 class Topic:
     """A topic and the schema of its records.
 
-    ``name`` is the topic's name at a ``kafka`` broker, or its folder when ``format`` is ``parquet``. ``options`` go to the source or
-    sink unchanged (``kafka.bootstrap.servers``, ``maxOffsetsPerTrigger``, ``maxFilesPerTrigger`` ...).
-    Records are JSON unless ``avro_schema`` is given.
+    ``name`` is the topic's name at a ``kafka`` broker, or its folder when ``format`` is ``parquet``. ``options``
+    go to the source or sink unchanged (``kafka.bootstrap.servers``, ``maxOffsetsPerTrigger``,
+    ``maxFilesPerTrigger`` ...). Records are JSON unless ``avro_schema`` is given.
     """
 
     name: str

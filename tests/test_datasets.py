@@ -171,6 +171,8 @@ def test_save_nonempty(spark, folder):
     assert save_nonempty(users(spark, 3), dataset)
     assert read_dataset(spark, dataset).count() == 6
     slot = hourly(folder, "slots").at(NOON)
+    assert not save_nonempty(users(spark, 0), slot)
+    assert not [name for name in os.listdir(folder("slots").removeprefix("file:")) if name.startswith("year")]
     assert save_nonempty(users(spark, 3), slot) and not save_nonempty(users(spark, 0), slot)
     assert read_view(spark, slot).count() == 3
 
@@ -240,7 +242,8 @@ def test_hot_slot_is_split_over_tasks(spark, folder):
 def test_slots_named_by_text(spark, folder, database):
     """A partition column may be text: its value goes into folder names and statements as such."""
     for dataset in (folder("regions"), f"hive:{database}/regions"):
-        schema = T.StructType([*USER.fields, T.StructField("region", T.StringType()), T.StructField("day", T.IntegerType())])
+        schema = T.StructType([*USER.fields, T.StructField("region", T.StringType()),
+                               T.StructField("day", T.IntegerType())])
         view = View(f"view:{dataset}?region=eu-west&day=5", schema, ("region", "day"))
         ensure_dataset(spark, view.dataset())
         write_view(users(spark, 3), view)

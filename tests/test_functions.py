@@ -79,7 +79,8 @@ URIS = [
 
 def test_parse_view_uri(spark):
     df = spark.createDataFrame([(i, uri) for i, (uri, _) in enumerate(URIS)], "n int, uri string")
-    rows = df.orderBy("n").select(parse_view_uri(F.col("uri")).alias("u"), parse_view_uri(F.col("uri"), True).alias("d")).collect()
+    rows = df.orderBy("n").select(
+        parse_view_uri(F.col("uri")).alias("u"), parse_view_uri(F.col("uri"), True).alias("d")).collect()
     assert [tuple(r.u) for r in rows] == [wanted for _, wanted in URIS]
     assert rows[-1].d.constraints == {"a": "b c"}
 

@@ -98,8 +98,10 @@ def test_settings_reach_the_job(spark, folder):
     @job("write-config", inputs=[], outputs={"kv": KEY_VALUES})
     def write_config(slots, settings):
         as_map = lambda d: F.create_map(*(F.lit(x) for item in d.items() for x in item))
-        return slots.select(as_map(settings).alias("jobsettings"), F.lit(None).cast("map<string,string>").alias("inputsettings"),
-                            as_map(output_settings(settings, "kv")).alias("outputsettings"))
+        return slots.select(
+            as_map(settings).alias("jobsettings"),
+            F.lit(None).cast("map<string,string>").alias("inputsettings"),
+            as_map(output_settings(settings, "kv")).alias("outputsettings"))
 
     target = View("dataset:" + folder("kv"), KEY_VALUES)
     run_at(spark, write_config, FIRST, {}, {"kv": target}, settings={
