@@ -16,12 +16,12 @@ from dataclasses import field as dataclass_field
 from urllib.parse import urlencode
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from slotwise.functions.cron import next_fire, parse_cron
+from slotwise.functions.cron import next_fire, parse_cron, plain_step, slot_of
 from slotwise.functions.timeparts import HOLES, as_nominal, nominal_literal, slot_time, time_parts
 from slotwise.operators.readiness import SLOT, mark_ready, pending_slots, ready_marks
 from slotwise.operators.sinks import cluster_by_slot, overwrite_slots, partition_spec, slot_folder, write_view
@@ -104,12 +104,17 @@ def check_record(df: DataFrame, schema: T.StructType | None, what: str) -> None:
             raise TypeError(f"{what}: {field.name} should be {wanted}, is {given}")
 
 
+# From the nominal time of a run to the time that fills the view of an input.
+Instance = Callable[[Column], Column]
+
+
 def run_at(spark: SparkSession, job: Job, nominal_time: str | dt.datetime, inputs: Mapping[str, View | str],
            outputs: Mapping[str, View | str], markers: View | str | None = None,
-           settings: Mapping[str, str] | None = None) -> None:
+           settings: Mapping[str, str] | None = None, instances: Mapping[str, Instance] | None = None) -> None:
     """Run a job for one slot: read its views, replace the slot of each output, then mark the outputs ready.
 
-    Outputs are marked even if they came out empty; a run that fails marks nothing.
+    Outputs are marked even if they came out empty; a run that fails marks nothing. Views are filled from the
+    nominal time, those of inputs in ``instances`` from the time these give for it.
     """
     job.check_names(inputs, outputs)
     outputs = {name: as_view(view) for name, view in outputs.items()}
@@ -118,7 +123,10 @@ def run_at(spark: SparkSession, job: Job, nominal_time: str | dt.datetime, input
     frames = {}
     for name, view in inputs.items():
         view = as_view(view)
-        frames[name] = read_at(spark, view, nominal_time).drop(*view.slot_parts).withColumn(SLOT, now)
+        at = nominal_time
+        if name in (instances or {}):
+            at = slots.select(instances[name](F.col(SLOT))).first()[0]
+        frames[name] = read_at(spark, view, at).drop(*view.slot_parts).withColumn(SLOT, now)
     results = job(frames, slots=slots, settings=job_settings(settings or {}, job.name))
     for name, rows in results.items():
         write_view(rows.drop(SLOT), outputs[name].at(nominal_time))
@@ -127,7 +135,8 @@ def run_at(spark: SparkSession, job: Job, nominal_time: str | dt.datetime, input
 
 def backfill(spark: SparkSession, job: Job, slots: DataFrame, inputs: Mapping[str, View | str],
              outputs: Mapping[str, View | str], markers: View | str | None = None,
-             settings: Mapping[str, str] | None = None, clustered: bool = False) -> None:
+             settings: Mapping[str, str] | None = None, instances: Mapping[str, Instance] | None = None,
+             clustered: bool = False) -> None:
     """Run a job for many slots at once: one plan and one write per output, whatever the number of slots.
 
     Slots that are run again are replaced, also those that come out empty. ``clustered=True`` leaves out the
@@ -145,7 +154,10 @@ def backfill(spark: SparkSession, job: Job, slots: DataFrame, inputs: Mapping[st
     if not size:
         return
     bounds = Bounds(size, first, last)
-    frames = {name: _slot_rows(spark, slots, bounds, name, as_view(view)) for name, view in inputs.items()}
+    frames = {
+        name: _slot_rows(spark, slots, bounds, name, as_view(view), (instances or {}).get(name, _itself))
+        for name, view in inputs.items()
+    }
     results = job(frames, slots=slots, settings=job_settings(settings or {}, job.name))
     for name, rows in results.items():
         if SLOT not in rows.columns:
@@ -167,33 +179,40 @@ class Bounds:
         return F.broadcast(slots) if self.size <= BROADCAST_SLOTS else slots
 
 
-def _slot_keys(slots: DataFrame, view: View) -> DataFrame:
+def _itself(nominal_time: Column) -> Column:
+    return nominal_time
+
+
+def _slot_keys(slots: DataFrame, view: View, instance: Instance = _itself) -> DataFrame:
     """Each slot with the partition values that the view's holes take for it."""
-    parts = time_parts(F.col(SLOT))
-    return slots.select(SLOT, *(parts[part].alias(column) for column, part in view.slot_parts.items()))
+    parts = time_parts(F.col("_instance"))
+    keyed = slots.withColumn("_instance", instance(F.col(SLOT)))
+    return keyed.select(SLOT, *(parts[part].alias(column) for column, part in view.slot_parts.items()))
 
 
-def _within(rows: DataFrame, bounds: Bounds, view: View) -> DataFrame:
+def _within(rows: DataFrame, bounds: Bounds, view: View, instance: Instance = _itself) -> DataFrame:
     """Keep the folders between the first and the last slot; the filter names partition columns only."""
     column_of = {part: column for column, part in view.slot_parts.items()}
     if "year" not in column_of:
         return rows
     year = F.col(column_of["year"])
     at = slot_time({part: F.col(column) for part, column in column_of.items()})
-    first = time_parts(nominal_literal(bounds.first))
+    first, last = (instance(nominal_literal(bound)) for bound in (bounds.first, bounds.last))
+    of_first = time_parts(first)
     return rows.where(
-        year.between(bounds.first.year, bounds.last.year)
-        & (at >= slot_time({part: first[part] for part in column_of}))
-        & (at <= nominal_literal(bounds.last)))
+        year.between(F.year(first), F.year(last))
+        & (at >= slot_time({part: of_first[part] for part in column_of}))
+        & (at <= last))
 
 
-def _slot_rows(spark: SparkSession, slots: DataFrame, bounds: Bounds, name: str, view: View) -> DataFrame:
+def _slot_rows(spark: SparkSession, slots: DataFrame, bounds: Bounds, name: str, view: View,
+               instance: Instance = _itself) -> DataFrame:
     """The rows of an input for all slots, each with its nominal time; slots that share a folder share its rows."""
     if not view.slot_parts:
         raise ValueError(f"input {name}: a backfill needs time holes in {view.uri}")
     rows = _fixed_part(read_dataset(spark, view), view)
-    keys = bounds.small(_slot_keys(slots, view))
-    return _within(rows, bounds, view).join(keys, list(view.slot_parts)).drop(*view.slot_parts)
+    keys = bounds.small(_slot_keys(slots, view, instance))
+    return _within(rows, bounds, view, instance).join(keys, list(view.slot_parts)).drop(*view.slot_parts)
 
 
 def _fixed_part(rows: DataFrame, view: View) -> DataFrame:
@@ -261,9 +280,11 @@ def _mark(slots: DataFrame, outputs: Mapping[str, View], markers: View | str | N
 
 @dataclass(frozen=True)
 class Schedule:
-    """A job, its slots and its views. ``input_crons`` says when the data of an input arrives (default: each slot).
+    """A job, its slots and its views.
 
-    Outputs arrive with the job's own slots.
+    Inputs and outputs arrive with the job's slots. An input with slots of its own, in ``input_crons``, is taken
+    at its latest instance at or before the nominal time. Instances keep a fixed stride, counted from the first
+    slot after ``start_at``; without one, schedules whose slots have that stride anyway can be used.
     """
 
     job: Job
@@ -271,13 +292,26 @@ class Schedule:
     outputs: Mapping[str, View]
     inputs: Mapping[str, View] = dataclass_field(default_factory=dict)
     input_crons: Mapping[str, str] = dataclass_field(default_factory=dict)
+    start_at: str | dt.datetime | None = None
 
     def __post_init__(self) -> None:
-        for cron in (self.cron, *self.input_crons.values()):
-            parse_cron(cron)
+        parse_cron(self.cron)
         self.job.check_names(self.inputs, self.outputs)
         if set(self.input_crons) - set(self.inputs):
             raise ValueError(f"no input {', '.join(sorted(set(self.input_crons) - set(self.inputs)))}")
+        for name, cron in self.input_crons.items():
+            uneven = plain_step(cron) is None or parse_cron(cron).day_step > 1
+            if uneven and self.start_at is None:
+                raise ValueError(f"input {name}: the stride of {cron!r} needs start_at")
+
+    def instances(self) -> dict[str, Instance]:
+        """For inputs with slots of their own, the instance that a run sees."""
+        def of(cron: str) -> Instance:
+            if self.start_at is None:
+                return lambda nominal: slot_of(nominal, cron)
+            return lambda nominal: instance_at(nominal, next_fire(nominal_literal(self.start_at), cron), cron)
+
+        return {name: of(cron) for name, cron in self.input_crons.items()}
 
     def slots(self, spark: SparkSession, start: str | dt.datetime, end: str | dt.datetime) -> DataFrame:
         """The nominal times from the next slot after ``start`` up to ``end``, ``end`` left out."""
@@ -290,20 +324,16 @@ class Schedule:
     def due(self, spark: SparkSession, markers: View | str, start: str | dt.datetime,
             end: str | dt.datetime) -> DataFrame:
         """The slots to run now: every input has marked the instance the slot needs, an output lacks its mark."""
-        slots = self.slots(spark, start, end)
-        ready, instances = {}, {}
-        for name, view in self.inputs.items():
-            cron = self.input_crons.get(name, self.cron)
-            ready[name] = ready_marks(spark, markers, view.name)
-            instances[name] = instance_at(F.col(SLOT), next_fire(nominal_literal(start), cron), cron)
+        ready = {name: ready_marks(spark, markers, view.name) for name, view in self.inputs.items()}
         done = {name: ready_marks(spark, markers, view.name) for name, view in self.outputs.items()}
-        return pending_slots(slots, ready, done, instances)
+        instances = {name: instance(F.col(SLOT)) for name, instance in self.instances().items()}
+        return pending_slots(self.slots(spark, start, end), ready, done, instances)
 
     def run_at(self, spark: SparkSession, nominal_time: str | dt.datetime, **options) -> None:
-        run_at(spark, self.job, nominal_time, self.inputs, self.outputs, **options)
+        run_at(spark, self.job, nominal_time, self.inputs, self.outputs, instances=self.instances(), **options)
 
     def backfill(self, spark: SparkSession, slots: DataFrame, **options) -> None:
-        backfill(spark, self.job, slots, self.inputs, self.outputs, **options)
+        backfill(spark, self.job, slots, self.inputs, self.outputs, instances=self.instances(), **options)
 
 
 def run_schedules(spark: SparkSession, schedules: Iterable[Schedule], nominal_time: str | dt.datetime,

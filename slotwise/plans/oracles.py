@@ -14,6 +14,8 @@ ORACLES["event_count_by_user"] = "SELECT user_id, count(*) AS event_count FROM e
 ORACLES["event_keys"] = "SELECT user_id FROM events"
 ORACLES["row_count"] = "SELECT count(*) AS row_count FROM events"
 ORACLES["view_scan_one_day"] = f"SELECT {EVENT}, {DAY} FROM events WHERE {ON_SLOT_DAY}"
+ORACLES["view_scan_one_hour"] = (
+    f"SELECT {EVENT}, {HOUR} FROM events WHERE date_trunc('hour', ts) = TIMESTAMP '2024-01-15 12:00:00'")
 ORACLES["read_at_nominal"] = f"SELECT {EVENT}, {DAY} FROM events WHERE CAST(ts AS DATE) = DATE '2024-01-20'"
 ORACLES["read_whole_dataset"] = f"SELECT {EVENT}, {DAY} FROM events"
 ORACLES["refine_partition_and_data"] = (

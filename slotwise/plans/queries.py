@@ -111,10 +111,20 @@ def event_row_count(spark, sf_dir):
 
 
 @query("view_scan_one_day")
-def view_scan(spark, sf_dir):
+def view_scan_one_day(spark, sf_dir):
     return read_view(spark, view_of(events_by_day(spark, sf_dir), "?year=2024&month=1&day=15"))
 
 
+@query("view_scan_one_hour")
+def view_scan_one_hour(spark, sf_dir):
+    """Constraints on folders and on a field: the day is listed, the hour is a filter in the scan."""
+    schema = T.StructType([*EVENTS.fields, T.StructField("hour", T.IntegerType())])
+    dataset = new_dataset(spark, "events", schema, DAY)
+    with_hour = events(spark, sf_dir).withColumn("hour", F.hour("ts"))
+    write_time_partitioned(with_hour, dataset, "ts", "day")
+    return read_view(spark, view_of(dataset, "?year=2024&month=1&day=15&hour=12"))
+
+
 @query("read_at_nominal")
 def read_at_nominal(spark, sf_dir):
     return read_at(spark, view_of(events_by_day(spark, sf_dir), DAY_HOLES), "2024-01-20T12:30Z")

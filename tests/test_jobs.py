@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import os
+from dataclasses import replace
 
 import pandas as pd
 import pytest
@@ -280,6 +281,42 @@ def test_due_looks_up_the_instance_of_a_slower_input(spark, folder):
         dt.datetime(2015, 5, 7, 13, m) for m in (0, 20, 40)]
 
 
+def test_runs_read_the_instance_of_a_slower_input(spark, folder):
+    """A daily input that arrives at six: runs before six read the day before. One run and many agree."""
+    daily = View("view:" + folder("daily") + "?year=${YEAR}&month=${MONTH}&day=${DAY}", EVENT, parts_upto("day"))
+    for day in (6, 7):
+        run_at(spark, generator, dt.datetime(2015, 5, day), {}, {"example_events": daily})
+
+    def schedule(name, **options):
+        return Schedule(slot_report, "0 */3 * * *", outputs={"report": by_minute(folder, name, REPORT)},
+                        inputs={"example_events": daily}, input_crons={"example_events": "0 6 * * *"}, **options)
+
+    @job("first-event", inputs={"example_events": EVENT}, outputs=["report"])
+    def days(example_events):
+        return example_events.groupBy("nominal_time").agg(F.min("timestamp").alias("first"))
+
+    times = [dt.datetime(2015, 5, 7, hour) for hour in (0, 3, 6, 9)]
+    wanted = {t: dt.datetime(2015, 5, 6 if t.hour < 6 else 7) for t in times}
+    for options in ({}, {"start_at": "2015-05-01T00:00Z"}):
+        single = replace(schedule("unused"), job=days, outputs={"report": by_minute(folder, f"one{len(options)}", None)},
+                         **options)
+        for t in times:
+            single.run_at(spark, t)
+        many = replace(single, outputs={"report": by_minute(folder, f"many{len(options)}", None)})
+        many.backfill(spark, slot_table(spark, times))
+        for s in (single, many):
+            rows = read_dataset(spark, s.outputs["report"]).collect()
+            assert {dt.datetime(r.year, r.month, r.day, r.hour, r.minute): r.first for r in rows} == wanted
+
+    for cron in ("*/7 * * * *", "0 12 */7 * *"):
+        with pytest.raises(ValueError, match="needs start_at"):
+            Schedule(slot_report, "0 * * * *", outputs=single.outputs, inputs={"example_events": daily},
+                     input_crons={"example_events": cron})
+    with pytest.raises(ValueError, match="no input other"):
+        Schedule(slot_report, "0 * * * *", outputs=single.outputs, inputs={"example_events": daily},
+                 input_crons={"other": "0 * * * *"})
+
+
 def test_record_functions_in_a_job(spark, folder):
     """A job may call Python per batch where no expression does the work."""
     def shout(batches):
