@@ -28,7 +28,7 @@ from slotwise.operators.sinks import cluster_by_slot, overwrite_slots, partition
 from slotwise.operators.slots import fire_slots, instance_at
 from slotwise.plans.settings import job_settings
 from slotwise.session import delete_path, shared_dir
-from slotwise.sources.datasets import View, as_view, read_at, read_dataset
+from slotwise.sources.datasets import View, as_view, load, read_at
 from slotwise.sources.topics import Topic, read_topic
 from slotwise.streaming.sinks import BATCH_INTERVAL, stream_to_dataset, stream_to_topic
 
@@ -178,6 +178,11 @@ class Bounds:
         """Broadcast a table of slots of known, small size; a larger one is left to the join strategies."""
         return F.broadcast(slots) if self.size <= BROADCAST_SLOTS else slots
 
+    def of_instances(self, spark: SparkSession, instance: Instance) -> Bounds:
+        """The first and the last instance; instances keep the order of their slots."""
+        ends = (instance(nominal_literal(end)).alias(name) for name, end in (("a", self.first), ("b", self.last)))
+        return Bounds(self.size, *spark.range(1).select(*ends).first())
+
 
 def _itself(nominal_time: Column) -> Column:
     return nominal_time
@@ -190,19 +195,27 @@ def _slot_keys(slots: DataFrame, view: View, instance: Instance = _itself) -> Da
     return keyed.select(SLOT, *(parts[part].alias(column) for column, part in view.slot_parts.items()))
 
 
-def _within(rows: DataFrame, bounds: Bounds, view: View, instance: Instance = _itself) -> DataFrame:
-    """Keep the folders between the first and the last slot; the filter names partition columns only."""
+def _within(spark: SparkSession, view: View, bounds: Bounds) -> DataFrame:
+    """What a view's dataset holds between two times.
+
+    The folder that both times share is listed, and below it a filter that names partition columns only.
+    """
+    folders = []
+    for column in view.parts:
+        part = view.slot_parts.get(column)
+        if part is None or getattr(bounds.first, part) != getattr(bounds.last, part):
+            break
+        folders.append((column, getattr(bounds.first, part)))
+    rows = _fixed_part(load(spark, view.dataset(), folders), view)
     column_of = {part: column for column, part in view.slot_parts.items()}
     if "year" not in column_of:
         return rows
-    year = F.col(column_of["year"])
     at = slot_time({part: F.col(column) for part, column in column_of.items()})
-    first, last = (instance(nominal_literal(bound)) for bound in (bounds.first, bounds.last))
-    of_first = time_parts(first)
+    of_first = time_parts(nominal_literal(bounds.first))
     return rows.where(
-        year.between(F.year(first), F.year(last))
+        F.col(column_of["year"]).between(bounds.first.year, bounds.last.year)
         & (at >= slot_time({part: of_first[part] for part in column_of}))
-        & (at <= last))
+        & (at <= nominal_literal(bounds.last)))
 
 
 def _slot_rows(spark: SparkSession, slots: DataFrame, bounds: Bounds, name: str, view: View,
@@ -210,9 +223,10 @@ def _slot_rows(spark: SparkSession, slots: DataFrame, bounds: Bounds, name: str,
     """The rows of an input for all slots, each with its nominal time; slots that share a folder share its rows."""
     if not view.slot_parts:
         raise ValueError(f"input {name}: a backfill needs time holes in {view.uri}")
-    rows = _fixed_part(read_dataset(spark, view), view)
     keys = bounds.small(_slot_keys(slots, view, instance))
-    return _within(rows, bounds, view, instance).join(keys, list(view.slot_parts)).drop(*view.slot_parts)
+    if instance is not _itself:
+        bounds = bounds.of_instances(spark, instance)
+    return _within(spark, view, bounds).join(keys, list(view.slot_parts)).drop(*view.slot_parts)
 
 
 def _fixed_part(rows: DataFrame, view: View) -> DataFrame:
@@ -245,8 +259,7 @@ def _stale_slots(spark: SparkSession, slots: DataFrame, bounds: Bounds, rows: Da
     """
     keys = bounds.small(_slot_keys(slots, view)).select(*view.slot_parts)
     try:
-        target = _fixed_part(read_dataset(spark, view), view)
-        held = _within(target, bounds, view).join(keys, list(view.slot_parts), "left_semi").select(*order).distinct()
+        held = _within(spark, view, bounds).join(keys, list(view.slot_parts), "left_semi").select(*order).distinct()
         if held.isEmpty():
             return []
     except AnalysisException as error:

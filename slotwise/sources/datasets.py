@@ -78,7 +78,7 @@ def as_view(view: View | str) -> View:
 
 def read_dataset(spark: SparkSession, view: View | str) -> DataFrame:
     """Every record of the dataset a URI names, constraints left aside."""
-    return _load(spark, as_view(view).dataset(), [])
+    return load(spark, as_view(view).dataset())
 
 
 def read_view(spark: SparkSession, view: View | str) -> DataFrame:
@@ -88,16 +88,14 @@ def read_view(spark: SparkSession, view: View | str) -> DataFrame:
     listing; the rest are filters.
     """
     view = as_view(view)
-    left = dict(view.constraints)
-    if any("${" in value for value in left.values()):
+    if any("${" in value for value in view.constraints.values()):
         raise ValueError(f"{view.uri} still has holes: give a nominal time")
     folders = []
-    if view.parsed.table is None:
-        for part in view.parts:
-            if not left.get(part, "").isdigit():
-                break
-            folders.append((part, str(int(left[part]))))
-    return refine(_load(spark, view, folders), **left)
+    for part in view.parts:
+        if not view.constraints.get(part, "").isdigit():
+            break
+        folders.append((part, int(view.constraints[part])))
+    return refine(load(spark, view, folders), **view.constraints)
 
 
 def read_at(spark: SparkSession, template: View | str, nominal_time: str | dt.datetime) -> DataFrame:
@@ -134,7 +132,8 @@ def list_partitions(spark: SparkSession, view: View | str) -> DataFrame:
     return names.select(*(values[part].cast(schema[part].dataType).alias(part) for part in parts))
 
 
-def _load(spark: SparkSession, view: View, folders: list[tuple[str, str]]) -> DataFrame:
+def load(spark: SparkSession, view: View, folders: Sequence[tuple[str, int]] = ()) -> DataFrame:
+    """A dataset, or what lies below one of its folders; a catalog table knows its folders itself."""
     if view.parsed.table is not None:
         return spark.table(view.parsed.table)
     reader = spark.read.options(**(view.options or {}))
@@ -154,9 +153,9 @@ def _load(spark: SparkSession, view: View, folders: list[tuple[str, str]]) -> Da
     return reader.parquet(root).where(F.lit(False))
 
 
-def _folder(part: str, value: str) -> str:
+def _folder(part: str, value: int) -> str:
     """``month=5`` as written here, or ``month=05`` as other writers pad it."""
-    return f"{part}={{{value},0{value}}}" if len(value) == 1 else f"{part}={value}"
+    return f"{part}={{{value},0{value}}}" if value < 10 else f"{part}={value}"
 
 
 def ensure_dataset(spark: SparkSession, view: View, location: str | None = None) -> View:

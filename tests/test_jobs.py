@@ -236,12 +236,20 @@ def test_backfill_refuses_what_it_cannot_split(spark, folder):
 def test_backfill_reads_only_the_folders_of_its_slots(spark, folder):
     from slotwise.plans import jobs
     events = by_minute(folder, "events")
-    backfill(spark, generator, slot_table(spark, minutes(6)), {}, {"example_events": events})
-    slots = slot_table(spark, minutes(6)[2:4])
-    rows = jobs._slot_rows(spark, slots, jobs.Bounds(2, minutes(6)[2], minutes(6)[3]), "e", events)
-    plan = rows._jdf.queryExecution().executedPlan().toString()
-    assert "make_timestamp_ntz" in plan.partition("PartitionFilters")[2].partition("PushedFilters")[0] or "..." in plan
+    times = minutes(6) + [FIRST + dt.timedelta(days=400)]
+    backfill(spark, generator, slot_table(spark, times), {}, {"example_events": events})
+    slots = slot_table(spark, times[2:4])
+    rows = jobs._slot_rows(spark, slots, jobs.Bounds(2, times[2], times[3]), "e", events)
     assert rows.count() == 20
+    # Only the hour that both slots share is listed, and only their minutes are read.
+    formatted = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+    scans = rows._jdf.queryExecution().explainString(formatted)
+    filters = next(line for line in scans.splitlines() if line.startswith("PartitionFilters"))
+    assert "make_timestamp_ntz(year" in filters and "dynamicpruning" in filters
+    assert len(rows.inputFiles()) == 6
+    assert all("/year=2015/month=5/day=7/hour=12/" in name for name in rows.inputFiles())
+    apart = jobs._slot_rows(spark, slot_table(spark, times), jobs.Bounds(7, times[0], times[-1]), "e", events)
+    assert apart.count() == 70
 
 
 def test_large_slot_tables_are_not_broadcast(spark):
