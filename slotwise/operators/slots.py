@@ -88,8 +88,12 @@ def slots_with_data(events: DataFrame, cron: str, ts: str = "ts") -> DataFrame:
 def instance_at(nominal: Column, initial: Column, cron: str | Column) -> Column:
     """The data instance a run at ``nominal`` sees: the latest at or before it on a fixed stride from ``initial``.
 
-    A stride of seven minutes runs on across the hour, where the slots of ``*/7`` start again at minute 0.
+    ``initial`` is a slot, so a whole minute. A stride of seven minutes runs on across the hour, where the slots
+    of ``*/7`` start again at minute 0.
     """
-    step = stride_minutes(cron) * 60
-    apart = (nominal - initial).cast("interval second").cast("decimal(24,6)")
-    return nominal - F.make_dt_interval(secs=F.pmod(apart, step.cast("decimal(24,6)")).cast("decimal(18,6)"))
+    past = F.pmod(_epoch_minute(nominal) - _epoch_minute(initial), stride_minutes(cron))
+    return start_of_day(nominal) + F.make_dt_interval(mins=(minute_of_day(nominal) - past).cast("int"))
+
+
+def _epoch_minute(ts: Column) -> Column:
+    return F.unix_date(ts.cast("date")).cast("long") * 1440 + minute_of_day(ts)
