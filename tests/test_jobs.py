@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from slotwise.functions.timeparts import parts_upto
 from slotwise.operators.readiness import mark_ready, ready_marks
+from slotwise.operators.sinks import write_time_partitioned
 from slotwise.operators.transforms import count_by_key, odd_users, union_inputs
 from slotwise.plans.jobs import Job, Schedule, backfill, job, run_at, run_schedules
 from slotwise.plans.settings import output_settings
@@ -261,6 +262,41 @@ def test_large_slot_tables_are_not_broadcast(spark):
     assert "broadcast" not in large._jdf.queryExecution().logical().toString().lower()
 
 
+def test_more_slots_than_are_broadcast(spark, folder, monkeypatch):
+    """Beyond the bound the slots are joined by shuffle: the result is the same, and a hot slot is split."""
+    from slotwise.plans import jobs
+    monkeypatch.setattr(jobs, "BROADCAST_SLOTS", 0)
+    changed = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "200k",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "100k",
+    }
+    before = {key: spark.conf.get(key) for key in changed}
+    events = View("view:" + folder("events") + HOUR_HOLES, EVENT, HOUR)
+    out = View("view:" + folder("out") + HOUR_HOLES, EVENT, HOUR)
+    times = [FIRST + dt.timedelta(hours=i) for i in range(12)]
+    rows = spark.range(0, 200_000, 1, 8).select(
+        F.col("id").alias("user_id"), F.sha2(F.col("id").cast("string"), 256).alias("session_id"),
+        (F.lit(FIRST.isoformat()).cast("timestamp_ntz") + F.make_dt_interval(
+            hours=F.when(F.col("id") % 3 == 0, 0).otherwise((F.col("id") % 12).cast("int")))).alias("timestamp"))
+    # Many files for the hot hour, as it would have, so that there are parts to split it by.
+    write_time_partitioned(rows, events.dataset(), "timestamp", "hour", clustered=True)
+    for key, value in changed.items():
+        spark.conf.set(key, value)
+    try:
+        joined = jobs._slot_rows(spark, slot_table(spark, times), jobs.Bounds(12, times[0], times[-1]), "e", events)
+        final = joined.select("session_id", "nominal_time")
+        assert len(final.collect()) == 200_000
+        assert "skew=true" in final._jdf.queryExecution().executedPlan().toString()
+        copy = Job("copy", lambda e: e, {"e": EVENT}, {"o": EVENT})
+        backfill(spark, copy, slot_table(spark, times), {"e": events}, {"o": out})
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+    counts = {r.hour: r.event_count for r in count_by_key(read_dataset(spark, out), "hour").collect()}
+    assert counts == {r.hour: r.event_count for r in count_by_key(read_dataset(spark, events), "hour").collect()}
+
+
 def test_triggered_schedule(spark, folder):
     """The odd-users job follows the generator's marks: it runs each slot once, when its input is there."""
     markers, events, odd = markers_of(folder), by_minute(folder, "events"), by_minute(folder, "odd")
