@@ -25,6 +25,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
+from slotwise.llm.texts import python_tasks
+
 SAMPLE_BUCKETS = 96
 SAMPLE_CHARS = 4096
 DICTIONARY_BYTES = 1 << 15
@@ -113,7 +115,7 @@ _RESULT = StructType([
 def identify(docs: DataFrame, dictionaries: dict[str, bytes], text: str = "text", min_margin: float = MIN_MARGIN,
              into: str = "language") -> DataFrame:
     """`docs` with a struct of lang_pred, score, margin and accepted."""
-    fixed = docs.sparkSession.sparkContext.broadcast(tuple(sorted(dictionaries.items())))
+    fixed = python_tasks(docs).broadcast(tuple(sorted(dictionaries.items())))
 
     @F.pandas_udf(_RESULT)
     def guess(texts: pd.Series) -> pd.DataFrame:

@@ -29,7 +29,7 @@ from pyspark.sql.types import (
     ArrayType, IntegerType, LongType, StringType, StructField, StructType,
 )
 
-from slotwise.llm.texts import map_batches
+from slotwise.llm.texts import map_batches, python_tasks
 
 WINDOW = 10
 SHINGLE = 3
@@ -191,7 +191,7 @@ def blocks(benchmark: DataFrame, chars: int = BLOCK_CHARS) -> Iterator[list[tupl
 
 def shingle_counts(docs: DataFrame, index: Index, text: str = "text") -> dict[int, int]:
     """How often each of the index's shingles stands in all documents; as many numbers as the index has shingles."""
-    fixed = docs.sparkSession.sparkContext.broadcast(index)
+    fixed = python_tasks(docs).broadcast(index)
 
     def count(batch: dict[str, list]) -> dict[str, list]:
         index = fixed.value
@@ -207,7 +207,7 @@ def shingle_counts(docs: DataFrame, index: Index, text: str = "text") -> dict[in
 def find_items(docs: DataFrame, benchmark: DataFrame, into: str = "found", text: str = "text",
                size: int = WINDOW, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """`docs` with a struct of n_words, spans and items, where spans are word places hit, start and end by turns."""
-    context = docs.sparkSession.sparkContext
+    context = python_tasks(docs)
     out = docs
     done: Column | None = None
     for items in [*blocks(benchmark, block_chars)] or [[]]:

@@ -7,17 +7,33 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from slotwise.llm.bloom_lm import score
 from slotwise.llm.compression_langid import identify, learn
 from slotwise.llm.decontamination import find_items, hit_words, items_digest
+from slotwise.llm.fertility import judge
 from slotwise.llm.jump_hash import shard_documents
 from slotwise.llm.merge_dropout import decode, encode
 from slotwise.llm.pii import KINDS, pseudonymise
+from slotwise.llm.randomness_secrets import KINDS as SECRET_KINDS
+from slotwise.llm.randomness_secrets import find_secrets, joined
 from slotwise.llm.simhash_trie import near_duplicates
 from slotwise.llm.texts import held_out
+from slotwise.llm.url_trees import Rule, host_of, longest_rule, path_of, train
 
 #: Pseudonyms of one key link with each other only; a production run brings its own.
 PII_KEY = "an example key, replace it"
 
+URL_RULES = (
+    Rule("block", "net"), Rule("allow", "example.net", "/en/"), Rule("block", "example.com", "/de/"),
+    Rule("allow", "org", "/fr/"),
+)
+#: The tables have no labelled URLs. Hosts with one of these words as a part between dots and hyphens are labelled
+#: as to be blocked, other hosts as to be allowed; the trees see lexical figures only, never the words.
+BLOCKED_WORDS = (
+    "adult", "ads", "bet", "bets", "betting", "casino", "cheap", "dating", "escort", "gambling", "loans", "pills",
+    "poker", "porn", "sex", "slots", "spam", "viagra", "xxx",
+)
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -37,6 +53,34 @@ def op2_compression_language(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "held_out", "language.lang_pred", "language.score", "language.margin", "language.accepted")
 
 
+def op3_token_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts and the verdict of every document."""
+    judged = judge(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return judged.select("doc_id", "fertility.*")
+
+
+def op4_bloom_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probabilities of every document, learned from those that are not held out."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    test = held_out(F.col("doc_id"), 7, 2)
+    scored = score(docs, docs.filter(~test))
+    return scored.select("doc_id", test.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+def op5_url_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path, rule and verdict of every page's URL."""
+    host, path = host_of(F.col("url")), path_of(F.col("url"))
+    rule, verdict = longest_rule(URL_RULES, host, path)
+    pages = _table(spark, sf_dir, "pages").select(
+        "page_id", "url", host.alias("host"), path.alias("path"), rule.alias("rule"), verdict.alias("by_rule"))
+    words = F.split("host", r"[.\-]")
+    labelled = pages.filter("rule is null").select(
+        "url", F.arrays_overlap(words, F.array(*map(F.lit, BLOCKED_WORDS))).cast("int").alias("label"))
+    scored = train(labelled).score(pages)
+    judged = F.when(F.col("score") >= 0.5, "block").otherwise("allow")
+    return scored.select("page_id", "host", "path", "rule", F.coalesce("by_rule", judged).alias("verdict"), "score")
+
+
 def op6_benchmark_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document that lie in windows of benchmark items, and which items these are."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -61,6 +105,19 @@ def op8_jump_hash_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+def op9_randomness_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document, by kind and place."""
+    found = find_secrets(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    spans = F.col("secrets")
+
+    def count(kind: str):
+        return F.size(F.filter(spans, lambda s: s.kind == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select(
+        "doc_id", *map(count, SECRET_KINDS), F.sha2(joined(spans, ("assign", "access", "hex")), 256).alias("base_sha256"),
+        joined(spans).alias("spans"))
+
+
 def op10_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate component of every document."""
     classes = near_duplicates(_table(spark, sf_dir, "documents"))
@@ -69,6 +126,6 @@ def op10_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_feistel_pseudonyms, op2_compression_language, op6_benchmark_windows, op7_merge_dropout, op8_jump_hash_shards, op10_simhash_trie,
+        op1_feistel_pseudonyms, op2_compression_language, op3_token_fertility, op4_bloom_language_model, op5_url_trees, op6_benchmark_windows, op7_merge_dropout, op8_jump_hash_shards, op9_randomness_secrets, op10_simhash_trie,
     )
 }

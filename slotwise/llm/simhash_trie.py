@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from slotwise.llm.shared import checkpointed
-from slotwise.llm.texts import map_batches
+from slotwise.llm.texts import map_batches, python_tasks
 
 SEED = 42
 BITS = 64
@@ -224,6 +224,7 @@ def near_links(prints: DataFrame, total: int, budget: int = BUDGET, cell: int =
         u, v = nodes[linked], nodes[labels[linked]]
         return pd.DataFrame({"u": np.maximum(u, v), "v": np.minimum(u, v)})
 
+    python_tasks(prints)
     return pairs.groupBy("a", "b", "i", "j").applyInPandas(join, "u bigint, v bigint").distinct()
 
 

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +24,16 @@ def held_out(doc_id: Column, parts: int, part: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % parts == part, F.lit(False))
 
 
+def python_tasks(df: DataFrame) -> SparkContext:
+    """The context of `df`, told where Python tasks find this package: at the driver's path, as far as they have it."""
+    context = df.sparkSession.sparkContext
+    root = str(Path(__file__).resolve().parents[2])
+    known = [p for p in context.environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in known:
+        context.environment["PYTHONPATH"] = os.pathsep.join([root, *known])
+    return context
+
+
 def map_batches(df: DataFrame, work: Callable[[dict[str, list]], dict[str, list]], schema: str) -> DataFrame:
     """Rows through a function of column lists, one Arrow batch at a time; rows stay in the task that read them."""
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -33,4 +46,5 @@ def map_batches(df: DataFrame, work: Callable[[dict[str, list]], dict[str, list]
             out = work(batch.to_pydict())
             yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in arrow], schema=arrow)
 
+    python_tasks(df)
     return df.mapInArrow(run, schema)
