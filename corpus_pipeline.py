@@ -1,10 +1,81 @@
-"""A training corpus from raw documents, stage by stage; each stage calls one operator of slotwise.llm."""
+"""A training corpus from raw documents, stage by stage; each stage calls one operator of slotwise.llm.
+
+Every stage is written as Parquet to the shared folder and read from there by the next one, so a lost executor costs a
+task, not the run. Null ids, texts and labels, repeated rows, empty tables and further columns are fine in every stage.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
-ORACLE_SQL = None
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from slotwise.llm.compression_langid import identify, learn
+from slotwise.llm.decontamination import find_items
+from slotwise.llm.merge_dropout import encode
+from slotwise.llm.pii import KINDS, pseudonymise
+from slotwise.llm.shared import shared_folder
+from slotwise.llm.simhash_trie import near_duplicates
+
+#: Pseudonyms of one key link with each other only; a production run brings its own.
+PII_KEY = "an example key, replace it"
+#: Near copies share four fifths of their five-word shingles if about one word in fifty differs. By the share of
+#: distinct word pairs they keep, SimHash puts such copies 4 or 5 of 64 bits apart; three hashes find what one misses.
+PAIRS, BITS, SEEDS = 2, 4, (42, 43, 44)
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is told with a sufficient margin; learned from the documents' own labels."""
+    found = identify(docs, learn(docs), into="_found")
+    return found.filter("_found.accepted").select(docs.columns)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: the one with the smallest id, the first row if ids are equal."""
+    row = F.monotonically_increasing_id()
+    numbered = docs.select("*", F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", row.alias("row")).alias("_key"))
+    found = near_duplicates(numbered, "_key", PAIRS, BITS, SEEDS, distinct=True)
+    copies = found.filter("key.row <> component.row").select(F.col("key.row").alias("_row"))
+    return numbered.withColumn("_row", F.col("_key.row")).join(copies, "_row", "left_anti").select(docs.columns)
+
+
+def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no window of a benchmark item stands."""
+    found = find_items(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), into="_found")
+    return found.filter(F.size("_found.items") == 0).select(docs.columns)
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with pseudonyms for personal data; n_chars counts the new text."""
+    replaced = pseudonymise(docs, PII_KEY).drop(*(f"pii_{k}" for k in KINDS))
+    return replaced.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+
+
+def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents with the ids of their text under merge-dropout, and how many these are."""
+    return encode(docs, into="ids").withColumn("n_tokens", F.coalesce(F.size("ids"), F.lit(0)).cast("long"))
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language", language),
+    ("near_copies", near_copies),
+    ("benchmark_passages", benchmark_passages),
+    ("personal_data", personal_data),
+    ("encoding", encoding),
+]
+
+#: Compression, fingerprints and merges have no SQL.
+ORACLE_SQL: str | None = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents; each result is written, and read again by the next stage."""
+    folder = f"{shared_folder(spark).rstrip('/')}/corpus-{uuid.uuid4().hex}"
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for number, (name, stage) in enumerate(STAGES, 1):
+        path = f"{folder}/{number}-{name}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return docs

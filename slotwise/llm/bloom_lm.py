@@ -35,7 +35,7 @@ from slotwise.llm.shared import checkpointed
 from slotwise.llm.texts import map_batches, python_tasks
 
 BASE = 1.5
-MU = 8.0
+MU = 50.0
 BITS_PER_ENTRY = 10
 PROBES = 4
 MAX_FILTER_BYTES = 1 << 26

@@ -42,32 +42,44 @@ CELL = 1 << 14
 #: Node pairs that are walked at once.
 PAIRS = 1 << 20
 
-_hash = partial(xxhash.xxh64_intdigest, seed=SEED)
-
-
-def fingerprint(text: str | None, shingle: int = 3) -> int:
-    """Bit i is set if it is set in over half of the shingles' hashes, repeats included."""
+def shingles(text: str | None, size: int) -> list[bytes]:
+    """Runs of `size` words, or all words if there are fewer, each joined by single spaces."""
     words = text.encode().lower().split() if text else []
-    if not words:
-        return 0
-    size = min(shingle, len(words))
+    size = min(size, len(words))
+    if not size:
+        return []
     line = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
     starts = np.concatenate(([0], ends[:-1]))
     spans = zip(starts[: len(words) - size + 1].tolist(), (ends[size - 1 :] - 1).tolist(), strict=True)
-    hashes = np.fromiter((_hash(line[s:e]) for s, e in spans), np.uint64, len(words) - size + 1)
+    return [line[s:e] for s, e in spans]
+
+
+def majority(features: list[bytes], seed: int = SEED) -> int:
+    """Bit i is set if it is set in over half of the features' hashes; 0 without features."""
+    if not features:
+        return 0
+    hashes = np.fromiter(map(partial(xxhash.xxh64_intdigest, seed=seed), features), np.uint64, len(features))
     ones = np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
     return int.from_bytes(np.packbits(ones * 2 > len(hashes)).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """doc_id and fingerprint (a BIGINT with the same bits) of every row."""
+def fingerprints(docs: DataFrame, key: str = "doc_id", shingle: int = 3, seeds: tuple[int, ...] = (SEED,),
+                 distinct: bool = False) -> DataFrame:
+    """key and fingerprints f0, f1, … (BIGINTs with the same bits) of every row, one per seed."""
     def work(batch: dict[str, list]) -> dict[str, list]:
-        bits = np.array([fingerprint(t, shingle) for t in batch["text"]], np.uint64)
-        return {"doc_id": batch["doc_id"], "fingerprint": bits.view(np.int64)}
+        out = np.zeros((len(seeds), len(batch["text"])), np.uint64)
+        for i, text in enumerate(batch["text"]):
+            features = shingles(text, shingle)
+            if distinct:
+                features = [*dict.fromkeys(features)]
+            for k, seed in enumerate(seeds):
+                out[k, i] = majority(features, seed)
+        return {"key": batch["key"]} | {f"f{k}": row.view(np.int64) for k, row in enumerate(out)}
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return map_batches(docs.select("doc_id", "text"), work, f"doc_id {kind}, fingerprint bigint")
+    kind = docs.schema[key].dataType.simpleString()
+    columns = ", ".join(f"f{k} bigint" for k in range(len(seeds)))
+    return map_batches(docs.select(F.col(key).alias("key"), "text"), work, f"key {kind}, {columns}")
 
 
 class Trie:
@@ -225,7 +237,7 @@ def near_links(prints: DataFrame, total: int, budget: int = BUDGET, cell: int =
         return pd.DataFrame({"u": np.maximum(u, v), "v": np.minimum(u, v)})
 
     python_tasks(prints)
-    return pairs.groupBy("a", "b", "i", "j").applyInPandas(join, "u bigint, v bigint").distinct()
+    return pairs.groupBy("a", "b", "i", "j").applyInPandas(join, "u bigint, v bigint")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -256,13 +268,31 @@ def _state(links: DataFrame) -> tuple:
     return tuple(links.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum((F.hash("u", "v")).cast("long"))).first())
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 3, budget: int = BUDGET) -> DataFrame:
-    """doc_id, fingerprint (BIGINT) and component_id, the smallest doc_id reachable by links, of every row."""
-    rows = checkpointed(fingerprints(docs, shingle))
-    prints = checkpointed(rows.groupBy("fingerprint").agg(F.min("doc_id").alias("first")))
-    links = near_links(prints.select("fingerprint"), prints.count(), budget)
-    roots = components(links).select(F.col("node").alias("fingerprint"), "root")
-    named = checkpointed(prints.join(roots, "fingerprint", "left").withColumn("root", F.coalesce("root", "fingerprint")))
-    firsts = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    classes = named.join(firsts, "root").select("fingerprint", "component_id")
-    return rows.join(classes, "fingerprint", "left").select("doc_id", "fingerprint", "component_id")
+def near_duplicates(docs: DataFrame, key: str = "doc_id", shingle: int = 3, budget: int = BUDGET,
+                    seeds: tuple[int, ...] = (SEED,), distinct: bool = False) -> DataFrame:
+    """key, component (the smallest key reachable by links) and fingerprints f0, … of every row.
+
+    With several seeds each has a trie of its own, and documents link if one of them says so: near copies that miss
+    the budget under one hash meet it under another.
+    """
+    rows = checkpointed(fingerprints(docs, key, shingle, seeds, distinct))
+    prints = [f"f{k}" for k in range(len(seeds))]
+    # A class is what has equal fingerprints; it is named by its fingerprint, or a hash of several.
+    name = F.col("f0") if len(prints) == 1 else F.xxhash64(*prints)
+    classes = checkpointed(rows.groupBy(*prints).agg(F.min("key").alias("first")).withColumn("class", name))
+    total = classes.count()
+    links = None
+    for print_ in prints:
+        reps = classes.groupBy(F.col(print_).alias("fingerprint")).agg(F.min("class").alias("class"))
+        near = near_links(reps.select("fingerprint"), total, budget)
+        named = [reps.select(F.col("fingerprint").alias(x), F.col("class").alias(f"{x}_class")) for x in "uv"]
+        found = near.join(named[0], "u").join(named[1], "v").select(F.col("u_class").alias("u"), F.col("v_class").alias("v"))
+        if len(prints) > 1:
+            equal = classes.select(F.col(print_).alias("fingerprint"), F.col("class").alias("u")).join(reps, "fingerprint")
+            found = found.unionByName(equal.select("u", F.col("class").alias("v")))
+        found = found.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+        links = found if links is None else links.unionByName(found)
+    roots = components(links.distinct()).withColumnsRenamed({"node": "class"})
+    named = checkpointed(classes.join(roots, "class", "left").withColumn("root", F.coalesce("root", "class")))
+    firsts = named.groupBy("root").agg(F.min("first").alias("component"))
+    return rows.join(named.join(firsts, "root").select(*prints, "component"), prints).select("key", "component", *prints)
