@@ -1,5 +1,68 @@
-"""DuckDB SQL for the queries that SQL can express."""
+"""DuckDB SQL for the queries that SQL can express; the others are tested against brute force.
+
+The windows of op6 are taken by plain string equality. op8's walk is a recursive query in 128-bit integers, and its
+checksum a fold over the bytes of the text; up to four million rows a shard's slots follow id, size and checksum.
+"""
 
 from __future__ import annotations
 
-ORACLES: dict[str, str] = {}
+FOLD = "translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+WORDS = rf"regexp_extract_all({FOLD}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+OP6 = f"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce({WORDS.format(text="text")}, []) AS w FROM documents
+), items AS (
+  SELECT coalesce(item_id::VARCHAR, 'null') AS item, {WORDS.format(text="text")} AS w FROM benchmark WHERE text IS NOT NULL
+), windows AS (
+  SELECT DISTINCT item, least(10, len(w)) AS n, array_to_string(w[i : i + least(10, len(w)) - 1], ' ') AS line
+  FROM (SELECT item, w, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS i FROM items WHERE len(w) > 0)
+), lengths AS (
+  SELECT DISTINCT n FROM windows
+), places AS (
+  SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM docs, lengths WHERE len(w) >= n
+), hits AS (
+  SELECT r, i, n, item FROM (SELECT r, i, n, array_to_string(w[i : i + n - 1], ' ') AS line FROM places)
+  JOIN windows USING (n, line)
+), words AS (
+  SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS p FROM hits) GROUP BY r
+), found AS (
+  SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names
+  FROM (SELECT DISTINCT r, item FROM hits) GROUP BY r
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs LEFT JOIN words USING (r) LEFT JOIN found USING (r)
+"""
+
+OP8 = """
+WITH RECURSIVE rows AS (
+  SELECT doc_id, strlen(coalesce(text, '')) + 16 AS size, hex(encode(coalesce(text, ''))) AS h FROM documents
+), bits AS (
+  SELECT i, 0 AS step, i::BIGINT AS c FROM range(256) t(i)
+  UNION ALL
+  SELECT i, step + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM bits WHERE step < 8
+), codes AS (
+  SELECT list(c ORDER BY i) AS t FROM bits WHERE step = 8
+), summed AS (
+  SELECT doc_id, size, xor(list_reduce(
+    list_prepend(4294967295::BIGINT, list_transform(range(0, length(h), 2),
+      lambda p: ((strpos('0123456789ABCDEF', h[p + 1]) - 1) * 16 + strpos('0123456789ABCDEF', h[p + 2]) - 1)::BIGINT)),
+    lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295) AS text_crc32
+  FROM rows, codes
+), walk AS (
+  SELECT DISTINCT doc_id, -1::BIGINT AS b, 0::BIGINT AS j,
+    CASE WHEN coalesce(doc_id, 0) < 0 THEN doc_id::HUGEINT + 18446744073709551616 ELSE coalesce(doc_id, 0)::HUGEINT END AS key
+  FROM documents
+  UNION ALL
+  SELECT doc_id, j, floor((j + 1) * (2147483648.0::DOUBLE / ((next >> 33) + 1)::DOUBLE))::BIGINT, next
+  FROM (SELECT doc_id, j, (key * 2862933555777941757 + 1) % 18446744073709551616 AS next FROM walk WHERE j < 41)
+), homes AS (
+  SELECT doc_id, max(b) FILTER (WHERE b < 40)::INTEGER AS shard, max(b)::INTEGER AS grown_shard FROM walk GROUP BY doc_id
+)
+SELECT s.doc_id, s.size::BIGINT AS size, s.text_crc32::BIGINT AS text_crc32, 'key' AS law, shard,
+       row_number() OVER (PARTITION BY shard ORDER BY s.doc_id NULLS FIRST, s.size, s.text_crc32) - 1 AS slot, grown_shard
+FROM summed s JOIN homes h ON s.doc_id IS NOT DISTINCT FROM h.doc_id
+"""
+
+ORACLES: dict[str, str] = {"op6_benchmark_windows": OP6, "op8_jump_hash_shards": OP8}

@@ -1,0 +1,100 @@
+from __future__ import annotations
+
+import math
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from slotwise.llm import bloom_lm as lm
+from slotwise.llm.queries import op4_bloom_language_model
+from tests.llm.helpers import empty_documents, odd_documents
+from tests.llm.test_oracles import SF_DIR
+
+
+def tokens(text):
+    fold = lambda m: m[0].lower()
+    return [*re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", fold, text or "")), None]
+
+
+def brute(rows, training):
+    counts = Counter(t for text in training for t in tokens(text))
+    n, v = counts.total(), len(counts)
+    return [(i, len(tokens(t)), sum(counts[x] > 0 for x in tokens(t)), n,
+             sum(math.log10((counts[x] + 1) / (n + v + 1)) for x in tokens(t))) for i, t in rows]
+
+
+def close(given, wanted):
+    key = lambda r: (r[0] is None, r[0] or 0, r[1], r[4])
+    given, wanted = sorted(given, key=key), sorted(wanted, key=key)
+    assert [r[:4] for r in given] == [r[:4] for r in wanted]
+    assert all(math.isclose(a[4], b[4], rel_tol=1e-9, abs_tol=1e-9) for a, b in zip(given, wanted, strict=True))
+
+
+@pytest.fixture(scope="module")
+def scored(spark):
+    return op4_bloom_language_model(spark, SF_DIR).cache()
+
+
+def test_base_score(spark, scored):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF_DIR}/documents.parquet").collect()]
+    training = [t for i, t in rows if zlib.crc32(str(i).encode()) % 7 != 2]
+    close([(r.doc_id, r.n_tokens, r.n_known, r.train_tokens, r.base_score) for r in scored.collect()], brute(rows, training))
+
+
+def test_model_beats_the_base_on_held_out_text(scored):
+    test = scored.filter("held_out").agg(F.sum("base_score"), F.sum("score")).first()
+    assert test[1] > test[0]
+    assert scored.filter("score > 0 or score is null").count() == 0
+
+
+def test_few_hot_words_change_no_count(spark, monkeypatch):
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet").limit(60)
+    whole = lm.score(docs, docs).drop("score").collect()
+    monkeypatch.setattr(lm.hot_words, "__defaults__", (3,))
+    monkeypatch.setattr(lm, "CHUNK_CHARS", 500)
+    few = lm.score(docs, docs).drop("score").collect()
+    key = lambda r: r.doc_id
+    for a, b in zip(sorted(whole, key=key), sorted(few, key=key), strict=True):
+        assert a[:-1] == b[:-1] and math.isclose(a.base_score, b.base_score, rel_tol=1e-9)
+
+
+def test_counts_come_back_near(spark):
+    rng = np.random.default_rng(3)
+    keys = np.unique(rng.integers(0, 1 << 52, 20_000, dtype=np.uint64))
+    counts = np.minimum(rng.zipf(1.5, len(keys)), 10**9)
+    pages = {}
+    for page in np.unique(keys >> np.uint64(48)):
+        own = keys >> np.uint64(48) == page
+        pages[int(page)] = lm.fill(keys[own], counts[own], 1 << 30)
+    held = lm.Filter(pages, 4)
+    back = held.counts(keys)
+    assert (back >= lm.level_means()[lm.levels(counts)] - 1e-9).all()  # a Bloom filter never counts too low
+    assert (np.abs(back - counts) <= 0.25 * counts + 1).mean() > 0.97
+    other = np.setdiff1d(rng.integers(0, 1 << 52, 20_000, dtype=np.uint64), keys)
+    assert (held.counts(other) > 0).mean() < 0.03
+    small = lm.Filter({k: lm.fill(keys[keys >> np.uint64(48) == k], counts[keys >> np.uint64(48) == k], 512) for k in pages}, 4)
+    assert len(small.bits) <= 16 * 64
+
+
+def test_quantised_levels():
+    c = np.arange(1, 5000)
+    level, mean = lm.levels(c), lm.level_means()
+    assert (np.diff(level) >= 0).all() and level[0] == 1
+    assert [mean[1], mean[2], mean[3], mean[4]] == [1, 2, 3, 4.5]
+    for j in range(1, level.max()):
+        assert mean[j] == c[level == j].mean()
+
+
+def test_odd_rows(spark):
+    docs = odd_documents(spark)
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    wanted = brute(rows, [t for _, t in rows])
+    out = lm.score(docs, docs).collect()
+    close([(r.doc_id, *r[1:5]) for r in out], wanted)
+    untaught = lm.score(docs, empty_documents(spark)).collect()
+    assert len(untaught) == len(rows) and all(r.n_known == r.train_tokens == r.base_score == 0 for r in untaught)
+    assert lm.score(empty_documents(spark), docs).count() == 0
