@@ -38,7 +38,7 @@ SEED = 42
 BITS = 64
 BUDGET = 3
 #: Fingerprints of a cell that one chunk takes; a group holds two chunks at most.
-CELL = 1 << 14
+CELL = 1 << 17
 #: Node pairs that are walked at once.
 PAIRS = 1 << 20
 
