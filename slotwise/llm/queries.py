@@ -12,7 +12,7 @@ from slotwise.llm.compression_langid import identify, learn
 from slotwise.llm.decontamination import find_items, hit_words, items_digest
 from slotwise.llm.fertility import judge
 from slotwise.llm.jump_hash import shard_documents
-from slotwise.llm.merge_dropout import decode, encode
+from slotwise.llm.merge_dropout import encode
 from slotwise.llm.pii import KINDS, pseudonymise
 from slotwise.llm.randomness_secrets import KINDS as SECRET_KINDS
 from slotwise.llm.randomness_secrets import find_secrets, joined
@@ -94,9 +94,8 @@ def op6_benchmark_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document under merge-dropout, and whether they decode to the very text."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    coded = decode(encode(docs), "ids")
-    return coded.select("doc_id", "ids", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_tokens"),
-                        F.col("text").eqNullSafe(F.col("decoded")).alias("lossless"))
+    coded = encode(docs, check="lossless")
+    return coded.select("doc_id", "ids", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_tokens"), "lossless")
 
 
 def op8_jump_hash_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
