@@ -24,6 +24,7 @@ from slotwise.functions.timeparts import minute_of_day, start_of_day
 NUMBER = r"^[0-9]+$"
 STEP = r"^\*/[0-9]+$"
 LAST_MINUTE, LAST_HOUR = 59, 23
+LARGEST_STEP = 2**31 - 1
 
 
 class CronFields(NamedTuple):
@@ -54,7 +55,8 @@ def parse_cron(cron: str) -> CronFields:
         raise ValueError(f"not a supported schedule: {cron!r}")
 
     def step(field: str) -> int | None:
-        return 1 if field == "*" else int(field[2:]) if re.match(STEP, field) else None
+        n = 1 if field == "*" else int(field[2:]) if re.match(STEP, field) else None
+        return 0 if n is not None and n > LARGEST_STEP else n
 
     def at(field: str) -> int | None:
         return int(field) if re.match(NUMBER, field) else None
@@ -252,7 +254,7 @@ def audit_schedules(df: DataFrame, cron: str = "cron") -> DataFrame:
         .when(malformed(day, f.day_step), "day is not a number, * or */n")
         .when((month != "*") | (weekday != "*"), "month and weekday must be *")
         .when(zero_or_huge(minute, f.minute_step) | zero_or_huge(hour, f.hour_step) | zero_or_huge(day, f.day_step),
-              "step must be at least 1")
+              f"step must be from 1 to {LARGEST_STEP}")
         .when(f.minute_step.isNull() & f.minute_at.isNull(), "minute is above 59")
         .when(f.hour_step.isNull() & f.hour_at.isNull(), "hour is above 23")
         .when(f.day_step.isNull(), "day must be * or */n")

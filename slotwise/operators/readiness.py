@@ -3,16 +3,15 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Mapping
-from dataclasses import replace
+from collections.abc import Iterable, Mapping
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from slotwise.operators.sinks import cluster_by_slot, overwrite_slots
 from slotwise.schemas import MARKER
-from slotwise.sources.datasets import View, as_view, read_dataset
+from slotwise.session import delete_path, list_folders, path_exists
+from slotwise.sources.datasets import View, as_view
 
 SLOT = "nominal_time"
 MARKER_PARTS = ("view", "run_id")
@@ -34,14 +33,54 @@ def mark_views(marks: DataFrame, markers: View | str) -> None:
 
 def ready_marks(spark: SparkSession, markers: View | str, view_name: str) -> DataFrame:
     """The slots marked for a view; none before the first mark."""
-    markers = replace(as_view(markers), schema=MARKER)
-    try:
-        marks = read_dataset(spark, markers)
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        marks = spark.createDataFrame([], MARKER)
-    return marks.where(F.col("view") == view_name).select(SLOT).distinct()
+    return marks_of(spark, markers, [view_name]).select(SLOT)
+
+
+def marks_of(spark: SparkSession, markers: View | str, view_names: Iterable[str]) -> DataFrame:
+    """``view`` and slot of the marks of some views, each once; only their folders are listed, in one read."""
+    return _marks(spark, as_view(markers), view_names).select("view", SLOT).distinct()
+
+
+def _marks(spark: SparkSession, markers: View, view_names: Iterable[str]) -> DataFrame:
+    names = sorted(set(view_names))
+    if markers.parsed.table is not None:
+        marks = spark.table(markers.parsed.table) if spark.catalog.tableExists(markers.parsed.table) else None
+    else:
+        root = markers.parsed.location
+        folders = [f for f in (_marks_folder(spark, markers, name) for name in names) if path_exists(spark, f)]
+        marks = spark.read.schema(MARKER).option("basePath", root).parquet(*folders) if folders else None
+    if marks is None:
+        return spark.createDataFrame([], MARKER)
+    return marks.where(F.col("view").isin(names))
+
+
+def _marks_folder(spark: SparkSession, markers: View, view_name: str) -> str:
+    escaped = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(view_name)
+    return f"{markers.parsed.location}/view={escaped}"
+
+
+def compact_marks(spark: SparkSession, markers: View | str, view_names: Iterable[str]) -> None:
+    """One folder of marks per view in place of one per run; each slot keeps its first mark.
+
+    The new folder is committed before the old ones go. Readers take distinct slots, so they see the same marks
+    before, between and after, and marks added meanwhile stay.
+    """
+    markers = as_view(markers)
+    if markers.parsed.table is not None:
+        raise ValueError("marks in a catalog table are compacted by the catalog's own means")
+    names = sorted(set(view_names))
+    old = {name: list_folders(spark, _marks_folder(spark, markers, name)) for name in names}
+    runs = [folder.rpartition("run_id=")[2] for folders in old.values() for folder in folders]
+    if not runs:
+        return
+    known = spark.createDataFrame([(run,) for run in sorted(set(runs))], "run_id string")
+    marks = _marks(spark, markers, names).join(known, "run_id", "left_semi")
+    first = marks.groupBy("view", SLOT).agg(F.min("signalled_at").alias("signalled_at"))
+    compacted = first.select("view", SLOT, "signalled_at", F.lit(uuid.uuid4().hex).alias("run_id"))
+    overwrite_slots(cluster_by_slot(compacted, MARKER_PARTS), markers, MARKER_PARTS)
+    for folders in old.values():
+        for folder in folders:
+            delete_path(spark, folder)
 
 
 def ready_slots(slots: DataFrame, ready_by_input: Mapping[str, DataFrame],
@@ -64,6 +103,23 @@ def missing_slots(slots: DataFrame, ready: DataFrame) -> DataFrame:
     return slots.join(ready.select(SLOT), SLOT, "left_anti")
 
 
+def due_slots(slots: DataFrame, marks: DataFrame, inputs: Iterable[tuple[str, Column]],
+              outputs: Iterable[str]) -> DataFrame:
+    """:func:`pending_slots` over one table of marks (:func:`marks_of`): views of inputs with the instance that a slot
+    needs of them, and views of outputs. One join with the marks, whatever the number of views."""
+    def wanted(view: str, at: Column, is_input: bool) -> Column:
+        return F.struct(F.lit(view).alias("view"), at.alias("_at"), F.lit(is_input).alias("_input"))
+
+    needs = F.array(*(wanted(view, at, True) for view, at in inputs),
+                    *(wanted(view, F.col(SLOT), False) for view in outputs))
+    needed = slots.select(SLOT, F.explode(needs).alias("_need")).select(SLOT, "_need.*")
+    marked = marks.select("view", F.col(SLOT).alias("_at"), F.lit(1).alias("_marked"))
+    found = needed.join(marked, ["view", "_at"], "left").groupBy(SLOT).agg(
+        F.count_if(F.col("_input") & F.col("_marked").isNull()).alias("_waits"),
+        F.count_if(~F.col("_input") & F.col("_marked").isNull()).alias("_lacks"))
+    return found.where("_waits = 0 and _lacks > 0").select(SLOT)
+
+
 def pending_slots(slots: DataFrame, ready_by_input: Mapping[str, DataFrame], done_by_output: Mapping[str, DataFrame],
                   instances: Mapping[str, Column] | None = None) -> DataFrame:
     """The slots a triggered job must run for now: inputs ready, and at least one output not marked."""

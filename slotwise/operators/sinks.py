@@ -5,59 +5,66 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from slotwise.functions.timeparts import parts_upto, with_time_parts
-from slotwise.sources.datasets import View, as_view
+from slotwise.session import delete_path
+from slotwise.sources.datasets import SAFE_VALUE, View, as_view, is_number, plain_value, text_literal
 
 
 def write_view(df: DataFrame, view: View | str) -> None:
     """Replace the slot a view names by ``df``; without constraints, append to the dataset.
 
     The slot's values come from the view, so columns of that name in ``df`` are dropped. A slot written again,
-    also with nothing, loses its old rows. No shuffle: a slot of any size is written by the tasks that made it.
+    also with nothing, loses its old rows, once the new ones are committed: a run that fails leaves it as it was.
+    No shuffle: a slot of any size is written by the tasks that made it.
     """
-    view = as_view(view)
+    view = as_view(view).known(df.sparkSession)
     slot = view.constraints
-    rows = df.drop(*slot)
     if not slot:
-        append(rows, view)
-    elif view.parsed.table is not None:
-        _insert_overwrite(rows, view)
-    else:
-        rows.write.mode("overwrite").parquet(slot_folder(view))
-
+        append(df, view)
+        return
+    order = slot_order(view)
+    written = Observation()
+    rows = df.drop(*slot).withColumns({part: view.slot_value(part) for part in order})
+    overwrite_slots(rows.observe(written, F.count(F.lit(1)).alias("rows")), view, order)
+    if not written.get["rows"]:
+        drop_slot(df.sparkSession, view)
 
-def slot_folder(view: View) -> str:
-    """Folder of the slot a path view names: constraints outermost first, numbers unpadded."""
-    def text(part: str, value: str) -> str:
-        if not re.fullmatch(r"[\w.-]+", value):
-            raise ValueError(f"{part}={value} cannot name a slot")
-        return f"{part}={int(value) if value.isdigit() else value}"
 
+def slot_order(view: View) -> tuple[str, ...]:
+    """Partition columns of the slot a view names, outermost first."""
     order = view.parts or tuple(view.constraints)
     if set(order) != set(view.constraints):
         raise ValueError(f"{view.uri} must give exactly the partition columns {', '.join(order)}")
-    return "/".join([view.parsed.location, *(text(part, view.constraints[part]) for part in order)])
+    for part in order:
+        if not re.fullmatch(SAFE_VALUE, view.constraints[part]):
+            raise ValueError(f"{part}={view.constraints[part]} cannot name a slot")
+    return order
+
+
+def slot_folder(view: View) -> str:
+    """Folder of the slot a path view names: constraints outermost first, numbers unpadded."""
+    named = (f"{part}={plain_value(view.constraints[part], view.type_of(part))}" for part in slot_order(view))
+    return "/".join([view.parsed.location, *named])
 
 
-def _insert_overwrite(rows: DataFrame, view: View) -> None:
-    spark = rows.sparkSession
-    table = view.parsed.table
-    static = partition_spec(view)
-    fields = [f for f in spark.table(table).columns if f not in view.constraints]
-    # Bound as a parameter: names in df cannot clash with the catalog.
-    spark.sql(f"INSERT OVERWRITE TABLE {table} {static} SELECT {', '.join(f'`{f}`' for f in fields)} "
-              "FROM {rows}", rows=rows)
+def drop_slot(spark: SparkSession, view: View) -> None:
+    """Remove the slot a view names, if it is there."""
+    if view.parsed.table is None:
+        delete_path(spark, slot_folder(view))
+    else:
+        spark.sql(f"ALTER TABLE {view.parsed.table} DROP IF EXISTS {partition_spec(view)}")
 
 
 def partition_spec(view: View) -> str:
     """``PARTITION (...)`` of the slot a catalog view names."""
-    def text(value: str) -> str:
-        return str(int(value)) if value.isdigit() else "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    def text(part: str, value: str) -> str:
+        plain = plain_value(value, view.type_of(part))
+        return plain if is_number(value, view.type_of(part)) else text_literal(plain)
 
-    return "PARTITION (" + ", ".join(f"`{part}` = {text(value)}" for part, value in view.constraints.items()) + ")"
+    return "PARTITION (" + ", ".join(f"`{part}` = {text(part, value)}" for part, value in view.constraints.items()) + ")"
 
 
 def append(df: DataFrame, view: View | str, parts: Sequence[str] = ()) -> None:

@@ -11,35 +11,40 @@ import datetime as dt
 import inspect
 import re
 from collections.abc import Callable, Iterable, Mapping
-from dataclasses import dataclass
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass, replace
 from dataclasses import field as dataclass_field
+from itertools import islice
 from urllib.parse import urlencode
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from slotwise.functions.cron import next_fire, parse_cron, plain_step, slot_of
 from slotwise.functions.timeparts import HOLES, as_nominal, nominal_literal, slot_time, time_parts
-from slotwise.operators.readiness import SLOT, mark_ready, pending_slots, ready_marks
+from slotwise.operators.readiness import SLOT, due_slots, mark_ready, marks_of
 from slotwise.operators.sinks import cluster_by_slot, overwrite_slots, partition_spec, slot_folder, write_view
 from slotwise.operators.slots import fire_slots, instance_at
-from slotwise.plans.settings import job_settings
-from slotwise.session import delete_path, shared_dir
-from slotwise.sources.datasets import View, as_view, load, read_at
+from slotwise.plans.settings import input_settings, job_settings, with_prefix
+from slotwise.session import delete_path, work_path
+from slotwise.sources.datasets import View, as_view, list_files, load, read_at
 from slotwise.sources.topics import Topic, read_topic
 from slotwise.streaming.sinks import BATCH_INTERVAL, stream_to_dataset, stream_to_topic
 
+SLOTS = T.StructType([T.StructField(SLOT, T.TimestampNTZType())])
+
 # Fixed value: names of jobs.
 JOB_NAME = r"[a-zA-Z][-_a-zA-Z0-9]*"
 
-# A table of slots up to this many rows (a timestamp and five integers each, about 16 MB) is broadcast.
-BROADCAST_SLOTS = 250_000
+# A plan names up to this many runs of days to prune folders by; more are merged with their neighbours.
+DAY_RUNS = 1000
 
-# Partitions dropped by one statement.
+# Partitions dropped by one statement, and folders deleted at a time.
 DROP_BATCH = 500
+DELETIONS = 16
 
 
 @dataclass(frozen=True)
@@ -118,6 +123,7 @@ def run_at(spark: SparkSession, job: Job, nominal_time: str | dt.datetime, input
     """
     job.check_names(inputs, outputs)
     outputs = {name: as_view(view) for name, view in outputs.items()}
+    of_job = job_settings(settings or {}, job.name)
     now = nominal_literal(nominal_time)
     slots = spark.range(1).select(now.alias(SLOT))
     frames = {}
@@ -126,8 +132,9 @@ def run_at(spark: SparkSession, job: Job, nominal_time: str | dt.datetime, input
         at = nominal_time
         if name in (instances or {}):
             at = slots.select(instances[name](F.col(SLOT))).first()[0]
+        view = _with_settings(view, input_settings(of_job, name))
         frames[name] = read_at(spark, view, at).drop(*view.slot_parts).withColumn(SLOT, now)
-    results = job(frames, slots=slots, settings=job_settings(settings or {}, job.name))
+    results = job(frames, slots=slots, settings=of_job)
     for name, rows in results.items():
         write_view(rows.drop(SLOT), outputs[name].at(nominal_time))
     _mark(slots, outputs, markers)
@@ -147,41 +154,63 @@ def backfill(spark: SparkSession, job: Job, slots: DataFrame, inputs: Mapping[st
     for name, view in outputs.items():
         if not view.slot_parts:
             raise ValueError(f"output {name}: a backfill needs time holes in {view.uri}")
-    shared_dir(spark)
+    of_job = job_settings(settings or {}, job.name)
     # Pinned: slots may come from the markers this run adds to.
-    slots = slots.select(SLOT).distinct().checkpoint()
-    size, first, last = slots.agg(F.count(F.lit(1)), F.min(SLOT), F.max(SLOT)).first()
-    if not size:
-        return
-    bounds = Bounds(size, first, last)
-    frames = {
-        name: _slot_rows(spark, slots, bounds, name, as_view(view), (instances or {}).get(name, _itself))
-        for name, view in inputs.items()
-    }
-    results = job(frames, slots=slots, settings=job_settings(settings or {}, job.name))
-    for name, rows in results.items():
-        if SLOT not in rows.columns:
-            raise ValueError(f"job {job.name}: output {name} must keep the column {SLOT}")
-        _replace_slots(spark, slots, bounds, rows, outputs[name], clustered)
-    _mark(slots, outputs, markers)
+    work = work_path(spark, "slots")
+    slots.select(SLOT).distinct().write.mode("overwrite").parquet(work)
+    try:
+        slots = spark.read.schema(SLOTS).parquet(work)
+        bounds = Bounds.of(slots)
+        if bounds is None:
+            return
+        frames = {
+            name: _slot_rows(slots, bounds, name, _with_settings(as_view(view), input_settings(of_job, name)),
+                             (instances or {}).get(name, _itself))
+            for name, view in inputs.items()
+        }
+        results = job(frames, slots=slots, settings=of_job)
+        for name, rows in results.items():
+            if SLOT not in rows.columns:
+                raise ValueError(f"job {job.name}: output {name} must keep the column {SLOT}")
+        for name, rows in results.items():
+            _replace_slots(spark, slots, bounds, rows, outputs[name], clustered)
+        _mark(slots, outputs, markers)
+    finally:
+        delete_path(spark, work)
 
 
 @dataclass(frozen=True)
 class Bounds:
-    """Number of slots, the first and the last."""
+    """The first and the last of some slots, and the runs of days that they lie on."""
 
-    size: int
     first: dt.datetime
     last: dt.datetime
-
-    def small(self, slots: DataFrame) -> DataFrame:
-        """Broadcast a table of slots of known, small size; a larger one is left to the join strategies."""
-        return F.broadcast(slots) if self.size <= BROADCAST_SLOTS else slots
-
-    def of_instances(self, spark: SparkSession, instance: Instance) -> Bounds:
-        """The first and the last instance; instances keep the order of their slots."""
-        ends = (instance(nominal_literal(end)).alias(name) for name, end in (("a", self.first), ("b", self.last)))
-        return Bounds(self.size, *spark.range(1).select(*ends).first())
+    days: tuple[tuple[dt.date, dt.date], ...]
+
+    @staticmethod
+    def of(slots: DataFrame, instance: Instance | None = None) -> Bounds | None:
+        """None without slots. The driver sees a row per run of days, as many as there are gaps between days."""
+        at = (instance or _itself)(F.col(SLOT))
+        days = slots.select(at.alias("at")).groupBy(F.to_date("at").alias("day")).agg(
+            F.min("at").alias("first"), F.max("at").alias("last"))
+        # Days in a row share their distance to their rank; a calendar has few enough days for one task.
+        rank = F.row_number().over(Window.orderBy("day"))
+        runs = (days.withColumn("run", F.date_sub("day", rank)).groupBy("run")
+                .agg(F.min("day").alias("a"), F.max("day").alias("b"), F.min("first").alias("first"),
+                     F.max("last").alias("last")).orderBy("a").collect())
+        if not runs:
+            return None
+        return Bounds(runs[0].first, runs[-1].last, tuple(_merged([(r.a, r.b) for r in runs], DAY_RUNS)))
+
+
+def _merged(runs: list[tuple[dt.date, dt.date]], most: int) -> list[tuple[dt.date, dt.date]]:
+    """At most ``most`` runs that cover the given ones: those with the smallest gaps between them become one."""
+    if len(runs) <= most:
+        return runs
+    gaps = sorted(range(1, len(runs)), key=lambda i: runs[i][0] - runs[i - 1][1])
+    kept = sorted(gaps[len(runs) - most:])
+    starts, ends = [0, *kept], [*kept, len(runs)]
+    return [(runs[a][0], runs[b - 1][1]) for a, b in zip(starts, ends, strict=True)]
 
 
 def _itself(nominal_time: Column) -> Column:
@@ -196,37 +225,58 @@ def _slot_keys(slots: DataFrame, view: View, instance: Instance = _itself) -> Da
 
 
 def _within(spark: SparkSession, view: View, bounds: Bounds) -> DataFrame:
-    """What a view's dataset holds between two times.
+    """What a view's dataset holds on the days of some slots.
 
-    The folder that both times share is listed, and below it a filter that names partition columns only.
+    The folder that all slots share is listed, and below it a filter that names partition columns only, so folders
+    of other days are not read. The filter is part of the plan: it needs no broadcast, and has a bounded length.
     """
+    rows = _fixed_part(load(spark, view.dataset(), _shared_folders(view, bounds)), view)
+    return rows.where(_on_days(view, bounds))
+
+
+def _shared_folders(view: View, bounds: Bounds) -> list[tuple[str, int]]:
     folders = []
     for column in view.parts:
         part = view.slot_parts.get(column)
         if part is None or getattr(bounds.first, part) != getattr(bounds.last, part):
             break
         folders.append((column, getattr(bounds.first, part)))
-    rows = _fixed_part(load(spark, view.dataset(), folders), view)
+    return folders
+
+
+def _on_days(view: View, bounds: Bounds) -> Column:
     column_of = {part: column for column, part in view.slot_parts.items()}
     if "year" not in column_of:
-        return rows
+        return F.lit(True)
     at = slot_time({part: F.col(column) for part, column in column_of.items()})
     of_first = time_parts(nominal_literal(bounds.first))
-    return rows.where(
-        F.col(column_of["year"]).between(bounds.first.year, bounds.last.year)
-        & (at >= slot_time({part: of_first[part] for part in column_of}))
-        & (at <= nominal_literal(bounds.last)))
+    within = (F.col(column_of["year"]).between(bounds.first.year, bounds.last.year)
+              & (at >= slot_time({part: of_first[part] for part in column_of}))
+              & (at <= nominal_literal(bounds.last)))
+    if len(bounds.days) > 1 and {"month", "day"} <= set(column_of):
+        day = sum(F.col(column_of[part]).cast("int") * size for part, size in (("year", 10_000), ("month", 100), ("day", 1)))
+        runs = [day.between(_day_number(a), _day_number(b)) for a, b in bounds.days]
+        while len(runs) > 1:  # in pairs, so that the expression stays flat
+            runs = [a | b for a, b in zip(runs[::2], runs[1::2])] + runs[len(runs) // 2 * 2:]
+        within = within & runs[0]
+    return within
+
+
+def _day_number(day: dt.date) -> int:
+    return day.year * 10_000 + day.month * 100 + day.day
 
 
-def _slot_rows(spark: SparkSession, slots: DataFrame, bounds: Bounds, name: str, view: View,
-               instance: Instance = _itself) -> DataFrame:
-    """The rows of an input for all slots, each with its nominal time; slots that share a folder share its rows."""
+def _slot_rows(slots: DataFrame, bounds: Bounds, name: str, view: View, instance: Instance = _itself) -> DataFrame:
+    """The rows of an input for all slots, each with its nominal time; slots that share a folder share its rows.
+
+    How the slots are joined is left to adaptive execution.
+    """
     if not view.slot_parts:
         raise ValueError(f"input {name}: a backfill needs time holes in {view.uri}")
-    keys = bounds.small(_slot_keys(slots, view, instance))
     if instance is not _itself:
-        bounds = bounds.of_instances(spark, instance)
-    return _within(spark, view, bounds).join(keys, list(view.slot_parts)).drop(*view.slot_parts)
+        bounds = Bounds.of(slots, instance)
+    keys = _slot_keys(slots, view, instance)
+    return _within(slots.sparkSession, view, bounds).join(keys, list(view.slot_parts)).drop(*view.slot_parts)
 
 
 def _fixed_part(rows: DataFrame, view: View) -> DataFrame:
@@ -238,6 +288,12 @@ def _fixed_part(rows: DataFrame, view: View) -> DataFrame:
 
 def _replace_slots(spark: SparkSession, slots: DataFrame, bounds: Bounds, rows: DataFrame, view: View,
                    clustered: bool) -> None:
+    """Write the rows of all slots, and empty the slots that held rows before and got none.
+
+    The job is run once, by the write. Which files the slots hold is noted before it; a slot that still holds one of
+    them afterwards was not replaced, for files have names of their own. So what counts is what was committed.
+    """
+    view = view.known(spark)
     order = list(view.parts or view.constraints)
     parts = time_parts(F.col(SLOT))
     values = {
@@ -245,50 +301,69 @@ def _replace_slots(spark: SparkSession, slots: DataFrame, bounds: Bounds, rows:
         for column, value in view.constraints.items()
     }
     rows = rows.withColumns(values).drop(SLOT)
-    stale = _stale_slots(spark, slots, bounds, rows, view, order)
-    overwrite_slots(rows if clustered else cluster_by_slot(rows, order), view, order)
-    _drop_slots(spark, view, stale)
-
-
-def _stale_slots(spark: SparkSession, slots: DataFrame, bounds: Bounds, rows: DataFrame, view: View,
-                 order: list[str]) -> list[View]:
-    """Requested slots that hold rows now but get none from this run; an overwrite would leave those alone.
-
-    Names of slots, at most one per requested slot, never rows. On a first run nothing is held, and the job's
-    plan is not looked at a second time.
+    noted = work_path(spark, "held")
+    try:
+        held = _held_files(spark, slots, bounds, view, order)
+        if held is not None:
+            held.write.mode("overwrite").parquet(noted)
+            held = spark.read.schema(held.schema).parquet(noted)
+            if held.isEmpty():
+                held = None
+        overwrite_slots(rows if clustered else cluster_by_slot(rows, order), view, order)
+        now = _held_files(spark, slots, bounds, view, order) if held is not None else None
+        if now is not None:
+            stale = now.join(held.select("path"), "path", "left_semi").select(*order).distinct()
+            _drop_slots(spark, view, order, stale)
+    finally:
+        delete_path(spark, noted)
+
+
+def _held_files(spark: SparkSession, slots: DataFrame, bounds: Bounds, view: View, order: list[str]) -> DataFrame | None:
+    """``path`` and partition values of the files that the slots hold; None if there is no dataset yet.
+
+    Of folders the names are listed; of a catalog table its partition columns are read with the files' names.
     """
-    keys = bounds.small(_slot_keys(slots, view)).select(*view.slot_parts)
+    keys = _slot_keys(slots, view).select(*view.slot_parts)
     try:
-        held = _within(spark, view, bounds).join(keys, list(view.slot_parts), "left_semi").select(*order).distinct()
-        if held.isEmpty():
-            return []
+        if view.parsed.table is None:
+            files = list_files(spark, replace(view.dataset(), parts=tuple(order)), _shared_folders(view, bounds))
+        else:
+            files = load(spark, view.dataset()).select(F.col("_metadata.file_path").alias("path"), *order)
     except AnalysisException as error:
         if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             raise
-        return []
-    refreshed = rows.select(*order).distinct()
-    base = view.dataset().uri
-    return [
-        View(base + "?" + urlencode({part: slot[part] for part in order}), view.schema, tuple(order))
-        for slot in held.join(refreshed, order, "left_anti").collect()
-    ]
+        return None
+    files = _fixed_part(files, view).where(_on_days(view, bounds))
+    return files.join(keys, list(view.slot_parts), "left_semi").select("path", *order).distinct()
+
+
+def _drop_slots(spark: SparkSession, view: View, order: list[str], stale: DataFrame) -> None:
+    """Remove slots, which come to the driver by name, a part at a time; an object store takes some at once."""
+    base = view.dataset()
 
+    def named(slot: Row) -> View:
+        query = urlencode({part: slot[part] for part in order})
+        return View(f"{base.uri}?{query}", view.schema, tuple(order))
 
-def _drop_slots(spark: SparkSession, view: View, stale: list[View]) -> None:
-    table = view.parsed.table
-    if table is None:
-        for slot in stale:
-            delete_path(spark, slot_folder(slot))
-        return
-    for i in range(0, len(stale), DROP_BATCH):
-        specs = ", ".join(partition_spec(slot) for slot in stale[i:i + DROP_BATCH])
-        spark.sql(f"ALTER TABLE {table} DROP IF EXISTS {specs}")
+    names = map(named, stale.toLocalIterator())
+    with ThreadPoolExecutor(DELETIONS) as pool:
+        while batch := list(islice(names, DROP_BATCH)):
+            if view.parsed.table is None:
+                list(pool.map(lambda slot: delete_path(spark, slot_folder(slot)), batch))
+            else:
+                specs = ", ".join(map(partition_spec, batch))
+                spark.sql(f"ALTER TABLE {view.parsed.table} DROP IF EXISTS {specs}")
+
+
+def _with_settings(view: View, settings: Mapping[str, str]) -> View:
+    """The view with the ``hadoop.`` settings of its parameter as options of the reader."""
+    return replace(view, options={**(view.options or {}), **with_prefix(settings, "hadoop.")})
 
 
 def _mark(slots: DataFrame, outputs: Mapping[str, View], markers: View | str | None) -> None:
     if markers is not None:
         for view in outputs.values():
-            mark_ready(slots, view.name, markers)
+            mark_ready(slots, view.known(slots.sparkSession).marks, markers)
 
 
 @dataclass(frozen=True)
@@ -313,7 +388,10 @@ class Schedule:
         if set(self.input_crons) - set(self.inputs):
             raise ValueError(f"no input {', '.join(sorted(set(self.input_crons) - set(self.inputs)))}")
         for name, cron in self.input_crons.items():
-            uneven = plain_step(cron) is None or parse_cron(cron).day_step > 1
+            fields = parse_cron(cron)
+            # Slots of an event ignore the hour under a minute step, the slots of a schedule do not.
+            uneven = plain_step(cron) is None or fields.day_step > 1 or (
+                fields.minute_step is not None and (fields.hour_at is not None or (fields.hour_step or 1) > 1))
             if uneven and self.start_at is None:
                 raise ValueError(f"input {name}: the stride of {cron!r} needs start_at")
 
@@ -337,10 +415,11 @@ class Schedule:
     def due(self, spark: SparkSession, markers: View | str, start: str | dt.datetime,
             end: str | dt.datetime) -> DataFrame:
         """The slots to run now: every input has marked the instance the slot needs, an output lacks its mark."""
-        ready = {name: ready_marks(spark, markers, view.name) for name, view in self.inputs.items()}
-        done = {name: ready_marks(spark, markers, view.name) for name, view in self.outputs.items()}
-        instances = {name: instance(F.col(SLOT)) for name, instance in self.instances().items()}
-        return pending_slots(self.slots(spark, start, end), ready, done, instances)
+        instances = self.instances()
+        inputs = [(view.known(spark).marks, instances.get(name, _itself)(F.col(SLOT))) for name, view in self.inputs.items()]
+        outputs = sorted({view.known(spark).marks for view in self.outputs.values()})
+        marks = marks_of(spark, markers, [*(name for name, _ in inputs), *outputs])
+        return due_slots(self.slots(spark, start, end), marks, inputs, outputs)
 
     def run_at(self, spark: SparkSession, nominal_time: str | dt.datetime, **options) -> None:
         run_at(spark, self.job, nominal_time, self.inputs, self.outputs, instances=self.instances(), **options)
@@ -358,17 +437,33 @@ def run_schedules(spark: SparkSession, schedules: Iterable[Schedule], nominal_ti
 
 def run_stream(spark: SparkSession, job: Job, inputs: Mapping[str, Topic], outputs: Mapping[str, Topic | View],
                checkpoint: str, available_now: bool = False, interval: str = BATCH_INTERVAL,
-               settings: Mapping[str, str] | None = None) -> list[StreamingQuery]:
-    """Start a job on streams: topics in, topics or datasets out; one query per output, each with a checkpoint."""
+               settings: Mapping[str, str] | None = None,
+               event_times: Mapping[str, str] | None = None) -> list[StreamingQuery]:
+    """Start a job on streams: topics in, topics or datasets out; one query per output, each with a checkpoint.
+
+    ``event_times`` names, for outputs partitioned by time, the column that the time is taken from.
+    """
     job.check_names(inputs, outputs)
     for name, source in inputs.items():
         if not isinstance(source, Topic):
             raise TypeError(f"input {name} of job {job.name}: a streaming job reads topics only")
     frames = {name: read_topic(spark, topic, streaming=True) for name, topic in inputs.items()}
     results = job(frames, settings=job_settings(settings or {}, job.name))
-    sinks = {True: stream_to_topic, False: stream_to_dataset}
+    timing = {"available_now": available_now, "interval": interval}
     return [
-        sinks[isinstance(outputs[name], Topic)](
-            rows, outputs[name], f"{checkpoint}/{name}", available_now=available_now, interval=interval)
+        stream_to_topic(rows, outputs[name], f"{checkpoint}/{name}", **timing)
+        if isinstance(outputs[name], Topic) else
+        stream_to_dataset(rows, outputs[name], f"{checkpoint}/{name}", event_time=(event_times or {}).get(name), **timing)
         for name, rows in results.items()
     ]
+
+
+def compact_stream(spark: SparkSession, slots: DataFrame, streamed: View, target: View, markers: View | str | None = None,
+                   clustered: bool = False) -> None:
+    """Closed slots of a dataset that a stream writes, as few files in a dataset of their own.
+
+    A stream makes a folder per batch within each slot. Slots that get no more rows are read through these folders
+    and written anew, replacing what an earlier compaction made of them; the streamed dataset is left as it is.
+    """
+    copy = Job("compact-stream", lambda streamed: streamed, {"streamed": None}, {"compacted": None})
+    backfill(spark, copy, slots, {"streamed": streamed}, {"compacted": target}, markers, clustered=clustered)

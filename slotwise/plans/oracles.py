@@ -55,36 +55,29 @@ ORACLES["time_parts_of_orders"] = (
     f"SELECT o_orderkey, {MINUTE} FROM (SELECT o_orderkey, o_orderdate AS ts FROM orders)")
 ORACLES["slot_time"] = "SELECT event_id, date_trunc('minute', ts) AS nominal_time FROM events"
 ORACLES["render_template"] = """
-SELECT event_id, 'view:hive:example/events?year=' || year(ts) || '&month=' || month(ts) || '&day=' || day(ts)
+SELECT event_id, 'view:hive:shop/visits?year=' || year(ts) || '&month=' || month(ts) || '&day=' || day(ts)
   || '&hour=' || hour(ts) || '&minute=' || minute(ts) AS uri FROM events"""
 ORACLES["render_template_padded"] = """
-SELECT event_id, strftime(ts, 'view:hive:example/events?year=%Y&month=%m&day=%d&hour=%H&minute=%M') AS uri
+SELECT event_id, strftime(ts, 'view:hive:shop/visits?year=%Y&month=%m&day=%d&hour=%H&minute=%M') AS uri
 FROM events"""
 ORACLES["render_template_column"] = """
-SELECT event_id, 'view:hive:example/' || event_type || '?day=' || day(ts) || '&hour=' || hour(ts) AS uri
+SELECT event_id, 'view:hive:shop/' || event_type || '?day=' || day(ts) || '&hour=' || hour(ts) AS uri
 FROM events"""
 ORACLES["parse_view_uri"] = """
 WITH parts AS (
-  SELECT event_id, event_type, CAST(year(ts) AS VARCHAR) AS y, CAST(month(ts) AS VARCHAR) AS m,
-         CAST(day(ts) AS VARCHAR) AS d, CAST(hour(ts) AS VARCHAR) AS h, CAST(minute(ts) AS VARCHAR) AS n FROM events),
-uris AS (
-  SELECT event_id, CASE event_type
-    WHEN 'click' THEN 'view:hive://examplehost:1234/example/events?year=' || y
-    WHEN 'view' THEN 'view:hdfs:///tmp/test/input_records?year=' || y || '&month=' || m || '&day=' || d
-    WHEN 'error' THEN 'dataset:hive:example/events'
-    ELSE 'view:hive:example/events?year=' || y || '&month=' || m || '&day=' || d || '&hour=' || h || '&minute=' || n
-  END AS uri FROM parts)
+  SELECT event_id, event_type AS t, CAST(year(ts) AS VARCHAR) AS y, CAST(month(ts) AS VARCHAR) AS m,
+         CAST(day(ts) AS VARCHAR) AS d, CAST(hour(ts) AS VARCHAR) AS h, CAST(minute(ts) AS VARCHAR) AS n FROM events)
 SELECT event_id,
-  regexp_extract(uri, '^([a-z]+):', 1) AS kind,
-  regexp_extract(uri, '^[a-z]+:([a-z]+):', 1) AS store,
-  nullif(regexp_extract(uri, '^[a-z]+:[a-z]+://([^/]+)', 1), '') AS authority,
-  regexp_extract(uri, '^[a-z]+:[a-z]+:(//[^/]*)?([^?]*)', 2) AS path,
-  nullif(regexp_extract(uri, '[?&]year=([^&]*)', 1), '') AS year,
-  nullif(regexp_extract(uri, '[?&]month=([^&]*)', 1), '') AS month,
-  nullif(regexp_extract(uri, '[?&]day=([^&]*)', 1), '') AS day,
-  nullif(regexp_extract(uri, '[?&]hour=([^&]*)', 1), '') AS hour,
-  nullif(regexp_extract(uri, '[?&]minute=([^&]*)', 1), '') AS minute
-FROM uris"""
+  CASE t WHEN 'error' THEN 'dataset' WHEN 'signup' THEN 'no scheme, year=' || y ELSE 'view' END AS kind,
+  CASE t WHEN 'view' THEN 'hdfs' WHEN 'signup' THEN NULL ELSE 'hive' END AS store,
+  CASE t WHEN 'click' THEN 'catalog.local:9083' END AS authority,
+  CASE t WHEN 'view' THEN '/lake/visits' WHEN 'signup' THEN NULL ELSE 'shop/visits' END AS path,
+  CASE t WHEN 'click' THEN m WHEN 'view' THEN y WHEN 'purchase' THEN y END AS year,
+  CASE t WHEN 'view' THEN m WHEN 'purchase' THEN m END AS month,
+  CASE t WHEN 'click' THEN d WHEN 'view' THEN d WHEN 'purchase' THEN d END AS day,
+  CASE t WHEN 'purchase' THEN h END AS hour,
+  CASE t WHEN 'purchase' THEN n END AS minute
+FROM parts"""
 ORACLES["format_nominal"] = "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%MZ') AS nominal FROM events"
 ORACLES["parse_nominal"] = """
 SELECT event_id, strptime(strftime(ts, '%Y-%m-%dT%H:%MZ'), '%Y-%m-%dT%H:%MZ') AS nominal_time FROM events"""
@@ -154,7 +147,7 @@ checked AS (
     WHEN m = '1-5' THEN 'minute is not a number, * or */n'
     WHEN h = 'x' THEN 'hour is not a number, * or */n'
     WHEN r = '* 1' THEN 'month and weekday must be *'
-    WHEN m IN ('*/0', '*/99999999999') OR h = '*/0' THEN 'step must be at least 1'
+    WHEN m IN ('*/0', '*/99999999999') OR h = '*/0' THEN 'step must be from 1 to 2147483647'
     WHEN try_cast(m AS INTEGER) > 59 THEN 'minute is above 59'
     WHEN try_cast(h AS INTEGER) > 23 THEN 'hour is above 23'
     WHEN d = '15' THEN 'day must be * or */n'
@@ -259,3 +252,22 @@ FROM (SELECT event_id, props, unnest(json_keys(props)) AS key FROM events)"""
 
 for _name in ("topic_round_trip", "stream_topic_to_dataset", "stream_topic_to_topic"):
     ORACLES[_name] = f"SELECT {EVENT} FROM events"
+
+ORACLES["due_by_constrained_view"] = """
+SELECT DISTINCT 'click' AS event_type, date_trunc('day', ts) AS nominal_time FROM events
+WHERE ts >= TIMESTAMP '2024-01-02' AND ts < TIMESTAMP '2024-01-25'"""
+ORACLES["view_scan_text_partition"] = """
+SELECT 'folders' AS store, c_custkey, '007' AS code FROM customer WHERE c_nationkey = 7
+UNION ALL SELECT 'slots', c_custkey, CASE c_nationkey WHEN 7 THEN '007' WHEN 8 THEN '07' ELSE '7' END
+          FROM customer WHERE c_nationkey IN (7, 8, 9)
+UNION ALL SELECT 'one slot', c_custkey, '07' FROM customer WHERE c_nationkey = 8
+UNION ALL SELECT 'catalog', c_custkey, '007' FROM customer WHERE c_nationkey = 7"""
+ORACLES["stream_into_day_partitions"] = ORACLES["view_scan_one_day"]
+ORACLES["compact_stream"] = ORACLES["view_scan_one_day"]
+ORACLES["record_function_in_job"] = f"""
+SELECT {EVENT}, {DAY}, CAST(list_sum(list_transform(range(16), lambda i: ((event_id >> i) & 1) << (15 - i))) AS BIGINT) AS reversed
+FROM events"""
+ORACLES["per_batch_side_effect"] = "SELECT event_type, count(*) AS n_events FROM events GROUP BY event_type"
+ORACLES["backfill_catalog"] = ORACLES["backfill_again"]
+ORACLES["list_partitions"] = ORACLES["covering_partitions"]
+ORACLES["compacted_marks"] = ORACLES["ready_marks"]

@@ -15,18 +15,19 @@ from slotwise.functions.timeparts import (
 )
 from slotwise.functions.uris import parse_view_uri
 from slotwise.operators.readiness import (
-    mark_views, missing_slots, pending_slots, ready_marks, ready_slots,
+    compact_marks, mark_views, missing_slots, pending_slots, ready_marks, ready_slots,
 )
-from slotwise.operators.sinks import save_nonempty, write_time_partitioned, write_view
+from slotwise.operators.sinks import append, save_nonempty, write_time_partitioned, write_view
 from slotwise.operators.slots import events_per_slot, fire_slots, instance_at, is_slot, slot_column, slots_with_data
 from slotwise.operators.transforms import copy_view, count_by_key, keys, odd_users, reconcile, row_count, union_inputs
-from slotwise.plans.jobs import Job, Schedule, backfill, job, run_at, run_stream
+from slotwise.plans.jobs import Job, Schedule, backfill, compact_stream, job, run_at, run_stream
 from slotwise.session import work_path
 from slotwise.sources.datasets import (
-    View, covering_partitions, ensure_dataset, read_at, read_dataset, read_view, refine,
+    View, ensure_dataset, list_partitions, read_at, read_dataset, read_view, refine,
 )
 from slotwise.sources.generator import generate_events
 from slotwise.sources.topics import Topic, read_topic, write_topic
+from slotwise.streaming.sinks import for_each_batch
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -51,7 +52,7 @@ REPORT = record(user_id="long", event_count="long")
 
 DAY = parts_upto("day")
 DAY_HOLES = "?year=${YEAR}&month=${MONTH}&day=${DAY}"
-TEMPLATE = "view:hive:example/events?year=${YEAR}&month=${MONTH}&day=${DAY}&hour=${HOUR}&minute=${MINUTE}"
+TEMPLATE = "view:hive:shop/visits?year=${YEAR}&month=${MONTH}&day=${DAY}&hour=${HOUR}&minute=${MINUTE}"
 
 # A slot of the events table, and a run after its last event.
 SLOT_DAY = "2024-01-15T00:00Z"
@@ -143,7 +144,7 @@ def refine_partition_and_data(spark, sf_dir):
 
 @query("covering_partitions")
 def covering_partitions_of_events(spark, sf_dir):
-    return covering_partitions(read_dataset(spark, events_by_day(spark, sf_dir)), DAY)
+    return list_partitions(spark, events_by_day(spark, sf_dir))
 
 
 @query("rows_per_partition")
@@ -250,16 +251,17 @@ def rendered_template_padded(spark, sf_dir):
 
 @query("render_template_column")
 def rendered_template_column(spark, sf_dir):
-    template = F.concat(F.lit("view:hive:example/"), F.col("event_type"), F.lit("?day=${DAY}&hour=${HOUR}"))
+    template = F.concat(F.lit("view:hive:shop/"), F.col("event_type"), F.lit("?day=${DAY}&hour=${HOUR}"))
     return events(spark, sf_dir).select("event_id", render_template(template, F.col("ts")).alias("uri"))
 
 
 @query("parse_view_uri")
 def parsed_view_uri(spark, sf_dir):
-    """URIs with and without host and constraints, one per event."""
-    uri = (F.when(F.col("event_type") == "click", F.lit("view:hive://examplehost:1234/example/events?year=${YEAR}"))
-           .when(F.col("event_type") == "view", F.lit("view:hdfs:///tmp/test/input_records" + DAY_HOLES))
-           .when(F.col("event_type") == "error", F.lit("dataset:hive:example/events"))
+    """URIs with and without host and constraints, one with a key twice, one without a value, and a text that is none."""
+    uri = (F.when(F.col("event_type") == "click", F.lit("view:hive://catalog.local:9083/shop/visits?year=${YEAR}&year=${MONTH}&day=${DAY}"))
+           .when(F.col("event_type") == "view", F.lit("view:hdfs:///lake/visits?year=${YEAR}&month=${MONTH}&hour&day=${DAY}"))
+           .when(F.col("event_type") == "error", F.lit("dataset:hive:shop/visits"))
+           .when(F.col("event_type") == "signup", F.lit("no scheme, year=${YEAR}"))
            .otherwise(F.lit(TEMPLATE)))
     rendered = events(spark, sf_dir).select("event_id", render_template(uri, F.col("ts")).alias("uri"))
     parsed = rendered.withColumn("uri", parse_view_uri(F.col("uri")))
@@ -416,6 +418,15 @@ def marked_slots(spark, sf_dir):
     return ready_marks(spark, markers, "purchase")
 
 
+@query("compacted_marks")
+def compacted_marks(spark, sf_dir):
+    """Marks of two runs, made one folder."""
+    markers = _marks_by_type(spark, sf_dir)
+    mark_views(ready_marks(spark, markers, "purchase").select(F.lit("purchase").alias("view"), "nominal_time"), markers)
+    compact_marks(spark, markers, ["purchase"])
+    return ready_marks(spark, markers, "purchase")
+
+
 @query("ready_slots")
 def ready_hours(spark, sf_dir):
     markers = _marks_by_type(spark, sf_dir)
@@ -460,8 +471,116 @@ def late_days_job(example_events):
     return example_events.where(F.dayofmonth("nominal_time") > 15)
 
 
+@job("clicks", inputs={"example_events": EVENTS}, outputs={"clicks": EVENTS})
+def clicks_job(example_events):
+    return example_events.where("event_type = 'click'")
+
+
+@job("reversed", inputs={"example_events": EVENTS}, outputs=["reversed_events"])
+def record_function_job(example_events):
+    """The low 16 bits of event_id the other way round, a batch at a time."""
+    def reversed_bits(batches):
+        for batch in batches:
+            ids = batch["event_id"].to_numpy()
+            bits = [(ids >> i & 1) << 15 - i for i in range(16)]
+            yield batch.assign(reversed=sum(bits))
+
+    schema = T.StructType([*example_events.schema.fields, T.StructField("reversed", T.LongType())])
+    return example_events.mapInPandas(reversed_bits, schema)
+
+
 def _days(spark: SparkSession, dataset: View) -> DataFrame:
-    return covering_partitions(read_dataset(spark, dataset), DAY).select(slot_time(DAY).alias("nominal_time"))
+    return list_partitions(spark, dataset).select(slot_time(DAY).alias("nominal_time"))
+
+
+def _work_table(spark: SparkSession, label: str, schema: T.StructType, parts: tuple[str, ...]) -> View:
+    """A new catalog table with its files in the shared folder and a name of its own."""
+    location = work_path(spark, label)
+    view = View(f"dataset:hive:slotwise_work/{label}_{location.rpartition('-')[2]}", schema, parts)
+    return ensure_dataset(spark, view, location)
+
+
+def _kept(spark: SparkSession, rows: DataFrame, table: View) -> DataFrame:
+    """Rows of a work table, kept when the table's name goes."""
+    path = work_path(spark, "kept")
+    rows.write.mode("overwrite").parquet(path)
+    spark.sql(f"DROP TABLE {table.parsed.table}")
+    return spark.read.schema(rows.schema).parquet(path)
+
+
+@query("backfill_catalog")
+def backfill_catalog(spark, sf_dir):
+    """As ``backfill_again``, into a catalog table."""
+    source = events_by_day(spark, sf_dir)
+    target = _work_table(spark, "odd", EVENTS, DAY)
+    for step in (odd_users_job, late_days_job):
+        backfill(spark, step, _days(spark, source), {"example_events": view_of(source, DAY_HOLES)},
+                 {"odd_users": view_of(target, DAY_HOLES)})
+    return _kept(spark, read_dataset(spark, target), target)
+
+
+@query("list_partitions")
+def listed_partitions(spark, sf_dir):
+    """Partitions as the catalog lists them."""
+    target = _work_table(spark, "events", EVENTS, DAY)
+    write_time_partitioned(events(spark, sf_dir), target, "ts", "day")
+    return _kept(spark, list_partitions(spark, target), target)
+
+
+@query("due_by_constrained_view")
+def due_by_constrained_view(spark, sf_dir):
+    """Clicks are written and marked, views are not: only jobs that wait for clicks are due."""
+    source = events_by_day(spark, sf_dir)
+    by_type = new_dataset(spark, "by_type", EVENTS, ("event_type", *DAY))
+    target = new_dataset(spark, "odd", EVENTS, DAY)
+    markers = new_dataset(spark, "markers", None)
+
+    def of_type(kind: str) -> View:
+        return view_of(by_type, DAY_HOLES.replace("?", f"?event_type={kind}&"))
+
+    backfill(spark, clicks_job, _days(spark, source), {"example_events": view_of(source, DAY_HOLES)},
+             {"clicks": of_type("click")}, markers)
+    due = [
+        Schedule(odd_users_job, "0 0 * * *", outputs={"odd_users": view_of(target, DAY_HOLES)},
+                 inputs={"example_events": of_type(kind)})
+        .due(spark, markers, "2024-01-01T23:00Z", "2024-01-25T00:00Z").select(F.lit(kind).alias("event_type"), "nominal_time")
+        for kind in ("click", "view")]
+    return due[0].unionByName(due[1])
+
+
+@query("record_function_in_job")
+def record_function_in_job(spark, sf_dir):
+    """A job that calls Python, a batch of records at a time."""
+    source = events_by_day(spark, sf_dir)
+    schema = T.StructType([*EVENTS.fields, T.StructField("reversed", T.LongType())])
+    target = new_dataset(spark, "reversed", schema, DAY)
+    backfill(spark, record_function_job, _days(spark, source), {"example_events": view_of(source, DAY_HOLES)},
+             {"reversed_events": view_of(target, DAY_HOLES)}, clustered=True)
+    return read_dataset(spark, target)
+
+
+@query("view_scan_text_partition")
+def view_scan_text_partition(spark, sf_dir):
+    """Slots named by text: 007, 07 and 7 are three, in folders and in the catalog."""
+    fields = [f for f in CUSTOMER.fields if f.name != "c_nationkey"]
+    schema = T.StructType([*fields, T.StructField("code", T.StringType())])
+    folders, slots = (new_dataset(spark, label, schema, ("code",)) for label in ("folders", "slots"))
+    rows = customer(spark, sf_dir)
+    padded = rows.withColumn("code", F.lpad(F.col("c_nationkey").cast("string"), 3, "0")).drop("c_nationkey")
+    append(padded, folders, ("code",))
+    for nation, code in ((7, "007"), (8, "07"), (9, "7")):
+        write_view(rows.where(F.col("c_nationkey") == nation).drop("c_nationkey"), view_of(slots, f"?code={code}"))
+    table = _work_table(spark, "customers", schema, ("code",))
+    for nation, code in ((7, "007"), (8, "7")):
+        write_view(rows.where(F.col("c_nationkey") == nation).drop("c_nationkey"), view_of(table, f"?code={code}"))
+    found = {
+        "folders": read_view(spark, view_of(folders, "?code=007")),
+        "slots": read_dataset(spark, slots),
+        "one slot": read_view(spark, view_of(slots, "?code=07")),
+        "catalog": _kept(spark, read_view(spark, view_of(table, "?code=007")), table),
+    }
+    parts = [df.select(F.lit(store).alias("store"), "c_custkey", "code") for store, df in found.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
 
 
 @query("report_into_slot")
@@ -601,6 +720,46 @@ def stream_topic_to_dataset(spark, sf_dir):
     return read_dataset(spark, target).select(*EVENTS.names)
 
 
+def _streamed_by_day(spark: SparkSession, sf_dir: str) -> View:
+    topic = _topic(spark, "topic")
+    write_topic(events(spark, sf_dir), topic)
+    target = new_dataset(spark, "streamed", EVENTS, DAY)
+    for running in run_stream(spark, topic_to_dataset_job, {"event_stream": topic}, {"event_output": target},
+                              work_path(spark, "checkpoint"), available_now=True, event_times={"event_output": "ts"}):
+        running.awaitTermination()
+    return target
+
+
+@query("stream_into_day_partitions")
+def stream_into_day_partitions(spark, sf_dir):
+    """A stream files its rows by the day they happened; a view of a day reads them."""
+    return read_view(spark, view_of(_streamed_by_day(spark, sf_dir), "?year=2024&month=1&day=15"))
+
+
+@query("compact_stream")
+def compacted_stream(spark, sf_dir):
+    """Days that a stream wrote, written anew without its batch folders."""
+    streamed = _streamed_by_day(spark, sf_dir)
+    target = new_dataset(spark, "compacted", EVENTS, DAY)
+    compact_stream(spark, _days(spark, streamed), view_of(streamed, DAY_HOLES), view_of(target, DAY_HOLES))
+    return read_view(spark, view_of(target, "?year=2024&month=1&day=15"))
+
+
+@query("per_batch_side_effect")
+def per_batch_side_effect(spark, sf_dir):
+    """What is done with each batch is the caller's: here a table of counts per batch, under the batch's number."""
+    topic, counts = _topic(spark, "topic"), work_path(spark, "counts")
+    write_topic(events(spark, sf_dir), topic)
+
+    def count(batch: DataFrame, batch_id: int) -> None:
+        batch.groupBy("event_type").count().write.mode("overwrite").parquet(f"{counts}/batch={batch_id}")
+
+    for_each_batch(read_topic(spark, topic, streaming=True), count, work_path(spark, "checkpoint"),
+                   available_now=True).awaitTermination()
+    rows = spark.read.schema("event_type string, count bigint, batch int").parquet(counts)
+    return rows.groupBy("event_type").agg(F.sum("count").alias("n_events"))
+
+
 @query("stream_topic_to_topic")
 def stream_topic_to_topic(spark, sf_dir):
     source, target = _topic(spark, "topic"), _topic(spark, "topic")

@@ -30,5 +30,5 @@ def with_prefix(settings: Mapping[str, str], prefix: str) -> dict[str, str]:
 
 
 def _parameter_settings(of_job: Mapping[str, str], prefix: str) -> dict[str, str]:
-    general = {k: v for k, v in of_job.items() if not k.startswith(("input", "output"))}
+    general = {k: v for k, v in of_job.items() if not k.startswith(("input.", "output."))}
     return {**general, **with_prefix(of_job, prefix)}

@@ -62,6 +62,14 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(hadoop_path)
 
 
+def list_folders(spark: SparkSession, path: str) -> list[str]:
+    """Folders right below a path; none if it is not there."""
+    hadoop_path, fs = _hadoop(spark, path)
+    if not fs.exists(hadoop_path):
+        return []
+    return sorted(s.getPath().toString() for s in fs.listStatus(hadoop_path) if s.isDirectory())
+
+
 def delete_path(spark: SparkSession, path: str) -> bool:
     hadoop_path, fs = _hadoop(spark, path)
     return fs.delete(hadoop_path, True)

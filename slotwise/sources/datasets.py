@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import datetime as dt
+import re
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, replace
+from urllib.parse import urlencode
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,9 +15,14 @@ from pyspark.sql import types as T
 
 from slotwise.functions.timeparts import HOLES, as_nominal, fill_template
 from slotwise.functions.uris import Uri, split_uri
+from slotwise.schemas import BATCH_PARTS
 from slotwise.session import path_exists
 
 
+# Partition values that stand in a folder's name as they are.
+SAFE_VALUE = r"[\w.-]+"
+
+
 @dataclass(frozen=True)
 class View:
     """A dataset, or the part of it that meets the constraints of its URI.
@@ -39,9 +46,19 @@ class View:
 
     @property
     def name(self) -> str:
-        """Dataset name without kind and constraints; markers are filed under it."""
+        """Dataset name without kind and constraints."""
         return self.uri.partition("?")[0].partition(":")[2]
 
+    @property
+    def marks(self) -> str:
+        """The name that marks of this view are filed under: the dataset, and the constraints that no time fills.
+
+        It is the same however the URI is written: constraints are sorted, escapes resolved, numbers unpadded.
+        """
+        fixed = {column: plain_value(value, self.type_of(column))
+                 for column, value in sorted(self.constraints.items()) if value not in HOLES}
+        return self.parsed.dataset + ("?" + urlencode(fixed) if fixed else "")
+
     @property
     def slot_parts(self) -> dict[str, str]:
         """Constraint column to time part, for constraints that are holes."""
@@ -56,12 +73,25 @@ class View:
         added = [T.StructField(part, T.IntegerType()) for part in self.parts if part not in known]
         return T.StructType([*self.schema.fields, *added])
 
+    def type_of(self, column: str) -> T.DataType | None:
+        """The type of a column, None where no schema says."""
+        schema = self.full_schema
+        return schema[column].dataType if schema is not None and column in schema.fieldNames() else None
+
+    def known(self, spark: SparkSession) -> View:
+        """The view with the schema and parts of its catalog table; a path view as it is."""
+        if self.parsed.table is None or not spark.catalog.tableExists(self.parsed.table):
+            return self
+        columns = spark.catalog.listColumns(self.parsed.table)
+        parts = tuple(c.name for c in columns if c.isPartition)
+        return replace(self, schema=spark.table(self.parsed.table).schema, parts=parts or self.parts)
+
     def slot_value(self, column: str) -> Column:
         """The value a constraint gives a partition column, as its type; a number is an INT where no schema says."""
         value = self.constraints[column]
-        schema = self.full_schema
-        if schema is not None and column in schema.fieldNames():
-            return F.lit(value).cast(schema[column].dataType)
+        kind = self.type_of(column)
+        if kind is not None:
+            return F.lit(value).cast(kind)
         return F.lit(int(value)) if value.isdigit() else F.lit(value)
 
     def at(self, nominal_time: str | dt.datetime) -> View:
@@ -76,6 +106,16 @@ def as_view(view: View | str) -> View:
     return view if isinstance(view, View) else View(view)
 
 
+def is_number(value: str, kind: T.DataType | None) -> bool:
+    """Whether a partition value is a whole number: its column's type decides, the digits only where none is known."""
+    return value.isdigit() and (kind is None or isinstance(kind, T.IntegralType))
+
+
+def plain_value(value: str, kind: T.DataType | None) -> str:
+    """A partition value as it names a folder: numbers unpadded, text as it is."""
+    return str(int(value)) if is_number(value, kind) else value
+
+
 def read_dataset(spark: SparkSession, view: View | str) -> DataFrame:
     """Every record of the dataset a URI names, constraints left aside."""
     return load(spark, as_view(view).dataset())
@@ -92,9 +132,11 @@ def read_view(spark: SparkSession, view: View | str) -> DataFrame:
         raise ValueError(f"{view.uri} still has holes: give a nominal time")
     folders = []
     for part in view.parts:
-        if not view.constraints.get(part, "").isdigit():
+        value = view.constraints.get(part, "")
+        if not re.fullmatch(SAFE_VALUE, value):
             break
-        folders.append((part, int(view.constraints[part])))
+        kind = view.type_of(part)
+        folders.append((part, int(value) if is_number(value, kind) else value))
     return refine(load(spark, view, folders), **view.constraints)
 
 
@@ -113,27 +155,51 @@ def refine(df: DataFrame, **equal) -> DataFrame:
 
 
 def covering_partitions(df: DataFrame, parts: Sequence[str]) -> DataFrame:
-    """The partitions that hold at least one row; only the partition columns are scanned."""
+    """The partitions that the rows of ``df`` lie in. It goes over every row; :func:`list_partitions` does not."""
     return df.select(*parts).distinct()
 
 
 def list_partitions(spark: SparkSession, view: View | str) -> DataFrame:
-    """The partitions of a dataset by name: from the catalog without a scan, else those that hold rows.
+    """The partitions of a dataset by name: from the catalog, or from the names of its files. No file is opened.
 
-    A catalog also lists partitions that were written empty.
+    Writers of this package leave no file in a slot without rows. Another writer's empty file counts as a partition
+    that is there, as it does in a catalog.
     """
     view = as_view(view).dataset()
     if view.parsed.table is None:
-        return covering_partitions(read_dataset(spark, view), view.parts)
-    names = spark.sql(f"SHOW PARTITIONS {view.parsed.table}")
-    values = F.str_to_map("partition", F.lit("/"), F.lit("="))
-    schema = spark.table(view.parsed.table).schema
-    parts = [c.name for c in spark.catalog.listColumns(view.parsed.table) if c.isPartition]
-    return names.select(*(values[part].cast(schema[part].dataType).alias(part) for part in parts))
+        return list_files(spark, view).select(*view.parts).distinct()
+    view = view.known(spark)
+    names = spark.sql(f"SHOW PARTITIONS {view.parsed.table}").select(F.concat("partition", F.lit("/")).alias("path"))
+    return names.select(*(_part_of_path(F.concat(F.lit("/"), "path"), p, view.type_of(p)).alias(p) for p in view.parts))
+
+
+def list_files(spark: SparkSession, view: View, folders: Sequence[tuple[str, int | str]] = ()) -> DataFrame:
+    """``path`` and partition values of the files of a path dataset, or below one of its folders; none is opened."""
+    path = "/".join([view.parsed.location, *(_folder(*f) for f in folders)])
+    reader = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true")
+    files = reader.load(path).select("path")
+    return files.select("path", *(_part_of_path(F.col("path"), p, view.type_of(p)).alias(p) for p in view.parts))
+
+
+def _part_of_path(path: Column, part: str, kind: T.DataType | None) -> Column:
+    text = F.regexp_extract(path, f"/{re.escape(part)}=([^/]*)/", 1)
+    value = F.url_decode(F.replace(text, F.lit("+"), F.lit("%2B")))
+    return F.nullif(value, F.lit("__HIVE_DEFAULT_PARTITION__")).cast(kind or T.StringType())
+
 
+def load(spark: SparkSession, view: View, folders: Sequence[tuple[str, int | str]] = ()) -> DataFrame:
+    """A dataset, or what lies below one of its folders; a catalog table knows its folders itself.
 
-def load(spark: SparkSession, view: View, folders: Sequence[tuple[str, int]] = ()) -> DataFrame:
-    """A dataset, or what lies below one of its folders; a catalog table knows its folders itself."""
+    A dataset that streams write has further folders, one per batch, below its own partitions; these are read
+    through and not shown.
+    """
+    rows = _load(spark, view, folders)
+    if view.schema is not None and view.parts and set(BATCH_PARTS) <= set(rows.columns):
+        return rows.drop(*(set(BATCH_PARTS) - set(view.full_schema.fieldNames())))
+    return rows
+
+
+def _load(spark: SparkSession, view: View, folders: Sequence[tuple[str, int | str]]) -> DataFrame:
     if view.parsed.table is not None:
         return spark.table(view.parsed.table)
     reader = spark.read.options(**(view.options or {}))
@@ -153,9 +219,9 @@ def load(spark: SparkSession, view: View, folders: Sequence[tuple[str, int]] = (
     return reader.parquet(root).where(F.lit(False))
 
 
-def _folder(part: str, value: int) -> str:
-    """``month=5`` as written here, or ``month=05`` as other writers pad it."""
-    return f"{part}={{{value},0{value}}}" if value < 10 else f"{part}={value}"
+def _folder(part: str, value: int | str) -> str:
+    """``month=5`` as written here, or ``month=05`` as other writers pad it; text is what it is."""
+    return f"{part}={{{value},0{value}}}" if isinstance(value, int) and value < 10 else f"{part}={value}"
 
 
 def ensure_dataset(spark: SparkSession, view: View, location: str | None = None) -> View:
@@ -170,12 +236,12 @@ def ensure_dataset(spark: SparkSession, view: View, location: str | None = None)
     if view.schema is None:
         raise ValueError(f"{view.uri}: a dataset needs a schema")
     if not spark.catalog.tableExists(table):
-        if "." in table:
-            spark.sql(f"CREATE DATABASE IF NOT EXISTS {_quote(table.rpartition('.')[0])}")
+        if "`.`" in table:
+            spark.sql(f"CREATE DATABASE IF NOT EXISTS {table.rpartition('.')[0]}")
         columns = ", ".join(_ddl(field) for field in view.full_schema)
         partitioned = f" PARTITIONED BY ({', '.join(map(_quote, view.parts))})" if view.parts else ""
-        at = f" LOCATION '{location}'" if location else ""
-        spark.sql(f"CREATE TABLE {_quote(table)} ({columns}) USING parquet{partitioned}{at}")
+        at = f" LOCATION {text_literal(location)}" if location else ""
+        spark.sql(f"CREATE TABLE {table} ({columns}) USING parquet{partitioned}{at}")
         return view
     present = {field.name: field.dataType for field in spark.table(table).schema}
     for field in view.full_schema:
@@ -187,9 +253,9 @@ def ensure_dataset(spark: SparkSession, view: View, location: str | None = None)
         raise ValueError(f"{table} would lose {', '.join(sorted(lost))}")
     added = [_ddl(field) for field in view.schema if field.name not in present]
     if added:
-        spark.sql(f"ALTER TABLE {_quote(table)} ADD COLUMNS ({', '.join(added)})")
+        spark.sql(f"ALTER TABLE {table} ADD COLUMNS ({', '.join(added)})")
     if location:
-        spark.sql(f"ALTER TABLE {_quote(table)} SET LOCATION '{location}'")
+        spark.sql(f"ALTER TABLE {table} SET LOCATION {text_literal(location)}")
     return view
 
 
@@ -198,4 +264,9 @@ def _ddl(field: T.StructField) -> str:
 
 
 def _quote(name: str) -> str:
-    return ".".join(f"`{part}`" for part in name.split("."))
+    """A column's name, dots and all."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def text_literal(value: str) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from slotwise.operators.sinks import overwrite_slots
-from slotwise.schemas import BATCH_PARTS
+from slotwise.functions.timeparts import time_parts
+from slotwise.operators.sinks import cluster_by_slot, overwrite_slots
+from slotwise.schemas import BATCH_PARTS, TIME_PARTS
 from slotwise.sources.datasets import View, as_view
 from slotwise.sources.topics import Topic, send_to_folder, to_messages
 
@@ -29,20 +30,41 @@ def _trigger(available_now: bool, interval: str) -> dict:
 
 
 def stream_to_dataset(sdf: DataFrame, view: View | str, checkpoint: str, available_now: bool = False,
-                      interval: str = BATCH_INTERVAL) -> StreamingQuery:
-    """Write each batch that has rows into a dataset, in a partition of its own.
-
-    A batch that is replayed after a lost commit replaces its own partition, where an append would double its
-    rows. A catalog table has to be partitioned by ``BATCH_PARTS`` (see :func:`with_batch_parts`).
+                      interval: str = BATCH_INTERVAL, event_time: str | None = None) -> StreamingQuery:
+    """Write each batch that has rows into a dataset, under the dataset's partitions and in a folder of its own there.
+
+    Partition columns are taken from the view's constraints, from the record, or from the parts of ``event_time``;
+    a layout that cannot be met so is refused. Below them come ``BATCH_PARTS``: a batch that is replayed after a lost
+    commit replaces its own folders, where an append would double its rows. Rows of a batch for the same slots come
+    from the same messages, so a replay has the same folders. Readers of a view do not see the batch columns. A
+    catalog table has to be partitioned by its parts and then ``BATCH_PARTS`` (see :func:`with_batch_parts`).
     """
     view = as_view(view)
+    values = part_values(sdf, view, event_time)
+    order = [*(part for part in view.parts if part not in BATCH_PARTS), *BATCH_PARTS]
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        overwrite_slots(with_batch(batch, batch_id), view, BATCH_PARTS)
+        rows = with_batch(batch.withColumns(values), batch_id)
+        overwrite_slots(rows if len(order) == len(BATCH_PARTS) else cluster_by_slot(rows, order), view.dataset(), order)
 
     return for_each_batch(sdf, write_batch, checkpoint, available_now, interval)
 
 
+def part_values(sdf: DataFrame, view: View, event_time: str | None) -> dict[str, Column]:
+    """Partition columns that a stream's rows lack, and the values they get."""
+    values = {part: view.slot_value(part) for part in view.constraints}
+    times = dict(zip(TIME_PARTS, TIME_PARTS, strict=True)) if event_time is not None else {}
+    for part in view.parts:
+        if part in values or part in sdf.columns or part in BATCH_PARTS:
+            continue
+        if part not in times:
+            raise ValueError(f"{view.uri}: nothing gives the partition column {part}")
+        values[part] = time_parts(F.col(event_time))[part]
+    if set(values) - set(view.parts):
+        raise ValueError(f"{view.uri}: {', '.join(sorted(set(values) - set(view.parts)))} is no partition column")
+    return values
+
+
 def stream_to_topic(sdf: DataFrame, topic: Topic, checkpoint: str, available_now: bool = False,
                     interval: str = BATCH_INTERVAL) -> StreamingQuery:
     """Send each batch to a topic. A broker may see a replayed batch twice; a folder topic keeps it once."""

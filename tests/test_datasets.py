@@ -253,3 +253,22 @@ def test_slots_named_by_text(spark, folder, database):
         assert {(r.region, r.day) for r in read_dataset(spark, view).collect()} == {("eu-west", 5), ("us", 5)}
     with pytest.raises(ValueError, match="cannot name a slot"):
         write_view(users(spark, 1), View("view:" + folder("regions") + "?region=a%2Fb&day=5", schema, ("region", "day")))
+
+
+def test_text_values_are_not_numbers(spark, folder):
+    schema = T.StructType([T.StructField("user_id", T.LongType()), T.StructField("code", T.StringType())])
+    view = lambda code: View("view:" + folder("codes") + f"?code={code}", schema, ("code",))
+    for n, code in enumerate(("007", "07", "7"), 1):
+        write_view(spark.range(n).select(F.col("id").alias("user_id")), view(code))
+    assert [read_view(spark, view(code)).count() for code in ("007", "07", "7", "0007")] == [1, 2, 3, 0]
+    write_view(spark.range(0).select(F.col("id").alias("user_id")), view("07"))
+    assert [read_view(spark, view(code)).count() for code in ("007", "07", "7")] == [1, 0, 3]
+    assert sorted(r.code for r in list_partitions(spark, view("7")).collect()) == ["007", "7"]
+
+
+def test_partitions_are_listed_without_opening_files(spark, folder):
+    for hour in range(3):
+        write_view(users(spark, 5), hourly(folder, "users").at(f"2015-05-15T{hour:02}:00Z"))
+    listed = list_partitions(spark, hourly(folder, "users"))
+    assert sorted(tuple(r) for r in listed.collect()) == [(2015, 5, 15, hour) for hour in range(3)]
+    assert "parquet" not in listed._jdf.queryExecution().executedPlan().toString().split("Location")[0].lower()

@@ -12,7 +12,7 @@ from slotwise.functions.timeparts import (
 from slotwise.functions.uris import parse_view_uri, split_uri
 from slotwise.plans.settings import input_settings, job_settings, output_settings, with_prefix
 
-TEMPLATE = "view:hive:example/events?year=${YEAR}&month=${MONTH}&day=${DAY}&hour=${HOUR}&minute=${MINUTE}"
+TEMPLATE = "view:hive:shop/visits?year=${YEAR}&month=${MONTH}&day=${DAY}&hour=${HOUR}&minute=${MINUTE}"
 
 
 def one(spark, *columns):
@@ -32,8 +32,8 @@ def test_render_template(spark):
     plain, padded, column = one(
         spark, render_template(TEMPLATE, ts), render_template(TEMPLATE, ts, padded=True),
         render_template(F.lit(TEMPLATE), ts))
-    assert plain == "view:hive:example/events?year=2015&month=5&day=12&hour=18&minute=3"
-    assert padded == "view:hive:example/events?year=2015&month=05&day=12&hour=18&minute=03"
+    assert plain == "view:hive:shop/visits?year=2015&month=5&day=12&hour=18&minute=3"
+    assert padded == "view:hive:shop/visits?year=2015&month=05&day=12&hour=18&minute=03"
     assert column == plain == fill_template(TEMPLATE, as_nominal("2015-05-12T18:03Z"))
     assert one(spark, render_template("no holes", ts))[0] == "no holes"
 
@@ -68,11 +68,12 @@ def test_slot_time_fills_missing_parts(spark):
 
 
 URIS = [
-    ("view:hive:example/events?year=2015&month=5", ("view", "hive", None, "example/events", {"year": "2015", "month": "5"})),
-    ("view:hive://examplehost:1234/example/events?year=2015",
-     ("view", "hive", "examplehost:1234", "/example/events", {"year": "2015"})),
-    ("view:hdfs:///tmp/test/keyvalues", ("view", "hdfs", None, "/tmp/test/keyvalues", {})),
-    ("dataset:hive:example/events", ("dataset", "hive", None, "example/events", {})),
+    ("view:hive:shop/visits?year=2015&month=5", ("view", "hive", None, "shop/visits", {"year": "2015", "month": "5"})),
+    ("view:hive://catalog.local:9083/shop/visits?year=2015",
+     ("view", "hive", "catalog.local:9083", "shop/visits", {"year": "2015"})),
+    ("view:hdfs:///lake/settings", ("view", "hdfs", None, "/lake/settings", {})),
+    ("dataset:hive:shop/visits", ("dataset", "hive", None, "shop/visits", {})),
+    ("view:file:/x?a=1&b=2&a=3&a=", ("view", "file", None, "/x", {"b": "2", "a": ""})),
     ("dataset:file:/tmp/x?a=b%20c", ("dataset", "file", None, "/tmp/x", {"a": "b%20c"})),
 ]
 
@@ -89,7 +90,7 @@ def test_split_uri():
     for uri, (kind, store, authority, path, constraints) in URIS[:-1]:
         assert split_uri(uri) == (kind, store, authority or "", path, constraints)
     assert split_uri(URIS[-1][0]).constraints == {"a": "b c"}
-    assert split_uri("view:hive://examplehost:1234/example/events?year=2015").table == "example.events"
+    assert split_uri("view:hive://catalog.local:9083/shop/visits?year=2015").table == "`shop`.`visits`"
     assert split_uri("dataset:hdfs:///tmp/x").location == "hdfs:///tmp/x"
     assert split_uri("dataset:file:/tmp/x").location == "file:///tmp/x"
     assert split_uri("dataset:s3a://bucket/x").location == "s3a://bucket/x"

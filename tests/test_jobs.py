@@ -138,20 +138,20 @@ def test_names_and_types_are_checked(spark, folder):
 
 def test_marks_follow_success(spark, folder):
     markers, target = markers_of(folder), by_minute(folder, "events")
-    assert ready_marks(spark, markers, target.name).count() == 0
+    assert ready_marks(spark, markers, target.marks).count() == 0
     run_at(spark, generator, FIRST, {}, {"example_events": target}, markers)
     run_at(spark, generator, FIRST, {}, {"example_events": target}, markers)
-    assert [r.nominal_time for r in ready_marks(spark, markers, target.name).collect()] == [FIRST]
+    assert [r.nominal_time for r in ready_marks(spark, markers, target.marks).collect()] == [FIRST]
 
     nothing = Job("nothing", lambda slots: generate_events(slots).where("user_id < 0"), {}, {"o": EVENT})
     run_at(spark, nothing, FIRST, {}, {"o": by_minute(folder, "empty")}, markers)
-    assert ready_marks(spark, markers, by_minute(folder, "empty").name).count() == 1
+    assert ready_marks(spark, markers, by_minute(folder, "empty").marks).count() == 1
 
     failing = Job("failing", lambda slots: generate_events(slots).withColumn(
         "session_id", F.raise_error(F.lit("broken"))), {}, {"o": None})
     with pytest.raises(Exception, match="broken"):
         run_at(spark, failing, FIRST, {}, {"o": by_minute(folder, "failed")}, markers)
-    assert ready_marks(spark, markers, by_minute(folder, "failed").name).count() == 0
+    assert ready_marks(spark, markers, by_minute(folder, "failed").marks).count() == 0
 
 
 def test_backfill_equals_single_runs(spark, folder):
@@ -190,7 +190,7 @@ def test_backfill_again_clears_slots_that_came_out_empty(spark, folder):
     counts = {r.minute: r["count"] for r in read_dataset(spark, out).groupBy("minute").count().collect()}
     assert counts == {2: 10, 3: 10}
     assert not os.path.exists(folder("out").removeprefix("file:") + "/year=2015/month=5/day=7/hour=12/minute=0")
-    assert ready_marks(spark, markers_of(folder), out.name).count() == 3
+    assert ready_marks(spark, markers_of(folder), out.marks).count() == 3
 
 
 def test_backfill_on_catalog_tables(spark, database):  # noqa: F811
@@ -240,32 +240,56 @@ def test_backfill_reads_only_the_folders_of_its_slots(spark, folder):
     times = minutes(6) + [FIRST + dt.timedelta(days=400)]
     backfill(spark, generator, slot_table(spark, times), {}, {"example_events": events})
     slots = slot_table(spark, times[2:4])
-    rows = jobs._slot_rows(spark, slots, jobs.Bounds(2, times[2], times[3]), "e", events)
+    rows = jobs._slot_rows(slots, jobs.Bounds.of(slots), "e", events)
     assert rows.count() == 20
     # Only the hour that both slots share is listed, and only their minutes are read.
     formatted = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
     scans = rows._jdf.queryExecution().explainString(formatted)
     filters = next(line for line in scans.splitlines() if line.startswith("PartitionFilters"))
-    assert "make_timestamp_ntz(year" in filters and "dynamicpruning" in filters
+    assert "make_timestamp_ntz(year" in filters
     assert len(rows.inputFiles()) == 6
     assert all("/year=2015/month=5/day=7/hour=12/" in name for name in rows.inputFiles())
-    apart = jobs._slot_rows(spark, slot_table(spark, times), jobs.Bounds(7, times[0], times[-1]), "e", events)
+    apart = jobs._slot_rows(slot_table(spark, times), jobs.Bounds.of(slot_table(spark, times)), "e", events)
     assert apart.count() == 70
 
 
-def test_large_slot_tables_are_not_broadcast(spark):
+def test_runs_of_days(spark):
     from slotwise.plans import jobs
-    slots = slot_table(spark, minutes(2))
-    small = jobs.Bounds(jobs.BROADCAST_SLOTS, FIRST, FIRST).small(slots)
-    large = jobs.Bounds(jobs.BROADCAST_SLOTS + 1, FIRST, FIRST).small(slots)
-    assert "broadcast" in small._jdf.queryExecution().logical().toString().lower()
-    assert "broadcast" not in large._jdf.queryExecution().logical().toString().lower()
+    day = dt.date(2015, 5, 7)
+    times = [dt.datetime(2015, 5, d, h) for d in (7, 8, 9, 12) for h in (1, 5)]
+    bounds = jobs.Bounds.of(slot_table(spark, times))
+    assert (bounds.first, bounds.last) == (times[0], times[-1])
+    assert bounds.days == ((day, dt.date(2015, 5, 9)), (dt.date(2015, 5, 12), dt.date(2015, 5, 12)))
+    assert jobs.Bounds.of(slot_table(spark, times).where("false")) is None
+    runs = [(day + dt.timedelta(n), day + dt.timedelta(n)) for n in (0, 2, 9, 30)]
+    assert jobs._merged(runs, 2) == [(runs[0][0], runs[2][1]), runs[3]]
+    assert jobs._merged(runs, 4) == runs
+
+
+def test_sparse_slots_prune_without_a_broadcast(spark, folder, monkeypatch):
+    """Two days eleven months apart: the plan itself names them, however the slots are joined."""
+    from slotwise.plans import jobs
+    events = View("view:" + folder("events") + "?year=${YEAR}&month=${MONTH}&day=${DAY}", EVENT, parts_upto("day"))
+    days = [dt.datetime(2015, 1, 1) + dt.timedelta(days=n) for n in range(0, 336, 12)]
+    backfill(spark, generator, slot_table(spark, days), {}, {"example_events": events}, clustered=True)
+    slots = slot_table(spark, [days[0], days[-1]])
+    rows = jobs._slot_rows(slots, jobs.Bounds.of(slots), "e", events)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert rows.count() == 20
+        plan = rows._jdf.queryExecution().executedPlan()
+        assert "BroadcastHashJoin" not in plan.toString()
+        formatted = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+        filters = [x for x in rows._jdf.queryExecution().explainString(formatted).splitlines() if "PartitionFilters" in x]
+        assert any("20150101" in x and "201511" in x for x in filters)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
-def test_more_slots_than_are_broadcast(spark, folder, monkeypatch):
+def test_more_slots_than_are_broadcast(spark, folder):
     """Beyond the bound the slots are joined by shuffle: the result is the same, and a hot slot is split."""
     from slotwise.plans import jobs
-    monkeypatch.setattr(jobs, "BROADCAST_SLOTS", 0)
     changed = {
         "spark.sql.autoBroadcastJoinThreshold": "-1",
         "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "200k",
@@ -284,7 +308,7 @@ def test_more_slots_than_are_broadcast(spark, folder, monkeypatch):
     for key, value in changed.items():
         spark.conf.set(key, value)
     try:
-        joined = jobs._slot_rows(spark, slot_table(spark, times), jobs.Bounds(12, times[0], times[-1]), "e", events)
+        joined = jobs._slot_rows(slot_table(spark, times), jobs.Bounds.of(slot_table(spark, times)), "e", events)
         final = joined.select("session_id", "nominal_time")
         assert len(final.collect()) == 200_000
         assert "skew=true" in final._jdf.queryExecution().executedPlan().toString()
@@ -319,7 +343,7 @@ def test_due_looks_up_the_instance_of_a_slower_input(spark, folder):
     events, odd = View("view:" + folder("events") + HOUR_HOLES, EVENT, HOUR), by_minute(folder, "odd")
     schedule = Schedule(keep_odd, "*/20 * * * *", outputs={"odd_users": odd}, inputs={"example_events": events},
                         input_crons={"example_events": "0 * * * *"})
-    mark_ready(slot_table(spark, [dt.datetime(2015, 5, 7, 13)]), events.name, markers)
+    mark_ready(slot_table(spark, [dt.datetime(2015, 5, 7, 13)]), events.marks, markers)
     due = schedule.due(spark, markers, "2015-05-07T11:59Z", "2015-05-07T15:00Z")
     assert sorted(r.nominal_time for r in due.collect()) == [
         dt.datetime(2015, 5, 7, 13, m) for m in (0, 20, 40)]
@@ -397,3 +421,108 @@ def test_parts_of_templates():
     assert view.slot_parts == {"year": "year", "day": "day"}
     assert view.at("2015-05-07T12:00Z").constraints == {"year": "2015", "day": "7", "region": "eu"}
     assert parts_upto("hour") == HOUR
+
+
+def test_a_failed_run_leaves_its_slot_as_it_was(spark, folder):
+    target, markers = by_minute(folder, "events"), markers_of(folder)
+    run_at(spark, generator, FIRST, {}, {"example_events": target}, markers)
+    failing = Job("failing", lambda slots: generate_events(slots).withColumn(
+        "user_id", F.when(F.col("user_id") == 7, F.raise_error(F.lit("no"))).otherwise(F.col("user_id"))), {}, {"o": EVENT})
+    with pytest.raises(Exception, match="no"):
+        run_at(spark, failing, FIRST, {}, {"o": target}, markers)
+    assert read_view(spark, target.at(FIRST)).count() == 10
+
+
+def test_a_random_job_loses_no_row_and_keeps_no_old_one(spark, folder):
+    """The write decides which slots are empty, not another evaluation of the job."""
+    out = by_minute(folder, "out", T.StructType([*EVENT.fields, T.StructField("run", T.IntegerType())]))
+    slots = slot_table(spark, minutes(60))
+
+    def random_job(run):
+        keep = Job("random", lambda slots: generate_events(slots).where((F.col("user_id") == 0) & (F.rand() < 0.5))
+                   .withColumn("run", F.lit(run)), {}, {"o": None})
+        backfill(spark, keep, slots, {}, {"o": out})
+        return {r.minute: r.run for r in read_dataset(spark, out).select("minute", "run").collect()}
+
+    first, second = random_job(1), random_job(2)
+    assert set(first.values()) == {1} and set(second.values()) == {2}
+    assert 10 < len(second) < 50 and set(second) != set(first)
+    assert set(random_job(3).values()) == {3}
+
+
+def test_a_job_is_run_once_also_when_it_is_run_again(spark, folder):
+    events, out = by_minute(folder, "events"), by_minute(folder, "out")
+    slots = slot_table(spark, minutes(3))
+    backfill(spark, generator, slots, {}, {"example_events": events})
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(len(batch))
+            yield batch
+
+    copy = Job("copy", lambda e: e.mapInPandas(counted, e.schema), {"e": EVENT}, {"o": EVENT})
+    for run in (1, 2):
+        backfill(spark, copy, slots, {"e": events}, {"o": out})
+        assert seen.value == 30 * run
+    assert read_dataset(spark, out).count() == 30
+
+
+def test_work_files_are_removed(spark, folder):
+    from slotwise.session import list_folders, shared_dir
+    work = shared_dir(spark) + "/slotwise"
+    before = list_folders(spark, work)
+    for _ in range(2):
+        backfill(spark, generator, slot_table(spark, minutes(2)), {}, {"example_events": by_minute(folder, "events")})
+    assert list_folders(spark, work) == before
+
+
+def test_marks_of_a_view_with_fixed_values(spark, folder):
+    markers = markers_of(folder)
+    kinds = T.StructType([*EVENT.fields, T.StructField("kind", T.StringType())])
+    parts = ("kind", *parts_upto("day"))
+    holes = "&year=${YEAR}&month=${MONTH}&day=${DAY}"
+    view = lambda kind, slashes="": View(
+        "view:" + folder("kinds").replace("file:", "file:" + slashes) + f"?kind={kind}" + holes, kinds, parts)
+    made = Job("made", lambda slots: generate_events(slots).withColumn("kind", F.lit("a")), {}, {"o": None})
+    run_at(spark, made, dt.datetime(2015, 5, 7), {}, {"o": view("a")}, markers)
+    odd = View("view:" + folder("odd") + "?" + holes[1:], EVENT, parts_upto("day"))
+    window = ("2015-05-06T23:00Z", "2015-05-09T00:00Z")
+    for wanted, n in ((view("a"), 1), (view("a", "//"), 1), (view("b"), 0)):
+        schedule = Schedule(keep_odd, "0 0 * * *", outputs={"odd_users": odd}, inputs={"example_events": wanted})
+        assert schedule.due(spark, markers, *window).count() == n
+    assert view("007").marks != view("7").marks
+    assert View("view:hive:a/b?n=05&m=1").marks == View("view:hive:///a/b?m=01&n=5").marks == "hive:a/b?m=1&n=5"
+
+
+def test_only_the_folders_of_the_views_asked_for_are_listed(spark, folder):
+    from slotwise.operators.readiness import compact_marks, marks_of
+    markers, slots = markers_of(folder), slot_table(spark, minutes(2))
+    for name in ("file:/a b?x=1", "hive:b/c", "d"):
+        for _ in range(3):
+            mark_ready(slots, name, markers)
+    one = marks_of(spark, markers, ["file:/a b?x=1"])
+    files = one.inputFiles()
+    assert one.count() == 2 and files and all("hive" not in f and "view=d" not in f for f in files)
+    assert marks_of(spark, markers, ["d", "hive:b/c", "none"]).count() == 4
+    compact_marks(spark, markers, ["d", "hive:b/c", "none"])
+    assert len(marks_of(spark, markers, ["d"]).inputFiles()) < 3 and marks_of(spark, markers, ["d", "hive:b/c"]).count() == 4
+    assert len(marks_of(spark, markers, ["file:/a b?x=1"]).inputFiles()) == len(files)
+
+
+def test_settings_reach_the_reader(spark, folder):
+    events = by_minute(folder, "events")
+    run_at(spark, generator, FIRST, {}, {"example_events": events})
+    settings = {"job.odd-users.input.example_events.hadoop.pathGlobFilter": "*.none"}
+    run_at(spark, keep_odd, FIRST, {"example_events": events}, {"odd_users": by_minute(folder, "odd")}, settings=settings)
+    assert not os.path.exists(folder("odd").removeprefix("file:") + "/year=2015")
+
+
+def test_an_input_by_the_minute_within_hours_needs_a_start(spark, folder):
+    for cron in ("*/20 9 * * *", "* */2 * * *"):
+        with pytest.raises(ValueError, match="needs start_at"):
+            Schedule(keep_odd, "0 * * * *", outputs={"odd_users": by_minute(folder, "odd")},
+                     inputs={"example_events": by_minute(folder, "events")}, input_crons={"example_events": cron})
+    with pytest.raises(ValueError, match="not a supported schedule"):
+        Schedule(keep_odd, "*/99999999999 * * * *", outputs={"odd_users": by_minute(folder, "odd")},
+                 inputs={"example_events": by_minute(folder, "events")})

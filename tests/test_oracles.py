@@ -7,10 +7,11 @@ import os
 import pytest
 
 import __spark_entry__ as entry_points
+from slotwise.plans.oracles import ORACLES
+from slotwise.plans.queries import QUERIES
 from tests.oracle import connect, spark_rows, spark_types, sql_rows, sql_types
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-QUERIES, ORACLES = entry_points.queries(), entry_points.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -20,6 +21,7 @@ def con():
 
 def test_every_query_has_an_oracle():
     assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(entry_points.queries()) and set(ORACLES) <= set(entry_points.oracle_sql())
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
