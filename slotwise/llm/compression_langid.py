@@ -114,7 +114,7 @@ _RESULT = StructType([
 
 def identify(docs: DataFrame, dictionaries: dict[str, bytes], text: str = "text", min_margin: float = MIN_MARGIN,
              into: str = "language") -> DataFrame:
-    """`docs` with a struct of lang_pred, score, margin and accepted."""
+    """`docs` with a struct of lang_pred, score, margin and accepted; a column of its name is replaced."""
     fixed = python_tasks(docs).broadcast(tuple(sorted(dictionaries.items())))
 
     @F.pandas_udf(_RESULT)

@@ -12,7 +12,8 @@ the workers, so what is broadcast has a bound and larger benchmarks take more tu
 in the task that reads them: no shuffle but that of the shingle counts, which are as many as the block's shingles.
 
 Null and empty texts have no words, and items without words no windows. Items of one id count once; a null id counts
-as the id `null`. Repeated rows are judged each for itself. Columns besides the text pass through.
+as the id `null`. Repeated rows are judged each for itself. Columns besides the text pass through,
+but for one named as the result.
 """
 
 from __future__ import annotations

@@ -10,7 +10,8 @@ Base counts (words, characters in words, symbols, repeated lines, repeated three
 pass; a text that fails the base rule is not measured further. Rows stay in the task that reads them: no shuffle.
 
 Null and empty texts have zero counts, fail the base rule and have null figures. Every text is measured whole.
-Repeated rows are judged each for itself. Columns besides the text pass through.
+Repeated rows are judged each for itself. Columns besides the text pass through,
+but for one named as the result.
 """
 
 from __future__ import annotations

@@ -27,6 +27,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from slotwise.llm.texts import free_name
+
 ROUNDS = 10
 KINDS = ("email", "ip", "phone", "card", "ssn", "iban", "date")
 
@@ -251,14 +253,18 @@ def _equals(kind: str):
 
 
 def pseudonymise(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """`docs` with personal data in `text` replaced, and `pii_<kind>` counts of what was found (0 for null text)."""
+    """`docs` with personal data in `text` replaced, and `pii_<kind>` counts of what was found (0 for null text).
+
+    Columns that have such a name already are replaced.
+    """
     source = F.col(text)
     found = F.when(source.rlike("[0-9@]"), F.regexp_extract_all(source, F.lit(PATTERN), F.lit(0)))
-    marked = docs.withColumn("_pii", F.transform(found, lambda m: pseudonym(m, key)))
+    held = free_name(docs, "_pii")
+    marked = docs.withColumn(held, F.transform(found, lambda m: pseudonym(m, key)))
     between = F.split(source, PATTERN, -1)
-    joined = F.when(F.size("_pii") > 0, F.concat(
-        F.array_join(F.transform("_pii", lambda m, i: F.concat(between[i], m.value)), ""),
+    joined = F.when(F.size(held) > 0, F.concat(
+        F.array_join(F.transform(held, lambda m, i: F.concat(between[i], m.value)), ""),
         F.element_at(between, -1))).otherwise(source)
-    kinds = F.coalesce(F.transform("_pii", lambda m: m.kind), F.array().cast("array<string>"))
+    kinds = F.coalesce(F.transform(held, lambda m: m.kind), F.array().cast("array<string>"))
     counts = {f"pii_{k}": F.size(F.filter(kinds, _equals(k))) for k in KINDS}
-    return marked.withColumns(counts).withColumn(text, joined).drop("_pii")
+    return marked.withColumns(counts).withColumn(text, joined).drop(held)

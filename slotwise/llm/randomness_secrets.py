@@ -11,7 +11,8 @@ many changes in a run of that length. It falls with length by itself, and Benjam
 document keeps the expected share of ordinary words among the reported runs below `FDR`.
 
 Scanning runs in the task that reads the text, without a shuffle, over the whole text. Null and empty texts have no
-spans. Repeated rows are scanned each for itself. Columns besides the text pass through.
+spans. Repeated rows are scanned each for itself. Columns besides the text pass
+through, but for one named as the result.
 """
 
 from __future__ import annotations

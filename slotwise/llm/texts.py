@@ -24,6 +24,14 @@ def held_out(doc_id: Column, parts: int, part: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % parts == part, F.lit(False))
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A name like `name` that no column of `df` has, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def python_tasks(df: DataFrame) -> SparkContext:
     """The context of `df`, told where Python tasks find this package: at the driver's path, as far as they have it."""
     context = df.sparkSession.sparkContext

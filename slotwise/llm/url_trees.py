@@ -131,14 +131,13 @@ class UrlModel:
     def score(self, urls: DataFrame, url: str = "url", into: str = "score") -> DataFrame:
         if self.trees is None:
             return urls.withColumn(into, F.lit(self.prior))
-        held = F.struct(*(F.col(f"`{c}`") for c in urls.columns)).alias("_row")
+        held = F.struct(*(F.col(f"`{c}`") for c in urls.columns if c.lower() != into.lower())).alias("_row")
         rows = urls.select(held, F.col(url).alias("_url"))
         rows = rows.select("_row", "_url", *(_suffix(host_of(F.col("_url")), n).alias(s) for s, n in self.SUFFIXES.items()))
         for suffix, table in self.suffixes.items():
             rows = rows.join(F.broadcast(table), suffix, "left")
         rows = _features(rows, F.col("_url"))
-        scored = self.trees.transform(rows).select("_row.*", vector_to_array("probability")[1].alias("_score"))
-        return scored.withColumnRenamed("_score", into)
+        return self.trees.transform(rows).select("_row.*", vector_to_array("probability")[1].alias(into))
 
 
 def _features(rows: DataFrame, url: Column) -> DataFrame:

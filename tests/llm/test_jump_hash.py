@@ -1,0 +1,65 @@
+from __future__ import annotations
+
+import zlib
+
+from pyspark.sql import functions as F
+
+from slotwise.llm.jump_hash import jump_shards, shard_documents
+from tests.llm.helpers import clashing, documents, empty_documents, odd_documents
+from tests.llm.test_oracles import SF_DIR
+
+
+def jump(key, shards):
+    key, b, j = key % 2**64, -1, 0
+    while j < shards:
+        b = j
+        key = (key * 2862933555777941757 + 1) % 2**64
+        j = int((b + 1) * (2147483648.0 / ((key >> 33) + 1)))
+    return b
+
+
+def test_walk_against_plain_python(spark):
+    keys = [0, 1, -1, 2**63 - 1, -(2**63), *range(2, 400), *(k * 7_919_000_003 for k in range(200))]
+    df = spark.createDataFrame([(k,) for k in keys], "k bigint")
+    for shards in (1, 2, 40, 333):
+        rows = df.select("k", jump_shards(F.col("k"), shards).alias("s")).collect()
+        assert [(r.s.shard, r.s.grown_shard) for r in rows] == [(jump(r.k, shards), jump(r.k, shards + 1)) for r in rows]
+
+
+def check(rows, shards):
+    for shard in range(shards):
+        slots = sorted(r.slot for r in rows if r.shard == shard)
+        assert slots == list(range(len(slots)))
+    for r in rows:
+        assert r.shard == jump(r.doc_id or 0, shards) and r.grown_shard in (r.shard, shards)
+
+
+def test_slots_have_no_gaps_in_any_number_of_buckets(spark):
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for rows_per_bucket in (100_000, 3):
+        rows = shard_documents(docs, 5, rows_per_bucket).collect()
+        assert len(rows) == len(texts)
+        check(rows, 5)
+        assert all(r.text_crc32 == zlib.crc32(texts[r.doc_id].encode()) for r in rows)
+        assert all(r.size == len(texts[r.doc_id].encode()) + 16 for r in rows)
+
+
+def test_copies_of_one_row(spark):
+    rows = shard_documents(spark.range(10_000).select(F.lit(7).cast("long").alias("doc_id"), F.lit("x").alias("text")), 4).collect()
+    assert len(rows) == 10_000
+    check(rows, 4)
+
+
+def test_odd_rows(spark):
+    docs = clashing(odd_documents(spark), ["shard", "slot", "bucket", "copies", "rows"])
+    rows = shard_documents(docs, 3).collect()
+    assert len(rows) == docs.count()
+    check(rows, 3)
+    assert {(r.size, r.text_crc32) for r in rows if r.size == 16} == {(16, 0)}
+    assert shard_documents(empty_documents(spark), 3).count() == 0
+
+
+def test_no_python_on_executors(spark):
+    plan = shard_documents(documents(spark, ["a"]), 3)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
