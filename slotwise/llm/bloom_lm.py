@@ -21,7 +21,7 @@ The input must give the same rows on each reading, as tables do.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import count
 from math import ceil, log, log2, log10
 
@@ -36,11 +36,11 @@ from slotwise.llm.texts import map_batches, python_tasks
 
 BASE = 1.5
 MU = 50.0
-BITS_PER_ENTRY = 10
+BITS_PER_ENTRY = 8
 PROBES = 4
 MAX_FILTER_BYTES = 1 << 26
 MIN_PAGE_BITS = 64
-LEAST_PAGES = 1 << 12
+LEAST_PAGES = 1 << 10
 NGRAMS_PER_PAGE = 4_000_000
 MAX_HOT_WORDS = 1 << 20
 #: Text that a task takes at once.
@@ -87,13 +87,16 @@ def probes(keys: np.ndarray, level: np.ndarray | int, sizes: np.ndarray) -> Iter
 class Filter:
     """Pages of bits; the upper bits of a key name its page."""
 
-    def __init__(self, pages: dict[int, bytes], page_bits: int):
+    def __init__(self, sizes: dict[int, int], pages: Iterable[tuple[int, bytes]], page_bits: int):
+        """`sizes` in bytes of pages, and the pages, which are put in place one after another; others are empty."""
         self.shift = np.uint64(_KEY_BITS - page_bits)
-        held = [pages.get(i, bytes(MIN_PAGE_BITS // 8)) for i in range(1 << page_bits)]
-        sizes = np.array([len(x) for x in held], np.uint64)
-        self.sizes = sizes * np.uint64(8)
-        self.firsts = np.concatenate((np.zeros(1, np.uint64), np.cumsum(sizes)[:-1])) * np.uint64(8)
-        self.bits = np.frombuffer(b"".join(held), np.uint8)
+        size = np.full(1 << page_bits, MIN_PAGE_BITS // 8, np.int64)
+        size[list(sizes)] = list(sizes.values())
+        first = np.concatenate((np.zeros(1, np.int64), np.cumsum(size)))
+        self.bits = np.zeros(first[-1], np.uint8)
+        for page, bits in pages:
+            self.bits[first[page] : first[page + 1]] = np.frombuffer(bits, np.uint8)
+        self.sizes, self.firsts = size.astype(np.uint64) * np.uint64(8), first[:-1].astype(np.uint64) * np.uint64(8)
         self.means = level_means()
 
     def counts(self, keys: np.ndarray) -> np.ndarray:
@@ -226,8 +229,9 @@ def build_filter(training: DataFrame, words: DataFrame, n_tokens: int, most_byte
         return pd.DataFrame({"page": group["page"].iloc[:1], "bits": [fill(keys, total, most_bits)]})
 
     rows = map_batches(training.select("text"), pairs, schema).unionByName(map_batches(words, singles, schema))
-    pages = rows.groupBy("page").applyInPandas(page, "page int, bits binary")
-    return Filter({r.page: bytes(r.bits) for r in pages.toLocalIterator()}, page_bits)
+    pages = checkpointed(rows.groupBy("page").applyInPandas(page, "page int, bits binary"))
+    sizes = {r.page: r.bytes for r in pages.select("page", F.octet_length("bits").alias("bytes")).collect()}
+    return Filter(sizes, ((r.page, r.bits) for r in pages.toLocalIterator()), page_bits)
 
 
 def hot_words(words: DataFrame, most: int = MAX_HOT_WORDS) -> tuple[int, np.ndarray, np.ndarray]:
@@ -240,8 +244,10 @@ def hot_words(words: DataFrame, most: int = MAX_HOT_WORDS) -> tuple[int, np.ndar
         if held > most:
             break
         least = c
-    table = words.filter(F.col("c") >= least).toPandas().sort_values("h") if rows else pd.DataFrame({"h": [], "c": []})
-    return least, table["h"].to_numpy(np.int64), table["c"].to_numpy(np.int64)
+    table = words.filter(F.col("c") >= least).select("h", "c").toArrow()
+    hashes, counts = (table[x].to_numpy() for x in ("h", "c"))
+    order = np.argsort(hashes)
+    return least, hashes[order], counts[order]
 
 
 def score(docs: DataFrame, training: DataFrame, key: str = "doc_id", mu: float = MU) -> DataFrame:
@@ -287,9 +293,11 @@ def _score_chunk(texts: list[str | None], filter: Filter, hot: np.ndarray, hot_c
     about = exact.astype(float)
     about[~is_hot] = filter.counts(word_keys(hashes[~is_hot].view(np.uint64)))
     context, word, text = chunk.pairs()
-    w = np.searchsorted(used, word)
+    rank = np.zeros(len(chunk.hashes), np.int64)
+    rank[used] = np.arange(len(used))
+    w = rank[word]
     # Pairs once each.
-    pair, where = np.unique(np.searchsorted(used, context) * len(used) + w, return_inverse=True)
+    pair, where = np.unique(rank[context] * len(used) + w, return_inverse=True)
     first, second = pair // len(used), pair % len(used)
     # A start stands before each text, as often as an end behind it.
     about_first = about.copy()
