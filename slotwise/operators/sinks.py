@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -82,10 +83,24 @@ def overwrite_slots(df: DataFrame, view: View | str, parts: Sequence[str]) -> No
         overwrite_folders(df, view.parsed.location, parts)
         return
     spark = df.sparkSession
+    rows = df.select(*spark.table(view.parsed.table).columns)
     # A catalog table takes the mode from the session only, and a static overwrite would empty all other slots.
-    if spark.conf.get("spark.sql.sources.partitionOverwriteMode").lower() != "dynamic":
-        raise ValueError("slots of a catalog table need spark.sql.sources.partitionOverwriteMode=dynamic")
-    df.select(*spark.table(view.parsed.table).columns).write.insertInto(view.parsed.table, overwrite=True)
+    with _setting(spark, "spark.sql.sources.partitionOverwriteMode", "dynamic"):
+        rows.write.insertInto(view.parsed.table, overwrite=True)
+
+
+@contextmanager
+def _setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """A setting of the session for the time of one write; it is left alone if it is so already."""
+    before = spark.conf.get(key)
+    if before.lower() == value:
+        yield
+        return
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
 
 
 def overwrite_folders(df: DataFrame, root: str, parts: Sequence[str]) -> None:
