@@ -712,14 +712,14 @@ def topic_round_trip(spark, sf_dir):
     return read_topic(spark, topic)
 
 
-@job("topic-to-dataset", inputs={"event_stream": EVENTS}, outputs={"event_output": EVENTS})
-def topic_to_dataset_job(event_stream):
-    return event_stream
+@job("keep-stream", inputs={"arriving": EVENTS}, outputs={"kept": EVENTS})
+def topic_to_dataset_job(arriving):
+    return arriving
 
 
-@job("topic-to-topic", inputs={"input_stream": EVENTS}, outputs={"output_stream": EVENTS})
-def topic_to_topic_job(input_stream):
-    return input_stream
+@job("pass-on", inputs={"arriving": EVENTS}, outputs={"passed_on": EVENTS})
+def topic_to_topic_job(arriving):
+    return arriving
 
 
 @query("stream_topic_to_dataset")
@@ -727,7 +727,7 @@ def stream_topic_to_dataset(spark, sf_dir):
     topic = _topic(spark, "topic")
     write_topic(events(spark, sf_dir), topic)
     target = new_dataset(spark, "streamed", EVENTS)
-    for running in run_stream(spark, topic_to_dataset_job, {"event_stream": topic}, {"event_output": target},
+    for running in run_stream(spark, topic_to_dataset_job, {"arriving": topic}, {"kept": target},
                               work_path(spark, "checkpoint"), available_now=True):
         running.awaitTermination()
     return read_dataset(spark, target).select(*EVENTS.names)
@@ -737,8 +737,8 @@ def _streamed_by_day(spark: SparkSession, sf_dir: str) -> View:
     topic = _topic(spark, "topic")
     write_topic(events(spark, sf_dir), topic)
     target = new_dataset(spark, "streamed", EVENTS, DAY)
-    for running in run_stream(spark, topic_to_dataset_job, {"event_stream": topic}, {"event_output": target},
-                              work_path(spark, "checkpoint"), available_now=True, event_times={"event_output": "ts"}):
+    for running in run_stream(spark, topic_to_dataset_job, {"arriving": topic}, {"kept": target},
+                              work_path(spark, "checkpoint"), available_now=True, event_times={"kept": "ts"}):
         running.awaitTermination()
     return target
 
@@ -777,7 +777,7 @@ def per_batch_side_effect(spark, sf_dir):
 def stream_topic_to_topic(spark, sf_dir):
     source, target = _topic(spark, "topic"), _topic(spark, "topic")
     write_topic(events(spark, sf_dir), source)
-    for running in run_stream(spark, topic_to_topic_job, {"input_stream": source}, {"output_stream": target},
+    for running in run_stream(spark, topic_to_topic_job, {"arriving": source}, {"passed_on": target},
                               work_path(spark, "checkpoint"), available_now=True):
         running.awaitTermination()
     return read_topic(spark, target)

@@ -94,7 +94,7 @@ def test_split_uri():
     assert split_uri("dataset:hdfs:///tmp/x").location == "hdfs:///tmp/x"
     assert split_uri("dataset:file:/tmp/x").location == "file:///tmp/x"
     assert split_uri("dataset:s3a://bucket/x").location == "s3a://bucket/x"
-    for bad in ("example/events", "table:hive:example", "view:hive:"):
+    for bad in ("shop/visits", "table:hive:shop", "view:hive:"):
         with pytest.raises(ValueError):
             split_uri(bad)
 
