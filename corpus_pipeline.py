@@ -15,42 +15,48 @@ from pyspark.sql import functions as F
 from slotwise.llm.compression_langid import identify, learn
 from slotwise.llm.decontamination import find_items
 from slotwise.llm.merge_dropout import encode
-from slotwise.llm.pii import KINDS, pseudonymise
+from slotwise.llm.pii import pseudonymise
 from slotwise.llm.shared import shared_folder
 from slotwise.llm.simhash_trie import near_duplicates
+from slotwise.llm.texts import free_name
 
 #: Pseudonyms of one key link with each other only; a production run brings its own.
 PII_KEY = "an example key, replace it"
-#: Near copies share four fifths of their five-word shingles if about one word in fifty differs. By the share of
-#: distinct word pairs they keep, SimHash puts such copies 4 or 5 of 64 bits apart; three hashes find what one misses.
-PAIRS, BITS, SEEDS = 2, 4, (42, 43, 44)
+#: Near copies share four fifths of their five-word shingles if about one word in fifty differs. SimHash over distinct
+#: words puts such copies about 4 of 64 bits apart; under five-word shingles it would be 10. Four hashes find what one
+#: misses.
+WORDS, BITS, SEEDS = 1, 4, (42, 43, 44, 45)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told with a sufficient margin; learned from the documents' own labels."""
-    found = identify(docs, learn(docs), into="_found")
-    return found.filter("_found.accepted").select(docs.columns)
+    name = free_name(docs, "_found")
+    found = identify(docs, learn(docs), into=name)
+    return found.filter(F.col(name).accepted).select(docs.columns)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: the one with the smallest id, the first row if ids are equal."""
-    row = F.monotonically_increasing_id()
-    numbered = docs.select("*", F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", row.alias("row")).alias("_key"))
-    found = near_duplicates(numbered, "_key", PAIRS, BITS, SEEDS, distinct=True)
-    copies = found.filter("key.row <> component.row").select(F.col("key.row").alias("_row"))
-    return numbered.withColumn("_row", F.col("_key.row")).join(copies, "_row", "left_anti").select(docs.columns)
+    name = free_name(docs, "_row")
+    numbered = docs.withColumn(name, F.monotonically_increasing_id())
+    key = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", F.col(name).alias("row"))
+    found = near_duplicates(numbered.select(key.alias("key"), "text"), "key", WORDS, BITS, SEEDS, distinct=True)
+    copies = found.filter("key.row <> component.row").select(F.col("key.row").alias(name))
+    return numbered.join(copies, name, "left_anti").select(docs.columns)
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no window of a benchmark item stands."""
-    found = find_items(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), into="_found")
-    return found.filter(F.size("_found.items") == 0).select(docs.columns)
+    name = free_name(docs, "_found")
+    found = find_items(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), into=name)
+    return found.filter(F.size(F.col(name).items) == 0).select(docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with pseudonyms for personal data; n_chars counts the new text."""
-    replaced = pseudonymise(docs, PII_KEY).drop(*(f"pii_{k}" for k in KINDS))
-    return replaced.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+    found = pseudonymise(docs.select(F.struct(*docs.columns).alias("doc"), "text"), PII_KEY)
+    return found.withColumn("doc", F.col("doc").withField("text", F.col("text"))
+                            .withField("n_chars", F.length("text").cast("long"))).select("doc.*")
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

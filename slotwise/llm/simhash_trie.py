@@ -40,7 +40,7 @@ BUDGET = 3
 #: Fingerprints of a cell that one chunk takes; a group holds two chunks at most.
 CELL = 1 << 17
 #: Node pairs that are walked at once.
-PAIRS = 1 << 20
+PAIRS = 1 << 17
 
 def shingles(text: str | None, size: int) -> list[bytes]:
     """Runs of `size` words, or all words if there are fewer, each joined by single spaces."""
@@ -87,27 +87,26 @@ class Trie:
 
     def __init__(self, values: np.ndarray):
         self.values = values
-        self.starts, self.sizes, self.children = [np.zeros(1, np.int64)], [np.array([len(values)])], []
+        self.starts, self.sizes, self.children = [np.zeros(1, np.int32)], [np.array([len(values)], np.int32)], []
         for depth in range(BITS):
             if self.sizes[-1].max() == 1:
                 break
             prefix = values >> np.uint64(BITS - 1 - depth)
-            starts = np.concatenate(([0], np.flatnonzero(np.diff(prefix)) + 1))
-            first = np.searchsorted(starts, self.starts[-1])
+            starts = np.concatenate(([0], np.flatnonzero(np.diff(prefix)) + 1)).astype(np.int32)
+            first = np.searchsorted(starts, self.starts[-1]).astype(np.int32)
             ones = (prefix[self.starts[-1]] & np.uint64(1)).astype(bool)
             count = np.diff(np.append(first, len(starts)))
-            zero = np.where(ones, -1, first)
-            one = np.where(ones, first, np.where(count == 2, first + 1, -1))
-            self.children.append((zero, one))
+            none = np.int32(-1)
+            self.children.append((np.where(ones, none, first), np.where(ones, first, np.where(count == 2, first + 1, none))))
             self.starts.append(starts)
-            self.sizes.append(np.diff(np.append(starts, len(values))))
+            self.sizes.append(np.diff(np.append(starts, len(values))).astype(np.int32))
 
     def single_component(self, labels: np.ndarray) -> list[np.ndarray]:
         """Of each node by depth: its component, or -1 if it holds several."""
         out = []
         for starts in self.starts:
             low, high = np.minimum.reduceat(labels, starts), np.maximum.reduceat(labels, starts)
-            out.append(np.where(low == high, low, -1))
+            out.append(np.where(low == high, low, -1).astype(np.int32))
         return out
 
 
@@ -119,13 +118,13 @@ def walk(x: Trie, y: Trie, budget: int, known: tuple[np.ndarray, np.ndarray]) ->
     same = x is y
     marks_x = x.single_component(known[0])
     marks_y = marks_x if same else y.single_component(known[1])
-    none = np.zeros(1, np.int64)
-    stack = [(0, none, none, none)]
+    root = np.zeros(1, np.int32)
+    stack = [(0, root, root, np.zeros(1, np.int8))]
     while stack:
         depth, a, b, bits = stack.pop()
         if len(a) > PAIRS:
-            half = len(a) // 2
-            stack += [(depth, a[:half], b[:half], bits[:half]), (depth, a[half:], b[half:], bits[half:])]
+            # Copies, for a slice would keep the whole until all its parts are done.
+            stack += [(depth, *(x[k : k + PAIRS].copy() for x in (a, b, bits))) for k in range(0, len(a), PAIRS)]
             continue
         # A level at which all nodes are single is the last one; deeper ones of the other trie meet it as it is.
         dx, dy = min(depth, len(x.starts) - 1), min(depth, len(y.starts) - 1)
@@ -158,7 +157,7 @@ def _down(trie: Trie, depth: int, nodes: np.ndarray) -> tuple[np.ndarray, np.nda
         zero, one = trie.children[depth]
         return zero[nodes], one[nodes]
     ones = (trie.values[trie.starts[-1][nodes]] >> np.uint64(BITS - 1 - depth)) & np.uint64(1) > 0
-    return np.where(ones, -1, nodes), np.where(ones, nodes, -1)
+    return np.where(ones, np.int32(-1), nodes), np.where(ones, nodes, np.int32(-1))
 
 
 def _unite(labels: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
