@@ -19,6 +19,7 @@ from slotwise.llm.pii import pseudonymise
 from slotwise.llm.shared import shared_folder
 from slotwise.llm.simhash_trie import near_duplicates
 from slotwise.llm.texts import free_name
+from slotwise.session import delete_path
 
 #: Pseudonyms of one key link with each other only; a production run brings its own.
 PII_KEY = "an example key, replace it"
@@ -77,11 +78,14 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each result is written, and read again by the next stage."""
+    """All stages over documents; each result is written, and read again by the next stage, after which it goes."""
     folder = f"{shared_folder(spark).rstrip('/')}/corpus-{uuid.uuid4().hex}"
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for number, (name, stage) in enumerate(STAGES, 1):
         path = f"{folder}/{number}-{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before is not None:
+            delete_path(spark, before)
+        before = path
     return docs
