@@ -44,7 +44,7 @@ LEAST_PAGES = 1 << 10
 NGRAMS_PER_PAGE = 4_000_000
 MAX_HOT_WORDS = 1 << 20
 #: Text that a task takes at once.
-CHUNK_CHARS = 6_000_000
+CHUNK_CHARS = 3_000_000
 
 #: Words have no white space, so these are no words.
 END, START = (xxhash.xxh64_intdigest(x) for x in (b"\n", b" "))
