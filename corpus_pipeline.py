@@ -17,15 +17,16 @@ from slotwise.llm.decontamination import find_items
 from slotwise.llm.merge_dropout import encode
 from slotwise.llm.pii import pseudonymise
 from slotwise.llm.shared import shared_folder
-from slotwise.llm.simhash_trie import near_duplicates
+from slotwise.llm.simhash_trie import verified_copies
 from slotwise.llm.texts import free_name
 from slotwise.session import delete_path
 
 #: Pseudonyms of one key link with each other only; a production run brings its own.
 PII_KEY = "an example key, replace it"
-#: Near copies share four fifths of their five-word shingles if about one word in fifty differs. SimHash over distinct
-#: words puts such copies about 4 of 64 bits apart; under five-word shingles it would be 10. Four hashes find what one
-#: misses.
+#: Near copies share four fifths of their five-word shingles; each link is verified by that.
+SHINGLE, SIMILARITY = 5, 0.8
+#: What proposes links besides bands of shingles: if about one word in fifty differs, SimHash over distinct words puts
+#: copies about 4 of 64 bits apart; under five-word shingles it would be 10. Four hashes find what one misses.
 WORDS, BITS, SEEDS = 1, 4, (42, 43, 44, 45)
 
 
@@ -41,7 +42,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     name = free_name(docs, "_row")
     numbered = docs.withColumn(name, F.monotonically_increasing_id())
     key = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", F.col(name).alias("row"))
-    found = near_duplicates(numbered.select(key.alias("key"), "text"), "key", WORDS, BITS, SEEDS, distinct=True)
+    found = verified_copies(numbered.select(key.alias("key"), "text"), "key", SHINGLE, SIMILARITY, WORDS, BITS, SEEDS)
     copies = found.filter("key.row <> component.row").select(F.col("key.row").alias(name))
     return numbered.join(copies, name, "left_anti").select(docs.columns)
 

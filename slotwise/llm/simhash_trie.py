@@ -41,6 +41,14 @@ BUDGET = 3
 CELL = 1 << 17
 #: Node pairs that are walked at once.
 PAIRS = 1 << 17
+#: Sets of a similarity of 0.8 meet in one of the bands with a probability of 0.998.
+BANDS, ROWS = 20, 6
+#: Members of bands are compared all with all if that makes no more pairs than this for each text that takes part.
+PAIRS_PER_CLASS = 4
+
+_ALL, _MIX = 0xFFFFFFFFFFFFFFFF, 0x5A5A3C96E1B7D24F
+_RANDOM = np.random.Generator(np.random.PCG64(SEED)).integers(0, 1 << 63, (2, BANDS * ROWS), dtype=np.uint64)
+_FACTORS, _SHIFTS = _RANDOM[0] * np.uint64(2) + np.uint64(1), _RANDOM[1] * np.uint64(2)
 
 def shingles(text: str | None, size: int) -> list[bytes]:
     """Runs of `size` words, or all words if there are fewer, each joined by single spaces."""
@@ -279,19 +287,137 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", shingle: int = 3, budg
     # A class is what has equal fingerprints; it is named by its fingerprint, or a hash of several.
     name = F.col("f0") if len(prints) == 1 else F.xxhash64(*prints)
     classes = checkpointed(rows.groupBy(*prints).agg(F.min("key").alias("first")).withColumn("class", name))
-    total = classes.count()
-    links = None
+    roots = components(_trie_links(classes, prints, budget, len(prints) > 1)).withColumnsRenamed({"node": "class"})
+    named = checkpointed(classes.join(roots, "class", "left").withColumn("root", F.coalesce("root", "class")))
+    firsts = named.groupBy("root").agg(F.min("first").alias("component"))
+    return rows.join(named.join(firsts, "root").select(*prints, "component"), prints).select("key", "component", *prints)
+
+
+def _trie_links(classes: DataFrame, prints: list[str], budget: int, equal: bool) -> DataFrame:
+    """Links u > v of classes, a trie for each of `prints`; with `equal`, classes may share a fingerprint, and link."""
+    total, links = classes.count(), None
     for print_ in prints:
         reps = classes.groupBy(F.col(print_).alias("fingerprint")).agg(F.min("class").alias("class"))
         near = near_links(reps.select("fingerprint"), total, budget)
         named = [reps.select(F.col("fingerprint").alias(x), F.col("class").alias(f"{x}_class")) for x in "uv"]
         found = near.join(named[0], "u").join(named[1], "v").select(F.col("u_class").alias("u"), F.col("v_class").alias("v"))
-        if len(prints) > 1:
-            equal = classes.select(F.col(print_).alias("fingerprint"), F.col("class").alias("u")).join(reps, "fingerprint")
-            found = found.unionByName(equal.select("u", F.col("class").alias("v")))
+        if equal:
+            same = classes.select(F.col(print_).alias("fingerprint"), F.col("class").alias("u")).join(reps, "fingerprint")
+            found = found.unionByName(same.select("u", F.col("class").alias("v")))
         found = found.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         links = found if links is None else links.unionByName(found)
+    return links.distinct()
+
+
+def set_bands(features: np.ndarray) -> list[int]:
+    """Hashes of `ROWS` minima each: sets of a similarity s share one with probability 1 - (1 - s**ROWS)**BANDS."""
+    if not len(features):
+        return []
+    least = np.full(BANDS * ROWS, _ALL, np.uint64)
+    for at in range(0, len(features), 2048):
+        np.minimum(least, (features[at : at + 2048, None] * _FACTORS + _SHIFTS).min(axis=0), out=least)
+    return [_signed(xxhash.xxh64_intdigest(row.tobytes(), seed=k)) for k, row in enumerate(least.reshape(BANDS, ROWS))]
+
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+def _features(text: str | None, shingle: int) -> np.ndarray:
+    """Hashes of the shingles of a text, each once, in order."""
+    hashes = set(map(xxhash.xxh64_intdigest, shingles(text, shingle)))
+    return np.sort(np.fromiter(hashes, np.uint64, len(hashes)))
+
+
+def _copy_rows(docs: DataFrame, key: str, shingle: int, words: int, seeds: tuple[int, ...]) -> DataFrame:
+    """key, class (a hash of the set of shingles), the set's bands, and fingerprints of distinct `words`."""
+    def work(batch: dict[str, list]) -> dict[str, list]:
+        out: dict[str, list] = {"class": [], "bands": []} | {f"f{k}": [] for k in range(len(seeds))}
+        for text in batch["text"]:
+            features = _features(text, shingle)
+            out["class"].append(_signed(xxhash.xxh64_intdigest(features.tobytes())))
+            out["bands"].append(set_bands(features))
+            parts = [*dict.fromkeys(shingles(text, words))]
+            for k, seed in enumerate(seeds):
+                out[f"f{k}"].append(_signed(majority(parts, seed)))
+        return {"key": batch["key"]} | out
+
+    kind = docs.schema[key].dataType.simpleString()
+    columns = ", ".join(f"f{k} bigint" for k in range(len(seeds)))
+    return map_batches(docs.select(F.col(key).alias("key"), "text"), work,
+                       f"key {kind}, class bigint, bands array<bigint>, {columns}")
+
+
+def _sets(texts: DataFrame, shingle: int) -> DataFrame:
+    """class, and features (the set of its text's shingles)."""
+    def work(batch: dict[str, list]) -> dict[str, list]:
+        return {"class": batch["class"], "features": [_features(t, shingle).view(np.int64) for t in batch["text"]]}
+
+    return map_batches(texts.select("class", "text"), work, "class bigint, features array<bigint>")
+
+
+def _alike(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Those of distinct pairs u, v whose sets have at least that Jaccard similarity."""
+    for x in "uv":
+        pairs = pairs.join(sets.select(F.col("class").alias(x), F.col("features").alias(f"{x}_set")), x)
+    both = F.size(F.array_intersect("u_set", "v_set"))
+    return pairs.filter(both / (F.size("u_set") + F.size("v_set") - both) >= least).select("u", "v")
+
+
+def _ordered(pairs: DataFrame, u: str, v: str) -> DataFrame:
+    return pairs.select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).distinct()
+
+
+def verified_copies(docs: DataFrame, key: str = "doc_id", shingle: int = 5, least: float = 0.8, words: int = 1,
+                    budget: int = 4, seeds: tuple[int, ...] = (SEED,)) -> DataFrame:
+    """key and component (the smallest key reachable by links) of every row; links are verified similarities.
+
+    A link is a Jaccard similarity of at least `least` between the sets of two texts' shingles. Pairs are proposed by
+    tries over fingerprints of distinct `words`, one for each of `seeds`, which find scattered edits, and by bands of
+    the sets' minima, which find edits in one block too. Each member of a band is compared with up to four leaders of
+    it; those that are like none of them go on among themselves, all pairs once these are few, so a large group of
+    copies costs about as much as its members.
+    """
+    rows = checkpointed(_copy_rows(docs, key, shingle, words, seeds))
+    prints = [f"f{k}" for k in range(len(seeds))]
+    classes = checkpointed(rows.groupBy("class").agg(
+        F.min("key").alias("first"), F.first("bands").alias("bands"), *(F.first(x).alias(x) for x in prints)))
+    by_trie = checkpointed(_trie_links(classes, prints, budget, True))
+    members = classes.select("class", F.explode("bands").alias("band"))
+    shared = members.groupBy("band").agg(F.min("class").alias("a"), F.max("class").alias("b")).filter("a < b")
+    members = checkpointed(members.join(shared.select("band"), "band", "left_semi"))
+    needed = members.select("class").union(by_trie.select("u")).union(by_trie.select("v")).distinct()
+    firsts = classes.join(needed, "class", "left_semi").select("class", F.col("first").alias("key"))
+    texts = docs.select(F.col(key).alias("key"), "text").join(checkpointed(firsts), "key")
+    sets = checkpointed(_sets(texts, shingle))
+    links = checkpointed(_alike(by_trie, sets, least))
+    few = PAIRS_PER_CLASS * max(1, sets.count())
+    while True:
+        sizes = members.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1")
+        n_bands, n_pairs = sizes.agg(F.count("*"), F.sum(F.col("n").cast("double") * (F.col("n") - 1) / 2)).first()
+        if not n_bands:
+            break
+        if n_pairs <= few:
+            other = members.select("band", F.col("class").alias("other"))
+            pairs = _ordered(members.join(other, "band").filter("class < other"), "class", "other")
+            links = links.unionByName(checkpointed(_alike(pairs, sets, least)))
+            break
+        mixed_ = F.col("class").bitwiseXOR(F.lit(_MIX))
+        leaders = members.groupBy("band").agg(
+            F.min("class").alias("a"), F.max("class").alias("b"), F.min(mixed_).alias("c"), F.max(mixed_).alias("d"))
+        four = F.array_distinct(F.array("a", "b", F.col("c").bitwiseXOR(F.lit(_MIX)), F.col("d").bitwiseXOR(F.lit(_MIX))))
+        led = checkpointed(members.join(leaders.filter("a < b"), "band").select("band", "class", four.alias("leaders")))
+        asked = led.select("band", "class", F.explode("leaders").alias("leader")).filter("class <> leader")
+        alike = checkpointed(_alike(_ordered(asked, "class", "leader"), sets, least))
+        links = links.unionByName(alike)
+        both = alike.unionByName(alike.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        met = asked.join(both.select(F.col("u").alias("class"), F.col("v").alias("leader")), ["class", "leader"])
+        members = checkpointed(
+            led.filter(~F.array_contains("leaders", F.col("class"))).select("band", "class")
+            .join(met.select("band", "class").distinct(), ["band", "class"], "left_anti"))
     roots = components(links.distinct()).withColumnsRenamed({"node": "class"})
-    named = checkpointed(classes.join(roots, "class", "left").withColumn("root", F.coalesce("root", "class")))
-    firsts = named.groupBy("root").agg(F.min("first").alias("component"))
-    return rows.join(named.join(firsts, "root").select(*prints, "component"), prints).select("key", "component", *prints)
+    named = checkpointed(classes.select("class", "first").join(roots, "class", "left").withColumn(
+        "root", F.coalesce("root", "class")))
+    least_keys = named.groupBy("root").agg(F.min("first").alias("component"))
+    return rows.select("key", "class").join(named.join(least_keys, "root").select("class", "component"), "class").select(
+        "key", "component")

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import os
+import random
 import shutil
 import subprocess
 import sys
@@ -10,8 +11,9 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline as cp
+from slotwise.llm import simhash_trie
 from slotwise.llm.merge_dropout import decode
-from tests.llm.helpers import clashing, empty_documents, odd_documents
+from tests.llm.helpers import clashing, documents, empty_documents, odd_documents
 from tests.llm.test_decontamination import brute as brute_windows
 from tests.llm.test_oracles import SF_DIR
 
@@ -103,3 +105,32 @@ def test_the_library_works_without_the_subpackage(tmp_path):
                          env={**os.environ, "PYTHONPATH": ""})
     assert run.returncode == 0, run.stderr
     assert run.stdout.split()[1] == "True" and int(run.stdout.split()[0]) >= 58
+
+
+def similarity(a, b):
+    return len(a & b) / len(a | b)
+
+
+def test_near_copies_are_verified(stages):
+    """What goes has a document of five-word similarity 0.8 or more."""
+    _, before, after = stages[1]
+    shingles = {r.doc_id: five(r.text) for r in before.collect()}
+    gone = set(shingles) - {r.doc_id for r in after.collect()}
+    assert all(max(similarity(shingles[i], s) for j, s in shingles.items() if j != i) >= 0.8 for i in gone)
+
+
+@pytest.mark.parametrize("leaders_only", [False, True])
+def test_near_copies_with_block_edits(spark, monkeypatch, leaders_only):
+    """Another text appended, put in front or cut away in one block: pairs of 0.8 or more leave one, others two."""
+    if leaders_only:
+        monkeypatch.setattr(simhash_trie, "PAIRS_PER_CLASS", 0)
+    rng, texts = random.Random(3), []
+    for n in range(200):
+        words = [f"w{rng.randrange(5000)}" for _ in range(rng.randrange(80, 400))]
+        other = [f"w{rng.randrange(5000)}" for _ in range(int(len(words) * rng.choice((0.02, 0.05, 0.1, 0.15, 0.2, 0.5))))]
+        texts += [words, (words + other, other + words, words[len(other):])[n % 3]]
+    texts = [" ".join(t) for t in texts]
+    kept = {r.doc_id for r in cp.near_copies(spark, documents(spark, texts), SF_DIR).collect()}
+    alike = {i + 1 for i in range(0, 400, 2) if similarity(five(texts[i]), five(texts[i + 1])) >= 0.8}
+    gone = set(range(400)) - kept
+    assert gone <= alike and len(gone) >= 0.97 * len(alike) and len(alike) > 100
