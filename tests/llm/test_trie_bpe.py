@@ -1,0 +1,109 @@
+"""Trie encoding against the tokenizers library, and its parts against the merges."""
+
+from __future__ import annotations
+
+import hashlib
+import random
+
+import numpy as np
+import pytest
+from tokenizers import Tokenizer
+
+from slotwise.llm.queries import op12_trie_bpe
+from slotwise.llm.trie_bpe import VOCABULARY, Encoder, decode, encode, word_patterns
+from tests.llm.helpers import ODD_TEXTS, clashing, documents, empty_documents, odd_documents, tables  # noqa: F401
+
+PARTS = ["a", "b", " ", "  ", "\n", "\t", "é", "the", " the", "1", "23", "'s", "'", "'LL", "<|endoftext|>", "\x85", "日本",
+         "!!", "??", "==", "_", "😀", "̈", "٣", "ß"]
+
+
+@pytest.fixture(scope="module")
+def library():
+    return Tokenizer.from_file(VOCABULARY)
+
+
+@pytest.fixture(scope="module")
+def encoder():
+    with open(VOCABULARY, "rb") as file:
+        return Encoder(file.read(), word_patterns())
+
+
+def wanted(library, text):
+    return library.encode(text or "", add_special_tokens=False).ids
+
+
+def unpacked(ids):
+    return None if ids is None else np.frombuffer(ids, "<u4").tolist()
+
+
+def test_random_texts_equal_the_library(library, encoder):
+    draw = random.Random(12)
+    texts = ["".join(draw.choice(PARTS) for _ in range(draw.randrange(80))) for _ in range(1500)]
+    points = [*range(0x20, 0x3000), *range(0xA000, 0xD800), *range(0x10000, 0x1FFFF)]
+    texts += ["".join(chr(draw.choice(points)) for _ in range(draw.randrange(60))) for _ in range(800)]
+    assert [unpacked(i) for i in encoder.encode_all(texts)] == [wanted(library, t) for t in texts]
+
+
+def test_tokens_stand_side_by_side_as_their_merges_say(encoder):
+    v, draw = encoder.vocabulary, random.Random(3)
+    tokens = [*v.ids.values()]
+    for token in draw.sample(tokens, 1500):
+        assert v.whole(token) == (v.merged(v.bytes[token]) == [token])
+    for _ in range(8000):
+        a, b = draw.choice(tokens), draw.choice(tokens)
+        assert v.stands(a, b) == (v.merged(v.bytes[a] + v.bytes[b]) == [a, b])
+
+
+def test_words_with_common_prefixes_are_encoded_as_one_by_one(encoder):
+    draw = random.Random(4)
+    words = {bytes(draw.choice(b"aabnthe ing\xc3\xa9=") for _ in range(draw.randrange(1, 30))) for _ in range(800)}
+    words |= {w[:k] for w in list(words)[:100] for k in range(1, len(w))} | {b"=" * 400, b"a" * 300, b"\xc3\xa9" * 200}
+    found = dict(encoder.vocabulary.encode_words(words))
+    assert found == {w: encoder.vocabulary.merged(w) for w in words}
+
+
+@pytest.mark.parametrize("text", [" " * 1_000_000 + "x", " \n" * 300_000, "é" * 300_000, "word and " * 150_000])
+def test_very_long_texts(library, encoder, text):
+    (ids,) = encoder.encode_all([text])
+    assert encoder.decode(np.frombuffer(ids, "<u4").astype(np.int64)) == text
+    assert unpacked(ids) == wanted(library, text)
+
+
+def test_decoding_of_any_ids_equals_the_library(library, encoder):
+    draw = random.Random(6)
+    for _ in range(400):
+        ids = [draw.randrange(60_000) for _ in range(draw.randrange(30))]
+        assert encoder.decode(np.array([*ids, -1])) == library.decode(ids, skip_special_tokens=False)
+
+
+def test_odd_documents(spark, library):
+    docs = clashing(odd_documents(spark), ["word", "depth", "a.b"])
+    found = decode(encode(docs)).collect()
+    assert len(found) == docs.count()
+    for row in found:
+        assert row.ids == (None if row.text is None else wanted(library, row.text))
+        assert row.decoded == row.text and row.word == "mine" and row["a.b"] == "mine"
+    assert encode(empty_documents(spark)).count() == 0
+
+
+def test_packed_ids_and_arrays_are_the_same(spark):
+    docs = documents(spark, [*ODD_TEXTS[1:8], "two words"])
+    arrays = {r.doc_id: r for r in decode(encode(docs)).collect()}
+    for row in decode(encode(docs, packed=True)).collect():
+        assert unpacked(row.ids) == arrays[row.doc_id].ids and row.decoded == row.text
+
+
+def test_ids_that_are_no_text(spark):
+    rows = spark.createDataFrame([(1, [100_000, 72, None, -5, 71]), (2, None), (3, [])], "doc_id int, ids array<int>")
+    assert {r.doc_id: r.decoded for r in decode(rows).collect()} == {1: "ih", 2: None, 3: ""}
+
+
+def test_query(spark, library, tables):  # noqa: F811
+    found = sorted(map(tuple, op12_trie_bpe(spark, tables).collect()), key=str)
+    want = []
+    for row in odd_documents(spark).collect():
+        ids = wanted(library, row.text)
+        packed = np.array(ids, "<u4").tobytes()
+        want.append((row.doc_id, len(ids), hashlib.sha256(packed).hexdigest(),
+                     hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()))
+    assert found == sorted(want, key=str)
