@@ -11,13 +11,17 @@ from slotwise.llm.bloom_lm import score
 from slotwise.llm.compression_langid import identify, learn
 from slotwise.llm.decontamination import find_items, hit_words, items_digest
 from slotwise.llm.fertility import judge
+from slotwise.llm.filter_audit import audit, marked_failures
 from slotwise.llm.jump_hash import shard_documents
 from slotwise.llm.merge_dropout import encode
 from slotwise.llm.pii import KINDS, pseudonymise
 from slotwise.llm.randomness_secrets import KINDS as SECRET_KINDS
 from slotwise.llm.randomness_secrets import find_secrets, joined
+from slotwise.llm.resampling import resample
 from slotwise.llm.simhash_trie import near_duplicates
 from slotwise.llm.texts import held_out
+from slotwise.llm.trie_bpe import decode as decode_bytes
+from slotwise.llm.trie_bpe import encode as encode_bytes
 from slotwise.llm.url_trees import Rule, host_of, longest_rule, path_of, train
 
 #: Pseudonyms of one key link with each other only; a production run brings its own.
@@ -125,8 +129,32 @@ def op10_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("component").alias("component_id"))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weight, score and rank of every document, drawn toward the benchmark's words."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return resample(docs, _table(spark, sf_dir, "benchmark")).withColumnRenamed("key", "doc_id")
+
+
+def op12_trie_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document, and of what they decode to, as digests."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    coded = decode_bytes(encode_bytes(docs, packed=True).drop("text"))
+    return coded.select(
+        "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op13_filter_diagrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters remove in each of their orders, per language."""
+    rows = marked_failures(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    marks = {name: F.col(name) for name in ("good", "toxic")}
+    return audit(rows, {letter: F.col(letter) for letter in "ABCDE"}, F.col("part"), marks, F.col("copies"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_feistel_pseudonyms, op2_compression_language, op3_token_fertility, op4_bloom_language_model, op5_url_trees, op6_benchmark_windows, op7_merge_dropout, op8_jump_hash_shards, op9_randomness_secrets, op10_simhash_trie,
+        op1_feistel_pseudonyms, op2_compression_language, op3_token_fertility, op4_bloom_language_model, op5_url_trees,
+        op6_benchmark_windows, op7_merge_dropout, op8_jump_hash_shards, op9_randomness_secrets, op10_simhash_trie,
+        op11_importance_resampling, op12_trie_bpe, op13_filter_diagrams,
     )
 }
