@@ -20,7 +20,6 @@ from slotwise.llm.randomness_secrets import find_secrets, joined
 from slotwise.llm.resampling import resample
 from slotwise.llm.simhash_trie import near_duplicates
 from slotwise.llm.texts import held_out
-from slotwise.llm.trie_bpe import decode as decode_bytes
 from slotwise.llm.trie_bpe import encode as encode_bytes
 from slotwise.llm.url_trees import Rule, host_of, longest_rule, path_of, train
 
@@ -138,7 +137,7 @@ def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12_trie_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document, and of what they decode to, as digests."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    coded = decode_bytes(encode_bytes(docs, packed=True).drop("text"))
+    coded = encode_bytes(docs, packed=True, back="decoded")
     return coded.select(
         "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -306,24 +306,32 @@ def _file(path: str) -> bytes:
 
 
 def encode(docs: DataFrame, text: str = "text", into: str = "ids", vocabulary: str = VOCABULARY,
-           packed: bool = False) -> DataFrame:
+           packed: bool = False, back: str | None = None) -> DataFrame:
     """`docs` with the ids of its text, an array; `packed` ones are bytes, four for each id, the lowest first.
 
-    The driver reads the vocabulary's file and sends it to the workers.
+    With `back`, a column of that name has the text that the ids decode to. The driver reads the vocabulary's file and
+    sends it to the workers.
     """
     fixed = python_tasks(docs).broadcast((_file(vocabulary), word_patterns()))
 
-    @F.arrow_udf("binary" if packed else "array<int>")
+    @F.arrow_udf(f"struct<ids {'binary' if packed else 'array<int>'}, decoded string>")
     def coded(texts: pa.Array) -> pa.Array:
-        found = _encoder(*fixed.value).encode_all(texts.to_pylist())
+        encoder = _encoder(*fixed.value)
+        found = encoder.encode_all(texts.to_pylist())
+        decoded = [None if back is None or x is None else encoder.decode(np.frombuffer(x, ID).astype(np.int64)) for x in found]
         if packed:
-            return pa.array(found, pa.binary())
-        ends = np.cumsum([0, *(len(x or b"") // ID.itemsize for x in found)])
-        values = np.frombuffer(b"".join(x for x in found if x), ID).astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values, pa.int32()),
-                                        mask=pa.array([x is None for x in found]))
-
-    return docs.withColumn(into, coded(F.col(text)))
+            ids = pa.array(found, pa.binary())
+        else:
+            ends = np.cumsum([0, *(len(x or b"") // ID.itemsize for x in found)])
+            values = np.frombuffer(b"".join(x for x in found if x), ID).astype(np.int32)
+            ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values, pa.int32()),
+                                           mask=pa.array([x is None for x in found]))
+        return pa.StructArray.from_arrays([ids, pa.array(decoded, pa.string())], names=["ids", "decoded"])
+
+    coded_docs = docs.withColumn(into, coded(F.col(text)))
+    if back is not None:
+        coded_docs = coded_docs.withColumn(back, F.col(f"{into}.decoded"))
+    return coded_docs.withColumn(into, F.col(f"{into}.ids"))
 
 
 def decode(docs: DataFrame, ids: str = "ids", into: str = "decoded", vocabulary: str = VOCABULARY) -> DataFrame:

@@ -89,8 +89,8 @@ def test_odd_documents(spark, library):
 def test_packed_ids_and_arrays_are_the_same(spark):
     docs = documents(spark, [*ODD_TEXTS[1:8], "two words"])
     arrays = {r.doc_id: r for r in decode(encode(docs)).collect()}
-    for row in decode(encode(docs, packed=True)).collect():
-        assert unpacked(row.ids) == arrays[row.doc_id].ids and row.decoded == row.text
+    for row in decode(encode(docs, packed=True, back="again")).collect():
+        assert unpacked(row.ids) == arrays[row.doc_id].ids and row.decoded == row.again == row.text
 
 
 def test_ids_that_are_no_text(spark):
