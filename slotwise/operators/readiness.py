@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from slotwise.operators.sinks import cluster_by_slot, overwrite_slots
 from slotwise.schemas import MARKER
 from slotwise.session import delete_path, list_folders, path_exists
-from slotwise.sources.datasets import View, as_view
+from slotwise.sources.datasets import View, as_view, text_literal
 
 SLOT = "nominal_time"
 MARKER_PARTS = ("view", "run_id")
@@ -83,6 +83,29 @@ def compact_marks(spark: SparkSession, markers: View | str, view_names: Iterable
             delete_path(spark, folder)
 
 
+def withdraw_marks(slots: DataFrame, view_names: Iterable[str], markers: View | str) -> None:
+    """Take the marks of some slots back, of all the views given; other slots keep theirs, with the time they were set.
+
+    Only runs of marks that hold one of the slots are written anew: those that stay are committed first, and then the
+    old folders go, so readers may for a moment see a mark twice but never miss one that stays.
+    """
+    spark, markers = slots.sparkSession, as_view(markers)
+    marks = _marks(spark, markers, view_names)
+    hit = marks.join(slots.select(SLOT), SLOT, "left_semi").groupBy("view", "run_id").agg(F.count("*").alias("n")).collect()
+    if not hit:
+        return
+    known = spark.createDataFrame([(row.view, row.run_id) for row in hit], "view string, run_id string")
+    kept = marks.join(known, ["view", "run_id"], "left_semi").join(slots.select(SLOT), SLOT, "left_anti")
+    kept = kept.select("view", SLOT, "signalled_at", F.lit(uuid.uuid4().hex).alias("run_id"))
+    overwrite_slots(cluster_by_slot(kept, MARKER_PARTS), markers, MARKER_PARTS)
+    for row in hit:
+        if markers.parsed.table is None:
+            delete_path(spark, f"{_marks_folder(spark, markers, row.view)}/run_id={row.run_id}")
+        else:
+            names = f"`view` = {text_literal(row.view)}, `run_id` = {text_literal(row.run_id)}"
+            spark.sql(f"ALTER TABLE {markers.parsed.table} DROP IF EXISTS PARTITION ({names})")
+
+
 def ready_slots(slots: DataFrame, ready_by_input: Mapping[str, DataFrame],
                 instances: Mapping[str, Column] | None = None) -> DataFrame:
     """The slots that every input has ready.

@@ -9,8 +9,9 @@ from __future__ import annotations
 
 import datetime as dt
 import inspect
+import json
 import re
-from collections.abc import Callable, Iterable, Mapping
+from collections.abc import Callable, Iterable, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, replace
 from dataclasses import field as dataclass_field
@@ -25,14 +26,19 @@ from pyspark.sql.streaming import StreamingQuery
 
 from slotwise.functions.cron import next_fire, parse_cron, plain_step, slot_of
 from slotwise.functions.timeparts import HOLES, as_nominal, nominal_literal, slot_time, time_parts
-from slotwise.operators.readiness import SLOT, due_slots, mark_ready, marks_of
+from slotwise.operators.readiness import SLOT, due_slots, mark_ready, marks_of, withdraw_marks
 from slotwise.operators.sinks import cluster_by_slot, overwrite_slots, partition_spec, slot_folder, write_view
 from slotwise.operators.slots import fire_slots, instance_at
+from slotwise.plans.runs import (
+    Emitted, Run, broken_runs, new_run, read_tagged, tagged, view_facts, view_from, write_tagged,
+)
 from slotwise.plans.settings import input_settings, job_settings, with_prefix
 from slotwise.session import delete_path, work_path
-from slotwise.sources.datasets import View, as_view, list_files, load, read_at
+from slotwise.sources.datasets import View, as_view, list_files, load, quoted_column, read_at
 from slotwise.sources.topics import Topic, read_topic
-from slotwise.streaming.sinks import BATCH_INTERVAL, stream_to_dataset, stream_to_topic
+from slotwise.streaming.sinks import (
+    BATCH_INTERVAL, dataset_sink, for_each_batch, stream_to_dataset, stream_to_topic, topic_sink,
+)
 
 SLOTS = T.StructType([T.StructField(SLOT, T.TimestampNTZType())])
 
@@ -52,11 +58,12 @@ class Job:
     """A job function with the names, and optionally the record schemas, of its inputs and outputs.
 
     ``inputs=None`` makes it dynamic: it takes whatever inputs it is run with. A function may also ask for
-    ``slots`` (the nominal times of the run, a DataFrame) and ``settings`` (the job's settings).
+    ``slots`` (the nominal times of the run, a DataFrame) and ``settings`` (the job's settings). It returns its outputs
+    by name, or its only one, or :func:`emit` if they all come from the same rows.
     """
 
     name: str
-    function: Callable[..., Mapping[str, DataFrame] | DataFrame]
+    function: Callable[..., Mapping[str, DataFrame] | DataFrame | Emitted]
     inputs: Mapping[str, T.StructType | None] | None
     outputs: Mapping[str, T.StructType | None]
 
@@ -74,18 +81,37 @@ class Job:
             if set(wanted) - given:
                 raise ValueError(f"job {self.name} needs {kind} {', '.join(sorted(set(wanted) - given))}")
 
-    def __call__(self, inputs: Mapping[str, DataFrame], **extra) -> dict[str, DataFrame]:
+    def takes(self, extra: str) -> bool:
+        """Whether the function asks for ``slots`` or ``settings``."""
+        return extra in inspect.signature(self.function).parameters
+
+    def results(self, inputs: Mapping[str, DataFrame], **extra) -> dict[str, DataFrame] | Emitted:
+        """Outputs as the function returns them, each checked against its record schema."""
         for name, schema in (self.inputs or {}).items():
             check_record(inputs[name], schema, f"input {name} of job {self.name}")
-        wanted = inspect.signature(self.function).parameters
-        result = self.function(**inputs, **{k: v for k, v in extra.items() if k in wanted})
+        result = self.function(**inputs, **{k: v for k, v in extra.items() if self.takes(k)})
         if isinstance(result, DataFrame):
             (only,) = self.outputs
             result = {only: result}
-        self.check_names(inputs, result)
+        emitted = isinstance(result, Emitted)
+        self.check_names(inputs, result.outputs if emitted else result)
+        checked = {}
         for name, schema in self.outputs.items():
-            check_record(result[name], schema, f"output {name} of job {self.name}")
-        return dict(result)
+            what = f"output {name} of job {self.name}"
+            check_record(result.frame(name) if emitted else result[name], schema, what)
+            if emitted:
+                columns, where = result.outputs[name]
+                checked[name] = tuple(with_required(result.rows.select(*columns).schema, columns, schema, what)), where
+            else:
+                df = result[name]
+                columns = [F.col(quoted_column(c)) for c in df.columns]
+                demanded = with_required(df.schema, columns, schema, what)
+                checked[name] = df if demanded is columns else df.select(*demanded)
+        return Emitted(result.rows, checked) if emitted else checked
+
+    def __call__(self, inputs: Mapping[str, DataFrame], **extra) -> dict[str, DataFrame]:
+        results = self.results(inputs, **extra)
+        return {name: results.frame(name) for name in self.outputs} if isinstance(results, Emitted) else results
 
 
 def job(name: str, inputs: Mapping[str, T.StructType | None] | Iterable[str] | None,
@@ -101,7 +127,10 @@ def _named(parameters) -> dict[str, T.StructType | None]:
 
 
 def check_record(df: DataFrame, schema: T.StructType | None, what: str) -> None:
-    """Refuse a DataFrame that lacks a declared field or has it with another type; NULLs are not looked at."""
+    """Refuse a DataFrame that lacks a declared field or has it with another type, nested ones included.
+
+    What the types allow to be NULL is left to :func:`with_required`.
+    """
     for field in schema or ():
         wanted = field.dataType.simpleString()
         given = df.schema[field.name].dataType.simpleString() if field.name in df.columns else "missing"
@@ -109,6 +138,57 @@ def check_record(df: DataFrame, schema: T.StructType | None, what: str) -> None:
             raise TypeError(f"{what}: {field.name} should be {wanted}, is {given}")
 
 
+def with_required(given: T.StructType, columns: Sequence[Column], schema: T.StructType | None, what: str) -> Sequence[Column]:
+    """``columns``, of the fields ``given``, that fail when they are computed for a row with a NULL where ``schema`` has none.
+
+    The check is part of the plan that writes the rows: no pass of its own. It looks at fields, nested ones, elements
+    of arrays and values of maps, stops at the first, and names it with the row. What Spark knows to be never NULL is
+    not looked at. It is bound to a column that the schema declares, so leaving others out does not leave it out.
+    """
+    by_name = dict(zip(given.fieldNames(), columns, strict=True))
+    offences = [o for field in schema or () for o in _offences(by_name[field.name], given[field.name], field, field.name)]
+    if not offences:
+        return columns
+    first = F.coalesce(*(F.when(broken, F.lit(name)) for broken, name in offences))
+    row = F.to_json(F.struct(*(by_name[field.name].alias(field.name) for field in schema)))
+    held = schema[0].name
+    failure = F.raise_error(F.concat(F.lit(f"{what}: "), first, F.lit(" is NULL in "), row))
+    checked = F.when(first.isNull(), by_name[held]).otherwise(failure.cast(given[held].dataType)).alias(held)
+    return [checked if name == held else column.alias(name) for name, column in by_name.items()]
+
+
+def _offences(value: Column, given: T.StructField, wanted: T.StructField, name: str) -> list[tuple[Column, str]]:
+    """Conditions under which a value breaks what its field demands, with the name of what is NULL then."""
+    found = []
+    if not wanted.nullable and given.nullable:
+        found.append((value.isNull(), name))
+    return found + _nested(value, given.dataType, wanted.dataType, name)
+
+
+def _nested(value: Column, given: T.DataType, wanted: T.DataType, name: str) -> list[tuple[Column, str]]:
+    """As :func:`_offences`, of what lies below a value; a NULL has nothing below it."""
+    if isinstance(wanted, T.StructType):
+        return [(value.isNotNull() & broken, below) for field in wanted for broken, below in _offences(
+            value.getField(field.name), given[field.name], field, f"{name}.{field.name}")]
+    if isinstance(wanted, T.ArrayType):
+        element = T.StructField("element", wanted.elementType, wanted.containsNull)
+        of = T.StructField("element", given.elementType, given.containsNull)
+        return _each(value, of, element, f"{name}[]")
+    if isinstance(wanted, T.MapType):
+        element = T.StructField("value", wanted.valueType, wanted.valueContainsNull)
+        of = T.StructField("value", given.valueType, given.valueContainsNull)
+        return _each(F.map_values(value), of, element, f"{name}{{}}")
+    return []
+
+
+def _each(values: Column, given: T.StructField, wanted: T.StructField, name: str) -> list[tuple[Column, str]]:
+    def any_breaks(i: int) -> Column:
+        found = F.exists(values, lambda x: F.coalesce(_offences(x, given, wanted, name)[i][0], F.lit(False)))
+        return F.coalesce(found, F.lit(False))
+
+    return [(any_breaks(i), below) for i, (_, below) in enumerate(_offences(F.lit(None), given, wanted, name))]
+
+
 # From the nominal time of a run to the time that fills the view of an input.
 Instance = Callable[[Column], Column]
 
@@ -118,14 +198,16 @@ def run_at(spark: SparkSession, job: Job, nominal_time: str | dt.datetime, input
            settings: Mapping[str, str] | None = None, instances: Mapping[str, Instance] | None = None) -> None:
     """Run a job for one slot: read its views, replace the slot of each output, then mark the outputs ready.
 
-    Outputs are marked even if they came out empty; a run that fails marks nothing. Views are filled from the
-    nominal time, those of inputs in ``instances`` from the time these give for it.
+    Outputs are marked even if they came out empty; a run that fails marks nothing. Marks that the slot has from an
+    earlier run are withdrawn before its rows are touched. Views are filled from the nominal time, those of inputs in
+    ``instances`` from the time these give for it. Several outputs are staged together, see :mod:`slotwise.plans.runs`.
     """
     job.check_names(inputs, outputs)
     outputs = {name: as_view(view) for name, view in outputs.items()}
     of_job = job_settings(settings or {}, job.name)
     now = nominal_literal(nominal_time)
     slots = spark.range(1).select(now.alias(SLOT))
+    finish_runs(spark, job)
     frames = {}
     for name, view in inputs.items():
         view = as_view(view)
@@ -134,8 +216,13 @@ def run_at(spark: SparkSession, job: Job, nominal_time: str | dt.datetime, input
             at = slots.select(instances[name](F.col(SLOT))).first()[0]
         view = _with_settings(view, input_settings(of_job, name))
         frames[name] = read_at(spark, view, at).drop(*view.slot_parts).withColumn(SLOT, now)
-    results = job(frames, slots=slots, settings=of_job)
-    for name, rows in results.items():
+    results = job.results(frames, slots=slots, settings=of_job)
+    if len(outputs) > 1:
+        facts = {"at": as_nominal(nominal_time).isoformat()}
+        _run_staged(spark, job, slots, results, outputs, markers, facts)
+        return
+    for name, rows in _frames(results).items():
+        _withdraw(slots, outputs, markers)
         write_view(rows.drop(SLOT), outputs[name].at(nominal_time))
     _mark(slots, outputs, markers)
 
@@ -144,10 +231,14 @@ def backfill(spark: SparkSession, job: Job, slots: DataFrame, inputs: Mapping[st
              outputs: Mapping[str, View | str], markers: View | str | None = None,
              settings: Mapping[str, str] | None = None, instances: Mapping[str, Instance] | None = None,
              clustered: bool = False) -> None:
-    """Run a job for many slots at once: one plan and one write per output, whatever the number of slots.
+    """Run a job for many slots at once: one plan, and one write per output, whatever the number of slots.
 
-    Slots that are run again are replaced, also those that come out empty. ``clustered=True`` leaves out the
-    shuffle before the write, for jobs that only filter or project data that lies slot by slot.
+    Slots that are run again are replaced, also those that come out empty; their marks are withdrawn before. Several
+    outputs are staged by one evaluation and placed from there, see :mod:`slotwise.plans.runs`. ``clustered=True``
+    leaves out the shuffle before the write, for jobs that only filter or project data that lies slot by slot.
+
+    An input without time holes is a whole dataset. It comes without nominal times, so the job has to ask for
+    ``slots`` and say what each of them sees, as :func:`running_totals` does.
     """
     job.check_names(inputs, outputs)
     outputs = {name: as_view(view) for name, view in outputs.items()}
@@ -155,6 +246,7 @@ def backfill(spark: SparkSession, job: Job, slots: DataFrame, inputs: Mapping[st
         if not view.slot_parts:
             raise ValueError(f"output {name}: a backfill needs time holes in {view.uri}")
     of_job = job_settings(settings or {}, job.name)
+    finish_runs(spark, job)
     # Pinned: slots may come from the markers this run adds to.
     work = work_path(spark, "slots")
     slots.select(SLOT).distinct().write.mode("overwrite").parquet(work)
@@ -165,20 +257,80 @@ def backfill(spark: SparkSession, job: Job, slots: DataFrame, inputs: Mapping[st
             return
         frames = {
             name: _slot_rows(slots, bounds, name, _with_settings(as_view(view), input_settings(of_job, name)),
-                             (instances or {}).get(name, _itself))
+                             (instances or {}).get(name, _itself), job.takes("slots"))
             for name, view in inputs.items()
         }
-        results = job(frames, slots=slots, settings=of_job)
-        for name, rows in results.items():
+        results = job.results(frames, slots=slots, settings=of_job)
+        for name, rows in _frames(results).items():
             if SLOT not in rows.columns:
                 raise ValueError(f"job {job.name}: output {name} must keep the column {SLOT}")
-        for name, rows in results.items():
+        if len(outputs) > 1:
+            _run_staged(spark, job, slots, results, outputs, markers, {"clustered": clustered})
+            return
+        for name, rows in _frames(results).items():
+            _withdraw(slots, outputs, markers)
             _replace_slots(spark, slots, bounds, rows, outputs[name], clustered)
         _mark(slots, outputs, markers)
     finally:
         delete_path(spark, work)
 
 
+def _frames(results: Mapping[str, DataFrame] | Emitted) -> dict[str, DataFrame]:
+    if isinstance(results, Emitted):
+        return {name: results.frame(name) for name in results.outputs}
+    return dict(results)
+
+
+def _run_staged(spark: SparkSession, job: Job, slots: DataFrame, results: Mapping[str, DataFrame] | Emitted,
+                outputs: Mapping[str, View], markers: View | str | None, facts: dict) -> None:
+    """Stage all outputs by one write, note what is to be done with them, and do it."""
+    names = list(_frames(results))
+    with new_run(spark, job.name) as run:
+        slots.select(SLOT).write.mode("overwrite").parquet(f"{run.path}/slots")
+        schema = write_tagged(results, f"{run.path}/outputs")
+        run.note(names=names, schema=schema.json(), outputs={n: view_facts(outputs[n]) for n in names},
+                 markers=None if markers is None else view_facts(as_view(markers)), **facts)
+        _finish(run)
+
+
+def _finish(run: Run) -> None:
+    """What a staged run has left to do: withdraw marks, place each output, mark."""
+    spark, facts = run.spark, run.facts()
+    slots = spark.read.schema(SLOTS).parquet(f"{run.path}/slots")
+    outputs = {name: view_from(facts["outputs"][name]) for name in facts["names"]}
+    markers = None if facts["markers"] is None else view_from(facts["markers"])
+    staged = read_tagged(spark, f"{run.path}/outputs", T.StructType.fromJson(json.loads(facts["schema"])), facts["names"])
+    run.do("withdraw", lambda: _withdraw(slots, outputs, markers))
+    for number, (name, view) in enumerate(outputs.items()):
+        def place(rows: DataFrame = staged[name], view: View = view) -> None:
+            if "at" in facts:
+                write_view(rows.drop(SLOT), view.at(facts["at"]))
+            else:
+                _replace_slots(spark, slots, Bounds.of(slots), rows, view, facts["clustered"])
+
+        run.do(f"output-{number}", place)
+    run.do("mark", lambda: _mark(slots, outputs, markers))
+
+
+def finish_runs(spark: SparkSession, job: Job | str) -> int:
+    """Finish the runs of a job that broke after their outputs were staged, undo those that broke before; how many.
+
+    Every run of the job does so first. Call it before that if consumers should not wait for the next run. Runs of one
+    job in several drivers at once need folders of their own in ``spark.checkpoint.dir``.
+    """
+    found = broken_runs(spark, job if isinstance(job, str) else job.name)
+    for run in found:
+        if run.staged:
+            _finish(run)
+        delete_path(spark, run.path)
+    return len(found)
+
+
+def _withdraw(slots: DataFrame, outputs: Mapping[str, View], markers: View | str | None) -> None:
+    if markers is not None:
+        withdraw_marks(slots, [view.known(slots.sparkSession).marks for view in outputs.values()], markers)
+
+
 @dataclass(frozen=True)
 class Bounds:
     """The first and the last of some slots, and the runs of days that they lie on."""
@@ -266,13 +418,16 @@ def _day_number(day: dt.date) -> int:
     return day.year * 10_000 + day.month * 100 + day.day
 
 
-def _slot_rows(slots: DataFrame, bounds: Bounds, name: str, view: View, instance: Instance = _itself) -> DataFrame:
+def _slot_rows(slots: DataFrame, bounds: Bounds, name: str, view: View, instance: Instance = _itself,
+               whole: bool = False) -> DataFrame:
     """The rows of an input for all slots, each with its nominal time; slots that share a folder share its rows.
 
-    How the slots are joined is left to adaptive execution.
+    How the slots are joined is left to adaptive execution. With ``whole``, an input may be a whole dataset.
     """
+    if not view.slot_parts and whole:
+        return _fixed_part(load(slots.sparkSession, view.dataset()), view)
     if not view.slot_parts:
-        raise ValueError(f"input {name}: a backfill needs time holes in {view.uri}")
+        raise ValueError(f"input {name}: a backfill needs time holes in {view.uri}, or a job that asks for slots")
     if instance is not _itself:
         bounds = Bounds.of(slots, instance)
     keys = _slot_keys(slots, view, instance)
@@ -441,14 +596,16 @@ def run_stream(spark: SparkSession, job: Job, inputs: Mapping[str, Topic], outpu
                event_times: Mapping[str, str] | None = None) -> list[StreamingQuery]:
     """Start a job on streams: topics in, topics or datasets out; one query per output, each with a checkpoint.
 
-    ``event_times`` names, for outputs partitioned by time, the column that the time is taken from.
+    Outputs that the job gives by :func:`emit` share one query, which reads each message once. ``event_times`` names, for outputs partitioned by time, the column that the time is taken from.
     """
     job.check_names(inputs, outputs)
     for name, source in inputs.items():
         if not isinstance(source, Topic):
             raise TypeError(f"input {name} of job {job.name}: a streaming job reads topics only")
     frames = {name: read_topic(spark, topic, streaming=True) for name, topic in inputs.items()}
-    results = job(frames, settings=job_settings(settings or {}, job.name))
+    results = job.results(frames, settings=job_settings(settings or {}, job.name))
+    if isinstance(results, Emitted):
+        return [_stream_emitted(spark, results, outputs, checkpoint, event_times or {}, available_now, interval)]
     timing = {"available_now": available_now, "interval": interval}
     return [
         stream_to_topic(rows, outputs[name], f"{checkpoint}/{name}", **timing)
@@ -458,6 +615,33 @@ def run_stream(spark: SparkSession, job: Job, inputs: Mapping[str, Topic], outpu
     ]
 
 
+def _stream_emitted(spark: SparkSession, results: Emitted, outputs: Mapping[str, Topic | View], checkpoint: str,
+                    event_times: Mapping[str, str], available_now: bool, interval: str) -> StreamingQuery:
+    """One query for all outputs: a batch is evaluated once, into a work folder, and placed from there.
+
+    A batch that is replayed replaces its own files in every output.
+    """
+    names = list(results.outputs)
+    rows = tagged(results)
+    sinks = {}
+    for name in names:
+        sdf = results.frame(name)
+        sinks[name] = (topic_sink if isinstance(outputs[name], Topic) else dataset_sink)(
+            sdf, outputs[name], *([] if isinstance(outputs[name], Topic) else [event_times.get(name)]))
+
+    def write_batch(batch: DataFrame, batch_id: int) -> None:
+        session = batch.sparkSession
+        staged = work_path(session, "batch")
+        try:
+            batch.write.mode("overwrite").partitionBy("output").parquet(staged)
+            for name, part in read_tagged(session, staged, rows.schema, names).items():
+                sinks[name](part, batch_id)
+        finally:
+            delete_path(session, staged)
+
+    return for_each_batch(rows, write_batch, checkpoint, available_now, interval)
+
+
 def compact_stream(spark: SparkSession, slots: DataFrame, streamed: View, target: View, markers: View | str | None = None,
                    clustered: bool = False) -> None:
     """Closed slots of a dataset that a stream writes, as few files in a dataset of their own.

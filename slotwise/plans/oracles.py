@@ -271,3 +271,25 @@ ORACLES["per_batch_side_effect"] = "SELECT event_type, count(*) AS n_events FROM
 ORACLES["backfill_catalog"] = ORACLES["backfill_again"]
 ORACLES["list_partitions"] = ORACLES["covering_partitions"]
 ORACLES["compacted_marks"] = ORACLES["ready_marks"]
+
+ORACLES["reconcile_in_order"] = """
+WITH sent AS (SELECT event_id, event_type, value, row_number() OVER (ORDER BY event_id) - 1 AS position FROM events),
+     arrived AS (SELECT event_id, event_type, value, row_number() OVER (
+       ORDER BY CASE WHEN event_id // 2 % 10 = 0 THEN xor(event_id, 1) ELSE event_id END) - 1 AS position FROM events)
+SELECT position, s.event_id AS expected_id, a.event_id AS actual_id
+FROM sent s JOIN arrived a USING (position) WHERE s.event_id <> a.event_id"""
+ORACLES["backfill_report_as_of"] = """
+SELECT user_id, count(*) AS event_count, CAST(year(t) AS INTEGER) AS year, CAST(month(t) AS INTEGER) AS month,
+  CAST(day(t) AS INTEGER) AS day
+FROM events JOIN (SELECT unnest(generate_series(TIMESTAMP '2024-01-03', TIMESTAMP '2024-02-02', INTERVAL 1 DAY)) AS t) ON ts < t
+GROUP BY user_id, t"""
+_SORTED_OUT = f"""
+SELECT 'clicks' AS output, event_id, user_id, {DAY} FROM events WHERE event_type = 'click'
+UNION ALL SELECT 'dear', event_id, user_id, {DAY} FROM events WHERE value > 50
+UNION ALL SELECT 'users', event_id, user_id, {DAY} FROM events"""
+ORACLES["several_outputs"] = ORACLES["stream_several_outputs"] = _SORTED_OUT
+ORACLES["broken_run_healed"] = f"""
+SELECT *, CAST(0 AS BIGINT) AS marks_of_broken_run, (SELECT 3 * count(DISTINCT CAST(ts AS DATE)) FROM events) AS marks
+FROM ({_SORTED_OUT})"""
+ORACLES["required_fields"] = """
+SELECT event_id, user_id, 'who.user_id is NULL' AS refused FROM events WHERE event_type <> 'error'"""

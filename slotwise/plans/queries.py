@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,6 +15,8 @@ from slotwise.functions.timeparts import (
     with_time_parts,
 )
 from slotwise.functions.uris import parse_view_uri
+from slotwise.operators.as_of import running_totals
+from slotwise.operators.positions import reconcile_in_order
 from slotwise.operators.readiness import (
     compact_marks, mark_views, missing_slots, pending_slots, ready_marks, ready_slots,
 )
@@ -21,6 +24,7 @@ from slotwise.operators.sinks import append, save_nonempty, write_time_partition
 from slotwise.operators.slots import events_per_slot, fire_slots, instance_at, is_slot, slot_column, slots_with_data
 from slotwise.operators.transforms import copy_view, count_by_key, keys, odd_users, reconcile, row_count, union_inputs
 from slotwise.plans.jobs import Job, Schedule, backfill, compact_stream, job, run_at, run_stream
+from slotwise.plans.runs import emit
 from slotwise.session import work_path
 from slotwise.sources.datasets import (
     View, ensure_dataset, list_partitions, read_at, read_dataset, read_view, refine,
@@ -233,6 +237,16 @@ def reconciled_round_trip(spark, sf_dir):
     return row_count(reconcile(events(spark, sf_dir), read_dataset(spark, events_by_day(spark, sf_dir)).drop(*DAY)))
 
 
+@query("reconcile_in_order")
+def reconciled_in_order(spark, sf_dir):
+    """Sent in the order of their ids; every tenth pair of neighbours arrived the other way round."""
+    sent = events(spark, sf_dir).select("event_id", F.col("event_id").alias("turn"), "event_type", "value")
+    swapped = F.floor(F.col("event_id") / 2) % 10 == 0
+    arrived = sent.withColumn("turn", F.when(swapped, F.col("event_id").bitwiseXOR(F.lit(1))).otherwise(F.col("event_id")))
+    found = reconcile_in_order(sent, arrived, ["turn"])
+    return found.select("position", F.col("expected.event_id").alias("expected_id"), F.col("actual.event_id").alias("actual_id"))
+
+
 # Scalar functions
 
 
@@ -607,6 +621,105 @@ def report_into_slot(spark, sf_dir):
     return read_dataset(spark, target)
 
 
+@job("report-as-of", inputs=["example_events"], outputs=["report"])
+def report_as_of_job(example_events, slots):
+    return running_totals(example_events, slots, ["user_id"], "ts")
+
+
+@query("backfill_report_as_of")
+def backfill_report_as_of(spark, sf_dir):
+    """The report over the whole dataset for many days at once: each sees what had happened before it."""
+    source = events_by_day(spark, sf_dir)
+    target = new_dataset(spark, "report", REPORT, DAY)
+    schedule = Schedule(report_as_of_job, "0 0 * * *", inputs={"example_events": source},
+                        outputs={"report": view_of(target, DAY_HOLES)})
+    schedule.backfill(spark, schedule.slots(spark, "2024-01-02T12:00Z", "2024-02-03T00:00Z"))
+    return read_dataset(spark, target)
+
+
+@job("sort-out", inputs=["example_events"], outputs=["clicks", "dear", "users"])
+def sort_out_job(example_events):
+    """Three outputs of the same rows: some records, others, and two fields of all."""
+    return emit(example_events, clicks=F.col("event_type") == "click", dear=F.col("value") > 50,
+                users=(["event_id", "user_id", "nominal_time"], None))
+
+
+USERS = record(event_id="long", user_id="long")
+
+
+def _sorted_out(spark: SparkSession, frames: dict[str, DataFrame]) -> DataFrame:
+    parts = [df.select(F.lit(name).alias("output"), "event_id", "user_id", *DAY) for name, df in frames.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query("several_outputs")
+def several_outputs(spark, sf_dir):
+    """A job with three outputs, computed once for all of them."""
+    source = events_by_day(spark, sf_dir)
+    targets = {name: new_dataset(spark, name, USERS if name == "users" else EVENTS, DAY) for name in sort_out_job.outputs}
+    backfill(spark, sort_out_job, _days(spark, source), {"example_events": view_of(source, DAY_HOLES)},
+             {name: view_of(target, DAY_HOLES) for name, target in targets.items()})
+    return _sorted_out(spark, {name: read_dataset(spark, target) for name, target in targets.items()})
+
+
+@query("broken_run_healed")
+def broken_run_healed(spark, sf_dir):
+    """A run whose second output has no table: nothing is marked. Once it has one, the next run finishes what broke."""
+    source = events_by_day(spark, sf_dir)
+    markers = new_dataset(spark, "markers", None)
+    targets = {name: new_dataset(spark, name, USERS if name == "users" else EVENTS, DAY) for name in ("clicks", "users")}
+    name = work_path(spark, "dear").rpartition("-")[2]
+    targets["dear"] = View(f"dataset:hive:slotwise_work/dear_{name}", EVENTS, DAY)
+    heal = Job(f"heal-{name}", sort_out_job.function, sort_out_job.inputs, sort_out_job.outputs)
+    inputs = {"example_events": view_of(source, DAY_HOLES)}
+    outputs = {name: view_of(targets[name], DAY_HOLES) for name in heal.outputs}
+
+    def marked() -> int:
+        return sum(ready_marks(spark, markers, view.known(spark).marks).count() for view in outputs.values())
+
+    try:
+        backfill(spark, heal, _days(spark, source), inputs, outputs, markers)
+        raise AssertionError("a run without a table for its output must fail")
+    except AnalysisException:
+        broken = marked()
+    ensure_dataset(spark, targets["dear"], work_path(spark, "dear"))
+    # One slot is asked for; all of the broken run's slots are there afterwards.
+    backfill(spark, heal, _days(spark, source).limit(1), inputs, outputs, markers)
+    marks = {"marks_of_broken_run": F.lit(broken).cast("bigint"), "marks": F.lit(marked()).cast("bigint")}
+    frames = {name: read_dataset(spark, target) for name, target in targets.items()}
+    frames["dear"] = _kept(spark, frames["dear"], targets["dear"])
+    return _sorted_out(spark, frames).withColumns(marks)
+
+
+@query("required_fields")
+def required_fields(spark, sf_dir):
+    """A record whose type and user are required: a run with an event without a user fails, and commits nothing."""
+    schema = T.StructType([
+        T.StructField("event_id", T.LongType()),
+        T.StructField("who", T.StructType([T.StructField("user_id", T.LongType(), False)]), False)])
+    target = new_dataset(spark, "required", schema)
+    user = F.when(F.col("event_type") != "error", F.col("user_id"))
+
+    def strict(keep: str) -> Job:
+        def of_users(events):
+            return events.where(keep).select("event_id", F.struct(user.alias("user_id")).alias("who"))
+        return Job("strict", of_users, {"events": None}, {"users": schema})
+
+    refused = ""
+    for keep in ("true", "event_type <> 'error'"):
+        try:
+            run_at(spark, strict(keep), SLOT_DAY, {"events": _plain_events(spark, sf_dir)}, {"users": target})
+        except PySparkException as error:
+            refused = "who.user_id is NULL" if "output users of job strict: who.user_id is NULL" in str(error) else str(error)
+    return read_dataset(spark, target).select("event_id", "who.user_id").withColumn("refused", F.lit(refused))
+
+
+def _plain_events(spark: SparkSession, sf_dir: str) -> View:
+    source = new_dataset(spark, "events", EVENTS)
+    write_view(events(spark, sf_dir), source)
+    return source
+
+
 @query("run_at_odd_users")
 def run_at_odd_users(spark, sf_dir):
     source = events_by_day(spark, sf_dir)
@@ -749,6 +862,25 @@ def stream_into_day_partitions(spark, sf_dir):
     return read_view(spark, view_of(_streamed_by_day(spark, sf_dir), "?year=2024&month=1&day=15"))
 
 
+@job("sort-stream", inputs=["arriving"], outputs=["clicks", "dear", "users"])
+def sort_stream_job(arriving):
+    return emit(arriving, clicks=F.col("event_type") == "click", dear=F.col("value") > 50,
+                users=(["event_id", "user_id", "ts"], None))
+
+
+@query("stream_several_outputs")
+def stream_several_outputs(spark, sf_dir):
+    """A stream into two datasets and a topic, by one query that reads each message once."""
+    topic, users = _topic(spark, "topic"), _topic(spark, "users", record(event_id="long", user_id="long", ts="timestamp_ntz"))
+    write_topic(events(spark, sf_dir), topic)
+    targets = {name: new_dataset(spark, name, EVENTS, DAY) for name in ("clicks", "dear")}
+    for running in run_stream(spark, sort_stream_job, {"arriving": topic}, {**targets, "users": users},
+                              work_path(spark, "checkpoint"), available_now=True, event_times=dict.fromkeys(targets, "ts")):
+        running.awaitTermination()
+    frames = {name: read_dataset(spark, target) for name, target in targets.items()}
+    return _sorted_out(spark, {**frames, "users": with_time_parts(read_topic(spark, users), "ts", "day")})
+
+
 @query("compact_stream")
 def compacted_stream(spark, sf_dir):
     """Days that a stream wrote, written anew without its batch folders."""

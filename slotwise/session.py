@@ -62,6 +62,12 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(hadoop_path)
 
 
+def touch(spark: SparkSession, path: str) -> None:
+    """An empty file, for others to see that something has been done."""
+    hadoop_path, fs = _hadoop(spark, path)
+    fs.create(hadoop_path, True).close()
+
+
 def list_folders(spark: SparkSession, path: str) -> list[str]:
     """Folders right below a path; none if it is not there."""
     hadoop_path, fs = _hadoop(spark, path)

@@ -239,7 +239,7 @@ def ensure_dataset(spark: SparkSession, view: View, location: str | None = None)
         if "`.`" in table:
             spark.sql(f"CREATE DATABASE IF NOT EXISTS {table.rpartition('.')[0]}")
         columns = ", ".join(_ddl(field) for field in view.full_schema)
-        partitioned = f" PARTITIONED BY ({', '.join(map(_quote, view.parts))})" if view.parts else ""
+        partitioned = f" PARTITIONED BY ({', '.join(map(quoted_column, view.parts))})" if view.parts else ""
         at = f" LOCATION {text_literal(location)}" if location else ""
         spark.sql(f"CREATE TABLE {table} ({columns}) USING parquet{partitioned}{at}")
         return view
@@ -260,10 +260,10 @@ def ensure_dataset(spark: SparkSession, view: View, location: str | None = None)
 
 
 def _ddl(field: T.StructField) -> str:
-    return f"{_quote(field.name)} {field.dataType.simpleString()}"
+    return f"{quoted_column(field.name)} {field.dataType.simpleString()}"
 
 
-def _quote(name: str) -> str:
+def quoted_column(name: str) -> str:
     """A column's name, dots and all."""
     return "`" + name.replace("`", "``") + "`"
 

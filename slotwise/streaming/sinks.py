@@ -39,6 +39,11 @@ def stream_to_dataset(sdf: DataFrame, view: View | str, checkpoint: str, availab
     from the same messages, so a replay has the same folders. Readers of a view do not see the batch columns. A
     catalog table has to be partitioned by its parts and then ``BATCH_PARTS`` (see :func:`with_batch_parts`).
     """
+    return for_each_batch(sdf, dataset_sink(sdf, view, event_time), checkpoint, available_now, interval)
+
+
+def dataset_sink(sdf: DataFrame, view: View | str, event_time: str | None = None) -> Callable[[DataFrame, int], None]:
+    """What :func:`stream_to_dataset` does with a batch of ``sdf``."""
     view = as_view(view)
     values = part_values(sdf, view, event_time)
     order = [*(part for part in view.parts if part not in BATCH_PARTS), *BATCH_PARTS]
@@ -47,7 +52,7 @@ def stream_to_dataset(sdf: DataFrame, view: View | str, checkpoint: str, availab
         rows = with_batch(batch.withColumns(values), batch_id)
         overwrite_slots(rows if len(order) == len(BATCH_PARTS) else cluster_by_slot(rows, order), view.dataset(), order)
 
-    return for_each_batch(sdf, write_batch, checkpoint, available_now, interval)
+    return write_batch
 
 
 def part_values(sdf: DataFrame, view: View, event_time: str | None) -> dict[str, Column]:
@@ -79,6 +84,18 @@ def stream_to_topic(sdf: DataFrame, topic: Topic, checkpoint: str, available_now
     return for_each_batch(messages, write_batch, checkpoint, available_now, interval)
 
 
+def topic_sink(sdf: DataFrame, topic: Topic) -> Callable[[DataFrame, int], None]:
+    """What :func:`stream_to_topic` does with a batch of ``sdf``, for a stream with further outputs."""
+    def write_batch(batch: DataFrame, batch_id: int) -> None:
+        messages = to_messages(batch, topic)
+        if topic.format == "kafka":
+            messages.write.format("kafka").option("topic", topic.name).options(**topic.options).save()
+        else:
+            send_to_folder(with_batch(messages, batch_id), topic)
+
+    return write_batch
+
+
 def with_batch(batch: DataFrame, batch_id: int) -> DataFrame:
     """A micro-batch with its partition columns; written by overwrite, a batch without rows leaves no folder.
 
