@@ -27,6 +27,7 @@ from math import ceil, log2
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -43,10 +44,14 @@ CELL = 1 << 17
 PAIRS = 1 << 17
 #: Sets of a similarity of 0.8 meet in one of the bands with a probability of 0.998.
 BANDS, ROWS = 20, 6
-#: Members of bands are compared all with all if that makes no more pairs than this for each text that takes part.
-PAIRS_PER_CLASS = 4
-
-_ALL, _MIX = 0xFFFFFFFFFFFFFFFF, 0x5A5A3C96E1B7D24F
+#: Sets of a group that a task compares all with all, or with as many of another part of the group; and their features.
+PART, PART_FEATURES = 1024, 1 << 22
+#: Members of small groups that one task takes.
+PACK = 4096
+#: Features that more sets than this share are counted by a product of matrices, of so many columns at a time.
+RARE, COLUMNS = 32, 4096
+
+_ALL = 0xFFFFFFFFFFFFFFFF
 _RANDOM = np.random.Generator(np.random.PCG64(SEED)).integers(0, 1 << 63, (2, BANDS * ROWS), dtype=np.uint64)
 _FACTORS, _SHIFTS = _RANDOM[0] * np.uint64(2) + np.uint64(1), _RANDOM[1] * np.uint64(2)
 
@@ -349,75 +354,122 @@ def _copy_rows(docs: DataFrame, key: str, shingle: int, words: int, seeds: tuple
 
 
 def _sets(texts: DataFrame, shingle: int) -> DataFrame:
-    """class, and features (the set of its text's shingles)."""
+    """class, and features (the set of its text's shingles, packed)."""
     def work(batch: dict[str, list]) -> dict[str, list]:
-        return {"class": batch["class"], "features": [_features(t, shingle).view(np.int64) for t in batch["text"]]}
-
-    return map_batches(texts.select("class", "text"), work, "class bigint, features array<bigint>")
-
-
-def _alike(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """Those of distinct pairs u, v whose sets have at least that Jaccard similarity."""
-    for x in "uv":
-        pairs = pairs.join(sets.select(F.col("class").alias(x), F.col("features").alias(f"{x}_set")), x)
-    both = F.size(F.array_intersect("u_set", "v_set"))
-    return pairs.filter(both / (F.size("u_set") + F.size("v_set") - both) >= least).select("u", "v")
-
-
-def _ordered(pairs: DataFrame, u: str, v: str) -> DataFrame:
-    return pairs.select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).distinct()
+        return {"class": batch["class"], "features": [_features(t, shingle).tobytes() for t in batch["text"]]}
+
+    return map_batches(texts.select("class", "text"), work, "class bigint, features binary")
+
+
+def common_features(sets: list[np.ndarray]) -> np.ndarray:
+    """How many features each two of some sets share."""
+    n = len(sets)
+    counts = np.zeros(n * n, np.int64)
+    flat, owner = np.concatenate(sets), np.repeat(np.arange(n), [*map(len, sets)])
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
+    starts = np.flatnonzero(np.concatenate((np.ones(min(1, len(flat)), bool), flat[1:] != flat[:-1])))
+    sharers = np.diff(np.append(starts, len(flat)))
+    for k in range(2, min(RARE, n) + 1):
+        at = starts[sharers == k]
+        if len(at):
+            owners = owner[at[:, None] + np.arange(k)]
+            for i in range(k - 1):
+                for j in range(i + 1, k):
+                    counts += np.bincount(owners[:, i] * n + owners[:, j], minlength=n * n)
+    counts = counts.reshape(n, n)
+    counts += counts.T
+    often = np.flatnonzero(sharers > RARE)
+    for part in np.array_split(often, max(1, -(-len(often) // COLUMNS))):
+        holds = np.zeros((n, len(part)), np.float32)
+        for column, run in enumerate(part.tolist()):
+            holds[owner[starts[run] : starts[run] + sharers[run]], column] = 1
+        counts += (holds @ holds.T).astype(np.int64)
+    return counts
+
+
+def alike_components(sets: list[np.ndarray], least: float) -> np.ndarray:
+    """Component labels of sets by links of at least that Jaccard similarity; all of them are compared."""
+    sizes = np.array([*map(len, sets)])
+    both = common_features(sets)
+    i, j = np.nonzero(np.triu(both / np.maximum(1, sizes[:, None] + sizes - both) >= least, 1))
+    return _unite(np.arange(len(sets)), i, j)
+
+
+def _compared(members: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Links u, v (u > v) that connect the members of each `group` that are alike: all of a group's are compared.
+
+    A group is cut into parts by its members' hashes, so that no task has more than two of them, and every two parts
+    meet in a task; small groups share tasks. A task returns a star per component, not pairs. A member goes to as many
+    tasks as its group has parts.
+    """
+    sized = members.join(sets.select("class", (F.octet_length("features") / 8).cast("bigint").alias("size")), "class")
+    parts = sized.groupBy("group").agg(F.greatest(
+        F.ceil(F.count("*") / F.lit(PART)), F.ceil(F.sum("size") / F.lit(PART_FEATURES))).cast("int").alias("parts"))
+    packs = max(1, members.count() // PACK)
+    own = F.pmod(F.xxhash64("class"), F.col("parts")).cast("int")
+    dealt = members.join(parts, "group").withColumn("own", own).select(
+        "group", "class", "own", "parts", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    alone = F.col("parts") == 1
+    dealt = dealt.select(
+        "group", "class", F.when(alone, F.pmod(F.xxhash64("group"), F.lit(packs))).otherwise(F.col("group")).alias("task"),
+        F.when(alone, -1).otherwise(F.least("own", "other")).alias("i"), F.greatest("own", "other").alias("j"))
+
+    def compare(table: pa.Table) -> pa.Table:
+        groups, classes = (table.column(c).to_numpy() for c in ("group", "class"))
+        features = table.column("features")
+        u, v = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        order = np.argsort(groups, kind="stable")
+        for at in np.split(order, np.flatnonzero(np.diff(groups[order])) + 1):
+            if len(at) > 1:
+                labels = alike_components([np.frombuffer(features[k].as_py(), np.uint64) for k in at.tolist()], least)
+                linked = np.flatnonzero(labels != np.arange(len(labels)))
+                a, b = classes[at[linked]], classes[at[labels[linked]]]
+                u.append(np.maximum(a, b)), v.append(np.minimum(a, b))
+        return pa.table({"u": np.concatenate(u), "v": np.concatenate(v)})
+
+    python_tasks(members)
+    return dealt.join(sets, "class").groupBy("task", "i", "j").applyInArrow(compare, "u bigint, v bigint").distinct()
 
 
 def verified_copies(docs: DataFrame, key: str = "doc_id", shingle: int = 5, least: float = 0.8, words: int = 1,
                     budget: int = 4, seeds: tuple[int, ...] = (SEED,)) -> DataFrame:
     """key and component (the smallest key reachable by links) of every row; links are verified similarities.
 
-    A link is a Jaccard similarity of at least `least` between the sets of two texts' shingles. Pairs are proposed by
-    tries over fingerprints of distinct `words`, one for each of `seeds`, which find scattered edits, and by bands of
-    the sets' minima, which find edits in one block too. Each member of a band is compared with up to four leaders of
-    it; those that are like none of them go on among themselves, all pairs once these are few, so a large group of
-    copies costs about as much as its members.
+    A link is a Jaccard similarity of at least `least` between the sets of two texts' shingles. Groups of texts are
+    proposed by tries over fingerprints of distinct `words`, one for each of `seeds`, which find scattered edits, and by
+    bands of the sets' minima, which find edits in one block too. Within a group all are compared with all, so every
+    link that a group holds is found.
+
+    A null or empty text has no shingles and is a copy of others without any. Rows are told apart by their place, so
+    repeated rows and null keys keep theirs; among equal keys any may lead. An empty table gives an empty result.
     """
     rows = checkpointed(_copy_rows(docs, key, shingle, words, seeds))
     prints = [f"f{k}" for k in range(len(seeds))]
     classes = checkpointed(rows.groupBy("class").agg(
         F.min("key").alias("first"), F.first("bands").alias("bands"), *(F.first(x).alias(x) for x in prints)))
-    by_trie = checkpointed(_trie_links(classes, prints, budget, True))
-    members = classes.select("class", F.explode("bands").alias("band"))
-    shared = members.groupBy("band").agg(F.min("class").alias("a"), F.max("class").alias("b")).filter("a < b")
-    members = checkpointed(members.join(shared.select("band"), "band", "left_semi"))
-    needed = members.select("class").union(by_trie.select("u")).union(by_trie.select("v")).distinct()
-    firsts = classes.join(needed, "class", "left_semi").select("class", F.col("first").alias("key"))
+    groups = classes.select("class", F.explode("bands").alias("group"))
+    total = classes.count()
+    for k, print_ in enumerate(prints):
+        groups = groups.unionByName(_trie_groups(classes, print_, total, budget, k))
+    groups = groups.distinct()
+    shared = groups.groupBy("group").agg(F.count("*").alias("n")).filter("n > 1")
+    members = checkpointed(groups.join(shared.select("group"), "group", "left_semi"))
+    firsts = classes.join(members.select("class").distinct(), "class", "left_semi").select("class", F.col("first").alias("key"))
     texts = docs.select(F.col(key).alias("key"), "text").join(checkpointed(firsts), "key")
-    sets = checkpointed(_sets(texts, shingle))
-    links = checkpointed(_alike(by_trie, sets, least))
-    few = PAIRS_PER_CLASS * max(1, sets.count())
-    while True:
-        sizes = members.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1")
-        n_bands, n_pairs = sizes.agg(F.count("*"), F.sum(F.col("n").cast("double") * (F.col("n") - 1) / 2)).first()
-        if not n_bands:
-            break
-        if n_pairs <= few:
-            other = members.select("band", F.col("class").alias("other"))
-            pairs = _ordered(members.join(other, "band").filter("class < other"), "class", "other")
-            links = links.unionByName(checkpointed(_alike(pairs, sets, least)))
-            break
-        mixed_ = F.col("class").bitwiseXOR(F.lit(_MIX))
-        leaders = members.groupBy("band").agg(
-            F.min("class").alias("a"), F.max("class").alias("b"), F.min(mixed_).alias("c"), F.max(mixed_).alias("d"))
-        four = F.array_distinct(F.array("a", "b", F.col("c").bitwiseXOR(F.lit(_MIX)), F.col("d").bitwiseXOR(F.lit(_MIX))))
-        led = checkpointed(members.join(leaders.filter("a < b"), "band").select("band", "class", four.alias("leaders")))
-        asked = led.select("band", "class", F.explode("leaders").alias("leader")).filter("class <> leader")
-        alike = checkpointed(_alike(_ordered(asked, "class", "leader"), sets, least))
-        links = links.unionByName(alike)
-        both = alike.unionByName(alike.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        met = asked.join(both.select(F.col("u").alias("class"), F.col("v").alias("leader")), ["class", "leader"])
-        members = checkpointed(
-            led.filter(~F.array_contains("leaders", F.col("class"))).select("band", "class")
-            .join(met.select("band", "class").distinct(), ["band", "class"], "left_anti"))
-    roots = components(links.distinct()).withColumnsRenamed({"node": "class"})
+    sets = checkpointed(_sets(texts, shingle).dropDuplicates(["class"]))
+    roots = components(_compared(members, sets, least)).withColumnsRenamed({"node": "class"})
     named = checkpointed(classes.select("class", "first").join(roots, "class", "left").withColumn(
         "root", F.coalesce("root", "class")))
     least_keys = named.groupBy("root").agg(F.min("first").alias("component"))
     return rows.select("key", "class").join(named.join(least_keys, "root").select("class", "component"), "class").select(
         "key", "component")
+
+
+def _trie_groups(classes: DataFrame, print_: str, total: int, budget: int, k: int) -> DataFrame:
+    """class and group of what a trie brings together: for each star of its links the classes of the star's fingerprints."""
+    own = classes.select(F.col(print_).alias("fingerprint"), "class")
+    links = near_links(own.select("fingerprint").distinct(), total, budget)
+    stars = links.select(F.col("u").alias("fingerprint"), F.col("v").alias("centre"))
+    stars = stars.unionByName(own.select("fingerprint", F.col("fingerprint").alias("centre"))).distinct()
+    return stars.join(own, "fingerprint").select("class", F.xxhash64(F.lit(k), "centre").alias("group"))

@@ -32,6 +32,11 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def all_columns(df: DataFrame) -> list[Column]:
+    """The columns of `df` by their names, dots and all."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
 def python_tasks(df: DataFrame) -> SparkContext:
     """The context of `df`, told where Python tasks find this package: at the driver's path, as far as they have it."""
     context = df.sparkSession.sparkContext

@@ -7,6 +7,7 @@ import subprocess
 import sys
 from pathlib import Path
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -86,7 +87,7 @@ def test_personal_data_and_encoding(spark, stages):
 @pytest.mark.parametrize("stage", range(5))
 def test_odd_rows(spark, stage):
     name, function = cp.STAGES[stage]
-    docs = clashing(odd_documents(spark), ["_found", "_row", "_key", "doc", "pii_email"])
+    docs = clashing(odd_documents(spark), ["_found", "_row", "_key", "doc", "pii_email", "a.b"])
     out = function(spark, docs, SF_DIR)
     assert [c for c in out.columns if c not in ("ids", "n_tokens")] == docs.columns
     assert out.filter("_found <> 'mine' or _row <> 'mine' or doc <> 'mine' or pii_email <> 'mine'").count() == 0
@@ -119,11 +120,11 @@ def test_near_copies_are_verified(stages):
     assert all(max(similarity(shingles[i], s) for j, s in shingles.items() if j != i) >= 0.8 for i in gone)
 
 
-@pytest.mark.parametrize("leaders_only", [False, True])
-def test_near_copies_with_block_edits(spark, monkeypatch, leaders_only):
+@pytest.mark.parametrize("part", [1024, 3])
+def test_near_copies_with_block_edits(spark, monkeypatch, part):
     """Another text appended, put in front or cut away in one block: pairs of 0.8 or more leave one, others two."""
-    if leaders_only:
-        monkeypatch.setattr(simhash_trie, "PAIRS_PER_CLASS", 0)
+    monkeypatch.setattr(simhash_trie, "PART", part)
+    monkeypatch.setattr(simhash_trie, "PACK", 50)
     rng, texts = random.Random(3), []
     for n in range(200):
         words = [f"w{rng.randrange(5000)}" for _ in range(rng.randrange(80, 400))]
@@ -134,3 +135,60 @@ def test_near_copies_with_block_edits(spark, monkeypatch, leaders_only):
     alike = {i + 1 for i in range(0, 400, 2) if similarity(five(texts[i]), five(texts[i + 1])) >= 0.8}
     gone = set(range(400)) - kept
     assert gone <= alike and len(gone) >= 0.97 * len(alike) and len(alike) > 100
+
+
+@pytest.mark.parametrize("part", [1024, 40])
+def test_a_large_group_of_near_copies_loses_no_link(spark, monkeypatch, part):
+    """One text with a few words changed in each of many copies: components are those of all pairs."""
+    monkeypatch.setattr(simhash_trie, "PART", part)
+    rng = random.Random(8)
+    words = [f"w{rng.randrange(3000)}" for _ in range(150)]
+
+    def edited():
+        copy = list(words)
+        for _ in range(rng.randrange(1, 9)):
+            copy[rng.randrange(150)] = f"x{rng.randrange(10_000)}"
+        return " ".join(copy)
+
+    texts = [edited() for _ in range(400)]
+    sets = [five(t) for t in texts]
+    parent = list(range(400))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in range(400):
+        for j in range(i):
+            if similarity(sets[i], sets[j]) >= 0.8:
+                a, b = sorted((root(i), root(j)))
+                parent[b] = a
+    kept = {r.doc_id for r in cp.near_copies(spark, documents(spark, texts), SF_DIR).collect()}
+    assert kept == {i for i in range(400) if root(i) == i} and 1 < len(kept) < 400
+
+
+def test_components_of_sets_are_those_of_all_pairs(monkeypatch):
+    monkeypatch.setattr(simhash_trie, "COLUMNS", 5)
+    rng = random.Random(2)
+    pool = [np.unique(np.array(rng.sample(range(200), rng.randrange(60)), np.uint64)) for _ in range(60)]
+    pool += [np.delete(s, 0) for s in pool if len(s) > 1] + [pool[0], np.zeros(0, np.uint64), np.zeros(0, np.uint64)]
+    counts = simhash_trie.common_features(pool)
+    for i, a in enumerate(pool):
+        for j, b in enumerate(pool):
+            assert i == j or counts[i, j] == len(np.intersect1d(a, b))
+    labels = simhash_trie.alike_components(pool, 0.8)
+    links = {(i, j) for i in range(len(pool)) for j in range(i) if len(np.union1d(pool[i], pool[j]))
+             and len(np.intersect1d(pool[i], pool[j])) / len(np.union1d(pool[i], pool[j])) >= 0.8}
+    assert all(labels[i] == labels[j] for i, j in links)
+    assert {(i, j) for i in range(len(pool)) for j in range(i) if labels[i] == labels[j]} == closure(links, len(pool))
+
+
+def closure(links, n):
+    """Pairs that links connect."""
+    reach = np.eye(n, dtype=bool)
+    for i, j in links:
+        reach[i, j] = reach[j, i] = True
+    for k in range(n):
+        reach |= reach[:, k : k + 1] & reach[k]
+    return {(i, j) for i in range(n) for j in range(i) if reach[i, j]}
