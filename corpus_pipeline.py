@@ -18,7 +18,7 @@ from slotwise.llm.merge_dropout import encode
 from slotwise.llm.pii import pseudonymise
 from slotwise.llm.shared import shared_folder
 from slotwise.llm.simhash_trie import verified_copies
-from slotwise.llm.texts import free_name
+from slotwise.llm.texts import all_columns, free_name
 from slotwise.session import delete_path
 
 #: Pseudonyms of one key link with each other only; a production run brings its own.
@@ -34,7 +34,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told with a sufficient margin; learned from the documents' own labels."""
     name = free_name(docs, "_found")
     found = identify(docs, learn(docs), into=name)
-    return found.filter(F.col(name).accepted).select(docs.columns)
+    return found.filter(F.col(name).accepted).select(all_columns(docs))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,19 +44,19 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     key = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", F.col(name).alias("row"))
     found = verified_copies(numbered.select(key.alias("key"), "text"), "key", SHINGLE, SIMILARITY, WORDS, BITS, SEEDS)
     copies = found.filter("key.row <> component.row").select(F.col("key.row").alias(name))
-    return numbered.join(copies, name, "left_anti").select(docs.columns)
+    return numbered.join(copies, name, "left_anti").select(all_columns(docs))
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no window of a benchmark item stands."""
     name = free_name(docs, "_found")
     found = find_items(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), into=name)
-    return found.filter(F.size(F.col(name).items) == 0).select(docs.columns)
+    return found.filter(F.size(F.col(name).items) == 0).select(all_columns(docs))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with pseudonyms for personal data; n_chars counts the new text."""
-    found = pseudonymise(docs.select(F.struct(*docs.columns).alias("doc"), "text"), PII_KEY)
+    found = pseudonymise(docs.select(F.struct(*all_columns(docs)).alias("doc"), "text"), PII_KEY)
     return found.withColumn("doc", F.col("doc").withField("text", F.col("text"))
                             .withField("n_chars", F.length("text").cast("long"))).select("doc.*")
 
