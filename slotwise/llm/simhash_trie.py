@@ -453,7 +453,10 @@ def verified_copies(docs: DataFrame, key: str = "doc_id", shingle: int = 5, leas
     for k, print_ in enumerate(prints):
         groups = groups.unionByName(_trie_groups(classes, print_, total, budget, k))
     groups = groups.distinct()
-    shared = groups.groupBy("group").agg(F.count("*").alias("n")).filter("n > 1")
+    # Copies of a text share many bands; of groups with the same members, told by their hashes, one is enough.
+    same = F.xxhash64("class")
+    shared = groups.groupBy("group").agg(F.count("*").alias("n"), F.bit_xor(same).alias("a"), F.bit_xor(
+        F.xxhash64(same, F.lit(1))).alias("b")).filter("n > 1").groupBy("n", "a", "b").agg(F.min("group").alias("group"))
     members = checkpointed(groups.join(shared.select("group"), "group", "left_semi"))
     firsts = classes.join(members.select("class").distinct(), "class", "left_semi").select("class", F.col("first").alias("key"))
     texts = docs.select(F.col(key).alias("key"), "text").join(checkpointed(firsts), "key")
