@@ -40,12 +40,17 @@ def _pair(text: Column) -> Column:
 
 
 def _last_values(pairs: Column) -> Column:
-    """A map of pairs; a key that comes again replaces its earlier value, whatever the session says of such keys."""
-    def is_last(pair: Column, i: Column) -> Column:
-        later = F.slice(pairs, i + 2, F.size(pairs))
-        return ~F.exists(later, lambda other: other.key == pair.key)
+    """A map of pairs; a key that comes again replaces its earlier value, whatever the session says of such keys.
 
-    return F.map_from_entries(F.filter(pairs, is_last))
+    The pairs are bound to a name, so they are worked out once; only among repeated keys is the last one looked for.
+    """
+    def as_map(bound: Column) -> Column:
+        keys = F.transform(bound, lambda pair: pair.key)
+        return F.map_from_entries(F.when(F.size(F.array_distinct(keys)) == F.size(keys), bound).otherwise(
+            F.get(F.transform(F.array(F.reverse(keys)), lambda back: F.filter(
+                bound, lambda pair, i: F.array_position(back, pair.key) == F.size(back) - i)), F.lit(0))))
+
+    return F.get(F.transform(F.array(pairs), as_map), F.lit(0))
 
 
 def quoted(name: str) -> str:

@@ -33,7 +33,7 @@ from slotwise.plans.runs import (
     Emitted, Run, broken_runs, new_run, read_tagged, tagged, view_facts, view_from, write_tagged,
 )
 from slotwise.plans.settings import input_settings, job_settings, with_prefix
-from slotwise.session import delete_path, work_path
+from slotwise.session import delete_path, shared_dir, work_path
 from slotwise.sources.datasets import View, as_view, list_files, load, quoted_column, read_at
 from slotwise.sources.topics import Topic, read_topic
 from slotwise.streaming.sinks import (
@@ -583,6 +583,79 @@ class Schedule:
         backfill(spark, self.job, slots, self.inputs, self.outputs, instances=self.instances(), **options)
 
 
+DUE = T.StructType([
+    T.StructField("job", T.StringType()), T.StructField("wave", T.IntegerType()), T.StructField(SLOT, T.TimestampNTZType())])
+
+
+def due_in_waves(spark: SparkSession, schedules: Iterable[Schedule], markers: View | str, start: str | dt.datetime,
+                 end: str | dt.datetime) -> DataFrame:
+    """``job``, ``wave`` and slots of what can run now, and of what can once that has run: the plan of chained schedules.
+
+    Wave 1 waits for nothing but marks that are there; a slot of a later wave needs outputs of the wave before it. A
+    slot whose inputs nobody marks or makes is not in the plan, one whose outputs are all marked has no need to be.
+    Schedules are worked off by how long the chain before them is, all of one length together: one join with what is
+    marked or planned so far, checkpointed. Chains that come back to themselves are refused.
+    """
+    schedules = list(schedules)
+    names = [schedule.job.name for schedule in schedules]
+    if len(set(names)) < len(names):
+        raise ValueError("schedules of one plan need jobs of different names")
+    needs, makes = {}, {}
+    for schedule in schedules:
+        instances = schedule.instances()
+        needs[schedule.job.name] = [
+            (view.known(spark).marks, instances.get(name, _itself)(F.col(SLOT))) for name, view in schedule.inputs.items()]
+        makes[schedule.job.name] = sorted({view.known(spark).marks for view in schedule.outputs.values()})
+    views = {name for given in needs.values() for name, _ in given} | {name for given in makes.values() for name in given}
+    known = checkpointed_small(spark, marks_of(spark, markers, views).select("view", F.col(SLOT).alias("_at"), F.lit(0).alias("_wave")))
+    due = spark.createDataFrame([], DUE)
+    for level in _levels(needs, makes):
+        wanted = None
+        for schedule in schedules:
+            job_name = schedule.job.name
+            if job_name not in level:
+                continue
+            entries = [_need(view, at, True) for view, at in needs[job_name]] + [
+                _need(view, F.col(SLOT), False) for view in makes[job_name]]
+            rows = schedule.slots(spark, start, end).select(
+                F.lit(job_name).alias("job"), SLOT, F.explode(F.array(*entries)).alias("_need")).select("job", SLOT, "_need.*")
+            wanted = rows if wanted is None else wanted.unionByName(rows)
+        found = wanted.join(known, ["view", "_at"], "left").groupBy("job", SLOT).agg(
+            F.count_if(F.col("_input") & F.col("_wave").isNull()).alias("_waits"),
+            F.count_if(~F.col("_input") & (F.coalesce("_wave", F.lit(1)) > 0)).alias("_lacks"),
+            F.coalesce(F.max(F.when(F.col("_input"), F.col("_wave"))), F.lit(0)).alias("_after"))
+        planned = checkpointed_small(spark, found.where("_waits = 0 and _lacks > 0").select(
+            "job", (F.col("_after") + 1).cast("int").alias("wave"), SLOT))
+        due = due.unionByName(planned)
+        made = F.create_map(*(F.lit(x) for name in level for x in (name, makes[name])))
+        new = planned.select(F.explode(made[F.col("job")]).alias("view"), F.col(SLOT).alias("_at"), F.col("wave").alias("_wave"))
+        known = known.unionByName(new).groupBy("view", "_at").agg(F.min("_wave").alias("_wave"))
+    return due
+
+
+def _need(view: str, at: Column, is_input: bool) -> Column:
+    return F.struct(F.lit(view).alias("view"), at.alias("_at"), F.lit(is_input).alias("_input"))
+
+
+def _levels(needs: Mapping[str, list], makes: Mapping[str, list[str]]) -> list[set[str]]:
+    """Jobs by the longest chain of jobs before them."""
+    before = {job: {other for other in makes if set(makes[other]) & {view for view, _ in needs[job]}} for job in needs}
+    levels, done = [], set()
+    while len(done) < len(before):
+        level = {job for job, others in before.items() if job not in done and others <= done}
+        if not level:
+            raise ValueError(f"jobs wait for each other: {', '.join(sorted(set(before) - done))}")
+        levels.append(level)
+        done |= level
+    return levels
+
+
+def checkpointed_small(spark: SparkSession, df: DataFrame) -> DataFrame:
+    """A table of slots, kept in the shared folder, so that plans of many waves stay short."""
+    shared_dir(spark)
+    return df.checkpoint()
+
+
 def run_schedules(spark: SparkSession, schedules: Iterable[Schedule], nominal_time: str | dt.datetime,
                   **options) -> None:
     """Run every schedule of an application for one nominal time, in the order given."""

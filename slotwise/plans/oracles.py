@@ -293,3 +293,22 @@ SELECT *, CAST(0 AS BIGINT) AS marks_of_broken_run, (SELECT 3 * count(DISTINCT C
 FROM ({_SORTED_OUT})"""
 ORACLES["required_fields"] = """
 SELECT event_id, user_id, 'who.user_id is NULL' AS refused FROM events WHERE event_type <> 'error'"""
+
+ORACLES["due_in_waves"] = """
+WITH grid AS (
+  SELECT unnest(generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-19 23:30:00', INTERVAL 30 MINUTE)) AS t),
+marks AS (SELECT DISTINCT event_type, date_trunc('hour', ts) AS t FROM events),
+a AS (
+  SELECT t, CASE WHEN t IN (SELECT t FROM marks WHERE event_type = 'error') THEN 0 ELSE 1 END AS wave FROM grid
+  WHERE minute(t) = 0 AND (t IN (SELECT t FROM marks WHERE event_type = 'error')
+    OR t IN (SELECT t FROM marks WHERE event_type = 'click'))),
+known_a AS (SELECT t, wave FROM a UNION SELECT t, 0 FROM marks WHERE event_type = 'error'),
+b AS (
+  SELECT g.t, min(k.wave) + 1 AS wave FROM grid g JOIN known_a k ON k.t = g.t - INTERVAL 30 MINUTE
+  WHERE minute(g.t) = 30 AND hour(g.t) IN (0, 6, 12, 18) GROUP BY g.t),
+c AS (
+  SELECT g.t, b.wave + 1 AS wave FROM grid g JOIN b ON b.t = g.t - INTERVAL 330 MINUTE
+  WHERE hour(g.t) = 0 AND minute(g.t) = 0 AND g.t IN (SELECT t FROM marks WHERE event_type = 'click'))
+SELECT 'hourly' AS job, CAST(wave AS INTEGER) AS wave, t AS nominal_time FROM a WHERE wave = 1
+UNION ALL SELECT 'sixth', CAST(wave AS INTEGER), t FROM b
+UNION ALL SELECT 'daily', CAST(wave AS INTEGER), t FROM c"""

@@ -23,7 +23,7 @@ from slotwise.operators.readiness import (
 from slotwise.operators.sinks import append, save_nonempty, write_time_partitioned, write_view
 from slotwise.operators.slots import events_per_slot, fire_slots, instance_at, is_slot, slot_column, slots_with_data
 from slotwise.operators.transforms import copy_view, count_by_key, keys, odd_users, reconcile, row_count, union_inputs
-from slotwise.plans.jobs import Job, Schedule, backfill, compact_stream, job, run_at, run_stream
+from slotwise.plans.jobs import Job, Schedule, backfill, compact_stream, due_in_waves, job, run_at, run_stream
 from slotwise.plans.runs import emit
 from slotwise.session import work_path
 from slotwise.sources.datasets import (
@@ -475,6 +475,29 @@ def pending_hours(spark, sf_dir):
     return pending_slots(_schedule_over(events(spark, sf_dir), "0 * * * *"), inputs, outputs)
 
 
+@query("due_in_waves")
+def due_in_waves_of_a_chain(spark, sf_dir):
+    """Three jobs, each waiting for the one before: hourly, every six hours, daily. Some hours are done already."""
+    markers = new_dataset(spark, "markers", None)
+    clicks, hourly, sixth, daily = (View(f"view:hdfs:///shop/{name}{DAY_HOLES}&hour=${{HOUR}}") for name in ("clicks", "a", "b", "c"))
+    hour = slot_column("ts", "0 * * * *").alias("nominal_time")
+    for kind, view in (("click", clicks), ("error", hourly)):
+        mark_views(events(spark, sf_dir).where(F.col("event_type") == kind).select(F.lit(view.marks).alias("view"), hour).distinct(), markers)
+
+    def step(name: str, *inputs: str) -> Job:
+        return Job(name, lambda **given: given, dict.fromkeys(inputs), {"out": None})
+
+    chain = [
+        Schedule(step("daily", "sixth", "clicks"), "0 0 * * *", outputs={"out": daily}, inputs={"sixth": sixth, "clicks": clicks}),
+        Schedule(step("hourly", "clicks"), "0 * * * *", outputs={"out": hourly}, inputs={"clicks": clicks}),
+        Schedule(step("sixth", "hourly"), "30 */6 * * *", outputs={"out": sixth}, inputs={"hourly": hourly},
+                 input_crons={"hourly": "0 * * * *"}),
+    ]
+    chain[0] = Schedule(chain[0].job, "0 0 * * *", outputs=chain[0].outputs, inputs=chain[0].inputs,
+                        input_crons={"sixth": "30 */6 * * *"}, start_at="2023-12-31T00:00Z")
+    return due_in_waves(spark, chain, markers, "2024-01-01T00:00Z", "2024-01-20T00:00Z")
+
+
 # Sinks and jobs
 
 
