@@ -1,0 +1,70 @@
+"""Plans of chained schedules, and constraints of URIs with keys that come again."""
+
+from __future__ import annotations
+
+import datetime as dt
+
+import pytest
+from pyspark.sql import functions as F
+
+from slotwise.functions.uris import parse_view_uri
+from slotwise.operators.readiness import mark_views
+from slotwise.plans.jobs import Job, Schedule, due_in_waves
+from slotwise.sources.datasets import View
+
+START, END = "2024-01-01T00:30Z", "2024-01-01T05:00Z"
+HOLES = "?year=${YEAR}&month=${MONTH}&day=${DAY}&hour=${HOUR}"
+
+
+def at(hour):
+    return dt.datetime(2024, 1, 1, hour)
+
+
+def view(name):
+    return View(f"view:hdfs:///x/{name}{HOLES}")
+
+
+def chained(name, inputs, outputs):
+    job = Job(name, lambda **given: given, dict.fromkeys(inputs), dict.fromkeys(outputs))
+    return Schedule(job, "0 * * * *", inputs={i: view(i) for i in inputs}, outputs={o: view(o) for o in outputs})
+
+
+def mark(spark, markers, marks):
+    rows = [(view(name).marks, at(hour)) for name, hours in marks.items() for hour in hours]
+    mark_views(spark.createDataFrame(rows, "view string, nominal_time timestamp_ntz"), markers)
+
+
+def plan(spark, schedules, markers):
+    return sorted((r.wave, r.job, r.nominal_time.hour) for r in due_in_waves(spark, schedules, markers, START, END).collect())
+
+
+def test_slots_become_due_once_those_before_them_have_run(spark, folder):
+    markers = View("dataset:" + folder("marks"))
+    # b is half done at 2, done at 3; c waits for both, and for nothing at 4, where no source is.
+    mark(spark, markers, {"in": [1, 2, 3], "mid": [2, 3], "side": [3], "other": [1, 2, 3, 4]})
+    jobs = [chained("c", ["mid", "side", "other"], ["end"]), chained("b", ["in"], ["mid", "side"])]
+    assert plan(spark, jobs, markers) == [(1, "b", 1), (1, "b", 2), (1, "c", 3), (2, "c", 1), (2, "c", 2)]
+    assert plan(spark, [*jobs, chained("d", ["end"], ["last"])], markers)[-2:] == [(3, "d", 1), (3, "d", 2)]
+
+
+def test_no_marks_no_plan(spark, folder):
+    assert plan(spark, [chained("b", ["in"], ["mid"])], View("dataset:" + folder("marks"))) == []
+
+
+def test_jobs_that_wait_for_each_other_are_refused(spark, folder):
+    markers = View("dataset:" + folder("marks"))
+    with pytest.raises(ValueError, match="wait for each other: b, c"):
+        plan(spark, [chained("a", ["in"], ["x"]), chained("b", ["z", "x"], ["y"]), chained("c", ["y"], ["z"])], markers)
+    with pytest.raises(ValueError, match="wait for each other: own"):
+        plan(spark, [chained("own", ["y"], ["y"])], markers)
+    with pytest.raises(ValueError, match="different names"):
+        plan(spark, [chained("a", ["in"], ["x"]), chained("a", ["in"], ["y"])], markers)
+
+
+def test_the_last_of_repeated_constraints_counts(spark):
+    texts = ["view:s:d?a=1&b=2&a=3&c&b=4&a=5", "view:s:d?a=1", "view:s:d?a&a=2&a", "view:s:d?&&", "view:s:d", "", None,
+             "view:s:d?" + "&".join(f"k{i % 40}={i}" for i in range(200))]
+    rows = spark.createDataFrame([(t,) for t in texts], "uri string")
+    found = [r[0] for r in rows.select(parse_view_uri(F.col("uri")).constraints).collect()]
+    assert found == [{"a": "5", "b": "4", "c": None}, {"a": "1"}, {"a": None}, {}, {}, {}, {},
+                     {f"k{i}": str(160 + i) for i in range(40)}]
