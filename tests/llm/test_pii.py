@@ -54,9 +54,14 @@ def test_against_plain_python(spark):
     assert got_ip == f"{a >> 8}.{a % 256}.{b >> 8}.{b % 256}"
     payload = digits_of(card[:-1], "card")
     assert got_card[:-1] == payload and luhn(got_card)
-    number = (dt.date(2011, 2, 28) - dt.date(1900, 1, 1)).days
-    a, b = feistel(*divmod(number, 4297), 17, 4297, "date")
-    assert got_day == str(dt.date(1900, 1, 1) + dt.timedelta(a * 4297 + b))
+    a, b, moved = 1 * 19 + 28 - 13, 2011 - 1900, None
+    while moved is None:
+        a, b = feistel(a, b, 12 * 19, 200, "date19")
+        try:
+            moved = dt.date(1900 + b, a // 19 + 1, a % 19 + 13)
+        except ValueError:
+            pass
+    assert got_day == str(moved)
     rest = digits_of("9885552485", "phone1")
     assert got_phone == f"+1 ({rest[:3]}) {rest[3:6]}-{rest[6:]}"
 
@@ -96,6 +101,30 @@ def test_equal_values_stay_linked_and_keys_differ(spark):
     assert replaced(spark, texts, "other") != [one, two, three]
 
 
+def test_days_are_linked_in_every_notation(spark):
+    days = [dt.date(1900, 1, 1) + dt.timedelta(n) for n in range(0, 73049, 611)]
+    days += [dt.date(1980, 12, d) for d in (12, 13, 28, 29, 30, 31)] + [dt.date(2000, 2, 29), dt.date(2099, 12, 31)]
+    new = {}
+    for shape in ("%Y-%m-%d", "%d.%m.%Y", "%d/%m/%Y", "%m/%d/%Y"):
+        written = [d for d in days if shape != "%m/%d/%Y" or d.day > 12]  # up to the 12th the day is read first
+        for d, text in zip(written, replaced(spark, [d.strftime(shape) for d in written])):
+            moved = dt.datetime.strptime(text, shape).date()
+            assert new.setdefault(d, moved) == moved
+            assert (d.day > 12) == (moved.day > 12) and 1900 <= moved.year <= 2099
+    assert len(set(new.values())) == len(new) and sum(a == b for a, b in new.items()) <= 2
+
+
+def test_later_days_are_permuted_without_collisions(spark):
+    days = [d for d in (dt.date(1900, 1, 1) + dt.timedelta(n) for n in range(0, 73049)) if d.day > 28]
+    assert len(set(replaced(spark, [f"{d:%m/%d/%Y}" for d in days]))) == len(days)
+
+
+def test_phones_are_linked_however_they_are_spaced(spark):
+    for spaced in ("+353 1 234 5678", "+49 30 1234567", "+7 495 123 4567", "+1 (269) 555-3296", "+44 20.7946.0958"):
+        one, two = replaced(spark, [spaced, "+" + re.sub(r"[^0-9]", "", spaced)])
+        assert re.sub(r"[^0-9]", "", one) == re.sub(r"[^0-9]", "", two) != re.sub(r"[^0-9]", "", spaced)
+
+
 def test_permutation_has_no_collisions(spark):
     days = [f"{dt.date(1900, 1, 1) + dt.timedelta(n)}" for n in range(0, 73049, 7)]
     numbers = [f"{a:03d}-07-{s:04d}" for a in (1, 665, 667, 899) for s in range(1, 9999, 101)]
