@@ -1,12 +1,13 @@
 from __future__ import annotations
 
+import random
 import re
 from collections import Counter
 
 import pytest
 import sentencepiece
 
-from slotwise.llm.fertility import BANDS, BYTE_RANKS, FOLDER, PIECES, Vocabularies, base_counts, figures, judge, script_of, within
+from slotwise.llm.fertility import BANDS, BYTE_RANKS, FOLDER, LONG_RUN, PIECES, Vocabularies, base_counts, figures, judge, script_of, within
 from slotwise.llm.queries import op3_token_fertility
 from tests.llm.helpers import ODD_TEXTS, clashing, empty_documents, odd_documents
 from tests.llm.test_oracles import SF_DIR
@@ -34,8 +35,62 @@ def test_base_counts(spark):
 
 def test_fallback_is_what_the_library_spells_in_bytes(spark, vocabularies):
     sp = sentencepiece.SentencePieceProcessor(model_file=f"{FOLDER}/{PIECES}")
-    for text in ["plain", "tab\tand\nline", "日本 😀 ÿ ꙮ", *[t for t in ODD_TEXTS if t and len(t) < 100 and "▁" not in t]]:
-        assert vocabularies.fallback_bytes(text) == sum(sp.is_byte(i) for i in sp.encode(text))
+    for text in ["plain", "tab\tand\nline", "日本 😀 ÿ ꙮ", "a\nb\n" * 50, *[t for t in ODD_TEXTS if t and len(t) < 100]]:
+        pieces = sp.encode(text, out_type=str)
+        spelled = [re.fullmatch("<0x(..)>", p) for p in pieces]
+        share = sum(m is not None and chr(int(m[1], 16)) not in "\t\n\v\f\r" for m in spelled) / max(1, len(pieces))
+        assert vocabularies.fallback_share(text) == pytest.approx(share)
+
+
+def test_long_white_space_has_the_same_tokens(vocabularies):
+    for space in (" ", "\t", " \n", "\u3000", "\x85", " \t "):
+        for n in (LONG_RUN - 1, LONG_RUN, LONG_RUN + 1, 2777):
+            gap = space * n
+            for text in (gap, f"ab{gap}cd", f"{gap}!x", f"x1{gap}", f"a{gap}'s{gap}日 {gap}", f"\x1c{gap}\x1c"):
+                assert vocabularies.byte_tokens(text) == vocabularies.bytes.encode_ordinary(text)
+
+
+def test_very_long_white_space_is_measured(spark):
+    words = " ".join(f"word{i}" for i in range(200))
+    texts = [f"{words}{space * (2_000_000 // len(space))}{words} end" for space in (" ", "\t", "\n", " \n")]
+    rows = judge(spark.createDataFrame([(t,) for t in texts], "text string")).select("fertility.*").collect()
+    assert [r.n_words for r in rows] == [401] * 4 and all(r.chars_per_token is not None or r.base_failed for r in rows)
+
+
+GOOD = {
+    "han": "我们今天去公园散步，天气很好，孩子们在草地上跑来跑去，老人坐在长椅上聊天。 政府宣布了新的经济政策，希望促进就业和消费。",
+    "kana": "今日は天気がとても良いので、公園へ散歩に行きました。 子どもたちは楽しそうに遊んでいました。",
+    "hangul": "오늘은 날씨가 아주 좋아서 공원에 산책하러 갔습니다. 아이들이 즐겁게 놀고 있었습니다.",
+    "indic": "आज मौसम बहुत अच्छा है इसलिए हम पार्क में टहलने गए। बच्चे खुशी से खेल रहे थे।",
+    "other": "วันนี้อากาศดีมาก เราจึงไปเดินเล่นที่สวนสาธารณะ เด็กๆ กำลังเล่นอย่างมีความสุข",
+    "arabic": "كان الطقس جميلا اليوم فذهبنا إلى الحديقة ولعب الأطفال هناك حتى المساء",
+    "greek": "Σήμερα ο καιρός ήταν πολύ καλός και πήγαμε στο πάρκο με τα παιδιά",
+    "hebrew": "היום מזג האוויר היה יפה מאוד והלכנו לפארק עם הילדים",
+    "cyrillic": "Сегодня погода была очень хорошая и мы пошли в парк с детьми",
+}
+
+
+@pytest.mark.parametrize("script", GOOD)
+def test_clean_text_of_a_script_is_inside_its_band(vocabularies, script):
+    assert script_of(GOOD[script]) == script
+    chars, fallback, _, _ = figures(GOOD[script], vocabularies)
+    low, high, most, _ = BANDS[script]
+    assert low <= chars <= high and fallback <= most
+
+
+@pytest.mark.parametrize("script, first, last", [
+    ("han", 0x3400, 0x4DB5), ("han", 0x20000, 0x2A6D0), ("kana", 0x31F0, 0x31FF), ("hangul", 0xAC00, 0xD7A3),
+    ("indic", 0x0D00, 0x0D7F), ("other", 0x1200, 0x137F), ("greek", 0x1F00, 0x1FFE), ("cyrillic", 0x0500, 0x052F),
+    ("arabic", 0x0750, 0x077F), ("hebrew", 0x0591, 0x05BD),
+])
+def test_spelled_out_text_of_a_script_is_rejected(vocabularies, script, first, last):
+    rng = random.Random(first)
+    pool = [chr(c) for c in range(first, last + 1)]
+    if script != "hangul":
+        pool = [c for c in pool if script_of(c) == script or script == "kana"]
+    text = " ".join("".join(rng.choices(pool, k=6)) for _ in range(400))
+    band = BANDS["other" if script == "kana" else script]  # phonetic extensions lie outside the range of kana
+    assert not within(band, *figures(text, vocabularies))
 
 
 def test_figures(vocabularies):
