@@ -1,14 +1,18 @@
 """Secret scan: fixed patterns, and a randomness test battery for what no pattern knows.
 
-The battery takes runs of 20 or more characters of the usual encodings that mix digits and letters. It infers the
-narrowest encoding (hex, base32, base36, base62, base64 or its URL form) and tests whether the symbols are drawn
-evenly from its alphabet: chi-squared over parts of the alphabet, runs above and below the middle, and lag-one serial
-correlation. A run that one of the three refutes (Bonferroni over the three) is no secret.
+The battery takes every run of 20 or more characters of the usual encodings. It infers the narrowest encoding (hex,
+base32, base36, base62, base64 or its URL form) and makes three tests of it:
 
-What short ordinary names look like cannot be refuted by so few symbols, so a second test holds each survivor against
-ordinary text, in which neighbours are rarely of another class (letter case, digit, sign): the chance of at least as
-many changes in a run of that length. It falls with length by itself, and Benjamini-Hochberg over the candidates of a
-document keeps the expected share of ordinary words among the reported runs below `FDR`.
+- chi-squared uniformity: are the symbols drawn evenly from the alphabet;
+- runs: does the run change as often as even draws do (halves of the alphabet, classes of characters);
+- serial correlation: are neighbours independent.
+
+Each test is made from both sides. Against even draws it has a p-value, and a run that one of the three refutes
+(Bonferroni over the three) is no secret. Against ordinary text (words, capitals, numbers) it has a likelihood ratio,
+of symbols, of class changes and of neighbours: how much better even draws explain what the test looks at. Under
+ordinary text such a ratio is 1 on average, and so is the mean of the three however they depend on each other; so its
+inverse is a p-value (Markov's bound). It falls exponentially with length by itself, and Benjamini-Hochberg over all
+runs of a document keeps the expected share of ordinary runs among the reported ones below `FDR`.
 
 Scanning runs in the task that reads the text, without a shuffle, over the whole text. Null and empty texts have no
 spans. Repeated rows are scanned each for itself. Columns besides the text pass
@@ -24,6 +28,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from slotwise.llm.texts import python_tasks
+
 KINDS = ("assign", "access", "hex", "random")
 #: What is looked for. A match that is too short is dropped, but its characters are used up.
 ASSIGN = re.compile(
@@ -40,14 +46,22 @@ ENCODINGS = (
     ("base64url", DIGITS + UPPER + LOWER + "-_"),
 )
 
-from slotwise.llm.texts import python_tasks
 _PLACES = [(name, {c: i for i, c in enumerate(alphabet)}) for name, alphabet in ENCODINGS]
 
 MIN_RUN = 20
 REFUTED = 0.01
 FDR = 0.01
-#: How often neighbours change class in names and other ordinary text.
-CHANGE_RATE = 0.15
+#: How often neighbours change class in names and other ordinary text, and how often two are a plain pair.
+CHANGE_RATE, PLAIN_RATE = 0.15, 0.5
+#: Letters in a thousand of text, rounded over some European languages, and their frequent pairs: fixed values.
+LETTERS = dict(zip(LOWER, (
+    85, 15, 32, 45, 145, 14, 18, 30, 75, 3, 6, 45, 26, 80, 66, 25, 6, 66, 68, 72, 38, 12, 9, 3, 9, 7)))
+PAIRS = frozenset(
+    "al an ar as at au ch ci co de di du ea ec ed ei el em en er es et ge ha he hi ic ie il in io is it la le li ll lo "
+    "ma me mi na nd ne ng ns nt om on or os ou ra re ri ro se si so st ta te th ti to tr ue un ur us ve".split())
+#: Kinds of ordinary runs: shares of small letters, capitals, digits and signs.
+ORDINARY = ((0.80, 0.10, 0.05, 0.05), (0.05, 0.80, 0.05, 0.10), (0.10, 0.10, 0.60, 0.20))
+SIGNS = "+/-_"
 
 Span = tuple[int, int, str]
 
@@ -96,11 +110,12 @@ def serial_correlation(places: list[int]) -> float:
     return two_sided((sum(x * y for x, y in zip(away, away[1:])) / total + 1 / n) * math.sqrt(n))
 
 
-def infer(run: str) -> tuple[str, list[int], int] | None:
-    """The narrowest encoding, the symbols' places in its alphabet, and its size."""
+def infer(run: str) -> tuple[str, list[int], str] | None:
+    """The narrowest encoding, the symbols' places in its alphabet, and the alphabet."""
+    used = set(run)
     for name, places in _PLACES:
-        if all(c in places for c in run):
-            return name, [places[c] for c in run], len(places)
+        if used <= places.keys():
+            return name, [places[c] for c in run], "".join(places)
     return None
 
 
@@ -109,17 +124,65 @@ def randomness(run: str) -> float:
     known = infer(run)
     if known is None:
         return 0.0
-    _, places, size = known
+    _, places, size = known[0], known[1], len(known[2])
     return min(1.0, 3 * min(uniformity(places, size), runs(places, size), serial_correlation(places)))
 
 
+def _kind(c: str) -> int:
+    return 0 if c in LOWER else 1 if c in UPPER else 2 if c in DIGITS else 3
+
+
+def changes(a: str, b: str) -> bool:
+    """Whether neighbours are of different classes; Aa counts as no change."""
+    return _kind(a) != _kind(b) and (_kind(a), _kind(b)) != (1, 0)
+
+
+def plain(a: str, b: str) -> bool:
+    """Whether neighbours are usual in ordinary text: a frequent pair of letters, two digits, or next to a sign."""
+    return a in SIGNS or b in SIGNS or (a in DIGITS and b in DIGITS) or (a + b).lower() in PAIRS
+
+
+def _symbol_shares() -> list[dict[str, float]]:
+    total = sum(LETTERS.values())
+    return [
+        {c: small * LETTERS[c] / total for c in LOWER} | {c: large * LETTERS[c.lower()] / total for c in UPPER}
+        | dict.fromkeys(DIGITS, digit / len(DIGITS)) | dict.fromkeys(SIGNS, sign / len(SIGNS))
+        for small, large, digit, sign in ORDINARY]
+
+
+_LOG_SHARES = [{c: math.log(share) for c, share in shares.items()} for shares in _symbol_shares()]
+#: Of each encoding, how often even draws change class and make a plain pair.
+_EVEN = {name + alphabet[0] + alphabet[-1]: tuple(
+    sum(f(a, b) for a in alphabet for b in alphabet) / len(alphabet) ** 2 for f in (changes, plain))
+    for name, alphabet in ENCODINGS}
+
+
+def log_mean(logs: list[float]) -> float:
+    """The logarithm of the mean of numbers given by their logarithms."""
+    top = max(logs)
+    return top + math.log(sum(math.exp(x - top) for x in logs) / len(logs))
+
+
+def _rates(even: float, usual: float, hits: int, n: int) -> float:
+    """Log-likelihood ratio of `hits` of `n` under two rates."""
+    return hits * math.log(even / usual) + (n - hits) * math.log((1 - even) / (1 - usual))
+
+
+def evidence(run: str) -> tuple[float, float, float]:
+    """Logarithms of how much better even draws explain the run than ordinary text: symbols, class changes, neighbours."""
+    name, _, alphabet = infer(run)
+    n = len(run)
+    symbols = -n * math.log(len(alphabet)) - log_mean([sum(map(shares.__getitem__, run)) for shares in _LOG_SHARES])
+    even = _EVEN[name + alphabet[0] + alphabet[-1]]
+    neighbours = list(zip(run, run[1:]))
+    return (symbols, *(
+        _rates(rate, usual, sum(f(a, b) for a, b in neighbours), n - 1)
+        for f, rate, usual in zip((changes, plain), even, (CHANGE_RATE, PLAIN_RATE))))
+
+
 def ordinary(run: str) -> float:
-    """The chance that an ordinary run of this length changes class as often; Aa counts as no change."""
-    kinds = ["d" if c in DIGITS else "l" if c in LOWER else "u" if c in UPPER else "s" for c in run]
-    n = len(run) - 1
-    changes = sum(a != b and (a, b) != ("u", "l") for a, b in zip(kinds, kinds[1:]))
-    return sum(math.comb(n, k) * CHANGE_RATE**k * (1 - CHANGE_RATE) ** (n - k) for k in range(changes, n + 1)) \
-        if n <= 400 else two_sided(max(0.0, (changes - n * CHANGE_RATE) / math.sqrt(n * CHANGE_RATE * (1 - CHANGE_RATE))))
+    """The battery's p-value under ordinary text; 1 for what no encoding explains."""
+    return 1.0 if infer(run) is None else math.exp(min(0.0, -log_mean([*evidence(run)])))
 
 
 def discoveries(chances: list[float], rate: float = FDR) -> set[int]:
@@ -150,8 +213,7 @@ def scan(text: str | None) -> list[Span]:
         candidates = []
         for m in RUN.finditer(text):
             a, b = m.span()
-            mixed = any(c in DIGITS for c in m[0]) and not m[0].isdigit()
-            if mixed and not any(s <= a and b <= e for s, e, _ in spans):
+            if not any(s <= a and b <= e for s, e, _ in spans):
                 candidates.append((a, b, m[0]))
         reported = discoveries([ordinary(run) for _, _, run in candidates])
         spans += [(a, b, "random") for i, (a, b, run) in enumerate(candidates)

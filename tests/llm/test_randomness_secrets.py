@@ -47,17 +47,91 @@ def test_query_columns(spark):
         assert [s for s in row.spans.split(",") if s and not s.startswith("random")] == [s for s in line.split(",") if s]
 
 
-@pytest.mark.parametrize("alphabet, length, power", [
-    (string.ascii_letters + string.digits, 32, 0.8), (string.ascii_letters + string.digits + "+/", 40, 0.9),
-    ("0123456789ABCDEF", 40, 0.9), (string.ascii_uppercase + "234567", 64, 0.6),
-])
-def test_random_strings_are_reported(alphabet, length, power):
+WORDS = """get user name from table value report index settings annual international service handler request manager build
+account thread configuration north river summer history""".split()
+
+
+def names(rng, n):
+    """Ordinary names of twenty characters or more."""
+    made = []
+    while len(made) < n:
+        ws = rng.choices(WORDS, k=rng.randint(3, 6))
+        made.append(rng.choice([
+            "".join(w.title() for w in ws) + str(rng.randrange(100)), "_".join(ws), "/".join(ws) + f"/v{rng.randrange(9)}",
+            "-".join(ws) + f"-2024-0{rng.randint(1, 9)}-1{rng.randint(0, 9)}", "_".join(ws).upper()]))
+        if len(made[-1]) < rs.MIN_RUN:
+            made.pop()
+    return made
+
+
+ALPHABETS = {
+    "hex": string.digits + "ABCDEF", "base32": string.ascii_uppercase + "234567",
+    "base36": string.digits + string.ascii_lowercase, "base62": string.digits + string.ascii_letters,
+    "base64": string.digits + string.ascii_letters + "+/", "base64url": string.digits + string.ascii_letters + "-_",
+}
+
+
+@pytest.mark.parametrize("encoding", ALPHABETS)
+@pytest.mark.parametrize("length, alone, among", [(20, 0.9, 0.75), (32, 0.95, 0.9), (64, 0.95, 0.9)])
+def test_random_strings_are_reported(encoding, length, alone, among):
+    """Alone in a text, and as the only secret among a hundred ordinary names."""
     rng = random.Random(5)
-    found = 0
-    for _ in range(300):
-        run = "".join(rng.choices(alphabet, k=length))
-        found += any(k == "random" for *_, k in rs.scan(f"see {run} there"))
-    assert found >= power * 300
+    made = ["".join(rng.choices(ALPHABETS[encoding], k=length)) for _ in range(200)]
+    assert sum(any(k == "random" for *_, k in rs.scan(f"see {run} there")) for run in made) >= alone * 200
+    hits = [[a for a, _, k in rs.scan(" ".join([run, *names(rng, 100)])) if k == "random"] for run in made[:100]]
+    assert sum(h[:1] == [0] for h in hits) >= among * 100
+
+
+def test_false_discoveries_are_few():
+    """By names alone in their text, and beside one secret that lowers the threshold of the others."""
+    rng = random.Random(6)
+    assert sum(any(k == "random" for *_, k in rs.scan(n)) for n in names(rng, 3000)) <= 3
+    secret = "".join(rng.choices(ALPHABETS["base62"], k=32))
+    beside = [rs.scan(" ".join([secret, *names(rng, 20)])) for _ in range(100)]
+    assert sum(a > 0 for spans in beside for a, _, k in spans if k == "random") <= 2
+
+
+def naive_chance(run):
+    """The p-value under ordinary text, test by test, with products of plain numbers."""
+    alphabet = next(a for _, a in rs.ENCODINGS if set(run) <= set(a))
+    kind = lambda c: "u" if c in string.ascii_uppercase else "l" if c.islower() else "d" if c.isdigit() else "s"
+    change = lambda a, b: kind(a) != kind(b) and kind(a) + kind(b) != "ul"
+    usual = lambda a, b: a + b in rs.PAIRS or (a + b).lower() in rs.PAIRS or kind(a) + kind(b) == "dd" or "s" in kind(a) + kind(b)
+    total = sum(rs.LETTERS.values())
+    ordinary = []
+    for small, large, digit, sign in rs.ORDINARY:
+        product = 1.0
+        for c in run:
+            product *= {"l": small * rs.LETTERS.get(c, 0) / total, "u": large * rs.LETTERS.get(c.lower(), 0) / total,
+                        "d": digit / 10, "s": sign / 4}[kind(c)]
+        ordinary.append(product)
+    ratios = [len(alphabet) ** -len(run) / (sum(ordinary) / 3)]
+    for f, rate in ((change, 0.15), (usual, 0.5)):
+        even = sum(f(a, b) for a in alphabet for b in alphabet) / len(alphabet) ** 2
+        ratio = 1.0
+        for a, b in zip(run, run[1:]):
+            ratio *= even / rate if f(a, b) else (1 - even) / (1 - rate)
+        ratios.append(ratio)
+    return min(1.0, 3 / sum(ratios))
+
+
+def test_spans_against_a_plain_version():
+    """Candidates, chances and step-up of whole texts, worked out anew."""
+    rng = random.Random(8)
+    for _ in range(60):
+        pool = [*names(rng, rng.randint(0, 12)), "q" * 30, "1234567890123456789012"]
+        pool += ["".join(rng.choices(rng.choice([*ALPHABETS.values()]), k=rng.randint(18, 40))) for _ in range(rng.randint(0, 5))]
+        rng.shuffle(pool)
+        text = " ".join(pool)
+        known = [(a, b) for a, _, b in brute(text)]
+        runs = [m for m in re.finditer(r"[A-Za-z0-9+/_-]+", text) if len(m[0]) >= 20]
+        runs = [m for m in runs if not any(s <= m.start() and m.end() <= e for s, e in known)]
+        runs = [m for m in runs if not ({"+", "/"} & set(m[0]) and {"-", "_"} & set(m[0]))] + [
+            m for m in runs if {"+", "/"} & set(m[0]) and {"-", "_"} & set(m[0])]
+        chances = {m.span(): naive_chance(m[0]) if any(set(m[0]) <= set(a) for _, a in rs.ENCODINGS) else 1.0 for m in runs}
+        line = max([k for k in range(1, len(runs) + 1) if sum(p <= rs.FDR * k / len(runs) for p in chances.values()) >= k], default=0)
+        due = {m.span() for m in runs if line and chances[m.span()] <= rs.FDR * line / len(runs) and rs.randomness(m[0]) >= rs.REFUTED}
+        assert {(a, b) for a, b, k in rs.scan(text) if k == "random"} == due
 
 
 def test_ordinary_runs_are_not(spark):
