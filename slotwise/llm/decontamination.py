@@ -30,6 +30,7 @@ from pyspark.sql.types import (
     ArrayType, IntegerType, LongType, StringType, StructField, StructType,
 )
 
+from slotwise.llm.shared import checkpointed
 from slotwise.llm.texts import map_batches, python_tasks
 
 WINDOW = 10
@@ -207,15 +208,25 @@ def shingle_counts(docs: DataFrame, index: Index, text: str = "text") -> dict[in
 
 def find_items(docs: DataFrame, benchmark: DataFrame, into: str = "found", text: str = "text",
                size: int = WINDOW, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """`docs` with a struct of n_words, spans and items, where spans are word places hit, start and end by turns."""
+    """`docs` with a struct of n_words, spans and items, where spans are word places hit, start and end by turns.
+
+    Of the benchmark, the driver holds one block of `block_chars` at a time. Its turn over the documents is written to
+    the shared folder before the next block is read; the last, mostly the only one, is left to the caller.
+    """
     context = python_tasks(docs)
-    out = docs
+    out, fixed = docs, None
     done: Column | None = None
-    for items in [*blocks(benchmark, block_chars)] or [[]]:
-        index = Index(items, size)
+    items = blocks(benchmark, block_chars)
+    block = next(items, [])
+    while block is not None:
+        if fixed is not None:
+            out = checkpointed(out)
+            fixed.unpersist()
+        index = Index(block, size)
         fixed = context.broadcast(index.order(shingle_counts(docs, index, text) if len(index.windows) else {}))
         out = out.withColumn(into, _marker(fixed)(text, *([] if done is None else [done])))
         done = F.col(into)
+        block = next(items, None)
     return out
 
 
