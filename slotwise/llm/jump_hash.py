@@ -92,6 +92,8 @@ def shard_documents(docs: DataFrame, shards: int, rows_per_bucket: int = ROWS_PE
         kinds.join(starts, ["shard", "bucket"])
         .select("*", first.alias("first"))
         .select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1, F.lit(COPIES_AT_ONCE).cast("long"))).alias("part"))
+        # Copies of one row leave the task that counted them.
+        .repartition("doc_id", "size", "text_crc32", "part")
         .select("*", F.explode(F.sequence("part", F.least(F.col("copies"), F.col("part") + COPIES_AT_ONCE) - 1)).alias("nth"))
     )
     return numbered.select(
