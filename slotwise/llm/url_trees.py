@@ -4,8 +4,9 @@ Features are computed from the URL's characters alone: lengths, depth, digit rat
 and statistics of the host's suffixes (how often a suffix stands among labelled URLs, and the smoothed share of them
 that are to be blocked). A URL's own label never enters its suffix statistics: they come from the other folds.
 
-Training takes at most about `MAX_LABELLED` distinct labelled URLs, chosen by hash; the tables of suffixes are no longer than
-that sample, so they are broadcast. Trees are fitted by Spark ML. Judging is column expressions where the URL is read.
+Trees are fitted by Spark ML to at most `MAX_LABELLED` distinct labelled URLs, those with the smallest hashes. Statistics
+of suffixes are counted over all distinct labelled URLs; a table of suffixes is broadcast up to `MAX_SENT` rows and
+joined by a shuffle beyond. Judging is column expressions.
 
 Without labels of both kinds there is no model: the score is the share of labels to block (0.5 without any) for all.
 Null URLs, and those without `://`, have an empty host and path; they are judged by their features, of which most are
@@ -27,6 +28,7 @@ from slotwise.llm.shared import checkpointed
 from slotwise.llm.texts import lower_ascii
 
 MAX_LABELLED = 20_000
+MAX_SENT = 100_000
 FOLDS = 5
 SMOOTHING = 20.0
 TREES, DEPTH, RATE = 20, 4, 0.2
@@ -116,6 +118,11 @@ def _statistics(n: Column, blocked: Column, suffix: str) -> list[Column]:
             ((blocked + 0.5 * SMOOTHING) / (n + SMOOTHING)).alias(f"{suffix}_rate")]
 
 
+def _sent(table: DataFrame) -> DataFrame:
+    """A checkpointed table, to be broadcast if its rows are few enough."""
+    return F.broadcast(table) if table.count() <= MAX_SENT else table
+
+
 class UrlModel:
     """Trees and suffix statistics; `score` adds the estimated chance that a URL is to be blocked."""
 
@@ -135,7 +142,7 @@ class UrlModel:
         rows = urls.select(held, F.col(url).alias("_url"))
         rows = rows.select("_row", "_url", *(_suffix(host_of(F.col("_url")), n).alias(s) for s, n in self.SUFFIXES.items()))
         for suffix, table in self.suffixes.items():
-            rows = rows.join(F.broadcast(table), suffix, "left")
+            rows = rows.join(table, suffix, "left")
         rows = _features(rows, F.col("_url"))
         return self.trees.transform(rows).select("_row.*", vector_to_array("probability")[1].alias(into))
 
@@ -150,27 +157,26 @@ def train(labelled: DataFrame, url: str = "url", label: str = "label", most: int
     """A model from URLs with label 1 (block) or 0; rows without either teach nothing."""
     usable = labelled.select(F.col(url).alias("url"), F.col(label).cast("int").alias("label")).filter(
         "url is not null and label in (0, 1)")
-    parts = 1_000_000
-    taken = min(parts, int(parts * most / max(1, usable.count())))
-    sample = checkpointed(
-        usable.filter(F.pmod(F.xxhash64("url"), F.lit(parts)) < taken).groupBy("url").agg(F.max("label").alias("label"))
+    distinct = checkpointed(
+        usable.groupBy("url").agg(F.max("label").alias("label"))
         .withColumns({s: _suffix(host_of(F.col("url")), n) for s, n in UrlModel.SUFFIXES.items()})
         .withColumn("fold", F.pmod(F.hash("url"), F.lit(FOLDS))))
+    sample = checkpointed(distinct.orderBy(F.xxhash64("url"), "url").limit(most))
     n, blocked = sample.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
     if blocked in (0, n):
         return UrlModel(None, blocked / n if n else 0.5, {})
-    rows = sample
+    rows, suffixes = sample, {}
     for suffix in UrlModel.SUFFIXES:
-        # Of each fold, statistics over the others.
-        counts = sample.groupBy(suffix, "fold").agg(F.count("*").alias("n"), F.sum("label").alias("b"))
+        counts = checkpointed(distinct.groupBy(suffix, "fold").agg(F.count("*").alias("n"), F.sum("label").alias("b")))
         whole = counts.groupBy(suffix).agg(F.sum("n").alias("all_n"), F.sum("b").alias("all_b"))
-        rest = counts.join(whole, suffix).select(
+        suffixes[suffix] = _sent(checkpointed(whole.select(suffix, *_statistics(F.col("all_n"), F.col("all_b"), suffix))))
+        # Of each fold, statistics over the others, for what the sample holds.
+        held = sample.select(suffix, "fold").distinct()
+        rest = whole.join(held, suffix).join(counts, [suffix, "fold"]).select(
             suffix, "fold", *_statistics(F.col("all_n") - F.col("n"), F.col("all_b") - F.col("b"), suffix))
-        rows = rows.join(F.broadcast(rest), [suffix, "fold"], "left")
+        rows = rows.join(rest, [suffix, "fold"], "left")
     assembler = VectorAssembler(inputCols=UrlModel.names(), outputCol="features")
     trees = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=RATE, seed=seed, labelCol="label", cacheNodeIds=False)
     ready = checkpointed(assembler.transform(_features(rows, F.col("url"))).select("features", "label"))
     model = PipelineModel([assembler, trees.fit(ready)])
-    suffixes = {
-        s: checkpointed(sample.groupBy(s).agg(*_statistics(F.count("*"), F.sum("label"), s))) for s in UrlModel.SUFFIXES}
     return UrlModel(model, blocked / n, suffixes)

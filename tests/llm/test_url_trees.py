@@ -3,6 +3,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -46,7 +47,36 @@ def test_query(spark):
     assert len(rows) == len(pages)
     for r in rows:
         name, verdict = rule(*split(pages[r.page_id]))
-        assert r.rule == name and r.verdict == (verdict or ("block" if r.score >= 0.5 else "allow"))
+        assert r.rule == name and r.verdict == (verdict or ("block" if r.score > 0.5 else "allow"))
+
+
+def test_rules_are_learned(spark):
+    """Of held-out URLs that a rule decides the trees alone judge more as it does than the larger verdict would.
+
+    The rules look at the path's words, which are no lexical figures, so they cannot be learned entirely.
+    """
+    pages = spark.read.parquet(f"{Path(SF_DIR).parent}/sf0.1/pages.parquet")
+    _, verdict = longest_rule(URL_RULES, host_of(F.col("url")), path_of(F.col("url")))
+    known = pages.select("url", (verdict == "block").cast("int").alias("label")).filter("label is not null").distinct()
+    test = F.pmod(F.xxhash64("url", F.lit(1)), F.lit(4)) == 0
+    scored = train(known.filter(~test)).score(known.filter(test))
+    right, blocked, n = scored.agg(
+        F.sum(((F.col("score") > 0.5).cast("int") == F.col("label")).cast("int")), F.sum("label"), F.count("*")).first()
+    assert n >= 200 and right > max(blocked, n - blocked) + 10
+
+
+def test_suffixes_are_counted_over_all_labels(spark, labelled):
+    """A sample of ten URLs, statistics of 1,200; the sample is never empty."""
+    model = train(labelled, most=10)
+    distinct = labelled.select("url", "label").distinct()
+    n, b = distinct.count(), distinct.filter("label = 1").count()
+    row = model.suffixes["suffix1"].first()
+    assert math.isclose(row.suffix1_seen, math.log1p(n)) and math.isclose(row.suffix1_rate, (b + 10) / (n + 20))
+
+
+def test_without_rules_nothing_is_blocked(spark, tmp_path):
+    spark.createDataFrame([(1, "http://a.dev/x"), (2, None)], "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    assert {r.verdict for r in op5_url_trees(spark, str(tmp_path)).collect()} == {"allow"}
 
 
 def test_features(spark):
