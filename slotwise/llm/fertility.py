@@ -81,6 +81,9 @@ class Vocabularies:
             "bytes", pat_str=CUT, mergeable_ranks={base64.b64decode(t): int(n) for t, n in pairs}, special_tokens={})
         self.pieces = sentencepiece.SentencePieceProcessor(model_proto=pieces)
         ids = range(self.pieces.get_piece_size())
+        known = [p for p in map(self.pieces.id_to_piece, ids) if len(p) == 1]
+        #: Characters without a piece: without any of them, no token is a byte.
+        self.unknown = re.compile("[^" + "".join(map(re.escape, [*known, *_SPACES])) + "]")
         self.is_byte = np.array([self.pieces.is_byte(i) and self.pieces.id_to_piece(i) not in SPACE_BYTES for i in ids])
 
     def byte_tokens(self, text: str) -> list[int]:
@@ -96,7 +99,7 @@ class Vocabularies:
 
     def fallback_share(self, text: str) -> float:
         """Byte tokens, but for those of line ends and tabs, among the tokens of the piece vocabulary."""
-        ids = self.pieces.encode(text)
+        ids = self.pieces.encode(text) if self.unknown.search(text) else []
         return float(self.is_byte[ids].mean()) if ids else 0.0
 
 
