@@ -3,22 +3,27 @@
 Merge-type (BPE) segmentation works on an agenda: of all neighbouring symbols that form a piece, the best-ranked pair
 merges next, the leftmost first among equals. With dropout each candidate, when it comes up, is skipped if a keyed
 hash of its place and piece falls below the rate; a skipped pair comes up again only if a neighbour changes. The hash
-depends on the seed, the word, and a variant that the document and the place in it decide, so a word is segmented in
-up to `VARIANTS` ways even within a document, yet every run, partitioning and machine gives the same ids. Rate 0 gives the library's own segmentation.
+is keyed by the seed, the document and the unit's place in it, so equal words of a text are segmented independently of
+each other, and every run, partitioning and machine gives the same ids. Rate 0 gives the library's own segmentation.
 
-Text is cut where no piece can reach across, before spaces and at line ends; each unit is segmented by itself and
-frequent ones are remembered. Units that are new to a group of texts work off their agendas side by side, one pop of
-each at a time. Memory is bounded: the memory of units is emptied when full, and a long unit has a heap of its own.
+Text is cut where no piece can reach across, before spaces and at line ends; each unit is segmented by itself. What is
+remembered of units that come again are their agendas, not their outcomes: a path is the order in which candidates come
+up after given skips, and the first candidate that an occurrence's hashes skip leads to the next path. An occurrence
+without a remembered path works off its own agenda, side by side with others, one pop of each at a time. Both give the
+same ids. Memory is bounded: paths are forgotten when full, and a long unit has a heap of its own.
 
 Characters outside the vocabulary become byte pieces, also the space mark itself, so every text decodes to itself.
-Null text has null ids, empty text no ids; a null document key counts as 0. Columns besides the text pass
-through, but for those named as a result.
+Null text has null ids, empty text no ids; a null document key counts as 0, and rows of equal keys and texts get equal
+ids. Ids need not be those of a whole text to be decoded: null and ids outside the vocabulary become U+FFFD, so do bytes
+that are no character, and a space in front is left out if there is one. Columns besides the text pass through, but for
+those named as a result.
 """
 
 from __future__ import annotations
 
 import heapq
 import re
+from collections import Counter
 from functools import lru_cache
 from itertools import chain
 
@@ -34,13 +39,13 @@ from slotwise.llm.texts import python_tasks
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 RATE = 0.1
 SEED = 1
-VARIANTS = 4
-TURN_UNITS = 48
-CACHED_UNITS = 200_000
+CACHED_PATHS = 200_000
 CACHED_CHARS = 32
 LIST_CHARS = 64
 GROUP_CHARS = 700_000
 SIDE_BY_SIDE = 8192
+#: Skips of a path are bits of one number.
+PATH_POPS = 64
 
 MARK = "▁"
 _UNITS = re.compile(r" *[^ \n]+|\n| +")
@@ -50,6 +55,7 @@ _BITS = 15
 _LOW = (1 << _BITS) - 1
 _NONE = (1 << 31) - 1
 ID = np.dtype("<u2")
+_UNKNOWN = "\ufffd".encode()
 
 
 class Pieces:
@@ -204,8 +210,33 @@ class Pieces:
             self._side_by_side(rows, points, firsts[rows], lengths[rows], keys[rows], below, out)
         return out
 
+    def paths(self, units: list[str], skips: list[int]) -> tuple[list[bytes], list[np.ndarray]]:
+        """Ids of units whose candidates are skipped at the pops that the bits of `skips` name, no others, and how their
+        candidates come up: of each pop, in order, what its hash is made of besides the salt."""
+        symbols = [self.symbols(u) for u in units]
+        lengths = np.fromiter(map(len, symbols), np.int64, len(symbols))
+        points = np.fromiter(chain.from_iterable(symbols), np.int32, int(lengths.sum()))
+        firsts, masks = np.cumsum(lengths) - lengths, np.array(skips, np.uint64)
+        out, pops = [b""] * len(units), [np.zeros(0, np.uint64)] * len(units)
+        order = np.argsort(lengths, kind="stable")
+        for at in range(0, len(order), SIDE_BY_SIDE):
+            rows = order[at : at + SIDE_BY_SIDE]
+            seen: list[tuple[np.ndarray, np.ndarray]] = []
+            self._side_by_side(rows, points, firsts[rows], lengths[rows], masks[rows], -1, out, seen)
+            if not seen:
+                continue
+            of, what = np.concatenate([r for r, _ in seen]), np.concatenate([w for _, w in seen])
+            sorted_ = np.argsort(of, kind="stable")
+            of, what = of[sorted_], what[sorted_]
+            cuts = np.flatnonzero(np.diff(of)) + 1
+            for row, part in zip(of[np.concatenate(([0], cuts))].tolist(), np.split(what, cuts), strict=True):
+                pops[row] = part
+        return out, pops
+
     def _side_by_side(self, rows: np.ndarray, points: np.ndarray, firsts: np.ndarray, lengths: np.ndarray,
-                      salts: np.ndarray, below: int, out: list[bytes]) -> None:
+                      salts: np.ndarray, below: int, out: list[bytes],
+                      seen: list[tuple[np.ndarray, np.ndarray]] | None = None) -> None:
+        # With `seen`, `salts` are the skips of paths, and every pop is noted.
         # A symbol is its place in the unit and its id in one number, -1 behind the last one.
         width = int(lengths.max())
         column = np.arange(width, dtype=np.int32)
@@ -214,6 +245,7 @@ class Pieces:
         np.copyto(symbols[:, :-1], column << _BITS | points, where=column < lengths[:, None])
         ranks = np.hstack((
             self._candidates(symbols[:, :-1], symbols[:, 1:]), np.full((len(rows), 1), _NONE, np.int32)))
+        pop = 0
         while True:
             each = np.arange(len(rows))
             i = ranks.argmin(axis=1)
@@ -233,12 +265,20 @@ class Pieces:
                     x[live] for x in (rows, symbols, ranks, salts, i, best, done))
                 each = np.arange(len(rows))
             own = symbols[each, i]
+            if seen is not None:
+                seen.append((rows[~done], _mark(own[~done] >> _BITS, best[~done])))
             if below:
-                skipped = ~done & (_skipped_many(salts, own >> _BITS, best) < below)
+                if seen is None:
+                    skipped = ~done & (_drawn(salts ^ _mark(own >> _BITS, best)) < below)
+                elif pop < PATH_POPS:
+                    skipped = ~done & (salts >> np.uint64(pop) & np.uint64(1) > 0)
+                else:
+                    skipped = np.zeros(len(rows), bool)
                 ranks[each[skipped], i[skipped]] = _NONE
                 merging = ~(done | skipped)
             else:
                 merging = ~done
+            pop += 1
             # The left symbol of each merging pair becomes the piece, the right one goes, what follows moves up.
             symbols[each[merging], i[merging]] = (own[merging] & ~np.int32(_LOW)) | (best[merging] & _LOW)
             behind = np.where(merging, i, width)[:, None]
@@ -251,9 +291,11 @@ class Pieces:
             each, i = each[left], i[left] - 1
             ranks[each, i] = self._candidates(symbols[each, i], new[left])
 
-    def decode(self, ids: list[int]) -> str:
+    def decode(self, ids: list[int | None]) -> str:
         """The text, without the space that encoding puts in front."""
-        return b"".join(map(self.bytes.__getitem__, ids))[1:].decode()
+        n = len(self.bytes)
+        data = b"".join([self.bytes[i] if i is not None and 0 <= i < n else _UNKNOWN for i in ids])
+        return data.removeprefix(b" ").decode(errors="replace")
 
 
 def _skipped(salt: int, place: int, candidate: int, below: int) -> bool:
@@ -262,68 +304,142 @@ def _skipped(salt: int, place: int, candidate: int, below: int) -> bool:
     return (mixed >> 40) < below
 
 
-def _skipped_many(salts: np.ndarray, places: np.ndarray, candidates: np.ndarray) -> np.ndarray:
-    mixed = salts ^ places.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    mixed ^= candidates.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+def _mark(places: np.ndarray, candidates: np.ndarray) -> np.ndarray:
+    """What a candidate's hash is made of, besides the salt."""
+    return (places.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+            ^ candidates.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+
+
+def _drawn(mixed: np.ndarray) -> np.ndarray:
     mixed = (mixed ^ mixed >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
     return mixed >> np.uint64(40)
 
 
+def unit_salts(key: int, n: int, seed: int) -> np.ndarray:
+    """Keys of the hashes of a document's first `n` units."""
+    start = xxhash.xxh64_intdigest(key.to_bytes(8, "little", signed=True), seed)
+    mixed = np.uint64(start) + np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+    mixed = (mixed ^ mixed >> np.uint64(32)) * np.uint64(0xA0761D6478BD642F)
+    return mixed ^ mixed >> np.uint64(31)
+
+
+class Paths:
+    """Remembered paths, by number. Path r of a unit is the one without skips; others begin where a skip leaves one."""
+
+    def __init__(self) -> None:
+        self.roots: dict[str, int] = {}
+        self.after: dict[int, int] = {}
+        #: Units, and paths times PATH_POPS plus pop, that came up once without being remembered.
+        self.once: set[str | int] = set()
+        self.units: list[str] = []
+        self.skips: list[int] = []
+        self.ids: list[bytes] = []
+        self.tables: list[np.ndarray] = []
+        self.marks = self.first = self.size = self.pop = np.zeros(0, np.int64)
+
+    def add(self, pieces: Pieces, units: list[str], skips: list[int]) -> range:
+        """Numbers of new paths. A path's own candidates are those after its last skip."""
+        ids, pops = pieces.paths(units, skips)
+        start, begin = len(self.units), [s.bit_length() for s in skips]
+        own = [p[b:] for p, b in zip(pops, begin, strict=True)]
+        size = np.fromiter(map(len, own), np.int64, len(own))
+        self.first = np.concatenate((self.first, len(self.marks) + np.cumsum(size) - size))
+        self.size, self.pop = np.concatenate((self.size, size)), np.concatenate((self.pop, np.array(begin, np.int64)))
+        self.marks = np.concatenate((self.marks.astype(np.uint64), *own))
+        self.units += units
+        self.skips += skips
+        self.ids += ids
+        return range(start, len(self.units))
+
+
 class Encoder:
-    """Encodes texts of a process, with a bounded memory of units."""
+    """Encodes texts of a process, with a bounded memory of paths."""
 
     def __init__(self, model: bytes, rate: float, seed: int):
         self.pieces, self.below, self.seed = Pieces(model), round(rate * (1 << 24)), seed
-        #: Of each variant: segmentations by unit.
-        self.known: list[dict[str, bytes]] = [{} for _ in range(VARIANTS)]
+        self.paths = Paths()
 
     def encode_all(self, texts: list[str | None], keys: list[int]) -> list[np.ndarray | None]:
         """Ids of texts, some `GROUP_CHARS` of text at a time; a longer text is a group of its own."""
         out: list[np.ndarray | None] = []
-        group: list[list[tuple[int, list[str]]] | None] = []
+        group: list[tuple[list[str], int] | None] = []
         held = 0
         for text, key in zip(texts, keys, strict=True):
-            group.append(None if text is None else self._units(text, key))
+            group.append(None if text is None else (_UNITS.findall(" " + text) if text else [], key))
             held += len(text or "")
             if held >= GROUP_CHARS:
                 out += self._group(group)
                 group, held = [], 0
         return out + self._group(group)
 
-    def _units(self, text: str, key: int) -> list[tuple[int, list[str]]]:
-        """Units of a text in runs of one variant each."""
-        if not text:
-            return []
-        units = _UNITS.findall(" " + text)
-        if not self.below:
-            return [(0, units)]
-        salt = key.to_bytes(8, "little", signed=True)
-        return [
-            (xxhash.xxh32_intdigest(salt + at.to_bytes(8, "little"), self.seed) % VARIANTS, units[at : at + TURN_UNITS])
-            for at in range(0, len(units), TURN_UNITS)]
-
-    def _group(self, group: list[list[tuple[int, list[str]]] | None]) -> list[np.ndarray | None]:
-        if sum(map(len, self.known)) >= CACHED_UNITS:
-            self.known = [{} for _ in range(VARIANTS)]
-        missing: list[set[str]] = [set() for _ in range(VARIANTS)]
-        for runs in group:
-            for variant, units in runs or []:
-                missing[variant].update(units)
-        for variant, (units, known) in enumerate(zip(missing, self.known, strict=True)):
-            units.difference_update(known)
-            new, seed = list(units), self.seed * VARIANTS + variant
-            salts = [xxhash.xxh64_intdigest(u.encode(), seed) if self.below else 0 for u in new]
-            known.update(zip(new, self.pieces.segment_many(new, salts, self.below), strict=True))
-        out = [
-            None if runs is None else np.frombuffer(b"".join(chain.from_iterable(
-                map(self.known[variant].__getitem__, units) for variant, units in runs)), ID).astype(np.int32)
-            for runs in group]
-        for units, known in zip(missing, self.known, strict=True):
-            for unit in units:
-                if len(unit) > CACHED_CHARS:
-                    del known[unit]
+    def _group(self, group: list[tuple[list[str], int] | None]) -> list[np.ndarray | None]:
+        units = [u for found in group if found for u in found[0]]
+        salts = [unit_salts(key, len(own), self.seed) for own, key in filter(None, group)]
+        parts = self._segments(units, np.concatenate(salts) if salts else np.zeros(0, np.uint64))
+        out, at = [], 0
+        for found in group:
+            if found is None:
+                out.append(None)
+                continue
+            end = at + len(found[0])
+            out.append(np.frombuffer(b"".join(parts[at:end]), ID).astype(np.int32))
+            at = end
+        return out
+
+    def _segments(self, units: list[str], salts: np.ndarray) -> list[bytes]:
+        """Ids of occurrences of units, each under its own salt."""
+        if len(self.paths.units) >= CACHED_PATHS or len(self.paths.once) >= 4 * CACHED_PATHS:
+            self.paths = Paths()
+        paths = self.paths
+        new = Counter(u for u in units if u not in paths.roots and len(u) <= CACHED_CHARS)
+        again = [u for u, n in new.items() if self._comes_again(u, n) and (
+            len(u) * 4 <= LIST_CHARS or len(self.pieces.symbols(u)) <= LIST_CHARS)]
+        paths.roots.update(zip(again, paths.add(self.pieces, again, [0] * len(again)), strict=True))
+        path = np.fromiter((paths.roots.get(u, -1) for u in units), np.int64, len(units))
+        active = np.flatnonzero(path >= 0) if self.below else np.zeros(0, np.int64)
+        while len(active):
+            # The first candidate of each path that the occurrence's hashes skip.
+            own = path[active]
+            size = paths.size[own]
+            ends = np.cumsum(size)
+            place = np.arange(ends[-1]) + np.repeat(paths.first[own] - (ends - size), size)
+            hit = np.flatnonzero(_drawn(np.repeat(salts[active], size) ^ paths.marks[place]) < self.below)
+            of = np.searchsorted(ends, hit, "right")
+            first = np.ones(len(of), bool)
+            first[1:] = of[1:] != of[:-1]
+            hit, of = hit[first], of[first]
+            active, own = active[of], own[of]
+            path[active] = self._next(own, hit - (ends - size)[of] + paths.pop[own])
+            active = active[path[active] >= 0]
+        rest = np.flatnonzero(path < 0).tolist()
+        worked = self.pieces.segment_many([units[i] for i in rest], salts[rest].tolist(), self.below)
+        ids = paths.ids
+        out = [ids[p] if p >= 0 else b"" for p in path.tolist()]
+        for i, found in zip(rest, worked, strict=True):
+            out[i] = found
         return out
 
+    def _next(self, own: np.ndarray, pop: np.ndarray) -> np.ndarray:
+        """Paths that follow paths after a skip at a pop; -1 for those that are not remembered."""
+        paths = self.paths
+        keys, where, times = np.unique(
+            np.where(pop < PATH_POPS, own * PATH_POPS + pop, -1), return_inverse=True, return_counts=True)
+        keys = keys.tolist()
+        again = [k for k, n in zip(keys, times.tolist(), strict=True)
+                 if k >= 0 and k not in paths.after and self._comes_again(k, n)]
+        from_, bits = [k // PATH_POPS for k in again], [1 << k % PATH_POPS for k in again]
+        added = paths.add(self.pieces, [paths.units[p] for p in from_], [paths.skips[p] | b for p, b in zip(from_, bits, strict=True)])
+        paths.after.update(zip(again, added, strict=True))
+        return np.fromiter((paths.after.get(k, -1) for k in keys), np.int64, len(keys))[where]
+
+    def _comes_again(self, what: str | int, times: int) -> bool:
+        once = self.paths.once
+        if times > 1 or what in once:
+            once.discard(what)
+            return True
+        once.add(what)
+        return False
+
 
 @lru_cache(maxsize=2)
 def _encoder(model: bytes, rate: float, seed: int) -> Encoder:
@@ -372,7 +488,7 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", into: str =
 
 
 def decode(docs: DataFrame, ids: str = "ids", into: str = "decoded", model: str = MODEL) -> DataFrame:
-    """`docs` with the text of its ids."""
+    """`docs` with the text of its ids; null ids have null text."""
     fixed = python_tasks(docs).broadcast(_file(model))
 
     @F.arrow_udf("string")

@@ -3,7 +3,7 @@ from __future__ import annotations
 import pytest
 import sentencepiece
 
-from slotwise.llm.merge_dropout import MODEL, Encoder, decode, encode
+from slotwise.llm.merge_dropout import _UNITS, MODEL, Encoder, decode, encode, unit_salts
 from tests.llm.helpers import ODD_TEXTS, clashing, documents, empty_documents, odd_documents
 from tests.llm.test_oracles import SF_DIR
 
@@ -67,12 +67,44 @@ def test_same_seed_same_ids_other_seed_or_document_other_ids(spark):
 def test_small_memory_changes_nothing(spark, model, monkeypatch):
     texts = corpus(spark)[:60]
     whole = [x.tolist() for x in Encoder(model, 0.1, 1).encode_all(texts, list(range(60)))]
-    monkeypatch.setattr("slotwise.llm.merge_dropout.CACHED_UNITS", 10)
+    monkeypatch.setattr("slotwise.llm.merge_dropout.CACHED_PATHS", 10)
     monkeypatch.setattr("slotwise.llm.merge_dropout.GROUP_CHARS", 500)
     monkeypatch.setattr("slotwise.llm.merge_dropout.CACHED_CHARS", 3)
     assert [x.tolist() for x in Encoder(model, 0.1, 1).encode_all(texts, list(range(60)))] == whole
 
 
+@pytest.mark.parametrize("rate", [0.1, 0.5, 1.0])
+def test_remembered_paths_are_the_agendas(spark, model, rate):
+    """Each occurrence of each unit, as if it were alone."""
+    encoder, texts = Encoder(model, rate, 7), [*corpus(spark)[:60], *TEXTS, "aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa " * 50, "éß日 " * 40]
+    for text, ids, key in zip(texts, encoder.encode_all(texts, list(range(len(texts)))), range(len(texts)), strict=True):
+        units = _UNITS.findall(" " + text)
+        salts = unit_salts(key, len(units), 7).tolist()
+        assert ids.astype("<u2").tobytes() == b"".join(
+            encoder.pieces.segment(u, s, encoder.below) for u, s in zip(units, salts, strict=True))
+
+
+def test_a_word_has_as_many_segmentations_as_its_draws_give(model):
+    encoder = Encoder(model, 0.1, 1)
+    found = encoder.encode_all(["international"] * 5000 + ["international " * 5000], list(range(5001)))
+    assert len({x.tobytes() for x in found[:-1]}) > 30
+    plain = Encoder(model, 0.0, 1).encode_all(["international"], [0])[0].tolist()
+    merges = len("international") - len(plain) + 1
+    share = sum(x.tolist() == plain for x in found[:-1]) / 5000
+    assert share >= 0.9**merges - 0.03
+    # The same word within one text: cut anew at each place.
+    assert len(set(bytes(encoder.pieces.segment(" international", s, encoder.below))
+                   for s in unit_salts(5000, 5000, 1).tolist())) > 30
+
+
+def test_ids_that_are_no_whole_text(spark, model):
+    pieces = Encoder(model, 0.0, 0).pieces
+    half, space = pieces.byte["é".encode()[0]], pieces.char[" "]
+    rows = [(0, []), (1, [half]), (2, [-1, 10**6, None]), (3, [pieces.char["a"]]), (4, [space, space]), (5, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, ids array<int>")
+    assert [r.decoded for r in decode(docs).orderBy("doc_id").collect()] == ["", "\ufffd", "\ufffd" * 3, "a", " ", None]
+
+
 def test_odd_rows(spark):
     docs = clashing(odd_documents(spark), ["lossless", "decoded"])
     out = encode(docs, check="lossless")
