@@ -5,12 +5,16 @@ level from 1 to q. A count is read back by probing level after level until one m
 probabilities are smoothed toward the word's own by a Dirichlet prior, p(w|v) = (c(vw) + mu p(w)) / (c(v) + mu), with
 p(w) = (c(w) + 1) / (N + V + 1).
 
-Growth and bounds. The filter takes `BITS_PER_ENTRY` bits per stored level, so it grows with the training text, up to
-`MAX_FILTER_BYTES`, which bounds the broadcast; beyond that it holds the same n-grams at a higher error rate. It is
-made of pages by the upper bits of the n-gram's hash; a page is filled by one group of about `NGRAMS_PER_PAGE` n-grams,
-so the number of pages follows the text. Exact word counts, for the base score, are never broadcast as a whole: the
-most frequent words, `MAX_HOT_WORDS` at most, are, and the others meet their documents in a join, into which each
-document sends only its rare words. So no frequent word is a join key at all.
+Growth and bounds. The filter takes `BITS_PER_ENTRY` bits per stored level, so it grows with the training text, at one
+error rate throughout. It is made of pages by the upper bits of the n-gram's hash; a page is filled by one group of
+about `NGRAMS_PER_PAGE` n-grams, so the number of pages follows the text. What is broadcast at once is a block of pages,
+`BLOCK_BYTES` of them (or one page, if that is larger). Documents are scored in one turn per block: a turn looks up what lies in its
+block and keeps the levels found, one byte for each word and pair, for the next; the last one computes the scores. The
+block size changes no score. All words' counts come from the filter, frequent or not.
+
+Exact word counts are needed for the base score only. They are never broadcast as a whole: the most frequent words,
+`MAX_HOT_WORDS` at most, are, and the others meet their documents in a join, into which each document sends only its
+rare words. So no frequent word is a join key at all; how many are broadcast changes no result.
 
 Words stand for themselves by 64-bit hashes, word pairs by 52 bits of a hash. Null text is empty text: one token, the
 end. Words of any length, repeated rows and an empty training set are fine; without training N and V are 0. Rows keep
@@ -22,12 +26,14 @@ The input must give the same rows on each reading, as tables do.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from functools import partial
 from itertools import count
 from math import ceil, log, log2, log10
 
 import numpy as np
 import pandas as pd
 import xxhash
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,7 +44,7 @@ BASE = 1.5
 MU = 50.0
 BITS_PER_ENTRY = 8
 PROBES = 4
-MAX_FILTER_BYTES = 1 << 26
+BLOCK_BYTES = 1 << 26
 MIN_PAGE_BITS = 64
 LEAST_PAGES = 1 << 10
 NGRAMS_PER_PAGE = 4_000_000
@@ -49,13 +55,15 @@ CHUNK_CHARS = 3_000_000
 #: Words have no white space, so these are no words.
 END, START = (xxhash.xxh64_intdigest(x) for x in (b"\n", b" "))
 _KEY_BITS = 52
+#: Levels of counts up to 10**21; one byte holds them.
+MAX_LEVEL = 120
 
 
 def levels(c: np.ndarray) -> np.ndarray:
     return 1 + np.floor(np.log(np.maximum(c, 1)) / log(BASE) + 1e-9).astype(np.int64)
 
 
-def level_means(most: int = 120) -> np.ndarray:
+def level_means(most: int = MAX_LEVEL) -> np.ndarray:
     """The mean of the whole numbers of each level; 0 for level 0."""
     edge = [ceil(BASE**j - 1e-9) for j in range(most + 1)]
     return np.array([0.0] + [(edge[j] + edge[j + 1] - 1) / 2 for j in range(most)])
@@ -85,42 +93,41 @@ def probes(keys: np.ndarray, level: np.ndarray | int, sizes: np.ndarray) -> Iter
 
 
 class Filter:
-    """Pages of bits; the upper bits of a key name its page."""
-
-    def __init__(self, sizes: dict[int, int], pages: Iterable[tuple[int, bytes]], page_bits: int):
-        """`sizes` in bytes of pages, and the pages, which are put in place one after another; others are empty."""
-        self.shift = np.uint64(_KEY_BITS - page_bits)
-        size = np.full(1 << page_bits, MIN_PAGE_BITS // 8, np.int64)
-        size[list(sizes)] = list(sizes.values())
-        first = np.concatenate((np.zeros(1, np.int64), np.cumsum(size)))
-        self.bits = np.zeros(first[-1], np.uint8)
+    """Some pages of bits, `first` and those behind it; the upper bits of a key name its page."""
+
+    def __init__(self, sizes: list[int], pages: Iterable[tuple[int, bytes]], page_bits: int, first: int = 0):
+        """`sizes` in bytes of pages, and pages by number, which are put in place one after another; others are empty."""
+        self.shift, self.first = np.uint64(_KEY_BITS - page_bits), first
+        size = np.array(sizes, np.int64)
+        starts = np.concatenate((np.zeros(1, np.int64), np.cumsum(size)))
+        self.bits = np.zeros(starts[-1], np.uint8)
         for page, bits in pages:
-            self.bits[first[page] : first[page + 1]] = np.frombuffer(bits, np.uint8)
-        self.sizes, self.firsts = size.astype(np.uint64) * np.uint64(8), first[:-1].astype(np.uint64) * np.uint64(8)
-        self.means = level_means()
-
-    def counts(self, keys: np.ndarray) -> np.ndarray:
-        """Estimated counts, 0 for n-grams that are not stored."""
-        level = np.zeros(len(keys), np.int64)
-        page = (keys >> self.shift).astype(np.int64)
-        first, size = self.firsts[page], self.sizes[page]
-        active = np.arange(len(keys))
-        for j in range(1, len(self.means)):
+            self.bits[starts[page - first] : starts[page - first + 1]] = np.frombuffer(bits, np.uint8)
+        self.sizes, self.starts = size.astype(np.uint64) * np.uint64(8), starts[:-1].astype(np.uint64) * np.uint64(8)
+
+    def levels(self, keys: np.ndarray) -> np.ndarray:
+        """Levels by probing, 0 for n-grams that are not stored or lie on pages of other blocks."""
+        level = np.zeros(len(keys), np.uint8)
+        page = (keys >> self.shift).astype(np.int64) - self.first
+        active = np.flatnonzero((page >= 0) & (page < len(self.sizes)))
+        start, size = (np.zeros(len(keys), np.uint64) for _ in range(2))
+        start[active], size[active] = self.starts[page[active]], self.sizes[page[active]]
+        for j in range(1, MAX_LEVEL + 1):
             there = np.ones(len(active), bool)
             for place in probes(keys[active], j, size[active]):
-                at = first[active] + place
+                at = start[active] + place
                 there &= (self.bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0
             active = active[there]
             if not len(active):
                 break
             level[active] = j
-        return self.means[level]
+        return level
 
 
-def fill(keys: np.ndarray, counts: np.ndarray, most_bits: int) -> bytes:
+def fill(keys: np.ndarray, counts: np.ndarray) -> bytes:
     """A page that holds each key at all levels of its count."""
     level = levels(counts)
-    size = max(MIN_PAGE_BITS, min(most_bits, int(level.sum()) * BITS_PER_ENTRY)) // 8 * 8
+    size = max(MIN_PAGE_BITS, int(level.sum()) * BITS_PER_ENTRY) // 8 * 8
     bits = np.zeros(size, bool)
     for j in range(1, int(level.max(initial=0)) + 1):
         keys, level = keys[level >= j], level[level >= j]
@@ -180,8 +187,8 @@ def word_counts(training: DataFrame) -> DataFrame:
         return {"h": np.concatenate(hashes).view(np.int64) if hashes else [],
                 "c": np.concatenate(counts) if counts else []}
 
-    partial = map_batches(training.select("text"), work, "h bigint, c bigint")
-    return partial.groupBy("h").agg(F.sum("c").alias("c"))
+    counted = map_batches(training.select("text"), work, "h bigint, c bigint")
+    return counted.groupBy("h").agg(F.sum("c").alias("c"))
 
 
 def _packed(keys: np.ndarray, counts: np.ndarray, page_bits: int) -> dict[str, list]:
@@ -196,10 +203,9 @@ def _packed(keys: np.ndarray, counts: np.ndarray, page_bits: int) -> dict[str, l
             "counts": [counts[a:b].astype("<u4").tobytes() for a, b in zip(firsts, ends)]}
 
 
-def build_filter(training: DataFrame, words: DataFrame, n_tokens: int, most_bytes: int = MAX_FILTER_BYTES) -> Filter:
-    """The filter of all words and word pairs of the training texts."""
+def filter_pages(training: DataFrame, words: DataFrame, n_tokens: int) -> tuple[DataFrame, int]:
+    """Pages of the filter of all words and word pairs of the training texts, a table; and how many bits name a page."""
     page_bits = max(int(log2(LEAST_PAGES)), ceil(log2(max(1, n_tokens / NGRAMS_PER_PAGE))))
-    most_bits = most_bytes * 8 >> page_bits
     schema = "page int, keys binary, counts binary"
 
     def pairs(batch: dict[str, list]) -> dict[str, list]:
@@ -226,12 +232,30 @@ def build_filter(training: DataFrame, words: DataFrame, n_tokens: int, most_byte
         counts = np.frombuffer(b"".join(group["counts"]), "<u4").astype(np.int64)
         keys, place = np.unique(keys.view("<u8").ravel(), return_inverse=True)
         total = np.bincount(place, weights=counts, minlength=len(keys))
-        return pd.DataFrame({"page": group["page"].iloc[:1], "bits": [fill(keys, total, most_bits)]})
+        return pd.DataFrame({"page": group["page"].iloc[:1], "bits": [fill(keys, total)]})
 
     rows = map_batches(training.select("text"), pairs, schema).unionByName(map_batches(words, singles, schema))
-    pages = checkpointed(rows.groupBy("page").applyInPandas(page, "page int, bits binary"))
-    sizes = {r.page: r.bytes for r in pages.select("page", F.octet_length("bits").alias("bytes")).collect()}
-    return Filter(sizes, ((r.page, r.bits) for r in pages.toLocalIterator()), page_bits)
+    return checkpointed(rows.groupBy("page").applyInPandas(page, "page int, bits binary")), page_bits
+
+
+def page_blocks(pages: DataFrame, page_bits: int) -> list[tuple[int, list[int]]]:
+    """Runs of pages of `BLOCK_BYTES` each at most, or of one page: the first one's number and all sizes in bytes."""
+    sizes = [MIN_PAGE_BITS // 8] * (1 << page_bits)
+    for row in pages.select("page", F.octet_length("bits").alias("bytes")).toLocalIterator():
+        sizes[row.page] = row.bytes
+    blocks, first, held = [], 0, 0
+    for page, size in enumerate(sizes):
+        if page > first and held + size > BLOCK_BYTES:
+            blocks.append((first, sizes[first:page]))
+            first, held = page, 0
+        held += size
+    return [*blocks, (first, sizes[first:])]
+
+
+def read_block(pages: DataFrame, first: int, sizes: list[int], page_bits: int) -> Filter:
+    """A block of pages, in the driver; one page after another."""
+    own = pages.filter(F.col("page").between(first, first + len(sizes) - 1))
+    return Filter(sizes, ((r.page, r.bits) for r in own.toLocalIterator()), page_bits, first)
 
 
 def hot_words(words: DataFrame, most: int = MAX_HOT_WORDS) -> tuple[int, np.ndarray, np.ndarray]:
@@ -256,17 +280,27 @@ def score(docs: DataFrame, training: DataFrame, key: str = "doc_id", mu: float =
     n, v = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     least, hot, hot_counts = hot_words(words)
     total = n + v + 1
-    fixed = python_tasks(docs).broadcast((build_filter(training, words, n), hot, hot_counts))
+    pages, page_bits = filter_pages(training, words, n)
+    blocks = page_blocks(pages, page_bits)
+    kind = docs.schema[key].dataType.simpleString()
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"), "text")
+    if len(blocks) > 1:
+        rows = checkpointed(rows.withColumn("levels", F.lit(None).cast("binary")))
+    context = python_tasks(docs)
+    for first, sizes in blocks[:-1]:
+        block = context.broadcast(read_block(pages, first, sizes, page_bits))
+        rows = checkpointed(map_batches(rows, partial(_turn, block), f"row bigint, key {kind}, text string, levels binary"))
+        block.destroy()
+    fixed = context.broadcast((read_block(pages, *blocks[-1], page_bits), hot, hot_counts))
 
     def work(batch: dict[str, list]) -> dict[str, list]:
         out: dict[str, list] = {x: [] for x in ("n_tokens", "known", "logs", "score", "rare", "times")}
         for part in chunks(batch["text"]):
-            for name, values in _score_chunk(batch["text"][part], *fixed.value, total, mu).items():
+            before = batch["levels"][part] if "levels" in batch else None
+            for name, values in _score_chunk(batch["text"][part], before, *fixed.value, total, mu).items():
                 out[name].extend(values)
         return {"row": batch["row"], "key": batch["key"]} | out
 
-    kind = docs.schema[key].dataType.simpleString()
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"), "text")
     scored = checkpointed(map_batches(rows, work, f"""row bigint, key {kind}, n_tokens bigint, known bigint,
         logs double, score double, rare array<bigint>, times array<int>"""))
     rare = scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select(
@@ -280,33 +314,64 @@ def score(docs: DataFrame, training: DataFrame, key: str = "doc_id", mu: float =
         "score")
 
 
-def _score_chunk(texts: list[str | None], filter: Filter, hot: np.ndarray, hot_counts: np.ndarray, total: int,
-                 mu: float) -> dict[str, list]:
+class Lookup:
+    """Levels of the words and word pairs of a chunk, each looked up once, over those that earlier turns found.
+
+    Between turns a text keeps its tokens' levels and behind them those of the pairs that these end.
+    """
+
+    def __init__(self, chunk: Chunk, before: list[bytes | None] | None, block: Filter):
+        self.chunk = chunk
+        self.used = np.unique(chunk.tokens)
+        context, word, self.text = chunk.pairs()
+        rank = np.zeros(len(chunk.hashes), np.int64)
+        rank[self.used] = np.arange(len(self.used))
+        self.word = rank[word]
+        pair, at, self.where = np.unique(
+            rank[context] * len(self.used) + self.word, return_index=True, return_inverse=True)
+        self.first, self.second = pair // len(self.used), pair % len(self.used)
+        hashes = chunk.hashes[self.used]
+        self.words = block.levels(word_keys(hashes))
+        self.pairs = block.levels(pair_keys(hashes[self.first], hashes[self.second]))
+        if before is not None and before[0] is not None:
+            held = np.frombuffer(b"".join(before), np.uint8)
+            half = np.concatenate([np.repeat((True, False), size) for size in chunk.n_tokens.tolist()])
+            known = np.zeros(len(self.used), np.uint8)
+            known[self.word] = held[half]
+            self.words, self.pairs = np.maximum(self.words, known), np.maximum(self.pairs, held[~half][at])
+
+    def kept(self) -> list[bytes]:
+        words, pairs = self.words[self.word].tobytes(), self.pairs[self.where].tobytes()
+        ends = np.cumsum(self.chunk.n_tokens).tolist()
+        return [words[a:b] + pairs[a:b] for a, b in zip([0, *ends], ends)]
+
+
+def _turn(block: Broadcast, batch: dict[str, list]) -> dict[str, list]:
+    kept = []
+    for part in chunks(batch["text"]):
+        kept += Lookup(Chunk(batch["text"][part]), batch["levels"][part], block.value).kept()
+    return batch | {"levels": kept}
+
+
+def _score_chunk(texts: list[str | None], before: list[bytes | None] | None, block: Filter, hot: np.ndarray,
+                 hot_counts: np.ndarray, total: int, mu: float) -> dict[str, list]:
     chunk = Chunk(texts)
     n = len(texts)
-    # Exact counts of frequent words, estimated ones of the others.
-    used = np.unique(chunk.tokens)
+    found = Lookup(chunk, before, block)
+    used, w, text = found.used, found.word, found.text
+    means = level_means()
+    about, both = means[found.words], means[found.pairs]
+    # A start stands before each text, as often as an end behind it.
+    about_first = about.copy()
+    about_first[used == 0] = about[used == 1]
+    both = np.minimum(both, np.minimum(about_first[found.first], about[found.second]))
+    logs = np.log10((both + mu * (about[found.second] + 1) / total) / (about_first[found.first] + mu))
+    scores = np.bincount(text, logs[found.where], minlength=n)
+    # What the base score needs: exact sums over frequent words, and each text's rare words with their number.
     hashes = chunk.hashes[used].view(np.int64)
     slot = np.minimum(np.searchsorted(hot, hashes), max(len(hot) - 1, 0))
     is_hot = hot[slot] == hashes if len(hot) else np.zeros(len(used), bool)
     exact = np.where(is_hot, hot_counts[slot] if len(hot) else 0, 0)
-    about = exact.astype(float)
-    about[~is_hot] = filter.counts(word_keys(hashes[~is_hot].view(np.uint64)))
-    context, word, text = chunk.pairs()
-    rank = np.zeros(len(chunk.hashes), np.int64)
-    rank[used] = np.arange(len(used))
-    w = rank[word]
-    # Pairs once each.
-    pair, where = np.unique(rank[context] * len(used) + w, return_inverse=True)
-    first, second = pair // len(used), pair % len(used)
-    # A start stands before each text, as often as an end behind it.
-    about_first = about.copy()
-    about_first[used == 0] = about[used == 1]
-    both = filter.counts(pair_keys(chunk.hashes[used[first]], chunk.hashes[used[second]]))
-    both = np.minimum(both, np.minimum(about_first[first], about[second]))
-    logs = np.log10((both + mu * (about[second] + 1) / total) / (about_first[first] + mu))
-    scores = np.bincount(text, logs[where], minlength=n)
-    # What the base score needs: sums over frequent words, and each text's rare words with their number.
     known = np.bincount(text, is_hot[w], minlength=n).astype(np.int64)
     sums = np.bincount(text, np.log10(exact[w] + 1.0), minlength=n)
     cold = ~is_hot[w]
