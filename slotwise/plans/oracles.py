@@ -244,6 +244,23 @@ WHERE user_id % 2 = 1 AND ts >= TIMESTAMP '2024-01-01' AND ts < TIMESTAMP '2024-
 ORACLES["ensure_dataset_evolves"] = f"""
 SELECT {EVENT}, CAST(NULL AS VARCHAR) AS channel FROM events
 UNION ALL SELECT {EVENT}, 'from error' AS channel FROM events WHERE event_type = 'error'"""
+ORACLES["schema_generations"] = """
+WITH generations AS (
+  SELECT event_id, ts, user_id, CAST(CAST(value AS FLOAT) AS DOUBLE) AS value, 'web' AS channel, event_type AS kind,
+         CAST(3 AS BIGINT) AS level, CAST(NULL AS INTEGER) AS rank
+  FROM events WHERE ts < TIMESTAMP '2024-01-11'
+  UNION ALL BY NAME
+  SELECT event_id, ts, user_id, CAST(CAST(value AS FLOAT) AS DOUBLE) AS value,
+         CASE WHEN event_id % 4 > 0 THEN event_type END AS channel, event_type AS kind, length(event_type) AS level
+  FROM events WHERE ts >= TIMESTAMP '2024-01-11' AND ts < TIMESTAMP '2024-01-21'
+  UNION ALL BY NAME
+  SELECT event_id, ts, user_id, value, CASE WHEN event_id % 4 > 0 THEN event_type END AS channel, event_type AS kind,
+         length(event_type) AS level, CAST(1 AS INTEGER) AS rank
+  FROM events WHERE ts >= TIMESTAMP '2024-01-21')
+SELECT store, event_id, ts, user_id, value, channel,
+       CASE WHEN kind <> 'error' THEN kind END AS kind_name, CASE WHEN kind <> 'error' THEN level END AS kind_level,
+       CASE WHEN kind <> 'error' THEN rank END AS kind_rank
+FROM generations, (VALUES ('folder'), ('catalog')) AS stores(store)"""
 ORACLES["save_nonempty"] = f"""
 SELECT {EVENT}, CAST(1 AS INTEGER) AS first_saved, CAST(0 AS INTEGER) AS second_saved FROM events"""
 ORACLES["map_columns_round_trip"] = """

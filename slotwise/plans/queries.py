@@ -29,6 +29,7 @@ from slotwise.session import work_path
 from slotwise.sources.datasets import (
     View, ensure_dataset, list_partitions, read_at, read_dataset, read_view, refine,
 )
+from slotwise.sources.evolution import field
 from slotwise.sources.generator import generate_events
 from slotwise.sources.topics import Topic, read_topic, write_topic
 from slotwise.streaming.sinks import for_each_batch
@@ -815,6 +816,53 @@ def dataset_evolved(spark, sf_dir):
     return read_dataset(spark, View("dataset:" + name, wider.schema))
 
 
+GENERATIONS = [
+    T.StructType([field("event_id", "long"), field("ts", "timestamp_ntz"), field("user_id", "integer"), field("value", "float"),
+                  field("props", "string"), field("kind", T.StructType([field("name", "string")]))]),
+    T.StructType([field("event_id", "long"), field("ts", "timestamp_ntz"), field("user_id", "long"),
+                  field("value", "float"), field("props", "string"), field("channel", "string", "'web'"),
+                  field("kind", T.StructType([field("name", "string"), field("level", "integer", "3", nullable=False)]))]),
+    T.StructType([field("event_id", "long"), field("ts", "timestamp_ntz"), field("user_id", "long"),
+                  field("value", "double"), field("channel", "string", "'web'"),
+                  field("kind", T.StructType([field("level", "long", "3", nullable=False), field("name", "string"),
+                                              field("rank", "integer")]))]),
+]
+
+
+def _of_generation(rows: DataFrame, schema: T.StructType) -> DataFrame:
+    """Events as a writer of that schema would have them; every fourth channel is null."""
+    made = {
+        "channel": F.when(F.col("event_id") % 4 > 0, F.col("event_type")),
+        "kind": F.when(F.col("event_type") != "error", F.struct(*(
+            x.alias(n) for n, x in (("name", F.col("event_type")), ("level", F.length("event_type")), ("rank", F.lit(1)))
+            if n in schema["kind"].dataType.fieldNames()))),
+    }
+    full = rows.withColumns({k: v for k, v in made.items() if k in schema.fieldNames()})
+    return full.select(*(F.col(f.name).cast(f.dataType) if f.name != "kind" else F.when(F.col("kind").isNotNull(), F.struct(
+        *(F.col(f"kind.{n.name}").cast(n.dataType).alias(n.name) for n in f.dataType))).alias("kind") for f in schema))
+
+
+@query("schema_generations")
+def schema_generations(spark, sf_dir):
+    """Files of three schemas in one dataset, in a folder and in the catalog, read under the newest one."""
+    folder = new_dataset(spark, "generations", None)
+    path = work_path(spark, "generations")
+    table = View(f"dataset:hive:slotwise_work/g{path.rpartition('-')[2]}", GENERATIONS[0])
+    cuts = ["ts < '2024-01-11'", "ts >= '2024-01-11' and ts < '2024-01-21'", "ts >= '2024-01-21'"]
+    for schema, cut in zip(GENERATIONS, cuts, strict=True):
+        rows = _of_generation(events(spark, sf_dir).where(cut), schema)
+        append(rows, View(folder.uri, schema))
+        table = View(table.uri, schema)
+        ensure_dataset(spark, table, path)
+        write_view(rows, table)
+    stores = {"folder": read_dataset(spark, View(folder.uri, GENERATIONS[-1])),
+              "catalog": _kept(spark, read_dataset(spark, table), table)}
+    shown = [df.select(F.lit(store).alias("store"), "event_id", "ts", "user_id", "value", "channel",
+                       *(F.col(f"kind.{n}").alias(f"kind_{n}") for n in ("name", "level", "rank")))
+             for store, df in stores.items()]
+    return shown[0].unionByName(shown[1])
+
+
 @query("save_nonempty")
 def saved_nonempty(spark, sf_dir):
     target = new_dataset(spark, "saved", EVENTS)

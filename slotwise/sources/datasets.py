@@ -17,6 +17,7 @@ from slotwise.functions.timeparts import HOLES, as_nominal, fill_template
 from slotwise.functions.uris import Uri, split_uri
 from slotwise.schemas import BATCH_PARTS
 from slotwise.session import path_exists
+from slotwise.sources.evolution import check_update, reader_schema, with_nested_defaults
 
 
 # Partition values that stand in a folder's name as they are.
@@ -191,9 +192,12 @@ def load(spark: SparkSession, view: View, folders: Sequence[tuple[str, int | str
     """A dataset, or what lies below one of its folders; a catalog table knows its folders itself.
 
     A dataset that streams write has further folders, one per batch, below its own partitions; these are read
-    through and not shown.
+    through and not shown. Files of older schemas are read under the view's: see :mod:`slotwise.sources.evolution`.
     """
     rows = _load(spark, view, folders)
+    schema = view.full_schema if view.parsed.table is None else spark.table(view.parsed.table).schema
+    if schema is not None:
+        rows = with_nested_defaults(rows, schema)
     if view.schema is not None and view.parts and set(BATCH_PARTS) <= set(rows.columns):
         return rows.drop(*(set(BATCH_PARTS) - set(view.full_schema.fieldNames())))
     return rows
@@ -204,7 +208,7 @@ def _load(spark: SparkSession, view: View, folders: Sequence[tuple[str, int | st
         return spark.table(view.parsed.table)
     reader = spark.read.options(**(view.options or {}))
     if view.full_schema is not None:
-        reader = reader.schema(view.full_schema)
+        reader = reader.schema(reader_schema(view.full_schema))
     root = view.parsed.location
     if not folders:
         return reader.parquet(root)
@@ -225,10 +229,11 @@ def _folder(part: str, value: int | str) -> str:
 
 
 def ensure_dataset(spark: SparkSession, view: View, location: str | None = None) -> View:
-    """Create the dataset if it is missing, else add the columns it lacks.
+    """Create the dataset if it is missing, else give it the view's schema, if files of its present one can be read so.
 
-    The location stays as it is unless one is given. Rows written before a column was added read as NULL there.
-    A folder needs nothing but the wider schema on the reader. A changed type or a lost column is refused.
+    Types may become wider, fields may be added and may go, at any depth; :func:`check_update` refuses the rest. Rows
+    written before a field was added have its default there, or NULL. The location stays as it is unless one is given.
+    Partition columns stay. A folder needs nothing but the new schema on the reader.
     """
     table = view.parsed.table
     if table is None:
@@ -243,22 +248,34 @@ def ensure_dataset(spark: SparkSession, view: View, location: str | None = None)
         at = f" LOCATION {text_literal(location)}" if location else ""
         spark.sql(f"CREATE TABLE {table} ({columns}) USING parquet{partitioned}{at}")
         return view
-    present = {field.name: field.dataType for field in spark.table(table).schema}
-    for field in view.full_schema:
-        if field.name in present and present[field.name] != field.dataType:
-            raise ValueError(f"{table}.{field.name} is {present[field.name].simpleString()}, "
-                             f"cannot become {field.dataType.simpleString()}")
-    lost = set(present) - set(view.full_schema.fieldNames())
-    if lost:
-        raise ValueError(f"{table} would lose {', '.join(sorted(lost))}")
-    added = [_ddl(field) for field in view.schema if field.name not in present]
-    if added:
-        spark.sql(f"ALTER TABLE {table} ADD COLUMNS ({', '.join(added)})")
+    known = view.known(spark)
+    present, parts = known.schema, [c.name for c in spark.catalog.listColumns(table) if c.isPartition]
+    wanted = T.StructType([f for f in view.full_schema if f.name not in parts])
+    try:
+        check_update(T.StructType([f for f in present if f.name not in parts]), wanted)
+        for part in set(parts) & set(view.full_schema.fieldNames()):
+            if present[part].dataType != view.full_schema[part].dataType:
+                raise ValueError(f"{part} is a partition column, cannot become {view.full_schema[part].dataType.simpleString()}")
+        if view.parts and list(view.parts) != parts:
+            raise ValueError(f"the partition columns are {', '.join(parts) or 'none'}")
+    except ValueError as error:
+        raise ValueError(f"{table}: {error}") from None
+    _set_record_schema(spark, table, wanted)
     if location:
         spark.sql(f"ALTER TABLE {table} SET LOCATION {text_literal(location)}")
     return view
 
 
+def _set_record_schema(spark: SparkSession, table: str, schema: T.StructType) -> None:
+    """One update of the catalog's entry; SQL can only add columns. Columns may all be null in a table of files."""
+    columns = reader_schema(T.StructType([T.StructField(f.name, f.dataType, True, f.metadata) for f in schema]))
+    database, _, name = table.replace("`", "").rpartition(".")
+    jvm_schema = spark._jvm.org.apache.spark.sql.types.DataType.fromJson(columns.json())
+    spark._jsparkSession.sharedState().externalCatalog().alterTableDataSchema(
+        database or spark.catalog.currentDatabase(), name, jvm_schema)
+    spark.catalog.refreshTable(table)
+
+
 def _ddl(field: T.StructField) -> str:
     return f"{quoted_column(field.name)} {field.dataType.simpleString()}"
 
