@@ -36,6 +36,7 @@ from slotwise.plans.settings import input_settings, job_settings, with_prefix
 from slotwise.session import delete_path, shared_dir, work_path
 from slotwise.sources.datasets import View, as_view, list_files, load, quoted_column, read_at
 from slotwise.sources.topics import Topic, read_topic
+from slotwise.streaming.closing import closing_sink
 from slotwise.streaming.sinks import (
     BATCH_INTERVAL, dataset_sink, for_each_batch, stream_to_dataset, stream_to_topic, topic_sink,
 )
@@ -666,30 +667,34 @@ def run_schedules(spark: SparkSession, schedules: Iterable[Schedule], nominal_ti
 def run_stream(spark: SparkSession, job: Job, inputs: Mapping[str, Topic], outputs: Mapping[str, Topic | View],
                checkpoint: str, available_now: bool = False, interval: str = BATCH_INTERVAL,
                settings: Mapping[str, str] | None = None,
-               event_times: Mapping[str, str] | None = None) -> list[StreamingQuery]:
+               event_times: Mapping[str, str] | None = None, markers: View | str | None = None,
+               lateness: str = "0 seconds") -> list[StreamingQuery]:
     """Start a job on streams: topics in, topics or datasets out; one query per output, each with a checkpoint.
 
-    Outputs that the job gives by :func:`emit` share one query, which reads each message once. ``event_times`` names, for outputs partitioned by time, the column that the time is taken from.
+    Outputs that the job gives by :func:`emit` share one query, which reads each message once. ``event_times`` names, for outputs partitioned by time, the column that the time is taken from. With
+    ``markers`` the slots of these outputs are marked ready as they close, see :func:`closing_sink`.
     """
     job.check_names(inputs, outputs)
+    closing = {} if markers is None else {"markers": markers, "lateness": lateness}
     for name, source in inputs.items():
         if not isinstance(source, Topic):
             raise TypeError(f"input {name} of job {job.name}: a streaming job reads topics only")
     frames = {name: read_topic(spark, topic, streaming=True) for name, topic in inputs.items()}
     results = job.results(frames, settings=job_settings(settings or {}, job.name))
     if isinstance(results, Emitted):
-        return [_stream_emitted(spark, results, outputs, checkpoint, event_times or {}, available_now, interval)]
+        return [_stream_emitted(spark, results, outputs, checkpoint, event_times or {}, available_now, interval, closing)]
     timing = {"available_now": available_now, "interval": interval}
     return [
         stream_to_topic(rows, outputs[name], f"{checkpoint}/{name}", **timing)
         if isinstance(outputs[name], Topic) else
-        stream_to_dataset(rows, outputs[name], f"{checkpoint}/{name}", event_time=(event_times or {}).get(name), **timing)
+        stream_to_dataset(rows, outputs[name], f"{checkpoint}/{name}", event_time=(event_times or {}).get(name), **timing, **closing)
         for name, rows in results.items()
     ]
 
 
 def _stream_emitted(spark: SparkSession, results: Emitted, outputs: Mapping[str, Topic | View], checkpoint: str,
-                    event_times: Mapping[str, str], available_now: bool, interval: str) -> StreamingQuery:
+                    event_times: Mapping[str, str], available_now: bool, interval: str,
+                    closing: Mapping[str, View | str]) -> StreamingQuery:
     """One query for all outputs: a batch is evaluated once, into a work folder, and placed from there.
 
     A batch that is replayed replaces its own files in every output.
@@ -701,6 +706,9 @@ def _stream_emitted(spark: SparkSession, results: Emitted, outputs: Mapping[str,
         sdf = results.frame(name)
         sinks[name] = (topic_sink if isinstance(outputs[name], Topic) else dataset_sink)(
             sdf, outputs[name], *([] if isinstance(outputs[name], Topic) else [event_times.get(name)]))
+        if closing and name in event_times and not isinstance(outputs[name], Topic):
+            sinks[name] = closing_sink(
+                sinks[name], outputs[name], event_times[name], progress=f"{checkpoint}/reached/{name}", **closing)
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession

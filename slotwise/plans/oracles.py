@@ -261,6 +261,22 @@ SELECT store, event_id, ts, user_id, value, channel,
        CASE WHEN kind <> 'error' THEN kind END AS kind_name, CASE WHEN kind <> 'error' THEN level END AS kind_level,
        CASE WHEN kind <> 'error' THEN rank END AS kind_rank
 FROM generations, (VALUES ('folder'), ('catalog')) AS stores(store)"""
+ORACLES["stream_closes_slots"] = """
+WITH arrived AS (
+  SELECT ts, date_trunc('day', ts) AS d,
+         CASE WHEN ts >= TIMESTAMP '2024-01-15' THEN 3
+              WHEN ts < TIMESTAMP '2024-01-08' AND event_type = 'error' THEN 2 ELSE 1 END AS step
+  FROM events),
+days AS (SELECT CAST(unnest(generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-02-29', INTERVAL 1 DAY)) AS TIMESTAMP) AS d),
+closed AS (
+  SELECT s.step, min(a.d) FILTER (WHERE a.step = 1) AS since, date_trunc('day', max(a.ts) - INTERVAL 36 HOUR) AS until
+  FROM (VALUES (1), (2), (3)) AS s(step) JOIN arrived a ON a.step <= s.step GROUP BY s.step),
+due AS (
+  SELECT c.step, d.d FROM closed c JOIN days d ON d.d >= c.since AND d.d < c.until
+  WHERE c.step <> 2 OR d.d NOT IN (SELECT d FROM arrived WHERE step = 2))
+SELECT CASE due.step WHEN 1 THEN 'first' WHEN 2 THEN 'late' ELSE 'last' END AS step, CAST(due.d AS TIMESTAMP) AS nominal_time,
+       count(a.d) AS n_events
+FROM due LEFT JOIN arrived a ON a.d = due.d AND a.step <= due.step GROUP BY ALL"""
 ORACLES["save_nonempty"] = f"""
 SELECT {EVENT}, CAST(1 AS INTEGER) AS first_saved, CAST(0 AS INTEGER) AS second_saved FROM events"""
 ORACLES["map_columns_round_trip"] = """

@@ -553,10 +553,9 @@ def _work_table(spark: SparkSession, label: str, schema: T.StructType, parts: tu
 
 def _kept(spark: SparkSession, rows: DataFrame, table: View) -> DataFrame:
     """Rows of a work table, kept when the table's name goes."""
-    path = work_path(spark, "kept")
-    rows.write.mode("overwrite").parquet(path)
+    kept = _written(spark, rows)
     spark.sql(f"DROP TABLE {table.parsed.table}")
-    return spark.read.schema(rows.schema).parquet(path)
+    return kept
 
 
 @query("backfill_catalog")
@@ -952,6 +951,35 @@ def stream_several_outputs(spark, sf_dir):
     return _sorted_out(spark, {**frames, "users": with_time_parts(read_topic(spark, users), "ts", "day")})
 
 
+@query("stream_closes_slots")
+def stream_closes_slots(spark, sf_dir):
+    """A stream marks the days it is past, then late rows come; what a schedule over its days finds due each time."""
+    topic, target = _topic(spark, "topic"), new_dataset(spark, "streamed", EVENTS, DAY)
+    odd, markers = new_dataset(spark, "odd", EVENTS, DAY), new_dataset(spark, "markers", None)
+    schedule = Schedule(odd_users_job, "0 0 * * *", inputs={"example_events": view_of(target, DAY_HOLES)},
+                        outputs={"odd_users": view_of(odd, DAY_HOLES)})
+    checkpoint, found = work_path(spark, "checkpoint"), []
+    late = "ts < '2024-01-08' and event_type = 'error'"
+    steps = {"first": f"ts < '2024-01-15' and not ({late})", "late": late, "last": "ts >= '2024-01-15'"}
+    for step, arriving in steps.items():
+        write_topic(events(spark, sf_dir).where(arriving), topic)
+        for running in run_stream(spark, topic_to_dataset_job, {"arriving": topic}, {"kept": target}, checkpoint,
+                                  available_now=True, event_times={"kept": "ts"}, markers=markers, lateness="36 hours"):
+            running.awaitTermination()
+        due = schedule.due(spark, markers, "2023-12-31T12:00Z", "2024-03-01T00:00Z")
+        rows = read_dataset(spark, target).select(slot_time(DAY).alias("nominal_time"), "event_id")
+        report = due.join(rows, "nominal_time", "left").groupBy("nominal_time").agg(F.count("event_id").alias("n_events"))
+        found.append(_written(spark, report.select(F.lit(step).alias("step"), "nominal_time", "n_events")))
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
+def _written(spark: SparkSession, rows: DataFrame) -> DataFrame:
+    """Rows as they are now, whatever becomes of the tables they come from."""
+    path = work_path(spark, "written")
+    rows.write.mode("overwrite").parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
+
+
 @query("compact_stream")
 def compacted_stream(spark, sf_dir):
     """Days that a stream wrote, written anew without its batch folders."""

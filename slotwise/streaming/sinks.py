@@ -13,6 +13,7 @@ from slotwise.operators.sinks import cluster_by_slot, overwrite_slots
 from slotwise.schemas import BATCH_PARTS, TIME_PARTS
 from slotwise.sources.datasets import View, as_view
 from slotwise.sources.topics import Topic, send_to_folder, to_messages
+from slotwise.streaming.closing import closing_sink
 
 # Fixed value: one batch per second.
 BATCH_INTERVAL = "1 second"
@@ -30,16 +31,22 @@ def _trigger(available_now: bool, interval: str) -> dict:
 
 
 def stream_to_dataset(sdf: DataFrame, view: View | str, checkpoint: str, available_now: bool = False,
-                      interval: str = BATCH_INTERVAL, event_time: str | None = None) -> StreamingQuery:
+                      interval: str = BATCH_INTERVAL, event_time: str | None = None, markers: View | str | None = None,
+                      lateness: str = "0 seconds", source: str | None = None) -> StreamingQuery:
     """Write each batch that has rows into a dataset, under the dataset's partitions and in a folder of its own there.
 
     Partition columns are taken from the view's constraints, from the record, or from the parts of ``event_time``;
     a layout that cannot be met so is refused. Below them come ``BATCH_PARTS``: a batch that is replayed after a lost
     commit replaces its own folders, where an append would double its rows. Rows of a batch for the same slots come
     from the same messages, so a replay has the same folders. Readers of a view do not see the batch columns. A
-    catalog table has to be partitioned by its parts and then ``BATCH_PARTS`` (see :func:`with_batch_parts`).
+    catalog table has to be partitioned by its parts and then ``BATCH_PARTS`` (see :func:`with_batch_parts`). With ``markers`` the slots
+    of a stream with event times are marked ready as they close, see :func:`closing_sink`.
     """
-    return for_each_batch(sdf, dataset_sink(sdf, view, event_time), checkpoint, available_now, interval)
+    write = dataset_sink(sdf if source is None else sdf.drop(source), view, event_time)
+    if markers is not None and event_time is not None:
+        plain = write if source is None else lambda batch, batch_id: write(batch.drop(source), batch_id)
+        write = closing_sink(plain, view, event_time, markers, f"{checkpoint}/reached", lateness, source)
+    return for_each_batch(sdf, write, checkpoint, available_now, interval)
 
 
 def dataset_sink(sdf: DataFrame, view: View | str, event_time: str | None = None) -> Callable[[DataFrame, int], None]:
