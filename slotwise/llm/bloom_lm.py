@@ -9,8 +9,9 @@ Growth and bounds. The filter takes `BITS_PER_ENTRY` bits per stored level, so i
 error rate throughout. It is made of pages by the upper bits of the n-gram's hash; a page is filled by one group of
 about `NGRAMS_PER_PAGE` n-grams, so the number of pages follows the text. What is broadcast at once is a block of pages,
 `BLOCK_BYTES` of them (or one page, if that is larger). Documents are scored in one turn per block: a turn looks up what lies in its
-block and keeps the levels found, one byte for each word and pair, for the next; the last one computes the scores. The
-block size changes no score. All words' counts come from the filter, frequent or not.
+block and keeps the levels found, one byte for each word and pair, for the next; the last one computes the scores. Text
+and levels lie compressed in the shared folder meanwhile; a turn's go once the next one's are written, so there are two
+copies at most, however many turns there are, and none at the end. The block size changes no score. All words' counts come from the filter, frequent or not.
 
 Exact word counts are needed for the base score only. They are never broadcast as a whole: the most frequent words,
 `MAX_HOT_WORDS` at most, are, and the others meet their documents in a join, into which each document sends only its
@@ -38,7 +39,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from slotwise.llm.shared import checkpointed
-from slotwise.llm.texts import map_batches, python_tasks
+from slotwise.llm.texts import chunks, map_batches, python_tasks
+from slotwise.session import delete_path, work_path
 
 BASE = 1.5
 MU = 50.0
@@ -164,22 +166,11 @@ class Chunk:
 _START, _END = np.zeros(1, np.int64), np.ones(1, np.int64)
 
 
-def chunks(texts: list[str | None]) -> Iterator[slice]:
-    start, held = 0, 0
-    for i, text in enumerate(texts):
-        held += len(text or "")
-        if held >= CHUNK_CHARS:
-            yield slice(start, i + 1)
-            start, held = i + 1, 0
-    if start < len(texts):
-        yield slice(start, len(texts))
-
-
 def word_counts(training: DataFrame) -> DataFrame:
     """h (hash of a word) and c (its count) of all words and the end."""
     def work(batch: dict[str, list]) -> dict[str, list]:
         hashes, counts = [], []
-        for part in chunks(batch["text"]):
+        for part in chunks(batch["text"], CHUNK_CHARS):
             chunk = Chunk(batch["text"][part])
             n = np.bincount(chunk.tokens, minlength=len(chunk.hashes))
             n[0] = 0
@@ -192,14 +183,17 @@ def word_counts(training: DataFrame) -> DataFrame:
 
 
 def _packed(keys: np.ndarray, counts: np.ndarray, page_bits: int) -> dict[str, list]:
-    """Keys and counts as one row per page, seven bytes of key and four of count for each n-gram."""
+    """Keys and counts as one row per page, seven bytes of key and four of count for each n-gram.
+
+    First all keys' lowest bytes, then all second ones and so on: the upper ones are alike within a page, and compress.
+    """
     order = np.argsort(keys)
     keys, counts = keys[order], counts[order]
     page = (keys >> np.uint64(_KEY_BITS - page_bits)).astype(np.int64)
     names, firsts = np.unique(page, return_index=True)
     ends = np.append(firsts[1:], len(keys))
     low = keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : (_KEY_BITS + 7) // 8]
-    return {"page": names, "keys": [low[a:b].tobytes() for a, b in zip(firsts, ends)],
+    return {"page": names, "keys": [low[a:b].T.tobytes() for a, b in zip(firsts, ends)],
             "counts": [counts[a:b].astype("<u4").tobytes() for a, b in zip(firsts, ends)]}
 
 
@@ -210,7 +204,7 @@ def filter_pages(training: DataFrame, words: DataFrame, n_tokens: int) -> tuple[
 
     def pairs(batch: dict[str, list]) -> dict[str, list]:
         out: dict[str, list] = {"page": [], "keys": [], "counts": []}
-        for part in chunks(batch["text"]):
+        for part in chunks(batch["text"], CHUNK_CHARS):
             chunk = Chunk(batch["text"][part])
             context, word, _ = chunk.pairs()
             pair, n = np.unique(context * len(chunk.hashes) + word, return_counts=True)
@@ -226,9 +220,9 @@ def filter_pages(training: DataFrame, words: DataFrame, n_tokens: int) -> tuple[
     width = (_KEY_BITS + 7) // 8
 
     def page(group: pd.DataFrame) -> pd.DataFrame:
-        raw = np.frombuffer(b"".join(group["keys"]), np.uint8).reshape(-1, width)
-        keys = np.zeros((len(raw), 8), np.uint8)
-        keys[:, :width] = raw
+        raw = np.concatenate([np.frombuffer(x, np.uint8).reshape(width, -1) for x in group["keys"]], axis=1)
+        keys = np.zeros((raw.shape[1], 8), np.uint8)
+        keys[:, :width] = raw.T
         counts = np.frombuffer(b"".join(group["counts"]), "<u4").astype(np.int64)
         keys, place = np.unique(keys.view("<u8").ravel(), return_inverse=True)
         total = np.bincount(place, weights=counts, minlength=len(keys))
@@ -284,18 +278,22 @@ def score(docs: DataFrame, training: DataFrame, key: str = "doc_id", mu: float =
     blocks = page_blocks(pages, page_bits)
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"), "text")
-    if len(blocks) > 1:
-        rows = checkpointed(rows.withColumn("levels", F.lit(None).cast("binary")))
     context = python_tasks(docs)
+    spark, held = docs.sparkSession, None
     for first, sizes in blocks[:-1]:
         block = context.broadcast(read_block(pages, first, sizes, page_bits))
-        rows = checkpointed(map_batches(rows, partial(_turn, block), f"row bigint, key {kind}, text string, levels binary"))
+        turned = map_batches(rows, partial(_turn, block), f"row bigint, key {kind}, text string, levels binary")
+        before, held = held, work_path(spark, "bloom-lm")
+        turned.write.option("compression", "zstd").parquet(f"{held}/rows")
+        rows = spark.read.parquet(f"{held}/rows")
         block.destroy()
+        if before is not None:
+            delete_path(spark, before)
     fixed = context.broadcast((read_block(pages, *blocks[-1], page_bits), hot, hot_counts))
 
     def work(batch: dict[str, list]) -> dict[str, list]:
         out: dict[str, list] = {x: [] for x in ("n_tokens", "known", "logs", "score", "rare", "times")}
-        for part in chunks(batch["text"]):
+        for part in chunks(batch["text"], CHUNK_CHARS):
             before = batch["levels"][part] if "levels" in batch else None
             for name, values in _score_chunk(batch["text"][part], before, *fixed.value, total, mu).items():
                 out[name].extend(values)
@@ -303,6 +301,8 @@ def score(docs: DataFrame, training: DataFrame, key: str = "doc_id", mu: float =
 
     scored = checkpointed(map_batches(rows, work, f"""row bigint, key {kind}, n_tokens bigint, known bigint,
         logs double, score double, rare array<bigint>, times array<int>"""))
+    if held is not None:
+        delete_path(spark, held)
     rare = scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select(
         "row", F.col("x.rare").alias("h"), F.col("x.times").alias("times"))
     met = rare.join(words.filter(F.col("c") < least), "h").groupBy("row").agg(
@@ -320,7 +320,7 @@ class Lookup:
     Between turns a text keeps its tokens' levels and behind them those of the pairs that these end.
     """
 
-    def __init__(self, chunk: Chunk, before: list[bytes | None] | None, block: Filter):
+    def __init__(self, chunk: Chunk, before: list[bytes] | None, block: Filter):
         self.chunk = chunk
         self.used = np.unique(chunk.tokens)
         context, word, self.text = chunk.pairs()
@@ -333,7 +333,7 @@ class Lookup:
         hashes = chunk.hashes[self.used]
         self.words = block.levels(word_keys(hashes))
         self.pairs = block.levels(pair_keys(hashes[self.first], hashes[self.second]))
-        if before is not None and before[0] is not None:
+        if before is not None:
             held = np.frombuffer(b"".join(before), np.uint8)
             half = np.concatenate([np.repeat((True, False), size) for size in chunk.n_tokens.tolist()])
             known = np.zeros(len(self.used), np.uint8)
@@ -348,12 +348,13 @@ class Lookup:
 
 def _turn(block: Broadcast, batch: dict[str, list]) -> dict[str, list]:
     kept = []
-    for part in chunks(batch["text"]):
-        kept += Lookup(Chunk(batch["text"][part]), batch["levels"][part], block.value).kept()
+    for part in chunks(batch["text"], CHUNK_CHARS):
+        before = batch["levels"][part] if "levels" in batch else None
+        kept += Lookup(Chunk(batch["text"][part]), before, block.value).kept()
     return batch | {"levels": kept}
 
 
-def _score_chunk(texts: list[str | None], before: list[bytes | None] | None, block: Filter, hot: np.ndarray,
+def _score_chunk(texts: list[str | None], before: list[bytes] | None, block: Filter, hot: np.ndarray,
                  hot_counts: np.ndarray, total: int, mu: float) -> dict[str, list]:
     chunk = Chunk(texts)
     n = len(texts)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 from collections.abc import Callable, Iterator
 from pathlib import Path
@@ -47,6 +48,26 @@ def python_tasks(df: DataFrame) -> SparkContext:
     return context
 
 
+def chunks(texts: list[str | None], chars: int) -> Iterator[slice]:
+    """Parts of a batch, each of which ends with the text that brings it to so many characters."""
+    start, held = 0, 0
+    for i, text in enumerate(texts):
+        held += len(text or "")
+        if held >= chars:
+            yield slice(start, i + 1)
+            start, held = i + 1, 0
+    if start < len(texts):
+        yield slice(start, len(texts))
+
+
+def give_back() -> None:
+    """Freed memory goes back to the system. Python workers serve one stage after another, and else keep it for good."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def map_batches(df: DataFrame, work: Callable[[dict[str, list]], dict[str, list]], schema: str) -> DataFrame:
     """Rows through a function of column lists, one Arrow batch at a time; rows stay in the task that read them."""
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -58,6 +79,8 @@ def map_batches(df: DataFrame, work: Callable[[dict[str, list]], dict[str, list]
         for batch in batches:
             out = work(batch.to_pydict())
             yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in arrow], schema=arrow)
+            del batch, out
+            give_back()
 
     python_tasks(df)
     return df.mapInArrow(run, schema)

@@ -1,9 +1,12 @@
 from __future__ import annotations
 
 import math
+import random
 import re
+import string
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -11,7 +14,7 @@ from pyspark.sql import functions as F
 
 from slotwise.llm import bloom_lm as lm
 from slotwise.llm.queries import op4_bloom_language_model
-from tests.llm.helpers import empty_documents, odd_documents
+from tests.llm.helpers import documents, empty_documents, odd_documents
 from tests.llm.test_oracles import SF_DIR
 
 
@@ -71,6 +74,33 @@ def test_few_hot_words_and_small_blocks_change_nothing(spark, monkeypatch):
         assert math.isclose(a.score, b.score, rel_tol=1e-9)
 
 
+def test_turns_leave_no_copies_of_the_texts(spark, monkeypatch):
+    rng = random.Random(4)
+    texts = [" ".join(rng.choices(string.ascii_lowercase, k=20_000)) for _ in range(40)]
+    docs = documents(spark, texts).repartition(4).cache()
+    folder = Path(spark.conf.get("spark.checkpoint.dir"))
+    held = lambda: sum(p.stat().st_size for p in folder.rglob("*") if p.is_file())
+    whole = lm.score(docs, docs).collect()
+    monkeypatch.setattr(lm, "BLOCK_BYTES", 3000)
+    before = held()
+    turns = lm.score(docs, docs).collect()
+    assert held() - before < sum(map(len, texts)) / 4
+    for a, b in zip(by_key(whole), by_key(turns), strict=True):
+        assert a[:4] == b[:4] and math.isclose(a.score, b.score, rel_tol=1e-9)
+
+
+def test_packed_ngrams_make_the_pages(spark):
+    """Whatever way n-grams travel, every one's count comes back from its page."""
+    rng = np.random.default_rng(5)
+    keys, counts = np.unique(rng.integers(0, 1 << 52, 3000, dtype=np.uint64)), 3
+    packed = lm._packed(keys, np.full(len(keys), counts), 10)
+    for page, raw, c in zip(packed["page"], packed["keys"], packed["counts"], strict=True):
+        own = keys[keys >> np.uint64(42) == page]
+        planes = np.frombuffer(raw, np.uint8).reshape(7, -1)
+        assert (planes.astype(np.uint64) << (np.arange(7, dtype=np.uint64) * np.uint64(8))[:, None]).sum(axis=0).tolist() == own.tolist()
+        assert np.frombuffer(c, "<u4").tolist() == [counts] * len(own)
+
+
 def test_scores_are_those_of_quantised_counts(spark):
     """By brute force over exact counts, quantised; the filter's few false positives may raise a count."""
     docs = spark.read.parquet(f"{SF_DIR}/documents.parquet").limit(40).cache()
