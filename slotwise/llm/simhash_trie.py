@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from slotwise.llm.shared import checkpointed
-from slotwise.llm.texts import map_batches, python_tasks
+from slotwise.llm.texts import give_back, map_batches, python_tasks
 
 SEED = 42
 BITS = 64
@@ -245,6 +245,7 @@ def near_links(prints: DataFrame, total: int, budget: int = BUDGET, cell: int =
         if not len(left) or (right is not None and not len(right)):
             return pd.DataFrame({"u": [], "v": []}, dtype=np.int64)
         labels = near_components(left, right, budget)
+        give_back()
         nodes = (left if right is None else np.concatenate((left, right))).view(np.int64)
         linked = labels != np.arange(len(labels))
         u, v = nodes[linked], nodes[labels[linked]]
@@ -442,6 +443,7 @@ def _compared(members: DataFrame, sets: DataFrame, least: float) -> DataFrame:
                 linked = np.flatnonzero(labels != np.arange(len(labels)))
                 a, b = classes[at[linked]], classes[at[labels[linked]]]
                 u.append(np.maximum(a, b)), v.append(np.minimum(a, b))
+        give_back()
         return pa.table({"u": np.concatenate(u), "v": np.concatenate(v)})
 
     python_tasks(members)

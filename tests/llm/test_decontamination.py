@@ -2,10 +2,13 @@ from __future__ import annotations
 
 import random
 import re
+import tracemalloc
+from pathlib import Path
 
 from pyspark.sql import functions as F
 
-from slotwise.llm.decontamination import WINDOW, find_items, hit_words, items_digest
+from slotwise.llm.decontamination import WINDOW, Index, find_items, hit_words, items_digest, mark, words_of
+from slotwise.llm.texts import give_back
 from tests.llm.helpers import clashing, documents, empty_documents, odd_documents
 
 WORDS = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -69,6 +72,34 @@ def test_rare_and_frequent_windows(spark):
     assert found(spark, [near + " x"], [(1, item), (2, "x")]) == [(11, 11, ["1", "2"])]
 
 
+def test_memory_is_bounded_by_chunks_not_by_batches():
+    item = "one two three four five six seven eight nine ten"
+    index = Index([("1", words_of(item))])
+    index.order({})
+    texts = ["word " * 4000 + item] * 200 + [None]  # 4 million characters
+    held = []
+    for work in (lambda: mark(texts, None, index), lambda: index.ids(texts[:50])):
+        tracemalloc.start()
+        out = work()
+        held.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        if len(held) == 1:
+            assert out.n_words.tolist() == [4010] * 200 + [0]
+            assert [len(x) for x in out["items"]] == [1] * 200 + [0] and out.spans[7].tolist() == [4000, 4010]
+    # The words' numbers of all texts at once take four times those of 50, and what is found from them some more.
+    assert held[0] < 8 * held[1]
+
+
+def test_freed_memory_goes_back():
+    kept = lambda: int(re.search(r"VmRSS:\s+(\d+)", Path("/proc/self/status").read_text())[1]) / 1024
+    pieces = [bytearray(100_000) for _ in range(1000)]
+    last = [bytes(1000) for _ in range(1000)]  # noqa: F841  stands behind them, so that the heap can't just shrink
+    full = kept()
+    del pieces
+    give_back()
+    assert full - kept() > 60
+
+
 def test_digest(spark):
     df = spark.createDataFrame([(["10", "9"],), ([],)], "items array<string>")
     import hashlib
