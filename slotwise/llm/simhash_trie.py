@@ -4,11 +4,17 @@ Fingerprints are 64 bits of word shingles. Two documents link if their fingerpri
 and components of links are near-duplicate groups.
 
 The join walks pairs of trie nodes together from the root. A pair carries the number of bits in which the two paths
-differ; it is dropped once that exceeds the budget, and compared directly once both nodes hold one fingerprint. On
-Spark the first `depth` bits are cells: a pair of cells within the budget is a group of its own, walked by one task.
-`depth` follows the number of fingerprints, and a cell with more than `CELL` of them is cut into chunks whose pairs
-become groups, so a group never holds more than about two chunks. Each fingerprint goes to sum(C(depth, i), i <= budget)
-cells; that is the price of walking a trie whose parts lie on different machines.
+differ; it is dropped once that exceeds the budget, and compared directly once both nodes hold one fingerprint. Near the
+root every node has children, and all paths within the budget would be walked there; so the bits lie in three blocks,
+and there are three tries, each with another block first. Fingerprints that differ in `budget` bits differ in few of
+some block's, by `spread`, and a pair that exceeds these in its trie's first block is dropped too: it lies in the few of
+another trie. So the nodes walked per fingerprint are about as many as the first block has bits, not C(bits, budget).
+
+On Spark the first `depth` bits of each trie are cells: a pair of cells that differ in few bits is a group of its own,
+walked by one task. `depth` follows the number of fingerprints, and a cell with more than `CELL` of them is cut into
+chunks whose pairs become groups, so a group never holds more than about two chunks; as many as two chunks are one group
+for all three tries. Each fingerprint goes to sum(C(depth, i), i <= few) cells of each trie, 2 * depth + 3 for a budget
+of 4; that is the price of walking a trie whose parts lie on different machines.
 
 Walks go budget by budget, and a pair of subtrees that are already known to be one component is not walked again:
 a dense ball of near copies costs about as much as its fingerprints, not as its pairs. A group returns a star per
@@ -28,6 +34,7 @@ from math import ceil, log2
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -38,6 +45,8 @@ from slotwise.llm.texts import give_back, map_batches, python_tasks
 SEED = 42
 BITS = 64
 BUDGET = 3
+#: Where the blocks of a fingerprint's bits start, from the highest bit; a cell is named by its block and a prefix of it.
+BLOCKS, PREFIX = (0, 22, 43), 20
 #: Fingerprints of a cell that one chunk takes; a group holds two chunks at most.
 CELL = 1 << 17
 #: Node pairs that are walked at once.
@@ -50,8 +59,9 @@ PART, PART_FEATURES = 1024, 1 << 22
 WIDTH = 5
 #: Members of small groups that one task takes.
 PACK = 4096
-#: Features that more sets than this share are counted by a product of matrices, of so many columns at a time.
-RARE, COLUMNS = 32, 4096
+#: Features that more sets than this share are counted by a product of matrices, of so many columns at a time; others by
+#: the pairs of sets that share them, of which so many are held.
+RARE, COLUMNS, COUNTED = 32, 4096, 1 << 20
 
 _ALL = 0xFFFFFFFFFFFFFFFF
 _RANDOM = np.random.Generator(np.random.PCG64(SEED)).integers(0, 1 << 63, (2, BANDS * ROWS), dtype=np.uint64)
@@ -125,10 +135,22 @@ class Trie:
         return out
 
 
-def walk(x: Trie, y: Trie, budget: int, known: tuple[np.ndarray, np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def spread(budget: int) -> list[int]:
+    """Differing bits in each block: two fingerprints within the budget have so few in one block at least; -1: none."""
+    return [(budget - block) // len(BLOCKS) for block in range(len(BLOCKS))]
+
+
+def turned(values: np.ndarray, start: int) -> np.ndarray:
+    """Fingerprints whose bits from `start` on come first."""
+    return values << np.uint64(start) | values >> np.uint64(BITS - start) if start else values
+
+
+def walk(x: Trie, y: Trie, budget: int, known: tuple[np.ndarray, np.ndarray], few: int = BITS,
+         span: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Positions of fingerprints of `x` and `y` within the budget, in parts; `y is x` gives each pair once.
 
-    Pairs whose subtrees are one component, by the labels in `known`, are left out.
+    Of the first `span` bits no more than `few` need differ: what exceeds that may be left out. Pairs whose subtrees are
+    one component, by the labels in `known`, are left out.
     """
     same = x is y
     marks_x = x.single_component(known[0])
@@ -157,10 +179,11 @@ def walk(x: Trie, y: Trie, budget: int, known: tuple[np.ndarray, np.ndarray]) ->
         # A node of one fingerprint goes down by the fingerprint's own bits.
         (a0, a1), (b0, b1) = _down(x, depth, a), _down(y, depth, b)
         twin = (a == b) if same else np.zeros(len(a), bool)
+        most = min(few, budget) if depth < span else budget
         parts = [(a0, b0, bits, None), (a1, b1, bits, None), (a0, b1, bits + 1, None), (a1, b0, bits + 1, ~twin)]
         up, vp, bp = [], [], []
         for u, v, n, also in parts:
-            ok = (u >= 0) & (v >= 0) & (n <= budget)
+            ok = (u >= 0) & (v >= 0) & (n <= most)
             if also is not None:
                 ok &= also
             up.append(u[ok]), vp.append(v[ok]), bp.append(n[ok])
@@ -190,32 +213,50 @@ def _unite(labels: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         labels = parent[labels]
 
 
-def near_components(left: np.ndarray, right: np.ndarray | None, budget: int = BUDGET) -> np.ndarray:
+def near_components(left: np.ndarray, right: np.ndarray | None, budget: int = BUDGET,
+                    blocks: tuple[int, ...] = tuple(range(len(BLOCKS)))) -> np.ndarray:
     """Component labels of `left` followed by `right` by links between the two, or within `left` if right is None.
 
-    Both are sorted and distinct and have nothing in common.
+    Both are sorted and distinct and have nothing in common. Of the tries only those that begin with one of `blocks` are
+    walked; the links of the others may be missing.
     """
-    x = Trie(left)
-    y = x if right is None else Trie(right)
-    n, shift = len(left), 0 if right is None else len(left)
-    labels = np.arange(n + (0 if right is None else len(right)))
+    labels = np.arange(len(left) + (0 if right is None else len(right)))
+    for block in blocks:
+        labels = _block_components(left, right, budget, block, labels)
+    return labels
+
+
+def _block_components(left: np.ndarray, right: np.ndarray | None, budget: int, block: int, labels: np.ndarray) -> np.ndarray:
+    """Labels after the links of the tries that begin with `block`, which go when they are walked."""
+    start, n = BLOCKS[block], len(left)
+    places = [np.argsort(turned(v, start)) for v in (left, right) if v is not None]
+    tries = [Trie(turned(v[at], start)) for v, at in zip((left, right), places, strict=False)]
+    i_at, j_at = places[0], places[-1] + (0 if right is None else n)
     for bits in range(1, budget + 1):
-        for i, j in walk(x, y, bits, (labels[:n], labels[shift:])):
-            labels = _unite(labels, i, j + shift)
+        few = spread(bits)[block]
+        if few >= 0:
+            span = (*BLOCKS, BITS)[block + 1] - start
+            for i, j in walk(tries[0], tries[-1], bits, (labels[i_at], labels[j_at]), few, span):
+                labels = _unite(labels, i_at[i], j_at[j])
     return labels
 
 
-def _cells(prefix: Column, depth: int, budget: int) -> Column:
-    """All cells whose prefix differs from `prefix` in at most `budget` bits."""
-    masks = [m for m in range(1 << depth) if m.bit_count() <= budget]
-    return F.transform(F.array(*(F.lit(m) for m in masks)), lambda m: prefix.bitwiseXOR(m))
+def _cells(own: Column, depth: int, few: list[int]) -> Column:
+    """All cells of the same block whose prefix differs from that of `own` in few bits."""
+    masks = F.array(*(F.array(*(F.lit(m) for m in range(1 << depth) if m.bit_count() <= most)) for most in few if most >= 0))
+    return F.transform(masks[F.shiftright(own, PREFIX)], lambda m: own.bitwiseXOR(m))
 
 
 def near_links(prints: DataFrame, total: int, budget: int = BUDGET, cell: int = CELL) -> DataFrame:
     """Links u, v (u > v as signed numbers) that connect what lies within the budget, from distinct `fingerprint`s."""
-    depth = min(20, max(0, ceil(log2(max(1, total) / cell))))
-    prefix = (F.shiftrightunsigned("fingerprint", BITS - depth) if depth else F.lit(0)).cast("int")
-    cells = prints.select("fingerprint", prefix.alias("own"))
+    if total <= 2 * cell:
+        zeros = {c: F.lit(0) for c in ("a", "b", "i", "j")}
+        return _walked(prints.select("fingerprint", F.lit(True).alias("lower")).withColumns(zeros), budget, True)
+    depth, few = min(PREFIX, ceil(log2(total / cell))), spread(budget)
+    # The blocks with links to seek are the first ones.
+    own = [F.shiftrightunsigned(_turned(F.col("fingerprint"), start), BITS - depth).cast("int") + F.lit(block << PREFIX)
+           for block, (start, most) in enumerate(zip(BLOCKS, few, strict=True)) if most >= 0]
+    cells = prints.select("fingerprint", F.explode(F.array(*own)).alias("own"))
     sizes = cells.groupBy("own").agg(F.ceil(F.count("*") / F.lit(cell)).cast("int").alias("chunks"))
     cut = (
         cells.join(sizes, "own")
@@ -223,7 +264,7 @@ def near_links(prints: DataFrame, total: int, budget: int = BUDGET, cell: int =
     )
     # Toward every near cell with all its chunks; a chunk pair is named by (cell, chunk) in order.
     other = (
-        cut.select("*", F.explode(_cells(F.col("own"), depth, budget)).alias("other"))
+        cut.select("*", F.explode(_cells(F.col("own"), depth, few)).alias("other"))
         .join(sizes.select(F.col("own").alias("other"), F.col("chunks").alias("others")), "other")
         .select("*", F.explode(F.sequence(F.lit(0), F.col("others") - 1)).alias("other_chunk"))
     )
@@ -236,7 +277,15 @@ def near_links(prints: DataFrame, total: int, budget: int = BUDGET, cell: int =
         F.when(F.col("own") < F.col("other"), F.col("other_chunk")).when(F.col("own") > F.col("other"), F.col("chunk"))
         .otherwise(F.greatest("chunk", "other_chunk")).alias("j"),
     )
+    return _walked(pairs, budget, False)
+
+
+def _turned(fingerprint: Column, start: int) -> Column:
+    return F.shiftleft(fingerprint, start).bitwiseOR(F.shiftrightunsigned(fingerprint, BITS - start)) if start else fingerprint
 
+
+def _walked(pairs: DataFrame, budget: int, whole: bool) -> DataFrame:
+    """The links of each pair of chunks, in the trie of their cells' block; or in all tries, if the chunks are `whole`."""
     def join(group: pd.DataFrame) -> pd.DataFrame:
         values, lower = group.fingerprint.to_numpy().view(np.uint64), group.lower.to_numpy()
         within = (group.a.iat[0], group.i.iat[0]) == (group.b.iat[0], group.j.iat[0])
@@ -244,14 +293,15 @@ def near_links(prints: DataFrame, total: int, budget: int = BUDGET, cell: int =
         right = None if within else np.sort(values[~lower])
         if not len(left) or (right is not None and not len(right)):
             return pd.DataFrame({"u": [], "v": []}, dtype=np.int64)
-        labels = near_components(left, right, budget)
+        blocks = tuple(range(len(BLOCKS))) if whole else (int(group.a.iat[0]) >> PREFIX,)
+        labels = near_components(left, right, budget, blocks)
         give_back()
         nodes = (left if right is None else np.concatenate((left, right))).view(np.int64)
         linked = labels != np.arange(len(labels))
         u, v = nodes[linked], nodes[labels[linked]]
         return pd.DataFrame({"u": np.maximum(u, v), "v": np.minimum(u, v)})
 
-    python_tasks(prints)
+    python_tasks(pairs)
     return pairs.groupBy("a", "b", "i", "j").applyInPandas(join, "u bigint, v bigint")
 
 
@@ -387,13 +437,21 @@ def common_features(sets: list[np.ndarray]) -> np.ndarray:
     flat, owner = flat[order], owner[order]
     starts = np.flatnonzero(np.concatenate((np.ones(min(1, len(flat)), bool), flat[1:] != flat[:-1])))
     sharers = np.diff(np.append(starts, len(flat)))
+    pairs, held = [], 0
     for k in range(2, min(RARE, n) + 1):
         at = starts[sharers == k]
-        if len(at):
-            owners = owner[at[:, None] + np.arange(k)]
-            for i in range(k - 1):
-                for j in range(i + 1, k):
-                    counts += np.bincount(owners[:, i] * n + owners[:, j], minlength=n * n)
+        if not len(at):
+            continue
+        i, j = np.triu_indices(k, 1)
+        for part in np.array_split(at, max(1, -(-len(at) * len(i) // COUNTED))):
+            owners = owner[part[:, None] + np.arange(k)]
+            pairs.append((owners[:, i] * n + owners[:, j]).reshape(-1))
+            held += len(pairs[-1])
+            if held >= COUNTED:
+                counts += np.bincount(np.concatenate(pairs), minlength=n * n)
+                pairs, held = [], 0
+    if held:
+        counts += np.bincount(np.concatenate(pairs), minlength=n * n)
     counts = counts.reshape(n, n)
     counts += counts.T
     often = np.flatnonzero(sharers > RARE)
@@ -417,27 +475,31 @@ def _compared(members: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     """Links u, v (u > v) that connect the members of each `group` that are alike: all of a group's are compared.
 
     A group is cut into parts by its members' hashes, so that no task has more than two of them, and every two parts
-    meet in a task; small groups share tasks. A task returns a star per component, not pairs. A member goes to as many
-    tasks as its group has parts.
+    meet in a task; small groups share tasks, and go to the same one if their least members are the same, for groups of
+    the same copies overlap. A task gets a set once and returns a star per component, not pairs. A member goes to as
+    many tasks as its group has parts.
     """
     sized = members.join(sets.select("class", (F.octet_length("features") / WIDTH).cast("bigint").alias("size")), "class")
     parts = sized.groupBy("group").agg(F.greatest(
-        F.ceil(F.count("*") / F.lit(PART)), F.ceil(F.sum("size") / F.lit(PART_FEATURES))).cast("int").alias("parts"))
+        F.ceil(F.count("*") / F.lit(PART)), F.ceil(F.sum("size") / F.lit(PART_FEATURES))).cast("int").alias("parts"),
+        F.min("class").alias("leader"))
     packs = max(1, members.count() // PACK)
     own = F.pmod(F.xxhash64("class"), F.col("parts")).cast("int")
     dealt = members.join(parts, "group").withColumn("own", own).select(
-        "group", "class", "own", "parts", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+        "group", "class", "own", "parts", "leader", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
     alone = F.col("parts") == 1
     dealt = dealt.select(
-        "group", "class", F.when(alone, F.pmod(F.xxhash64("group"), F.lit(packs))).otherwise(F.col("group")).alias("task"),
+        "group", "class", F.when(alone, F.pmod(F.xxhash64("leader"), F.lit(packs))).otherwise(F.col("group")).alias("task"),
         F.when(alone, -1).otherwise(F.least("own", "other")).alias("i"), F.greatest("own", "other").alias("j"))
+    sent = dealt.groupBy("task", "i", "j", "class").agg(F.collect_list("group").alias("groups"))
 
     def compare(table: pa.Table) -> pa.Table:
-        groups, classes = (table.column(c).to_numpy() for c in ("group", "class"))
-        features = table.column("features")
+        classes, features = table.column("class").to_numpy(), table.column("features")
+        groups = pc.list_flatten(table.column("groups")).to_numpy()
+        row = np.repeat(np.arange(len(classes)), pc.list_value_length(table.column("groups")).to_numpy())
         u, v = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         order = np.argsort(groups, kind="stable")
-        for at in np.split(order, np.flatnonzero(np.diff(groups[order])) + 1):
+        for at in np.split(row[order], np.flatnonzero(np.diff(groups[order])) + 1):
             if len(at) > 1:
                 labels = alike_components([unpacked(features[k].as_py()) for k in at.tolist()], least)
                 linked = np.flatnonzero(labels != np.arange(len(labels)))
@@ -447,7 +509,7 @@ def _compared(members: DataFrame, sets: DataFrame, least: float) -> DataFrame:
         return pa.table({"u": np.concatenate(u), "v": np.concatenate(v)})
 
     python_tasks(members)
-    return dealt.join(sets, "class").groupBy("task", "i", "j").applyInArrow(compare, "u bigint, v bigint").distinct()
+    return sent.join(sets, "class").groupBy("task", "i", "j").applyInArrow(compare, "u bigint, v bigint").distinct()
 
 
 def verified_copies(docs: DataFrame, key: str = "doc_id", shingle: int = 5, least: float = 0.8, words: int = 1,
@@ -470,7 +532,7 @@ def verified_copies(docs: DataFrame, key: str = "doc_id", shingle: int = 5, leas
     total = classes.count()
     for k, print_ in enumerate(prints):
         groups = groups.unionByName(_trie_groups(classes, print_, total, budget, k))
-    groups = groups.distinct()
+    # A class is in a group once, so rows need not be made distinct.
     # Copies of a text share many bands; of groups with the same members, told by their hashes, one is enough.
     same = F.xxhash64("class")
     shared = groups.groupBy("group").agg(F.count("*").alias("n"), F.bit_xor(same).alias("a"), F.bit_xor(

@@ -184,6 +184,34 @@ def test_components_of_sets_are_those_of_all_pairs(monkeypatch):
     assert {(i, j) for i in range(len(pool)) for j in range(i) if labels[i] == labels[j]} == closure(links, len(pool))
 
 
+def test_features_are_counted_in_parts(monkeypatch):
+    rng = random.Random(4)
+    pool = [np.unique(np.array(rng.sample(range(300), rng.randrange(80)), np.uint64)) for _ in range(50)]
+    for counted in (1, 50, 1 << 20):
+        monkeypatch.setattr(simhash_trie, "COUNTED", counted)
+        counts = simhash_trie.common_features(pool)
+        assert all(counts[i, j] == len(np.intersect1d(pool[i], pool[j])) for i in range(50) for j in range(50) if i != j)
+
+
+def test_a_set_is_sent_once_to_the_groups_of_a_task(spark, monkeypatch):
+    """Overlapping groups of the same copies: links as of all pairs in each group, each set unpacked from one row."""
+    rng = random.Random(5)
+    base = rng.sample(range(1 << 40), 60)
+    sets = {c: np.array(sorted(x << 24 for x in base[: 60 - c] + rng.sample(range(1 << 40), c)), np.uint64) for c in range(9)}
+    rows = [(g, c) for g in range(12) for c in range(9) if c == 0 or rng.random() < 0.7]
+    seen, frame = [], type(spark.range(0))
+    join = frame.join
+    monkeypatch.setattr(frame, "join", lambda self, other, *a, **b: (seen.append(self) if "groups" in self.columns else None, join(self, other, *a, **b))[1])
+    links = simhash_trie._compared(
+        spark.createDataFrame(rows, "group bigint, class bigint"),
+        spark.createDataFrame([(c, simhash_trie.packed(s)) for c, s in sets.items()], "class bigint, features binary"), 0.8)
+    found = {(r.u, r.v) for r in links.collect()}
+    wanted = {(max(i, j), min(i, j)) for g in range(12) for _, i in rows for _, j in rows if i != j
+              and (g, i) in rows and (g, j) in rows and similarity({*sets[i].tolist()}, {*sets[j].tolist()}) >= 0.8}
+    assert closure(found, 9) == closure(wanted, 9) and found
+    assert seen[0].count() == 9
+
+
 def closure(links, n):
     """Pairs that links connect."""
     reach = np.eye(n, dtype=bool)

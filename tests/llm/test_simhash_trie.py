@@ -95,6 +95,55 @@ def test_a_ball_of_near_copies_is_cheap():
     assert sum(len(i) for i, _ in st.walk(x, x, 3, (labels, labels))) == 0
 
 
+def edits_of_blocks(budget):
+    """A fingerprint far from all others for each way to spread `budget` bits over the blocks, and one so far from it."""
+    rng = random.Random(budget)
+    ends = [*st.BLOCKS, st.BITS]
+    out = []
+    for a in range(budget + 1):
+        for b in range(budget + 1 - a):
+            x = y = rng.getrandbits(64)
+            for block, n in enumerate((a, b, budget - a - b)):
+                for bit in rng.sample(range(ends[block], ends[block + 1]), n):
+                    y ^= 1 << st.BITS - 1 - bit
+            out.append((x, y))
+    return out
+
+
+@pytest.mark.parametrize("budget", [0, 1, 2, 3, 4, 5, 8])
+def test_one_block_of_each_link_has_few_differing_bits(spark, budget):
+    pairs = edits_of_blocks(budget)
+    values = np.unique(np.array(pairs, np.uint64))
+    assert st.near_components(values, None, budget).tolist() == labels_of(values, budget)
+    left, right = (np.sort(np.array(side, np.uint64)) for side in zip(*pairs, strict=True))
+    if budget:
+        labels = st.near_components(left, right, budget)
+        assert all(labels[np.searchsorted(left, np.uint64(x))] == labels[len(left) + np.searchsorted(right, np.uint64(y))]
+                   for x, y in pairs)
+    if budget in (1, 4, 5):
+        prints = spark.createDataFrame([(int(v),) for v in values.view(np.int64)], "fingerprint bigint")
+        roots = {r.node: r.root for r in st.components(st.near_links(prints, len(values), budget, 1)).collect()}
+        signed = [tuple(np.array(p, np.uint64).view(np.int64).tolist()) for p in pairs]
+        assert all(roots.get(x, x) == roots.get(y, y) for x, y in signed)
+
+
+def test_few_nodes_are_walked_near_the_root(monkeypatch):
+    """Without links the pairs of nodes grow with the fingerprints, not with all paths within the budget."""
+    walked, down = [], st._down
+    monkeypatch.setattr(st, "_down", lambda trie, depth, nodes: (walked.append(len(nodes)), down(trie, depth, nodes))[1])
+    values = np.unique(np.random.default_rng(5).integers(0, 1 << 63, 20_000, dtype=np.uint64) << np.uint64(1))
+    assert st.near_components(values, None, 4).tolist() == list(range(len(values)))
+    assert sum(walked) < 500 * len(values)
+
+
+def test_a_fingerprint_goes_to_few_cells(spark, monkeypatch):
+    monkeypatch.setattr(st, "_walked", lambda pairs, budget, whole: pairs)
+    values = (np.unique(np.random.default_rng(6).integers(0, 1 << 63, 3000, dtype=np.uint64)) << np.uint64(1)).view(np.int64)
+    prints = spark.createDataFrame([(int(v),) for v in values], "fingerprint bigint")
+    # 64 cells of a trie, none of which needs chunks.
+    assert st.near_links(prints, 64 * 1000, 4, 1000).count() == (2 * 6 + 3) * len(values)
+
+
 def test_fingerprints(spark):
     texts = [r.text for r in spark.read.parquet(f"{SF_DIR}/documents.parquet").collect()][:120]
     for text in [*texts, None, "", "one", "Two words", " a\x1cb c", "a b c", "x " * 70_000]:
